@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, embed_dedup, langid, packing, quality, topk, url_filter
+from gradus.llm import bpe, chat, embed_dedup, jaccard, langid, packing, quality, topk, url_filter
 from gradus.llm.common import id_hash_mod
 
 #: The rules of the url query.
@@ -101,6 +101,24 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 2, 1) END)) AS i FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 90 * (u.n + v.n - k)),
+r(id, c) AS (SELECT a, least(a, b) FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+"""
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -129,10 +147,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_exact_topk": op6_exact_topk,
         "op7_quality": op7_quality,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_best_fit": op9_best_fit,
         "op10_url_rules": op10_url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_exact_topk": OP6_SQL, "op10_url_rules": OP10_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_exact_topk": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_url_rules": OP10_SQL}
