@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -36,6 +37,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, before the next large step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def picked(df: DataFrame, ids: DataFrame, how: str, most: int) -> DataFrame:
+    """``df`` joined with the stored, distinct ``ids`` on id: broadcast up to ``most`` ids, else a shuffle without a sort."""
+    small = ids.count() <= most
+    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), "id", how)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a frame made by :func:`stored` once nothing reads it any more."""
     jvm = df.sparkSession._jvm
@@ -100,7 +113,7 @@ _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +165,23 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` consecutive word hashes; the order of the words counts."""
-    if len(words) < n:
+    """Hash of each run of ``n`` consecutive word hashes; the order of the words counts.
+
+    A polynomial over the word hashes, joined from runs of lengths 1, 2, 4 and so on."""
+    if n < 1 or len(words) < n:
         return np.zeros(0, np.uint64)
-    out = words[: len(words) - n + 1].copy()
-    for k in range(1, n):
-        out = mix(out * _BASE + words[k : len(words) - n + 1 + k])
-    return mix(out)
+    size = len(words) - n + 1
+    run, power, length = words, int(_BASE), 1  # sums over ``length`` words, and the base to that power
+    out, done = np.zeros(size, np.uint64), 0
+    while done < n:
+        if n & length:
+            out = out * np.uint64(power) + run[done : done + size]
+            done += length
+        if done < n:
+            run = run[: len(run) - length] * np.uint64(power) + run[length:]
+            power = power * power & (1 << 64) - 1
+            length *= 2
+    return mix(out + np.uint64(n))
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:

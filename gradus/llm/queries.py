@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, embed_dedup, jaccard, langid, packing, quality, topk, url_filter
+from gradus.llm import bpe, chat, embed_dedup, jaccard, langid, packing, quality, substring_dedup, topk, url_filter
 from gradus.llm.common import id_hash_mod
 
 #: The rules of the url query.
@@ -42,6 +42,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS lo FROM s GROUP BY g),
+h AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i FROM s JOIN m USING (g) WHERE lo < doc_id),
+k AS (SELECT d.doc_id, u.i, d.w[u.i] AS word FROM d, unnest(generate_series(1, len(d.w))) AS u(i)),
+a AS (SELECT k.doc_id, count(*) FILTER (h.i IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY k.i) FILTER (h.i IS NULL) AS kept
+  FROM k LEFT JOIN h ON h.doc_id = k.doc_id AND h.i = k.i GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(EXTRA_TURNS, "conv_id long, turn long, role string, text string")
@@ -143,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_language_id": op5_language_id,
         "op6_exact_topk": op6_exact_topk,
@@ -154,4 +173,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_exact_topk": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_url_rules": OP10_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_topk": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_url_rules": OP10_SQL}
