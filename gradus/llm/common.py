@@ -63,6 +63,12 @@ def id_hash_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def bounded_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
+    """About ``most`` rows of ``df`` at most: those whose hash ``h`` is in a range that depends on the number of rows alone."""
+    n = df.count()
+    return df if n <= most else df.filter(h.bitwiseAND(F.lit(0x7FFFFFFF)) < int(most / n * (1 << 31)))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Parts of a batch that hold about ``most`` bytes of text at a time, so that memory stays bounded."""
     n = batch.num_rows

@@ -6,7 +6,7 @@ switch languages, made from runs of words of different documents. Words are labe
 language has the largest mean posterior over its words that hold a letter, and that mean is the score.
 
 Chains of any length run in blocks: the product of each block's step matrices first, then the states between blocks, then the
-steps inside all blocks at once. Training takes at most ``SAMPLE`` documents, those of smallest id hash, and
+steps inside all blocks at once. Training takes at most ``SAMPLE`` documents, those in a range of the id's hash, and
 ``WORDS`` words of each from a hashed place; prediction takes whole texts.
 
 Null and empty texts and those without a letter get ``und`` with score 0. Without usable labels every text is ``und``. Ties go
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, slices
+from gradus.llm.common import Memo, bounded_sample, slices
 
 #: Most documents and words of each that training takes.
 SAMPLE, WORDS = 2000, 100
@@ -219,10 +219,10 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     """Trains on the rows that ``learn`` marks and whose language is not null."""
     h = F.xxhash64(F.col(key).cast("string"))
     rows = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    picked = rows.orderBy("h", "lang", "text").limit(sample).withColumn("w", F.split(F.trim("text"), r"\s+"))
     start = F.pmod(F.col("h"), F.greatest(F.size("w") - words, F.lit(1))).cast("int") + 1
-    got = picked.select("h", "lang", F.slice("w", start, words).alias("w")).collect()
-    return train([(r["lang"], r["w"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"], r["w"]))])
+    part = bounded_sample(rows, F.col("h"), sample).withColumn("w", F.split(F.trim("text"), r"\s+"))
+    got = part.select("h", "lang", F.slice("w", start, words).alias("w")).collect()
+    return train([(r["lang"], r["w"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"], r["w"]))[:sample]])
 
 
 _MEMOS: dict[str, Memo] = {}

@@ -7,7 +7,7 @@ of its shapes' vectors, the share of words that repeat the one before, and the l
 temperature that fits a held-out part of the training rows, so that the scores are probabilities.
 
 Word vectors come from all documents by one distributed sum of ``BUCKETS`` rows; the network takes at most ``SAMPLE``
-labelled rows, those of smallest id hash. Scores cover whole texts.
+labelled rows, those in a range of the id's hash. Scores cover whole texts.
 
 Null and empty texts are a document without words and get the score of its (zero) vectors. Without labelled rows, or with one
 class alone, every score is the share of label 1 (0.5 without rows). Several labels of one document count as their largest.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, slices, stored
+from gradus.llm.common import Memo, bounded_sample, slices, stored
 
 #: Word buckets, shape buckets, dimensions, non-zero entries of an index vector.
 WORDS, SHAPES, DIMENSIONS, ENTRIES = 4096, 1024, 64, 4
@@ -206,7 +206,9 @@ def score(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
     docs = stored(pooled(df, vectors, text, key), "pooled")
     own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).filter(learn).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     h = F.xxhash64(F.col(key).cast("string"))
-    rows = docs.join(own, key).orderBy(h, key).limit(sample).select(F.col("x"), "y").collect()
+    ids = bounded_sample(docs.select(key).join(own, key), h, sample)
+    got = docs.join(ids, key).select(h.alias("h"), "x", "y").collect()
+    rows = sorted(got, key=lambda r: (r["h"], r["y"], r["x"]))[:sample]
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, WIDTH)
     model = Network(x, np.array([r["y"] for r in rows]))
     shared = df.sparkSession.sparkContext.broadcast(model)
