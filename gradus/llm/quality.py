@@ -126,6 +126,20 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     return out.astype(np.float32)
 
 
+def bucket_means(pairs: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, block: int = 64) -> np.ndarray:
+    """Mean word vector and mean shape vector of each text: bucket counts of a few texts at a time, times the vectors."""
+    n = np.diff(offsets)
+    out = np.zeros((len(n), 2 * DIMENSIONS), np.float32)
+    for at in range(0, len(n), block):
+        stop = min(len(n), at + block)
+        own = pairs[offsets[at] : offsets[stop]].astype(np.int64)
+        text = np.repeat(np.arange(stop - at), n[at:stop])
+        for kind, first, size in ((0, 0, WORDS), (1, WORDS, SHAPES)):
+            counts = np.bincount(text * size + own[:, kind] - first, minlength=(stop - at) * size).reshape(-1, size).astype(np.float32)
+            out[at:stop, kind * DIMENSIONS : (kind + 1) * DIMENSIONS] = counts @ vectors[first : first + size]
+    return out / np.maximum(n, 1)[:, None]
+
+
 def pooled(df: DataFrame, vectors: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, x array<float>): document vectors."""
     shared = df.sparkSession.sparkContext.broadcast(vectors)
@@ -139,8 +153,7 @@ def pooled(df: DataFrame, vectors: np.ndarray, text: str = "text", key: str = "d
                 n = np.diff(offsets)
                 x = np.zeros((len(n), WIDTH), np.float32)
                 full = np.flatnonzero(n)
-                for kind_ in (0, 1) if len(pairs) else ():
-                    x[full, kind_ * DIMENSIONS : (kind_ + 1) * DIMENSIONS] = np.add.reduceat(v[pairs[:, kind_]], offsets[:-1][full], axis=0) / n[full, None]
+                x[:, : 2 * DIMENSIONS] = bucket_means(pairs, offsets, v)
                 if len(pairs):
                     again = np.concatenate([[0], pairs[1:, 0] == pairs[:-1, 0]])
                     again[offsets[:-1][full]] = 0
