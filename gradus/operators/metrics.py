@@ -13,7 +13,7 @@ def hit(gold: Column, pred: Column) -> Column:
 
 
 def accuracy(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit(F.col("gold"), F.col("pred"))), 6).alias("accuracy"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(hit(F.col("gold"), F.col("pred"))), 6).alias("accuracy"))
 
 
 def balanced_accuracy(df: DataFrame, by: list[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def balanced_accuracy(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def confusion_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by, "gold", "pred").agg(F.count("*").alias("n"))
 
 
 def macro_f1(df: DataFrame, by: list[str]) -> DataFrame:
@@ -58,7 +58,7 @@ def regression(df: DataFrame, by: list[str]) -> DataFrame:
 
 def average_rank(x: str, by: list[str]) -> Column:
     """Rank with ties at their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
+    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
 def spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred") -> DataFrame:
@@ -67,11 +67,11 @@ def spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred") ->
     Ranks come from counts per distinct value, which are joined back, so that no group is sorted row by row."""
 
     def ranks(c: str) -> DataFrame:
-        per = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("k"))
+        per = df.groupBy(*by, c).agg(F.count("*").alias("k"))
         below = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
         return per.select(*by, c, (F.coalesce(F.sum("k").over(below), F.lit(0)) + (F.col("k") + 1) / 2).alias(f"r_{c}"))
 
-    both = df.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w")).join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
+    both = df.groupBy(*by, x, y).agg(F.count("*").alias("w")).join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
     w, a, b = F.col("w"), F.col(f"r_{x}"), F.col(f"r_{y}")
     s = both.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * b).alias("sab"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"))
     n = F.col("n")
@@ -86,7 +86,7 @@ def bootstrap(df: DataFrame, by: list[str], value: Column, draws: int = 1000, se
     Rows carry their place in the group. Draw d takes for its i-th pick the place md5(seed|d|i) modulo the group's size, so that
     any engine picks the same rows. Values are first counted into classes of equal value; a pick only needs its class, found by
     the running count."""
-    value_rows = df.withColumn("v", value).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
+    value_rows = df.withColumn("v", value).groupBy(*by, "v").agg(F.count("*").alias("k"))
     up = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     steps = value_rows.select(*by, "v", F.sum("k").over(up).alias("hi"), "k").withColumn("lo", F.col("hi") - F.col("k"))
     sizes = value_rows.groupBy(*by).agg(F.sum("k").alias("n"))

@@ -35,7 +35,7 @@ def last_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 def equalize(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
     """Every class cut to the size of the smallest."""
-    smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("most"))
+    smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("most"))
     r = ranked(df, [label], order_key(stage, F.col(key)), F.col(key))
     return r.join(F.broadcast(smallest)).filter("rn <= most").drop("rn", "most")  # one row
 
@@ -43,7 +43,7 @@ def equalize(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFra
 def fill_to_target(chosen: DataFrame, pool: DataFrame, target: int, stage: str, key: str = "rid") -> DataFrame:
     """Tops ``chosen`` up to ``target`` rows from what is left of the pool."""
     left = pool.join(chosen.select(key), key, "left_anti")
-    missing = chosen.agg((F.lit(target) - F.count(F.lit(1))).alias("missing"))
+    missing = chosen.agg((F.lit(target) - F.count("*")).alias("missing"))
     best = left.orderBy(order_key(stage, F.col(key)), key).limit(target)
     r = best.withColumn("rn", F.row_number().over(Window.orderBy(order_key(stage, F.col(key)), key)))  # at most ``target`` rows
     return chosen.unionByName(r.join(F.broadcast(missing)).filter("rn <= missing").select(*chosen.columns))
@@ -51,14 +51,14 @@ def fill_to_target(chosen: DataFrame, pool: DataFrame, target: int, stage: str,
 
 def half_partition(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
     """Adds half: 0 for the first floor(n / 2) rows of each class in random order, else 1."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    n = df.groupBy(label).agg(F.count("*").alias("n"))
     r = ranked(df, [label], order_key(stage, F.col(key)), F.col(key)).join(F.broadcast(n), label)  # one row per class
     return r.withColumn("half", F.when(F.col("rn") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("rn", "n")
 
 
 def proportional_cap(df: DataFrame, strata: str, target: int, stage: str, key: str) -> DataFrame:
     """About ``target`` rows with each stratum in its share; a stratum never gives more than it has."""
-    n = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+    n = df.groupBy(strata).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     quota = n.join(F.broadcast(total)).select(strata, F.least(F.bround(F.lit(float(target)) * F.col("n") / F.col("total")), F.col("n")).alias("quota"))
     return ranked(df, [strata], order_key(stage, F.col(key)), F.col(key)).join(F.broadcast(quota), strata).filter("rn <= quota").drop("rn", "quota")
@@ -66,7 +66,7 @@ def proportional_cap(df: DataFrame, strata: str, target: int, stage: str, key: s
 
 def tissue_balanced(df: DataFrame, target: int, stage: str, organ: str = "organ", label: str = "direction", key: str = "rid") -> DataFrame:
     """Equal share per label; within a label equal shares per organ, shortfalls passed on to organs with rows to spare, in order."""
-    counts = df.groupBy(label, organ).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(label, organ).agg(F.count("*").alias("n"))
     dims = counts.agg(F.countDistinct(label).alias("nl"), F.countDistinct(organ).alias("no"))
     share = F.floor(F.floor(F.lit(target) / F.col("nl")) / F.col("no"))
     q = counts.join(F.broadcast(dims)).select(label, organ, "n", "no", F.floor(F.lit(target) / F.col("nl")).alias("each"), F.least("n", share).alias("base"))
@@ -81,7 +81,7 @@ def pair_extremes(df: DataFrame, by: str, gap: float, most: int, key: str = "rid
     """i-th largest with i-th smallest |logfc| of a group, where they differ by ``gap`` at least; the first ``most`` pairs."""
     size = F.abs(F.col("logfc"))
     per = Window.partitionBy(by)
-    r = df.withColumns({"up": F.row_number().over(per.orderBy(size.desc(), F.col(key))), "down": F.row_number().over(per.orderBy(size, F.col(key).desc())), "n": F.count(F.lit(1)).over(per)})
+    r = df.withColumns({"up": F.row_number().over(per.orderBy(size.desc(), F.col(key))), "down": F.row_number().over(per.orderBy(size, F.col(key).desc())), "n": F.count("*").over(per)})
     big = r.filter(F.col("up") <= F.floor(F.col("n") / 2)).select(by, F.col("up").alias("i"), F.col(key).alias("large"), size.alias("a"))
     small = r.filter(F.col("down") <= F.floor(F.col("n") / 2)).select(by, F.col("down").alias("i"), F.col(key).alias("small"), size.alias("b"))
     pairs = big.join(small, [by, "i"]).filter(F.col("a") - F.col("b") >= gap)

@@ -29,7 +29,7 @@ def labelled(v: Views) -> DataFrame:
 SELECT model, round(avg(m), 6) AS mean_score, count(*) AS n_formats FROM s GROUP BY model""")
 def score_by_format_leaderboard(v: Views) -> DataFrame:
     per = v.ev.groupBy("model", "task").agg(F.avg(metrics.off_by_one_score(F.col("gold"), F.col("pred"))).alias("m"))
-    return per.groupBy("model").agg(F.round(F.avg("m"), 6).alias("mean_score"), F.count(F.lit(1)).alias("n_formats"))
+    return per.groupBy("model").agg(F.round(F.avg("m"), 6).alias("mean_score"), F.count("*").alias("n_formats"))
 
 
 @query(f"SELECT rid, comparison, gene, treatment FROM dx WHERE {KEPT}")
@@ -47,7 +47,7 @@ def annotate_left_join(v: Views) -> DataFrame:
 
 @query(f"SELECT gene, count(*) AS n FROM dx WHERE {KEPT} AND gene IN (SELECT gene FROM anno WHERE cancer = 'No') GROUP BY gene")
 def semi_join_genes(v: Views) -> DataFrame:
-    return perturbed(v).join(v.anno.filter("cancer = 'No'").select("gene"), "gene", "left_semi").groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+    return perturbed(v).join(v.anno.filter("cancer = 'No'").select("gene"), "gene", "left_semi").groupBy("gene").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT gene FROM dx WHERE gene NOT IN (SELECT gene FROM anno WHERE cancer = 'No')")
@@ -57,17 +57,17 @@ def anti_join_unmatched(v: Views) -> DataFrame:
 
 @query(f"SELECT {DIRECTION} AS direction, count(*) AS n FROM dx WHERE {KEPT} GROUP BY 1")
 def ternary_label_counts(v: Views) -> DataFrame:
-    return labelled(v).groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
+    return labelled(v).groupBy("direction").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT CASE WHEN abs(logfc) > 1 AND p < 0.05 THEN 'significant' ELSE 'not_significant' END AS label, count(*) AS n FROM dx WHERE {KEPT} GROUP BY 1")
 def binary_significance_counts(v: Views) -> DataFrame:
-    return perturbed(v).groupBy(significance_label(F.col("logfc"), F.col("p")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return perturbed(v).groupBy(significance_label(F.col("logfc"), F.col("p")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 2500 THEN 'low' WHEN c_acctbal < 5000 THEN 'mid' WHEN c_acctbal < 9000 THEN 'high' ELSE NULL END AS bracket, count(*) AS n FROM customer GROUP BY 1")
 def bucketize_counts(v: Views) -> DataFrame:
-    return v.table("customer").groupBy(bracket(F.col("c_acctbal"), [0, 2500, 5000, 9000], ["low", "mid", "high"]).alias("bracket")).agg(F.count(F.lit(1)).alias("n"))
+    return v.table("customer").groupBy(bracket(F.col("c_acctbal"), [0, 2500, 5000, 9000], ["low", "mid", "high"]).alias("bracket")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS row_index FROM ev WHERE task = 'MACHINERY' ORDER BY id LIMIT 50")
@@ -104,7 +104,7 @@ def confusion_matrix(v: Views) -> DataFrame:
 
 @query("SELECT model, round(sum(CASE abs(ascii(gold) - ascii(pred)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE) / count(*), 4) AS off_by_one FROM ev GROUP BY model")
 def off_by_one(v: Views) -> DataFrame:
-    return v.ev.groupBy("model").agg(F.round(F.sum(metrics.off_by_one_score(F.col("gold"), F.col("pred"))) / F.count(F.lit(1)), 4).alias("off_by_one"))
+    return v.ev.groupBy("model").agg(F.round(F.sum(metrics.off_by_one_score(F.col("gold"), F.col("pred"))) / F.count("*"), 4).alias("off_by_one"))
 
 
 @query("SELECT model, round(avg(abs(pred - gold)), 6) AS mae, round(quantile_cont(abs(pred - gold), 0.5), 6) AS median_ae, round(avg((sign(pred) = sign(gold))::INT), 6) AS sign_agreement FROM evr GROUP BY model")
@@ -126,4 +126,4 @@ def pred_distribution_bias(v: Views) -> DataFrame:
 
 @query("SELECT gold, CAST(ascii(gold) - 65 AS INTEGER) AS place, count(*) AS n FROM ev GROUP BY ALL")
 def ordinal_places(v: Views) -> DataFrame:
-    return v.ev.groupBy("gold", ordinal(F.col("gold")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    return v.ev.groupBy("gold", ordinal(F.col("gold")).alias("place")).agg(F.count("*").alias("n"))

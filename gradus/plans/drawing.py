@@ -107,7 +107,7 @@ def dup_name_suffix(v: Views) -> DataFrame:
 @query("""WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), s AS (SELECT p_brand, n, sum(n) OVER (ORDER BY n DESC, p_brand ROWS UNBOUNDED PRECEDING) / sum(n) OVER ()::DOUBLE AS share FROM n)
 SELECT p_brand, n, round(share, 6) AS share FROM s""")
 def cumulative_share(v: Views) -> DataFrame:
-    n = v.table("part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    n = v.table("part").groupBy("p_brand").agg(F.count("*").alias("n"))
     up = Window.orderBy(F.desc("n"), "p_brand").rowsBetween(Window.unboundedPreceding, 0)  # a row per brand
     return n.select("p_brand", "n", F.round(F.sum("n").over(up) / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
@@ -115,10 +115,10 @@ def cumulative_share(v: Views) -> DataFrame:
 @query("""WITH c AS (SELECT task, gold, count(*) AS n, min(id) AS pos FROM ev GROUP BY ALL), m AS (SELECT task, gold AS pred FROM c QUALIFY row_number() OVER (PARTITION BY task ORDER BY n DESC, pos) = 1)
 SELECT ev.task, m.pred, count(*) AS n, round(avg((ev.gold = m.pred)::INT), 6) AS accuracy FROM ev JOIN m USING (task) GROUP BY ALL""")
 def majority_label(v: Views) -> DataFrame:
-    c = v.ev.groupBy("task", "gold").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pos"))
+    c = v.ev.groupBy("task", "gold").agg(F.count("*").alias("n"), F.min("id").alias("pos"))
     major = sampling.ranked(c, ["task"], F.desc("n"), F.col("pos")).filter("rn = 1").select("task", F.col("gold").alias("majority"))
     both = v.ev.join(F.broadcast(major), "task")  # one row per task
-    return both.groupBy("task", F.col("majority").alias("pred")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("gold") == F.col("majority")).cast("int")), 6).alias("accuracy"))
+    return both.groupBy("task", F.col("majority").alias("pred")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("gold") == F.col("majority")).cast("int")), 6).alias("accuracy"))
 
 
 @query("""SELECT id, (['A', 'B', 'C'])[CAST(('0x' || substr(md5(concat_ws('|', '42', 'random', id)), 1, 8))::BIGINT % 3 AS INTEGER) + 1] AS pred FROM ev""")
@@ -133,7 +133,7 @@ u AS (SELECT c_custkey, ('0x' || substr(md5(concat_ws('|', '42', 'prior', c_cust
 
 @query(f"WITH {PRIOR} SELECT c_custkey, age FROM u JOIN c ON u >= lo AND u < hi")
 def population_prior_draw(v: Views) -> DataFrame:
-    w = v.table("part").groupBy(F.col("p_size").alias("age")).agg(F.count(F.lit(1)).alias("w"))
+    w = v.table("part").groupBy(F.col("p_size").alias("age")).agg(F.count("*").alias("w"))
     up = Window.orderBy("age").rowsBetween(Window.unboundedPreceding, 0)  # a row per age
     steps = w.withColumn("hi", F.sum("w").over(up)).withColumn("lo", F.col("hi") - F.col("w"))
     table = steps.agg(F.sort_array(F.collect_list(F.struct("lo", "age"))).alias("steps"), F.max("hi").alias("total"))
