@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import connected_components, gram_hashes, mix, slices, stored, word_hashes
+from gradus.llm.common import connected_components, gram_hashes, mix, picked, slices, stored, word_hashes
 
 SKETCH, PARTS = 1 << 16, 32
+#: Texts of a group of pairs to verify.
+GROUP = 256
 #: Most ids that are broadcast to pick out the texts to verify; more are shuffled.
 MOST_IDS = 200_000
 
@@ -122,27 +124,33 @@ def _prefixes(df: DataFrame, n: int, t: Threshold, sketch: np.ndarray) -> DataFr
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, size long, s1 long, parts array<int>, prefix array<long>")
 
 
-def _shingles(df: DataFrame, n: int) -> DataFrame:
-    """(id, u array<long>): whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """The distinct pairs (a, b) that are linked, by their whole sets.
+
+    The texts of both sides travel, which is less than their sets, and meet in groups of at most about ``GROUP`` texts: a
+    document with more partners is sent to several groups."""
+    per = pairs.groupBy("a").agg((F.floor(F.count("*") / GROUP) + 1).alias("groups"))
+    dealt = stored(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("g")), "dealt")
+    ids = stored(dealt.select("a").union(dealt.select("b")).distinct().withColumnRenamed("a", "id"), "needed")
+    texts = stored(picked(docs, ids, "left_semi", MOST_IDS), "texts")
+    right = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "g", "b", "text")
+    left = dealt.select("a", "g").distinct().join(texts.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("k"), F.col("g").alias("h"), F.col("text").alias("hub_text"))
+
+    def compare(one: pa.Table, many: pa.Table) -> pa.Table:
+        if not one.num_rows or not many.num_rows:
+            return pa.table([many.column("a").slice(0, 0), many.column("b").slice(0, 0)], ["a", "b"])
+        own = next(shingle_sets(one.column("hub_text").combine_chunks().slice(0, 1), n))
+        good = []
+        for batch in many.to_batches():
             for part in slices(batch, "text"):
-                sets = list(shingle_sets(part.column("text"), n))
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(flat))], ["id", "u"])
-
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, u array<long>")
-
+                for u in shingle_sets(part.column("text"), n):
+                    common = np.isin(u, own, assume_unique=True).sum()
+                    good.append(common * (t.num + t.den) >= t.num * (len(u) + len(own)))
+        kept = many.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        return kept
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets."""
-    ids = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "needed")
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids.hint("shuffle_hash")
-    sets = stored(_shingles(docs.join(ids, "id", "left_semi"), n).dropDuplicates(["id"]), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b").join(sets.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a")
-    common, total = F.size(F.array_intersect("ua", "ub")), F.size("ua") + F.size("ub")
-    return both.filter(common * (t.num + t.den) >= total * t.num).select("a", "b")
+    kind = docs.schema["id"].dataType.simpleString()
+    return left.groupBy("k", "h").cogroup(right.groupBy("a", "g")).applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def similarity_join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id", every_pair: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -154,8 +162,8 @@ def similarity_join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     sets = ["size", "s1", "s2"]
     classes = stored(own.filter("size > 0").groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "size", "s1")
-    lines = stored(_prefixes(docs, n, t, _sketch(docs, n)).join(reps, ["id", "size", "s1"]).drop("s1").dropDuplicates(["id"]), "prefixes")
-    tokens = lines.select("id", "size", F.posexplode("prefix").alias("p", "token"))
+    lines = stored(_prefixes(docs, n, t, _sketch(docs, n)).join(reps, ["id", "size", "s1"]).drop("s1"), "prefixes")
+    tokens = lines.select("id", F.posexplode("prefix").alias("p", "token"))
     hubs = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").select("token", "hub")
     # Rows of shared shingles only, from here on; most shingles are in one class alone.
     rows = stored(tokens.join(hubs, "token"), "tokens")
@@ -171,10 +179,10 @@ def similarity_join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         up = links.select(F.col("b").alias("id"), F.col("a").alias("top"))
         two = up.join(up.select(F.col("id").alias("top"), F.col("top").alias("over")), "top", "left").select("id", F.coalesce("over", "top").alias("top"))
         joined = two
-    side = rows.select("token", "id", "p").join(facts, "id")
+    side = rows.select("token", "id", "p")
     side = side.withColumn("c", F.col("id")) if joined is None else side.join(joined, "id", "left").withColumn("c", F.coalesce("top", "id")).drop("top")
     mixed = side.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
-    side = stored(side.join(mixed, "token", "left_semi"), "mixed")
+    side = stored(side.join(mixed, "token", "left_semi").join(facts, "id"), "mixed")
     x, y = (side.select(*[F.col(c).alias(f"{k}{c}") for c in ("token", "id", "p", "size", "parts", "c")]) for k in "xy")
     left = 1 + F.least(F.col("xsize") - F.col("xp") - 1, F.col("ysize") - F.col("yp") - 1)
     met = (F.col("xtoken") == F.col("ytoken")) & (F.col("xid") < F.col("yid")) & (F.col("xc") != F.col("yc")) & t.lengths(F.col("xsize"), F.col("ysize")) & (left >= t.overlap(F.col("xsize"), F.col("ysize"))) & fits("x", "y")
