@@ -79,8 +79,8 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_bytes([t for _, t in ranks]))
         self.matches = regex.compile(pattern).findall
-        self.known = Memo(self.encode_pretokens, CACHE // 2)
-        self.cache = Memo(self.encode_chunks, CACHE)
+        self.known = Memo(self.encode_pretokens, CACHE // 2, "bpe")
+        self.cache = Memo(self.encode_chunks, CACHE, "bpe")
 
     def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
         """Ids of each pre-token; a pre-token that is itself a token is that token."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable
 from itertools import filterfalse
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -93,13 +95,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Table of strings already worked on, in two generations of ``most`` entries: what stays in use survives."""
+    """Table of strings already worked on, in two generations of ``most`` entries: what stays in use survives.
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
-        self.make, self.most, self.new, self.old = make, most, {}, {}
+    A Python worker outlives its stage, so tables of another ``owner`` are emptied when one of this owner is used."""
+
+    everyone: ClassVar[weakref.WeakSet] = weakref.WeakSet()
+    in_use: ClassVar[str] = ""
+
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int, owner: str):
+        self.make, self.most, self.owner, self.new, self.old = make, most, owner, {}, {}
+        Memo.everyone.add(self)
 
     def table(self, rows: list[list[str]]) -> dict:
         """A dict that holds every string of ``rows``."""
+        if Memo.in_use != self.owner:
+            Memo.in_use = self.owner
+            for other in Memo.everyone:
+                if other.owner != self.owner:
+                    other.new, other.old = {}, {}
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         missing: set[str] = set()

@@ -29,7 +29,7 @@ from gradus.llm.common import Memo, bounded_sample, slices
 #: Most documents and words of each that training takes.
 SAMPLE, WORDS = 2000, 100
 #: Words of a training sequence, rounds of training, words of a block, entries of a worker's table of words.
-SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 500_000
+SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 300_000
 UNKNOWN = "und"
 
 
@@ -231,7 +231,7 @@ _MEMOS: dict[str, Memo] = {}
 def _memo(model: Crf) -> Memo:
     if model.name not in _MEMOS:
         _MEMOS.clear()
-        _MEMOS[model.name] = Memo(model.emissions, CACHE)
+        _MEMOS[model.name] = Memo(model.emissions, CACHE, "langid")
     return _MEMOS[model.name]
 
 

@@ -37,7 +37,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Memo(self.encode_words, CACHE)
+        self.cache = Memo(self.encode_words, CACHE, "packing")
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Encodes words in joined runs; each token goes to the word that its first character lies in."""

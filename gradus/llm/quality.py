@@ -33,7 +33,7 @@ BUCKETS = WORDS + SHAPES
 #: Length of a document vector.
 WIDTH = 2 * DIMENSIONS + 2
 #: Most labelled rows, hidden units, epochs; entries of a worker's table of tokens.
-SAMPLE, HIDDEN, EPOCHS, CACHE = 20_000, 24, 60, 500_000
+SAMPLE, HIDDEN, EPOCHS, CACHE = 20_000, 24, 60, 300_000
 THRESHOLD = 0.3
 
 
@@ -60,7 +60,7 @@ def buckets(tokens: list[str]) -> list[bytes]:
     return out
 
 
-_MEMO = Memo(buckets, CACHE)
+_MEMO = Memo(buckets, CACHE, "quality")
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
