@@ -1 +1,189 @@
-"""Queries: traces."""
+"""Faithfulness of reasoning texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gradus.functions import trace as R
+from gradus.operators import metrics
+from gradus.operators.sampling import first_per_key
+from gradus.plans.catalogue import query
+from gradus.plans.views import Views
+
+#: The oracle's engine takes word boundaries by ASCII alone; other letters become a word sign, other signs a blank, first.
+PLAIN = r"regexp_replace(regexp_replace({x}, '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+KW_NEG = R.NEGATION.replace("'", "''")
+
+
+def sql_list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def hits_sql(name: str, words: list[str]) -> str:
+    """CTE (doc_id, c) with the signed hits of all words."""
+    return f"""{name}_p AS (SELECT doc_id, lower(t) AS t, w, string_split(lower(t), w) AS parts FROM trace, (SELECT unnest({sql_list(words)}) AS w) WHERE contains(lower(t), w)),
+{name}_o AS (SELECT doc_id, t, w, i, sum(length(parts[i])) OVER (PARTITION BY doc_id, w ORDER BY i) + (i - 1) * length(w) AS off FROM {name}_p, unnest(generate_series(1, len(parts) - 1)) AS u(i)),
+{name} AS (SELECT doc_id, sum(CASE WHEN regexp_matches({PLAIN.format(x="substr(t, CAST(greatest(off - 50, 0) AS BIGINT) + 1, CAST(least(50, off) AS BIGINT))")}, '(?i){KW_NEG}') THEN -1 ELSE 1 END) AS c FROM {name}_o GROUP BY doc_id)"""
+
+
+def named_sql(words: list[str]) -> str:
+    return f"len(list_filter({sql_list(words)}, lambda w: contains(lower(t), w)))"
+
+
+COUNTS = f"""{hits_sql('up', R.UP)}, {hits_sql('down', R.DOWN)}, {hits_sql('sig', R.SIGNIFICANT)},
+k AS (SELECT doc_id, t, pred, fmt, CAST(coalesce(up.c, 0) AS INTEGER) AS up, CAST(coalesce(down.c, 0) AS INTEGER) AS down, CAST(coalesce(sig.c, 0) AS INTEGER) AS sig, CAST({named_sql(R.NO_CHANGE)} AS INTEGER) AS none, CAST({named_sql(R.NOT_SIGNIFICANT)} AS INTEGER) AS unsure
+FROM trace LEFT JOIN up USING (doc_id) LEFT JOIN down USING (doc_id) LEFT JOIN sig USING (doc_id))"""
+CONSISTENT = """CASE WHEN fmt = 'mcq' THEN CASE WHEN up = 0 AND down = 0 AND none = 0 THEN 0.5
+ WHEN pred = 'A' THEN CASE WHEN up > 0 AND up >= down THEN 1.0 WHEN down > 0 AND down > up THEN 0.0 ELSE 0.5 END
+ WHEN pred = 'B' THEN CASE WHEN down > 0 AND down >= up THEN 1.0 WHEN up > 0 AND up > down THEN 0.0 ELSE 0.5 END
+ WHEN pred = 'C' THEN CASE WHEN none > 0 AND abs(up) <= 1 AND abs(down) <= 1 THEN 1.0 WHEN up > 1 OR down > 1 THEN 0.0 ELSE 0.5 END ELSE 0.5 END
+ ELSE CASE WHEN pred = 'A' THEN CASE WHEN sig > 0 AND unsure = 0 THEN 1.0 WHEN unsure > 0 THEN 0.0 ELSE 0.5 END WHEN pred = 'B' THEN CASE WHEN unsure > 0 THEN 1.0 WHEN sig > 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 END END::DOUBLE"""
+
+
+def counted(v: Views) -> DataFrame:
+    t = F.col("t")
+    return v.trace.withColumns({"up": R.keyword_hits(t, R.UP), "down": R.keyword_hits(t, R.DOWN), "sig": R.keyword_hits(t, R.SIGNIFICANT), "none": R.named(t, R.NO_CHANGE), "unsure": R.named(t, R.NOT_SIGNIFICANT)})
+
+
+def consistent(df: DataFrame) -> DataFrame:
+    c = F.col
+    score = F.when(c("fmt") == "mcq", R.direction_score(c("pred"), c("up"), c("down"), c("none"))).otherwise(R.significance_score(c("pred"), c("sig"), c("unsure")))
+    return df.withColumn("consistency", score)
+
+
+@query(f"WITH {COUNTS} SELECT doc_id, up, down, sig, none, unsure FROM k")
+def keyword_hits(v: Views) -> DataFrame:
+    return counted(v).select("doc_id", "up", "down", "sig", "none", "unsure")
+
+
+@query(f"WITH {COUNTS} SELECT doc_id, {CONSISTENT} AS consistency FROM k")
+def keyword_consistency(v: Views) -> DataFrame:
+    return consistent(counted(v)).select("doc_id", "consistency")
+
+
+@query(f"""SELECT doc_id, CASE WHEN fmt <> 'mcq' THEN true WHEN pred = 'A' THEN NOT (d AND NOT u) WHEN pred = 'B' THEN NOT (u AND NOT d) ELSE NOT ((u OR d) AND NOT n) END AS consistent
+FROM (SELECT *, {named_sql(R.UP)} > 0 AS u, {named_sql(R.DOWN)} > 0 AS d, {named_sql(R.NO_CHANGE)} > 0 AS n FROM trace)""")
+def v1_consistency(v: Views) -> DataFrame:
+    t = F.col("t")
+    x = v.trace.withColumns({"u": R.named(t, R.UP) > 0, "d": R.named(t, R.DOWN) > 0, "n": R.named(t, R.NO_CHANGE) > 0})
+    u, d, n = F.col("u"), F.col("d"), F.col("n")
+    return x.select("doc_id", F.when(F.col("fmt") != "mcq", True).when(F.col("pred") == "A", ~(d & ~u)).when(F.col("pred") == "B", ~(u & ~d)).otherwise(~((u | d) & ~n)).alias("consistent"))
+
+
+def genes_sql(pattern: str, keep: str) -> str:
+    return f"list_filter(regexp_extract_all(p, '{pattern}', 1), lambda g: {keep})"
+
+
+GENES = f"""g AS (SELECT doc_id, t, list_concat(list_concat({genes_sql(R.UPPER_GENE[4:], f"NOT list_contains({sql_list(R.UPPER_STOP)}, g)")}, regexp_extract_all(p, '{R.HYPHEN_GENE[4:]}', 1)),
+{genes_sql(R.TITLE_GENE[4:], f"NOT list_contains({sql_list(R.TITLE_STOP)}, g) AND length(g) >= 3")}) AS raw FROM (SELECT doc_id, t, {PLAIN.format(x='t')} AS p FROM trace)),
+d AS (SELECT doc_id, t, list_sort(list_distinct(raw)) AS genes FROM g)"""
+
+
+@query(f"WITH {GENES} SELECT doc_id, array_to_string(genes, ',') AS genes FROM d")
+def gene_candidates(v: Views) -> DataFrame:
+    return v.trace.select("doc_id", F.array_join(F.sort_array(R.gene_candidates(F.col("t"))), ",").alias("genes"))
+
+
+@query(f"WITH {GENES} SELECT doc_id, CAST(len(genes) AS INTEGER) AS n, CAST(len(list_filter(genes, lambda g: length(g) >= 2 AND NOT list_contains({sql_list(R.UPPER_STOP)}, upper(g)) AND NOT regexp_full_match(g, '[0-9]+'))) AS INTEGER) AS n_valid FROM d")
+def candidate_validity(v: Views) -> DataFrame:
+    g = R.gene_candidates(F.col("t"))
+    return v.trace.select("doc_id", F.size(g).alias("n"), F.size(F.filter(g, R.valid_symbol)).alias("n_valid"))
+
+
+KNOWN = "m AS (SELECT doc_id, len(genes) AS n, len(list_filter(genes, lambda x: ('0x' || substr(md5(upper(x)), 1, 8))::BIGINT % 10 < 7)) AS k FROM d)"
+
+
+def gene_scores(v: Views) -> DataFrame:
+    """Share of candidates that a reference of symbols holds; here those whose hash ends below 7."""
+    g = R.gene_candidates(F.col("t"))
+    known = F.size(F.filter(g, lambda x: metrics.uniform(F.upper(x), F.lit(10)) < 7))
+    return v.trace.select("doc_id", "fmt", F.coalesce(F.try_divide(known.cast("double"), F.size(g)), F.lit(0.5)).alias("gene_score"))
+
+
+@query(f"WITH {GENES}, {KNOWN} SELECT doc_id, round(coalesce(k / nullif(n, 0)::DOUBLE, 0.5), 6) AS gene_score FROM m")
+def gene_score(v: Views) -> DataFrame:
+    return gene_scores(v).select("doc_id", F.round("gene_score", 6).alias("gene_score"))
+
+
+#: The annotated genes of the stand-in texts.
+EFFECTS = [("FOXO3", "induces"), ("GENE7", "induces"), ("daf-2", "induces"), ("Trp53", "inhibits")]
+PROPERTY = "p AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{g}' AS gene, '{e}' AS effect, lower(substr(t, CAST(greatest(ofs - 251, 0) AS INTEGER) + 1, CAST(ofs - 1 + {len(g) + 250} - greatest(ofs - 251, 0) AS INTEGER))) AS ctx FROM (SELECT doc_id, t, instr(lower(t), '{g.lower()}') AS ofs FROM trace) WHERE ofs > 0" for g, e in EFFECTS) + ")"
+FIRST = lambda words: "coalesce(" + ", ".join(f"nullif(instr(ctx, '{w}'), 0)" for w in words) + ") - 1"
+CLAIMED = f"""{PROPERTY}, f AS (SELECT *, {FIRST(R.INDUCES)} AS a, {FIRST(R.INHIBITS)} AS b, length(ctx) // 2 AS mid FROM p),
+i AS (SELECT *, a IS NOT NULL AND (b IS NULL OR abs(a - mid) <= abs(b - mid)) AS ind, CASE WHEN a IS NOT NULL AND (b IS NULL OR abs(a - mid) <= abs(b - mid)) THEN a ELSE b END AS ofs FROM f),
+c AS (SELECT doc_id, gene, effect, CASE WHEN ofs IS NULL THEN NULL WHEN ind <> (len(list_filter({sql_list(R.SHORT_NEGATION)}, lambda w: contains(substr(ctx, CAST(greatest(ofs - 30, 0) AS INTEGER) + 1, CAST(least(30, ofs) AS INTEGER)), w))) > 0) THEN 'induces' ELSE 'inhibits' END AS claimed FROM i)"""
+
+
+def claims(v: Views) -> DataFrame:
+    """(doc_id, gene, effect, ctx, claimed) for every annotated gene that a text mentions."""
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), F.lit(e).alias("effect"), R.context(F.col("t"), g).alias("ctx")) for g, e in EFFECTS]))
+    x = v.trace.select("doc_id", "fmt", each.alias("x")).select("doc_id", "fmt", "x.*").filter("ctx IS NOT NULL")
+    return x.withColumn("claimed", R.claimed_direction(F.col("ctx")))
+
+
+@query(f"WITH {PROPERTY} SELECT doc_id, gene, ctx FROM p")
+def context_window(v: Views) -> DataFrame:
+    return claims(v).select("doc_id", "gene", "ctx")
+
+
+@query(f"WITH {CLAIMED} SELECT doc_id, gene, claimed FROM c")
+def claimed_direction(v: Views) -> DataFrame:
+    return claims(v).select("doc_id", "gene", "claimed")
+
+
+CHECKED = "q AS (SELECT doc_id, count(claimed) AS checked, count(*) FILTER (claimed = effect) AS correct FROM c GROUP BY doc_id)"
+
+
+def properties(v: Views) -> DataFrame:
+    return claims(v).groupBy("doc_id").agg(F.count("claimed").alias("checked"), F.count_if(F.col("claimed") == F.col("effect")).alias("correct"))
+
+
+@query(f"WITH {CLAIMED}, {CHECKED} SELECT doc_id, coalesce(checked, 0) AS checked, round(coalesce(correct / nullif(checked, 0)::DOUBLE, 0.5), 6) AS property_score FROM documents LEFT JOIN q USING (doc_id)")
+def property_score(v: Views) -> DataFrame:
+    share = F.coalesce(F.try_divide(F.col("correct").cast("double"), F.col("checked")), F.lit(0.5))
+    return v.table("documents").select("doc_id").join(properties(v), "doc_id", "left").select("doc_id", F.coalesce("checked", F.lit(0)).alias("checked"), F.round(share, 6).alias("property_score"))
+
+
+FAITH = f"""{COUNTS}, {GENES}, {KNOWN}, {CLAIMED}, {CHECKED},
+faith AS (SELECT k.doc_id, k.fmt, round(0.4::DOUBLE * coalesce(m.k / nullif(m.n, 0)::DOUBLE, 0.5) + 0.2::DOUBLE * ({CONSISTENT}) + 0.4::DOUBLE * coalesce(correct / nullif(checked, 0)::DOUBLE, 0.5), 4) AS faithfulness FROM k JOIN m USING (doc_id) LEFT JOIN q USING (doc_id))"""
+
+
+def faithful(v: Views) -> DataFrame:
+    """All scores of a text in one pass; property counts stay inside the row."""
+    ctx = F.array(*[F.struct(F.lit(e).alias("effect"), R.context(F.col("t"), g).alias("ctx")) for g, e in EFFECTS])
+    right = F.transform(F.filter(ctx, lambda c: c.ctx.isNotNull()), lambda c: R.claimed_direction(c.ctx) == c.effect)
+    share = lambda xs: F.coalesce(F.try_divide(F.size(F.filter(xs, lambda r: r)).cast("double"), F.size(xs)), F.lit(0.5))
+    prop = R.bound(F.filter(right, lambda r: r.isNotNull()), share)
+    gene = R.bound(F.transform(R.gene_candidates(F.col("t")), lambda s: metrics.uniform(F.upper(s), F.lit(10)) < 7), share)
+    x = consistent(counted(v))
+    return x.select("doc_id", "fmt", R.faithfulness(gene, F.col("consistency"), prop).alias("faithfulness"))
+
+
+@query(f"WITH {FAITH} SELECT doc_id, faithfulness FROM faith")
+def faithfulness(v: Views) -> DataFrame:
+    return faithful(v).select("doc_id", "faithfulness")
+
+
+@query(f"WITH {FAITH} SELECT fmt, count(*) AS n, round(avg(faithfulness), 4) AS mean, round(100 * avg((faithfulness >= 0.5)::INT), 1) AS passed FROM faith GROUP BY fmt")
+def faithfulness_by_format(v: Views) -> DataFrame:
+    return faithful(v).groupBy("fmt").agg(F.count("*").alias("n"), F.round(F.avg("faithfulness"), 4).alias("mean"), F.round(100 * F.avg((F.col("faithfulness") >= 0.5).cast("int")), 1).alias("passed"))
+
+
+@query(f"WITH {FAITH} SELECT CAST(least(9, floor(faithfulness * 10)) AS BIGINT) AS bin, CASE WHEN faithfulness < 0.4 THEN 'low' WHEN faithfulness < 0.7 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM faith GROUP BY ALL")
+def faithfulness_hist(v: Views) -> DataFrame:
+    f = F.col("faithfulness")
+    return faithful(v).groupBy(F.least(F.lit(9), F.floor(f * 10)).alias("bin"), F.when(f < 0.4, "low").when(f < 0.7, "mid").otherwise("high").alias("band")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FAITH} SELECT doc_id, faithfulness FROM faith ORDER BY coalesce(faithfulness, 1), doc_id LIMIT 8")
+def lowest_traces(v: Views) -> DataFrame:
+    return faithful(v).orderBy(F.coalesce("faithfulness", F.lit(1.0)), "doc_id").limit(8).select("doc_id", "faithfulness")
+
+
+@query(f"""WITH {FAITH}, s AS (SELECT doc_id, faithfulness AS x, (doc_id % 7) AS y FROM faith),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS b FROM s) SELECT 'all' AS model, count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
+def trace_spearman(v: Views) -> DataFrame:
+    x = faithful(v).select(F.lit("all").alias("model"), "faithfulness", (F.col("doc_id") % 7).alias("y"))
+    return metrics.spearman(x, ["model"], "faithfulness", "y")
