@@ -1 +1,58 @@
-"""Queries: extras."""
+"""Splits, p-values, perturbations, reading rules and the streaming extension."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gradus.functions import perturb, trace
+from gradus.operators import metrics, splits, stats
+from gradus.plans.catalogue import query
+from gradus.plans.core import labelled
+from gradus.plans.views import Views
+from gradus.sources import tables
+from gradus.streaming import live
+
+
+@query()
+def greedy_accession_split(v: Views) -> DataFrame:
+    return splits.greedy_split(labelled(v), "acc", "direction")
+
+
+@query()
+def signature_split(v: Views) -> DataFrame:
+    return splits.signature_split(v.cells, "sample", "fmt")
+
+
+@query()
+def spearman_pvalue(v: Views) -> DataFrame:
+    return metrics.spearman(v.evr, ["model"]).withColumn("p", F.round(stats.correlation_p_value(F.col("rho"), F.col("n")), 6))
+
+
+@query()
+def perturb_wrong_gene(v: Views) -> DataFrame:
+    t = F.col("t")
+    return v.trace.select("doc_id", F.sha2(perturb.wrong_genes(t, trace.gene_candidates(t)).cast("binary"), 256).alias("sha"))
+
+
+@query()
+def perturb_flip(v: Views) -> DataFrame:
+    return v.trace.select("doc_id", F.sha2(perturb.flipped(F.col("t")).cast("binary"), 256).alias("sha"))
+
+
+@query()
+def role_classify(v: Views) -> DataFrame:
+    part = v.table("part")
+    roles = tables.column_roles(["sample_id", "age", *[f"f{i}" for i in range(600)]]) | {f"part.{c}": r for c, r in tables.column_roles(part.columns).items()}
+    return v.spark.createDataFrame(list(roles.items()), "name string, role string")
+
+
+@query("SELECT vec_id, label, array_to_string(list_transform(embedding[1:3], lambda x: CAST(CAST(round(x::DOUBLE * 100) AS BIGINT) AS VARCHAR)), ',') AS line FROM embeddings ORDER BY vec_id LIMIT 10")
+def csv_preview(v: Views) -> DataFrame:
+    few = v.table("embeddings").orderBy("vec_id").limit(10)
+    return few.select("vec_id", "label", F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double") * 100).cast("long").cast("string")), ",").alias("line"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_event_counts(v: Views) -> DataFrame:
+    return live.windowed_counts(v.table("events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
