@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import connected_components, gram_hashes, mix, picked, slices, stored, word_hashes
+from gradus.llm.common import connected_components, dropped, gram_hashes, mix, picked, slices, stored, word_hashes
 
 SKETCH, PARTS = 1 << 16, 32
 #: Texts of a group of pairs to verify.
@@ -150,7 +150,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFr
         return kept
 
     kind = docs.schema["id"].dataType.simpleString()
-    return left.groupBy("k", "h").cogroup(right.groupBy("a", "g")).applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    out = stored(left.groupBy("k", "h").cogroup(right.groupBy("a", "g")).applyInArrow(compare, f"a {kind}, b {kind}").distinct(), "links")
+    for done in (dealt, ids, texts):
+        dropped(done)
+    return out
 
 
 def similarity_join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id", every_pair: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +177,7 @@ def similarity_join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         first = rows.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub"))
         first = first.join(facts, "id").join(facts.select(F.col("id").alias("hub"), F.col("size").alias("hsize"), F.col("parts").alias("hparts")), "hub")
         first = first.filter(t.lengths(F.col("size"), F.col("hsize"))).filter(fits("", "h")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        links = stored(_verified(stored(first, "first"), docs, n, t), "links")
+        links = _verified(stored(first, "first"), docs, n, t)
         # Two steps up the verified links: equal tops are surely in one component.
         up = links.select(F.col("b").alias("id"), F.col("a").alias("top"))
         two = up.join(up.select(F.col("id").alias("top"), F.col("top").alias("over")), "top", "left").select("id", F.coalesce("over", "top").alias("top"))
@@ -188,6 +191,8 @@ def similarity_join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     met = (F.col("xtoken") == F.col("ytoken")) & (F.col("xid") < F.col("yid")) & (F.col("xc") != F.col("yc")) & t.lengths(F.col("xsize"), F.col("ysize")) & (left >= t.overlap(F.col("xsize"), F.col("ysize"))) & fits("x", "y")
     pairs = stored(x.join(y, met).select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct(), "pairs")
     rest = _verified(pairs, docs, n, t)
+    for done in (lines, rows, side, pairs):
+        dropped(done)
     links = rest if links is None else links.unionByName(rest)
     members = own.filter("size > 0").join(classes, sets).select("id", "size", F.col("rep").alias("c"))
     members = members.unionByName(own.filter("size = 0").select("id", "size", F.col("id").alias("c")))

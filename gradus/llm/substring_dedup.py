@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import gram_hashes, picked, released, slices, stored, word_hashes
+from gradus.llm.common import dropped, gram_hashes, picked, released, slices, stored, word_hashes
 
 WINDOW, GRAM, FAN, BATCHES = 13, 6, 4, 2
 #: Most ids that are broadcast to pick out texts; more are shuffled.
@@ -128,6 +128,8 @@ class FingerprintIndex:
         if since is not None:
             hits = hits.filter(F.col("id") > since)
         hits = stored(hits.groupBy("id").agg(F.collect_set("w").alias("ws")), "hits")
+        for done in (lists, windows):
+            dropped(done)
         self.runs.append(new)
         if len(self.runs) >= self.fan:
             self.compact()
