@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES = ("core", "drawing", "texts", "analytics", "features", "traces", "extras")
+MODULES = ("core", "drawing", "texts", "analytics", "details", "features", "traces", "extras")
 
 
 def query(sql: str | None = None) -> Callable:
