@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,15 +148,3 @@ def normal_answer(x: Column) -> Column:
 def without_fences(x: Column) -> Column:
     """JSON text without the code fences around it."""
     return stripped(F.regexp_replace(x, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
-
-
-def occurrences(text: Column, words: list[str]) -> Column:
-    """Number of words that occur in the text at all."""
-    out = F.lit(0)
-    for w in words:
-        out = out + text.contains(w).cast("int")
-    return out
-
-
-def quoted(word: str) -> str:
-    return re.escape(word)

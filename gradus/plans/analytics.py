@@ -12,6 +12,7 @@ from gradus.plans.views import Views
 
 L = f"l AS (SELECT *, {DIRECTION} AS direction FROM dx WHERE {KEPT})"
 
+
 @query(f"WITH {L} SELECT coalesce(CAST(organ AS VARCHAR), 'all') AS organ, coalesce(direction, 'all') AS direction, count(*) AS n FROM l GROUP BY CUBE (l.organ, l.direction)")
 def crosstab_cube(v: Views) -> DataFrame:
     total = labelled(v).cube("organ", "direction").agg(F.count("*").alias("n"))
@@ -54,9 +55,6 @@ def dataset_summary(v: Views) -> DataFrame:
     return v.evb.groupBy("model", "gold").agg(F.count("*").alias("n"), F.countDistinct("format").alias("formats"))
 
 
-SPLIT = "CASE WHEN acc % 5 = 0 THEN 'test' ELSE 'train' END"
-
-
 @query(f"WITH {L} SELECT direction, count(*) AS n, count(*) FILTER (acc % 5 = 0) AS n_test, count(*) FILTER (acc % 5 <> 0) AS n_train, round(avg((acc % 5 = 0)::INT), 4) AS test_fraction, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT) AS target FROM l GROUP BY direction")
 def split_report(v: Views) -> DataFrame:
     t = F.col("acc") % 5 == 0
