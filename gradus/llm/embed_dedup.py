@@ -115,7 +115,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vector: str = "embedd
     window, least = width * away, calibrated_count(projections, width, recall)
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct()
     good = F.coalesce(usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.lit(False))
-    classes = rows.filter(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = stored(rows.filter(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
 
     def project(batches):
         for t in batches:
@@ -161,7 +161,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vector: str = "embedd
     components = connected_components(found, "id", "root")
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
     own = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    own = own.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("c"))
+    # Stored, so that a hot vector's rows meet it in a join that Spark can split.
+    own = stored(own.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("c")), "own")
     linked = rows.filter(good).join(own, "v").select("id", "links", "c")
     alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("c"))
     return linked.unionByName(alone).select(F.col("id").alias(key), F.col("links").alias("n_links"), F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))

@@ -215,7 +215,8 @@ def dedup(df: DataFrame, n: int = WINDOW, batches: int = BATCHES, text: str = "t
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     prints = docs.filter("text IS NOT NULL").select("id", F.md5(F.col("text").cast("binary")).alias("m"), F.length("text").alias("l"))
-    first = prints.groupBy("m", "l").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    # Stored, so that the join below is one of two plain inputs, whose hot groups Spark can split.
+    first = stored(prints.groupBy("m", "l").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi"), "groups")
     copies = stored(prints.join(first, ["m", "l"]).filter("id > lo").select("id").distinct(), "copies")
     fresh = picked(docs.filter("text IS NOT NULL"), copies, "left_anti", MOST_IDS)
     edges = docs.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
