@@ -5,9 +5,12 @@ lexicon of the training words lists it for a language. Weights and transitions a
 switch languages, made from runs of words of different documents. Words are labelled by forward-backward; a document's
 language has the largest mean posterior over its words that hold a letter, and that mean is the score.
 
+A word of more than ``PIECE`` characters, such as a text written without spaces, counts as several words: overlapping pieces
+that hold each of its n-grams once, so that all of it is scored in bounded memory.
+
 Chains of any length run in blocks: the product of each block's step matrices first, then the states between blocks, then the
 steps inside all blocks at once. Training takes at most ``SAMPLE`` documents, those in a range of the id's hash, and
-``WORDS`` words of each from a hashed place; prediction takes whole texts.
+``WORDS`` words or pieces of each from a hashed place; prediction takes whole texts.
 
 Null and empty texts and those without a letter get ``und`` with score 0. Without usable labels every text is ``und``. Ties go
 to the language first in order. Repeated rows are predicted alike; other columns are not read, except in ``words``.
@@ -30,13 +33,17 @@ from gradus.llm.common import Memo, bounded_sample, slices
 SAMPLE, WORDS = 2000, 100
 #: Words of a training sequence, rounds of training, words of a block, entries of a worker's table of words.
 SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 300_000
+#: Most characters of a word that is scored in one piece.
+PIECE = 80
 UNKNOWN = "und"
 
 
 def core(word: str) -> str:
-    """Lower-case word without the non-letters at its ends."""
+    """Lower-case word without the non-letters at its ends; a piece as it is if it holds a letter."""
     if word.isalpha():
         return word.lower()
+    if word[:1] == " " or word[-1:] == " ":
+        return word if any(map(str.isalpha, word)) else ""
     a, b = 0, len(word)
     while a < b and not word[a].isalpha():
         a += 1
@@ -45,14 +52,30 @@ def core(word: str) -> str:
     return word[a:b].lower()
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or the pieces of its core where that is long; a space marks an end at which the word goes on."""
+    if len(word) <= PIECE:
+        return [word]
+    w = core(word)
+    if len(w) <= PIECE:
+        return [w or "-"]
+    step = PIECE - 2  # the last two characters begin the next piece, so that no trigram is lost or repeated
+    return [" " * (i > 0) + w[i : i + PIECE] + " " * (i + PIECE < len(w)) for i in range(0, len(w) - 2, step)]
+
+
+def in_pieces(words: list[str]) -> list[str]:
+    """``words`` with the long ones in pieces."""
+    return [p for w in words for p in pieces(w)] if max(map(len, words), default=0) > PIECE else words
+
+
 def features(w: str) -> list[str]:
     """Affixes, n-grams and the word itself; the learned lexicon decides whether the last counts."""
     if not w:
         return ["<none>"]
-    w = w[:40] + w[-40:] if len(w) > 80 else w
-    p = f"^{w}$"
-    out = [p[:k] for k in range(2, 5)] + [p[-k:] for k in range(2, 5)]
-    out += [p[i : i + 2] for i in range(len(p) - 1)] + [p[i : i + 3] for i in range(len(p) - 2)]
+    head, tail = w[0] != " ", w[-1] != " "
+    p = "^" * head + w.strip(" ") + "$" * tail
+    out = [p[:k] for k in range(2, 5) if head] + [p[-k:] for k in range(2, 5) if tail]
+    out += [p[i : i + 2] for i in range(not head, len(p) - 1)] + [p[i : i + 3] for i in range(len(p) - 2)]
     out.append("=" + w)
     return out
 
@@ -219,9 +242,18 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     """Trains on the rows that ``learn`` marks and whose language is not null."""
     h = F.xxhash64(F.col(key).cast("string"))
     rows = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    start = F.pmod(F.col("h"), F.greatest(F.size("w") - words, F.lit(1))).cast("int") + 1
-    part = bounded_sample(rows, F.col("h"), sample).withColumn("w", F.split(F.trim("text"), r"\s+"))
-    got = part.select("h", "lang", F.slice("w", start, words).alias("w")).collect()
+    part = bounded_sample(rows, F.col("h"), sample).select("h", "lang", F.split(F.trim("text"), r"\s+").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, w in zip(batch.column("h").to_pylist(), batch.column("w")):
+                w = in_pieces(w.as_py())
+                start = h % max(len(w) - words, 1)
+                out.append(w[start : start + words])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(out, pa.list_(pa.string()))], ["h", "lang", "w"])
+
+    got = part.mapInArrow(run, "h long, lang string, w array<string>").collect()
     return train([(r["lang"], r["w"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"], r["w"]))[:sample]])
 
 
@@ -236,8 +268,8 @@ def _memo(model: Crf) -> Memo:
 
 
 def label_texts(model: Crf, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word posteriors of all texts, the word offsets, and which words hold a letter."""
-    rows = [(t or "").split() for t in texts]
+    """Word posteriors of all texts, the word offsets, and which words hold a letter; long words are in pieces."""
+    rows = [in_pieces((t or "").split()) for t in texts]
     get = _memo(model).table(rows).__getitem__
     raw = b"".join([b"".join(map(get, r)) for r in rows])
     got = np.frombuffer(raw, np.float32).reshape(-1, len(model.languages) + 1)
@@ -283,8 +315,10 @@ def words(df: DataFrame, model: Crf, text: str = "text", key: str = "doc_id") ->
                 gamma, offsets, _ = label_texts(crf, texts)
                 out = []
                 for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
-                    best = gamma[a:b].argmax(axis=1)
-                    out.append([{"word": w, "lang": crf.languages[i], "p": float(gamma[a + j, i])} for j, (w, i) in enumerate(zip((t or "").split(), best))])
+                    own = (t or "").split()
+                    n = np.array([len(pieces(w)) for w in own], np.int64)
+                    mean = np.add.reduceat(gamma[a:b], np.cumsum(n) - n) / n[:, None] if own else gamma[a:b]
+                    out.append([{"word": w, "lang": crf.languages[i], "p": float(mean[j, i])} for j, (w, i) in enumerate(zip(own, mean.argmax(axis=1)))])
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())])))], ["key", "words"])
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, words array<struct<word:string,lang:string,p:double>>").withColumnRenamed("key", key)

@@ -35,19 +35,15 @@ WIDTH = 2 * DIMENSIONS + 2
 #: Most labelled rows, hidden units, epochs; entries of a worker's table of tokens.
 SAMPLE, HIDDEN, EPOCHS, CACHE = 20_000, 24, 60, 300_000
 THRESHOLD = 0.3
-
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def shape(token: str) -> str:
-    """Letters as X or x, digits as 0, other characters as themselves; a run of one sign as the sign and ``+``."""
-    marks = ["x" if c.islower() else "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in (token if len(token) <= 64 else token[:32] + token[-32:])]
-    out = []
-    for m in marks:
-        if out and out[-1][0] == m:
-            out[-1] = m + "+"
-        else:
-            out.append(m)
-    return "".join(out)
+    """Letters as X or x, digits as 0, other characters as themselves; a run of one sign as the sign and ``+``.
+
+    Tokens of any length count whole; long ones are marked a part at a time, so that memory stays near their size."""
+    marks = "".join("".join(["x" if c.islower() else "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token[at : at + 4096]]) for at in range(0, len(token), 4096))
+    return _RUN.sub(r"\1+", marks)
 
 
 def buckets(tokens: list[str]) -> list[bytes]:

@@ -53,6 +53,32 @@ def test_language_edges(spark, sf):
     assert np.mean([w["lang"] == ("en" if i < 12 else "es") for i, w in enumerate(named)]) >= 0.8
 
 
+def test_long_words_count_whole(spark):
+    rng = np.random.default_rng(3)
+    ends = "q" * 40
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(i, ends + draw(("abcd", "efgh")[i % 2], 300) + ends, ("aa", "bb")[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.filter("doc_id < 40"), F.lit(True))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()} == {i: lang for i, _, lang in rows}
+    assert [[(w["word"], w["lang"]) for w in r["words"]] for r in langid.words(df.filter("doc_id = 41"), model).collect()] == [[(rows[41][1], "bb")]]
+
+
+def test_pieces_hold_every_ngram_once():
+    word = "".join(np.random.default_rng(1).choice(list("abcdefgh1"), 1000)).strip("1")
+    whole = sorted(f for f in langid.features(word) if f[0] != "=")
+    for n in (2, 3, 80, 81, 82, 158, 159, 160, 237, len(word)):
+        parts = langid.pieces(f"({word[:n]})")
+        got = sorted(f for p in parts for f in langid.features(langid.core(p)) if f[0] != "=")
+        assert got == sorted(f for f in langid.features(langid.core(word[:n])) if f[0] != "=")
+    assert len(whole) > 1900 and langid.pieces("-" * 500) == ["-"]
+
+
+def test_shape_takes_whole_tokens():
+    assert quality.shape("Ab1!!") == "Xx0!+"
+    assert quality.shape("a" * 40 + "1" + "a" * 5000) == "x+0x+"
+
+
 def test_quality_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op7_quality(spark, sf).collect()
