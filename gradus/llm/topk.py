@@ -8,7 +8,7 @@ there is propagated to all other shards, which then send only what beats it.
 
 Vectors that are null or hold a null or non-finite component take no part; vectors of different lengths never
 meet. Ties go to the smaller id. Repeated candidate rows are candidates each; a query row repeated under one id counts once. Rows
-with a query's own id are never its results. Scores beyond a long end at its limits. Other columns are not read.
+with a query's own id are never its results and are set aside before a leaf's rows are cut to the best. Scores beyond a long end at its limits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -82,13 +82,14 @@ class KdTree:
                     heapq.heappush(heap, (-bounds[c], int(self.first[c]), c))
                 continue
             scores = self.points[rows] @ query
-            near = np.flatnonzero(scores >= floor[0]) if floor else np.arange(len(rows))
+            other = self.ids[rows] != own  # before any cut: the query's own id may be repeated
+            near = np.flatnonzero(other & (scores >= floor[0]) if floor else other)
             if len(near) > 4 * k:  # enough to look at the k best and what ties with the last of them
                 top = np.partition(scores[near], len(near) - k - 1)[len(near) - k - 1]
                 near = near[scores[near] >= top]
                 near = near[np.lexsort((self.ids[rows[near]], -scores[near]))][: k + 1]
             for s, i in zip(scores[near].tolist(), self.ids[rows[near]].tolist()):
-                if i == own or (kth and (s, -i) < kth):
+                if kth and (s, -i) < kth:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))

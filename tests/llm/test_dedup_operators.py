@@ -85,6 +85,20 @@ def test_topk(spark, vectors):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 2, 7, 40])
+def test_topk_of_repeated_queries(spark, copies):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 8))
+    x[:60] = x[0] * rng.uniform(0.5, 0.99, (60, 1))
+    x[0] = 4 * x[0]  # before all others
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * (copies - 1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0).collect())
+    whole = np.floor(256 * x)
+    best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[0]) if i)[:5]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = np.random.default_rng(9)
