@@ -2,6 +2,9 @@
 
 Every stage takes the documents that its predecessor kept and, but for the last, returns the columns of documents. Extra
 columns of the documents pass through all filters.
+
+A document is a pair of doc_id and text: rows under one id with different texts, or without an id, are documents of their own,
+judged one by one. In the order of documents null ids come last, and texts under one id go by their md5.
 """
 
 from __future__ import annotations
@@ -16,36 +19,56 @@ from gradus.llm.common import id_hash_mod, stored
 LEAST_LANGUAGE = 0.5
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with the key ``_key`` of each row's document, in the order of documents, and whether rows repeat a document.
+
+    The key is the doc_id where every row has one and none has two texts; else a number given to the sorted pairs."""
+    text = F.md5(F.col("text").cast("binary"))
+    pairs = stored(docs.groupBy("doc_id", text.alias("_m")).agg(F.count("*").alias("_n")), "pairs")
+    n = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("doc_id").alias("ids"), F.max("_n").alias("most")).first()
+    repeated = (n["most"] or 0) > 1
+    if n["pairs"] == n["ids"]:
+        return docs.withColumn("_key", F.col("doc_id")), repeated
+    order = pairs.orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_first("_m"))
+    keys = stored(order.select(F.col("doc_id").alias("_id"), "_m", F.monotonically_increasing_id().alias("_key")), "keys")  # rises along the order
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & text.eqNullSafe(F.col("_m"))).select(*docs.columns, "_key"), repeated
+
+
 def _kept(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
-    """Rows of ``docs`` whose judgement ``keep`` holds for; one judgement for each doc_id."""
-    good = stored(judged.filter(keep).select("doc_id").distinct(), "good")
-    return docs.join(good, docs.doc_id.eqNullSafe(good.doc_id), "left_semi")
+    """Rows of the keyed ``docs`` whose judgement ``keep`` holds for; one judgement for each key."""
+    good = stored(judged.filter(keep).select("_key").distinct(), "good")
+    return docs.join(good, "_key", "left_semi").drop("_key")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, or no language that most of the words speak for."""
     held = id_hash_mod("doc_id", 4) == 2
-    judged = langid.predict(docs, langid.fit(docs, ~held))
-    return _kept(docs, judged, (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
+    keyed, _ = _keyed(docs)
+    judged = langid.predict(keyed, langid.fit(docs, ~held), key="_key")
+    return _kept(keyed, judged, (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
+    """Drops documents that the quality classifier rejects; a label counts for all texts of its id."""
     held = id_hash_mod("doc_id", 5) == 0
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _kept(docs, quality.score(docs, labels, ~held), F.col("predicted") == 1)
+    keyed, _ = _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(keyed.select("doc_id", "_key").distinct(), "doc_id")
+    return _kept(keyed, quality.score(keyed, labels, ~held, key="_key"), F.col("predicted") == 1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents linked by a Jaccard similarity of 0.8 over five-word shingles."""
-    judged = jaccard.near_duplicates(docs, n=5, num=80, den=100)
-    return _kept(docs, judged, F.col("doc_id") == F.col("component_id")).dropDuplicates(["doc_id"])
+    """Keeps the first document of each group linked by a Jaccard similarity of 0.8 over five-word shingles, and one row of it."""
+    keyed, repeated = _keyed(docs)
+    judged = jaccard.near_duplicates(keyed, n=5, num=80, den=100, key="_key")
+    once = keyed.dropDuplicates(["_key"]) if repeated else keyed
+    return _kept(once, judged, F.col("_key") == F.col("component_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages of 13 words and more that a document with a smaller doc_id holds; the rest of a text stays as it is."""
-    cut = substring_dedup.dedup(docs, texts=True).select("doc_id", F.col("text").alias("_cut"))
-    out = docs.join(cut, "doc_id")
+    """Cuts out passages of 13 words and more that an earlier document holds; the rest of a text stays as it is."""
+    keyed, repeated = _keyed(docs)
+    cut = substring_dedup.dedup(keyed, texts=True, key="_key").select("_key", F.col("text").alias("_cut"))
+    out = keyed.join(cut.dropDuplicates(["_key"]) if repeated else cut, "_key")
     changed = {"text": F.col("_cut")} | ({"n_chars": F.length("_cut").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.withColumns(changed).select(*docs.columns)
 

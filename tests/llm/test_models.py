@@ -126,3 +126,32 @@ def test_pipeline(spark, sf):
     assert not before & {10**6, 10**6 + 1, 10**6 + 2}
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert {r["doc_id"] for r in packed.collect()} == before
+
+
+def test_pipeline_keeps_documents_without_an_id_of_their_own(spark, sf):
+    words = [f"w{i}" for i in range(600)]
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(rng.choice(words, 30))
+    t = [text() for _ in range(9)]
+    passage = " ".join(words[:20])
+    late = f"{t[8]} {passage} end"
+    rows = [(1, t[0]), (1, t[1]), (1, t[1]), (None, t[2]), (None, t[3]), (None, t[3]), (None, t[0]), (2, t[1].upper()), (3, f"{t[7]} {passage}"), (None, late), (-4, t[4])]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], queries.table(spark, sf, "documents").schema)
+    want = {(1, t[0]), (1, t[1]), (None, t[2]), (None, t[3]), (3, f"{t[7]} {passage}"), (None, late), (-4, t[4])}
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == want
+    cut = [(r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_passages(spark, docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") != 2)), sf).collect()]
+    assert len(cut) == len(rows) - 1
+    assert (3, f"{t[7]} {passage}") in cut and (None, f"{t[8]} end") in cut and (None, t[2]) in cut and (1, t[1]) in cut
+    assert cut.count((None, "")) == 1  # the copy of t[0], which id 1 holds
+
+
+def test_pipeline_judges_each_row_without_an_id(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    german = docs.filter("lang = 'de'").first()["text"]
+    odd = spark.createDataFrame([(None, "123 456 ...", "en", "s", 11), (None, german, "de", "s", len(german)), (0, "123 ---", "en", "s", 7)], docs.schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.language(spark, docs.unionByName(odd), sf).collect()]
+    assert (None, german) in kept and not {(None, "123 456 ..."), (0, "123 ---")} & set(kept)
+    good = corpus_pipeline.good_quality(spark, docs.unionByName(odd), sf)
+    assert good.columns == docs.columns and good.count() > 0.5 * docs.count()
