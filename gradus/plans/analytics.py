@@ -87,9 +87,9 @@ def spearman_by_model(v: Views) -> DataFrame:
     return metrics.spearman(v.evr, ["model"])
 
 
-def _bootstrap_sql(src: str, value: str) -> str:
+def _bootstrap_sql(src: str, value: str, draws: int = 200) -> str:
     return f"""WITH v AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY {value}) - 1 AS place, CAST({value} AS DOUBLE) AS x FROM {src}), n AS (SELECT model, count(*) AS n FROM v GROUP BY 1),
-p AS (SELECT model, d, ('0x' || substr(md5(concat_ws('|', '42', d, i)), 1, 8))::BIGINT % n AS place FROM n, generate_series(0, 199) AS t(d), generate_series(0, n - 1) AS u(i)),
+p AS (SELECT model, d, ('0x' || substr(md5(concat_ws('|', '42', d, i)), 1, 8))::BIGINT % n AS place FROM n, generate_series(0, {draws - 1}) AS t(d), generate_series(0, n - 1) AS u(i)),
 m AS (SELECT p.model, d, avg(x) AS m FROM p JOIN v ON v.model = p.model AND v.place = p.place GROUP BY ALL)
 SELECT model, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY model"""
 
@@ -104,6 +104,17 @@ def bootstrap_ci_mae(v: Views) -> DataFrame:
     return metrics.bootstrap(v.evb, ["model"], F.abs(F.ascii("gold") - F.ascii("pred")), draws=200)
 
 
+# The SQL of the two queries above fixes 200 draws; these take the reference's 1000.
+@query(_bootstrap_sql("evb", "(gold = pred)::INT", 1000))
+def bootstrap_ci_accuracy_1000(v: Views) -> DataFrame:
+    return metrics.bootstrap(v.evb, ["model"], metrics.hit(F.col("gold"), F.col("pred")))
+
+
+@query(_bootstrap_sql("evb", "abs(ascii(gold) - ascii(pred))", 1000))
+def bootstrap_ci_mae_1000(v: Views) -> DataFrame:
+    return metrics.bootstrap(v.evb, ["model"], F.abs(F.ascii("gold") - F.ascii("pred")))
+
+
 @query("""WITH c AS (SELECT model, gold, pred, count(*) AS n FROM ev WHERE gold <> pred GROUP BY ALL) SELECT model, gold, pred, n FROM c QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, gold DESC, pred DESC) <= 3""")
 def most_confused_top3(v: Views) -> DataFrame:
     c = metrics.confusion_counts(v.ev.filter("gold <> pred"), ["model"])
