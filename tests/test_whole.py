@@ -19,3 +19,18 @@ def test_bootstrap_takes_1000_draws(spark, sf):
     v = np.array(sorted(r["v"] for r in rows if r["model"] == model), float)
     means = [np.mean([v[int(hashlib.md5(f"42|{d}|{i}".encode()).hexdigest()[:8], 16) % len(v)] for i in range(len(v))]) for d in range(1000)]
     assert np.allclose(got[model], np.percentile(means, [2.5, 97.5]), atol=1e-6)
+
+
+def test_matrix_is_sorted_whole(spark):
+    from gradus.plans.views import Views
+
+    sf = "/root/testdata/sf0.01"
+    rows = entry.queries()["matrix_sort_all"](spark, sf).collect()
+    assert len(rows) == Views(spark, sf).cells.select("sample").distinct().count() > 25
+    assert rows == sorted(rows, key=lambda r: (-r["score"], r["sample"]))
+
+
+def test_preview_prints_all_features(spark, sf):
+    rows = entry.queries()["csv_preview_200"](spark, sf).collect()
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert len(rows) == 10 and all(len(r["line"].split(",")) == min(200, len(vectors[r["vec_id"]])) > 3 for r in rows)
