@@ -33,10 +33,22 @@ def last_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
+def bucket_ranked(df: DataFrame, by: str, stage: str, key: str) -> DataFrame:
+    """:func:`ranked` in random order for groups of any size: rows are ranked inside buckets of the order key's first digits,
+    after the counts of the buckets before. Only the counts, 4096 at most for a group, meet in one task."""
+    keyed = df.withColumn("_order", order_key(stage, F.col(key))).withColumn("_bucket", F.substring("_order", 1, 3))
+    up = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(F.col(by).alias("_by"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_by", "_b", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
+    inside = ranked(keyed, [by, "_bucket"], F.col("_order"), F.col(key))
+    met = inside.join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_b")))
+    return met.withColumn("rn", F.col("rn") + F.col("_before")).select(*df.columns, "rn")
+
+
 def equalize(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
     """Every class cut to the size of the smallest."""
     smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("most"))
-    r = ranked(df, [label], order_key(stage, F.col(key)), F.col(key))
+    r = bucket_ranked(df, label, stage, key)
     return r.join(F.broadcast(smallest)).filter("rn <= most").drop("rn", "most")  # one row
 
 
@@ -52,7 +64,7 @@ def fill_to_target(chosen: DataFrame, pool: DataFrame, target: int, stage: str,
 def half_partition(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
     """Adds half: 0 for the first floor(n / 2) rows of each class in random order, else 1."""
     n = df.groupBy(label).agg(F.count("*").alias("n"))
-    r = ranked(df, [label], order_key(stage, F.col(key)), F.col(key)).join(F.broadcast(n), label)  # one row per class
+    r = bucket_ranked(df, label, stage, key).join(F.broadcast(n), label)  # one row per class
     return r.withColumn("half", F.when(F.col("rn") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("rn", "n")
 
 
