@@ -61,8 +61,8 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
-def spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred") -> DataFrame:
-    """Rank correlation; 0 where either side is constant.
+def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, n, rho), null where either side is constant.
 
     Ranks come from counts per distinct value, which are joined back, so that no group is sorted row by row."""
 
@@ -77,7 +77,24 @@ def spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred") ->
     n = F.col("n")
     va, vb = F.col("saa") * n - F.col("sa") * F.col("sa"), F.col("sbb") * n - F.col("sb") * F.col("sb")
     rho = F.try_divide(F.col("sab") * n - F.col("sa") * F.col("sb"), F.sqrt(va) * F.sqrt(vb))
-    return s.select(*by, "n", F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("rho"))
+    return s.select(*by, "n", rho.alias("rho"))
+
+
+def spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred") -> DataFrame:
+    """Rank correlation; 0 where either side is constant."""
+    return rank_correlation(df, by, x, y).select(*by, "n", F.round(F.coalesce("rho", F.lit(0.0)), 6).alias("rho"))
+
+
+def bootstrap_spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred", draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Percentile interval of the rank correlation over resamples with replacement; draws with a constant side are left out.
+
+    Rows take the places of their order by (x, y), and picks are those of :func:`bootstrap`."""
+    rows = df.select(*by, x, y).withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(x, y)).cast("long") - 1)
+    picks = df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = picks.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    at = uniform(F.concat_ws("|", F.lit(str(seed)), "d", "i"), F.col("n"))
+    rho = rank_correlation(picks.select(*by, "d", at.alias("at")).join(rows, [*by, "at"]), [*by, "d"], x, y)
+    return rho.groupBy(*by).agg(F.round(F.percentile("rho", 0.025), 4).alias("ci_low"), F.round(F.percentile("rho", 0.975), 4).alias("ci_high"))
 
 
 def bootstrap(df: DataFrame, by: list[str], value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:

@@ -98,3 +98,15 @@ def pair_extremes(df: DataFrame, by: str, gap: float, most: int, key: str = "rid
     small = r.filter(F.col("down") <= F.floor(F.col("n") / 2)).select(by, F.col("down").alias("i"), F.col(key).alias("small"), size.alias("b"))
     pairs = big.join(small, [by, "i"]).filter(F.col("a") - F.col("b") >= gap)
     return ranked(pairs, [by], F.col("i")).filter(F.col("rn") <= most).select(by, "large", "small", F.col("rn").alias("pair"))
+
+
+def tissue_balanced_pairs(pairs: DataFrame, target: int, stage: str, organ: str = "organ", key: str = "pair") -> DataFrame:
+    """About ``target`` random pairs in equal shares per organ; what is missing comes from organs with pairs to spare, the largest first."""
+    counts = pairs.groupBy(organ).agg(F.count("*").alias("n"))  # a row per organ
+    every = Window.partitionBy()
+    q = counts.withColumn("base", F.least("n", F.floor(F.lit(target) / F.count("*").over(every))))
+    q = q.withColumn("spare", F.col("n") - F.col("base")).withColumn("need", F.lit(target) - F.sum("base").over(every))
+    before = F.coalesce(F.sum("spare").over(Window.orderBy(F.desc("n"), organ).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    q = q.select(F.col(organ).alias("_organ"), (F.col("base") + F.greatest(F.lit(0), F.least("spare", F.col("need") - before))).alias("quota"))
+    r = bucket_ranked(pairs, organ, stage, key)
+    return r.join(F.broadcast(q), F.col(organ).eqNullSafe(F.col("_organ"))).filter("rn <= quota").drop("rn", "quota", "_organ")

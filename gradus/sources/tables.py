@@ -74,6 +74,21 @@ def write_cells(df: DataFrame, path: str) -> None:
     scrubbed(df).write.mode("overwrite").partitionBy("model").parquet(path)
 
 
+def write_cache(entries: DataFrame, path: str) -> None:
+    """Cache entries under ``entries``, and their manifest, one row (generated_at, n_entries), under ``manifest``."""
+    entries.write.mode("overwrite").parquet(f"{path}/entries")
+    written = entries.sparkSession.read.schema(entries.schema).parquet(f"{path}/entries")
+    written.agg(F.current_timestamp().alias("generated_at"), F.count("*").alias("n_entries")).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation logs in all folders below ``path``, with ``model_id``: the task argument model_name, else the last part of the model's path."""
+    logs = spark.read.option("recursiveFileLookup", True).parquet(path)
+    model = F.when(F.coalesce(F.col("model"), F.lit("")) == "", "unknown").otherwise(F.col("model"))
+    named = F.coalesce(F.map_contains_key("task_args", "model_name"), F.lit(False))
+    return logs.withColumn("model_id", F.when(named, F.col("task_args")["model_name"]).otherwise(F.element_at(F.split(model, "/"), -1)))
+
+
 def summary(rows: list[dict], path: str | None = None) -> str:
     """Sorted JSON of a bounded list of metric rows."""
     text = json.dumps(rows, indent=2, sort_keys=True)
