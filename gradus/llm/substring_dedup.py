@@ -6,7 +6,7 @@ theirs and equal windows always do. The index holds, for each batch of documents
 (fingerprint, id), bucketed and sorted by fingerprint. A new batch is written as a run and merge-joined with itself and the
 older runs, bucket by bucket and without a shuffle. Fingerprints found in two documents lead to the windows to verify:
 these are compared by the hash of all their words, and the smallest id that has one wins. When ``fan`` runs have gathered they
-are compacted into one.
+are compacted into one; :func:`dedup` with its default two batches never gathers as many.
 
 Batches must come in the order of their ids, as those of a growing corpus do; documents of earlier batches are not judged
 again. Words are separated by space and the bytes from tab to carriage return. Exact copies of a smaller id's text skip
