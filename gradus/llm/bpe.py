@@ -4,7 +4,8 @@ The rank file's tokens become byte-mapped pieces whose score is the negative ran
 library merges in rank order. Each match of the pattern is encoded on its own; ids are ranks. Decoding maps ids back to bytes.
 
 Nulls count as empty texts; an empty text has no ids. Texts of any length are taken whole: they fall apart at safe
-boundaries first. Repeated rows repeat in the result. Other columns of the input are not read.
+boundaries first. Repeated rows repeat in the result, and rows without an id stay. An empty table gives an empty result. Other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -79,6 +80,7 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_bytes([t for _, t in ranks]))
         self.matches = regex.compile(pattern).findall
+        self.safe = pattern == public_tokenizers.PATTERN  # the rule for chunks holds for this one
         self.known = Memo(self.encode_pretokens, CACHE // 2, "bpe")
         self.cache = Memo(self.encode_chunks, CACHE, "bpe")
 
@@ -112,10 +114,12 @@ class ByteBpe:
         return [i for p in got for i in known[p]]
 
     def chunks(self, text: str) -> list[str]:
-        """Cuts before a run of spaces and newlines that follows another character: no match crosses such a place.
+        """Cuts before a run of spaces and newlines that follows another character: no match of the public pattern crosses
+        such a place.
 
-        Texts with any other white space stay whole, since a match may end inside a mixed run."""
-        return _CHUNK(text) if not _ODD_SPACE(text) else [text]
+        Texts with any other white space stay whole, since a match may end inside a mixed run, and so does any text under
+        another pattern. Such long chunks serve one call and are not kept."""
+        return _CHUNK(text) if self.safe and not _ODD_SPACE(text) else [text]
 
 
 _CHUNK = regex.compile(r"[ \n]*+[^ \n]++|[ \n]++").findall

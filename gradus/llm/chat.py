@@ -9,9 +9,11 @@ as ``<part KIND N>`` where N counts the attachments of the conversation from 0.
 reference and expanded token count: images 85 + 170 for each 512-pixel tile, audio 25 a second, documents 800 a page, one
 unit at least. Text parts count one token per four characters, rounded up.
 
-Turns are ordered by turn (nulls first), then role, then their parts. Null texts and roles count as empty, null part lists
-as no parts, an unknown kind of part as an attachment of that kind without tokens. A null conversation id is a
-conversation of its own. Repeated rows are repeated turns. An empty table gives an empty result.
+Turns are ordered by turn (nulls first), then role, then their parts as they come in, texts before escaping; attachments are
+numbered in that order. Null texts and roles count as empty, null part lists as no parts, an unknown kind of part as an
+attachment of that kind without tokens. A null conversation id is a conversation of its own. Repeated rows are repeated turns.
+Texts of any length stay whole: a conversation is one string, so its texts together must fit into one value. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,27 +64,26 @@ def format_chat(df: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     where the role is not ``trained``)."""
     kind = df.schema[parts].dataType
     given = kind.elementType.fieldNames()
-    rich = F.transform(F.coalesce(F.col(parts), F.array().cast(kind)), lambda p: F.struct(*[(p[f.split(":")[0]] if f.split(":")[0] in given else F.lit(None)).cast(f.split(":")[1]).alias(f.split(":")[0]) for f in PART[7:-1].split(",")]))
-    rows = df.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), rich.alias("p"))
-    rows = rows.withColumn("media", F.filter("p", lambda x: ~_is_text(x))).withColumn("n_media", F.size("media"))
-    if "ref" in given:  # attachments are numbered through the conversation
+    rows = df.select(F.col(conversation).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(parts), F.array().cast(kind)).alias("p"))
+    if "ref" in given:  # attachments are numbered through the conversation, in the order of its turns
         order = Window.partitionBy("c").orderBy("t", "r", "p").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("first", F.coalesce(F.sum("n_media").over(order), F.lit(0)))
+        rows = rows.withColumn("first", F.coalesce(F.sum(F.size(F.filter("p", lambda x: ~_is_text(x)))).over(order), F.lit(0)))
     else:
         rows = rows.withColumn("first", F.lit(0).cast("long"))
-    start = F.struct(F.lit("").alias("body"), F.col("first").alias("n"))
+    grouped = rows.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("t", "r", "p", "first"))).alias("turns"))
+    one_text = lambda p: (F.size(p) == 1) & _is_text(p[0])
     visit = lambda acc, x: F.when(_is_text(x), F.struct(F.concat(acc.body, escape(x.text)).alias("body"), acc.n.alias("n"))).otherwise(
         F.struct(F.concat(acc.body, F.lit("<part "), escape(x.kind), F.lit(" "), acc.n.cast("string"), F.lit(">")).alias("body"), (acc.n + 1).alias("n")))
-    rows = rows.withColumn("body", F.when(F.size("p") == 1, F.when(_is_text(F.col("p")[0]), escape(F.col("p")[0]["text"]))).otherwise(F.lit(None)))
-    rows = rows.withColumn("body", F.coalesce("body", F.aggregate("p", start, visit).body))
-    head = F.concat(F.lit(OPEN), F.replace(escape(F.col("r")), F.lit("\n"), F.lit("<\\turn\n")), F.lit(BETWEEN))
-    rows = rows.withColumns({
-        "head": head,
-        "tokens": F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.when(_is_text(x), F.ceil(F.length(F.coalesce(x.text, F.lit(""))) / 4)).otherwise(_tokens(x))),
-        "files": F.transform("media", lambda x, i: F.struct((F.col("first") + i).alias("index"), x.kind.alias("kind"), x.ref.alias("ref"), _tokens(x).alias("n_tokens"))),
-    })
-    each = F.struct("t", "r", "body", "head", "tokens", "files")
-    grouped = rows.groupBy("c").agg(F.sort_array(F.collect_list(each)).alias("all"))
+    fields = [f.split(":") for f in PART[7:-1].split(",")]
+    rich = lambda x: F.struct(*[(x[name] if name in given else F.lit(None)).cast(to).alias(name) for name, to in fields])
+    count = lambda a, x: a + F.when(_is_text(x), F.ceil(F.length(F.coalesce(x.text, F.lit(""))) / 4)).otherwise(_tokens(x))
+    grouped = grouped.select("c", F.transform("turns", lambda x: F.struct(
+        x.r.alias("r"),
+        F.concat(F.lit(OPEN), F.replace(escape(x.r), F.lit("\n"), F.lit("<\\turn\n")), F.lit(BETWEEN)).alias("head"),
+        F.when(one_text(x.p), escape(x.p[0]["text"])).otherwise(F.aggregate(x.p, F.struct(F.lit("").alias("body"), x.first.alias("n")), visit).body).alias("body"),
+        F.aggregate(F.transform(x.p, rich), F.lit(0).cast("long"), count).alias("tokens"),
+        F.transform(F.filter(x.p, lambda y: ~_is_text(y)), lambda y, i: F.struct((x.first + i).alias("index"), y.kind.alias("kind"), rich(y).ref.alias("ref"), _tokens(rich(y)).alias("n_tokens"))).alias("files"),
+    )).alias("all"))
     # Places come from lengths alone, which a window sums row by row; the strings are joined once.
     sized = F.transform("all", lambda x: F.struct(F.length(x.head).alias("h"), F.length(x.body).alias("b"), (x.r == trained).alias("on")))
     return grouped.select(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import filterfalse
 from typing import ClassVar
 
@@ -21,43 +21,86 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see. ``spark.checkpoint.dir`` rules; a temporary one serves local sessions without it."""
+    """Folder all executors see: ``spark.checkpoint.dir``. Only a session on one machine gets one of its own without it."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="gradus-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffle files once they are done: nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Scratch:
+    """Owner of the frames that :func:`stored` writes inside a ``with``; their files go at its end, also after an error.
+
+    What :meth:`result` stores belongs to the surrounding owner, if there is one, else to whoever asked."""
+
+    owners: ClassVar[list[Scratch]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.owners.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Scratch.owners.remove(self)
+        for path in self.paths:
+            removed(self.spark, path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name, owned=False)
+        outer = Scratch.owners[: Scratch.owners.index(self)]
+        if outer:
+            outer[-1].paths.append(out._gradus_path)
+        return out
+
+
+def stored(df: DataFrame, name: str, owned: bool = True) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if owned and Scratch.owners:
+        Scratch.owners[-1].paths.append(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gradus_path = path
+    return out
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, before the next large step."""
-    gc.collect()
-    spark._jvm.System.gc()
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of frames made by :func:`stored` once nothing reads them any more."""
+    for df in frames:
+        removed(df.sparkSession, df._gradus_path)
 
 
-def picked(df: DataFrame, ids: DataFrame, how: str, most: int) -> DataFrame:
-    """``df`` joined with the stored, distinct ``ids`` on id: broadcast up to ``most`` ids, else a shuffle without a sort."""
-    small = ids.count() <= most
-    return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), "id", how)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files behind a frame made by :func:`stored` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def picked(df: DataFrame, ids: DataFrame, how: str, most: int, key: str = "id") -> DataFrame:
+    """``df`` joined by its ``key`` with the stored, distinct ``ids`` (id): broadcast up to ``most`` ids, else a shuffle without a sort."""
+    ids = ids.withColumnRenamed("id", key)
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), key, how)
 
 
 def id_hash_mod(column: str, n: int) -> Column:
@@ -71,7 +114,7 @@ def bounded_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
     return df if n <= most else df.filter(h.bitwiseAND(F.lit(0x7FFFFFFF)) < int(most / n * (1 << 31)))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20):
     """Parts of a batch that hold about ``most`` bytes of text at a time, so that memory stays bounded."""
     n = batch.num_rows
     if not n:
@@ -95,26 +138,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Table of strings already worked on, in two generations of ``most`` entries: what stays in use survives.
+    """Table of strings already worked on, in two generations of ``most`` entries and ``MOST_CHARS`` characters each: what stays
+    in use survives. Strings of more than ``LONG`` characters serve one call only.
 
     A Python worker outlives its stage, so tables of another ``owner`` are emptied when one of this owner is used."""
 
+    LONG, MOST_CHARS = 256, 8 << 20
     everyone: ClassVar[weakref.WeakSet] = weakref.WeakSet()
     in_use: ClassVar[str] = ""
 
     def __init__(self, make: Callable[[list[str]], Iterable], most: int, owner: str):
-        self.make, self.most, self.owner, self.new, self.old = make, most, owner, {}, {}
+        self.make, self.most, self.owner = make, most, owner
+        self.empty()
         Memo.everyone.add(self)
 
+    def empty(self) -> None:
+        self.new, self.old, self.chars, self.once = {}, {}, 0, []
+
     def table(self, rows: list[list[str]]) -> dict:
         """A dict that holds every string of ``rows``."""
         if Memo.in_use != self.owner:
             Memo.in_use = self.owner
             for other in Memo.everyone:
                 if other.owner != self.owner:
-                    other.new, other.old = {}, {}
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+                    other.empty()
+        for w in self.once:
+            self.new.pop(w, None)
+        self.once = []
+        if len(self.new) > self.most or self.chars > self.MOST_CHARS:
+            self.old, self.new, self.chars = self.new, {}, 0
         missing: set[str] = set()
         for r in rows:
             missing.update(filterfalse(self.new.__contains__, r))
@@ -124,6 +176,10 @@ class Memo:
                 asked.append(w)
             else:
                 self.new[w] = got
+            if len(w) > self.LONG:
+                self.once.append(w)
+            else:
+                self.chars += len(w)
         self.new.update(zip(asked, self.make(asked)))
         return self.new
 

@@ -6,14 +6,15 @@ For a pair right at the threshold the differences of its projections are normal
 the window gives the chance of one collision, and the count is the largest that such a pair still reaches with ``recall``.
 
 Equal vectors are one class with a multiplicity. The first projection, cut at quantiles, deals classes to blocks of equal
-size; blocks meet only where a window can reach from one to the other. A group is one pair of blocks. Inside it each
+size; blocks meet where 2.5 windows reach from one to the other (5 deviations of a pair at the threshold), which most do. A group is one pair of blocks. Inside it each
 projection is sorted once and windows are runs of ranks. It sends on, per vector, the number of links and one edge to the
 smallest member of its local component, never the pairs, so that a large group of near copies stays linear in rows.
 On data without structure the blocks still all meet: the work is quadratic with a small constant, as for any
 one-dimensional projections; pairs verified are few.
 
-Null vectors, zero vectors and those with null or non-finite components link with nothing. Vectors of different
-lengths never link. Rows alike in id and vector count once. Other columns of the input are not read.
+Null vectors, zero vectors and those with null or non-finite components link with nothing. A vector without an id links with
+nothing either: its component is null and it is kept. Vectors of different lengths never link. Rows alike in id and vector count
+once. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import connected_components, stored
+from gradus.llm.common import Scratch, connected_components, stored
 from gradus.llm.topk import usable
 
 PROJECTIONS, WIDTH, RECALL, BLOCK, SEED = 32, 2.0, 0.9999, 4096, 20240
@@ -109,60 +110,62 @@ def block_links(x: np.ndarray, y: np.ndarray, same: bool, weight_x: np.ndarray,
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, vector: str = "embedding", key: str = "vec_id", projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(key, n_links, component_id, kept) for every row."""
+    """(key, n_links, component_id, kept) for every row, stored."""
     spark = df.sparkSession
-    away = math.sqrt(max(0.0, 2 - 2 * threshold))
-    window, least = width * away, calibrated_count(projections, width, recall)
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct()
-    good = F.coalesce(usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.lit(False))
-    classes = stored(rows.filter(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-
-    def project(batches):
-        for t in batches:
-            sizes = t.column("d").to_numpy()
-            p = np.zeros(len(sizes))
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                p[at] = units(t.column("v").take(pa.array(at))) @ directions(int(d), projections, seed)[:, 0]
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(p)], [*t.schema.names, "p"])
-
-    kind = df.schema[vector].dataType.simpleString()
-    id_kind = df.schema[key].dataType.simpleString()
-    lined = stored(classes.select("rep", "n", "v", F.size("v").alias("d")).mapInArrow(project, f"rep {id_kind}, n long, v {kind}, d int, p double"), "lined")
-    blocks = max(1, -(-lined.count() // block))
-    cuts = lined.agg(F.percentile_approx("p", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else []
-    cuts = sorted(set(cuts or []))
-    # Block b holds [cuts[b - 1], cuts[b]); from each block the windows reach a run of later blocks.
-    reach = 2.5 * window
-    last = [int(np.searchsorted(cuts, hi + reach, side="right")) for hi in cuts] + [len(cuts)]
-    first = [int(np.searchsorted(cuts, lo - reach, side="right")) for lo in cuts]
-    first = [0] + first
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    mine = lined.withColumn("m", F.size(F.filter(bounds, lambda c: c <= F.col("p"))))
-    partners = F.sequence(F.get(F.lit(first).cast("array<int>"), F.col("m")), F.get(F.lit(last).cast("array<int>"), F.col("m")))
-    dealt = mine.withColumn("o", F.explode(partners)).select("d", F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"), "m", "rep", "n", "v")
-
-    def group(t: pa.Table) -> pa.Table:
-        m = t.column("m").to_numpy()
-        same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
-        order = np.argsort(t.column("rep").to_numpy(), kind="stable")  # places by id: the smallest place is the smallest id
-        ids, weight = t.column("rep").to_numpy()[order], t.column("n").to_numpy()[order]
-        x, side = units(t.column("v"))[order], m[order] == t.column("a")[0].as_py()
-        here, there = np.flatnonzero(side), np.flatnonzero(side if same else ~side)
-        label, total = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-        if len(here) and len(there):
-            one, two, label = block_links(x[here], x[there], same, weight[here], weight[there], here, there, label, threshold, projections, window, least, seed)
-            np.add.at(total, here, one)
-            np.add.at(total, there, two)
-        linked = np.flatnonzero(total)
-        return pa.table([pa.array(ids[linked]), pa.array(total[linked]), pa.array(ids[label[linked]])], ["id", "n", "root"])
-
-    found = stored(dealt.groupBy("d", "a", "b").applyInArrow(group, f"id {id_kind}, n long, root {id_kind}"), "links")
-    components = connected_components(found, "id", "root")
-    links = found.groupBy("id").agg(F.sum("n").alias("links"))
-    own = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    # Stored, so that a hot vector's rows meet it in a join that Spark can split.
-    own = stored(own.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("c")), "own")
-    linked = rows.filter(good).join(own, "v").select("id", "links", "c")
-    alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("c"))
-    return linked.unionByName(alone).select(F.col("id").alias(key), F.col("links").alias("n_links"), F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
+    with Scratch(spark) as scratch:
+        away = math.sqrt(max(0.0, 2 - 2 * threshold))
+        window, least = width * away, calibrated_count(projections, width, recall)
+        rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct()
+        good = F.coalesce(F.col("id").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.lit(False))
+        classes = stored(rows.filter(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+
+        def project(batches):
+            for t in batches:
+                sizes = t.column("d").to_numpy()
+                p = np.zeros(len(sizes))
+                for d in np.unique(sizes):
+                    at = np.flatnonzero(sizes == d)
+                    p[at] = units(t.column("v").take(pa.array(at))) @ directions(int(d), projections, seed)[:, 0]
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(p)], [*t.schema.names, "p"])
+
+        kind = df.schema[vector].dataType.simpleString()
+        id_kind = df.schema[key].dataType.simpleString()
+        lined = stored(classes.select("rep", "n", "v", F.size("v").alias("d")).mapInArrow(project, f"rep {id_kind}, n long, v {kind}, d int, p double"), "lined")
+        blocks = max(1, -(-lined.count() // block))
+        cuts = lined.agg(F.percentile_approx("p", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else []
+        cuts = sorted(set(cuts or []))
+        # Block b holds [cuts[b - 1], cuts[b]); from each block the windows reach a run of later blocks.
+        reach = 2.5 * window
+        last = [int(np.searchsorted(cuts, hi + reach, side="right")) for hi in cuts] + [len(cuts)]
+        first = [int(np.searchsorted(cuts, lo - reach, side="right")) for lo in cuts]
+        first = [0] + first
+        bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+        mine = lined.withColumn("m", F.size(F.filter(bounds, lambda c: c <= F.col("p"))))
+        partners = F.sequence(F.get(F.lit(first).cast("array<int>"), F.col("m")), F.get(F.lit(last).cast("array<int>"), F.col("m")))
+        dealt = mine.withColumn("o", F.explode(partners)).select("d", F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"), "m", "rep", "n", "v")
+
+        def group(t: pa.Table) -> pa.Table:
+            m = t.column("m").to_numpy()
+            same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
+            order = np.argsort(t.column("rep").to_numpy(), kind="stable")  # places by id: the smallest place is the smallest id
+            ids, weight = t.column("rep").to_numpy()[order], t.column("n").to_numpy()[order]
+            x, side = units(t.column("v"))[order], m[order] == t.column("a")[0].as_py()
+            here, there = np.flatnonzero(side), np.flatnonzero(side if same else ~side)
+            label, total = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+            if len(here) and len(there):
+                one, two, label = block_links(x[here], x[there], same, weight[here], weight[there], here, there, label, threshold, projections, window, least, seed)
+                np.add.at(total, here, one)
+                np.add.at(total, there, two)
+            linked = np.flatnonzero(total)
+            return pa.table([pa.array(ids[linked]), pa.array(total[linked]), pa.array(ids[label[linked]])], ["id", "n", "root"])
+
+        found = stored(dealt.groupBy("d", "a", "b").applyInArrow(group, f"id {id_kind}, n long, root {id_kind}"), "links")
+        components = stored(connected_components(found, "id", "root"), "tops")
+        links = found.groupBy("id").agg(F.sum("n").alias("links"))
+        own = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
+        # Stored, so that a hot vector's rows meet it in a join that Spark can split.
+        own = stored(own.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("c")), "own")
+        linked = rows.filter(good).join(own, "v").select("id", "links", "c")
+        alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("c"))
+        every = linked.unionByName(alone)
+        return scratch.result(every.select(F.col("id").alias(key), F.col("links").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept")), "linked")

@@ -9,11 +9,13 @@ A word of more than ``PIECE`` characters, such as a text written without spaces,
 that hold each of its n-grams once, so that all of it is scored in bounded memory.
 
 Chains of any length run in blocks: the product of each block's step matrices first, then the states between blocks, then the
-steps inside all blocks at once. Training takes at most ``SAMPLE`` documents, those in a range of the id's hash, and
-``WORDS`` words or pieces of each from a hashed place; prediction takes whole texts.
+steps inside all blocks at once. Training takes whole texts of at most ``SAMPLE`` rows, about ``CHARS`` characters together:
+those in a range of the hash of id and text. Its gradient holds the exact marginals of words and of neighbouring pairs.
+Prediction takes whole texts.
 
-Null and empty texts and those without a letter get ``und`` with score 0. Without usable labels every text is ``und``. Ties go
-to the language first in order. Repeated rows are predicted alike; other columns are not read, except in ``words``.
+Null and empty texts and those without a letter get ``und`` with score 0. Without usable labels, or on an empty table, every
+text is ``und``. Ties go to the language first in order. A null id is an id like others. Repeated rows are predicted alike; other
+columns are not read, and :func:`labelled` passes them through, but for those named like its results, which these replace.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gradus.llm.common import Memo, bounded_sample, slices
+from gradus.llm.common import Memo, slices
 
-#: Most documents and words of each that training takes.
-SAMPLE, WORDS = 2000, 100
+#: Most rows that training takes, and about as many characters of all their texts.
+SAMPLE, CHARS = 2000, 2_500_000
 #: Words of a training sequence, rounds of training, words of a block, entries of a worker's table of words.
 SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 300_000
 #: Most characters of a word that is scored in one piece.
@@ -168,6 +171,32 @@ def posteriors(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray,
     return gamma
 
 
+def expectations(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chains of equal length (chains x words x languages): each word's marginals, and the expected number of each move.
+
+    A move from word t - 1 to t has the marginal alpha(t - 1) x step x emission(t) x beta(t), normalised."""
+    n, length, k = scores.shape
+    step = np.exp(transitions - transitions.max())
+    e = np.exp(scores - scores.max(axis=2, keepdims=True)) + 1e-12
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    for t in range(1, length):
+        v = (alpha[:, t - 1] @ step) * e[:, t]
+        alpha[:, t] = v / v.sum(axis=1, keepdims=True)
+    beta[:, -1] = 1 / k
+    for t in range(length - 2, -1, -1):
+        v = (e[:, t + 1] * beta[:, t + 1]) @ step.T
+        beta[:, t] = v / v.sum(axis=1, keepdims=True)
+    gamma = alpha * beta
+    gamma /= gamma.sum(axis=2, keepdims=True)
+    moves = np.zeros((k, k))
+    for t in range(1, length):
+        right = e[:, t] * beta[:, t]
+        whole = ((alpha[:, t - 1] @ step) * right).sum(axis=1, keepdims=True)
+        moves += step * ((alpha[:, t - 1] / whole).T @ right)
+    return gamma, moves
+
+
 def train(samples: list[tuple[str, list[str]]], seed: int = 11, rounds: int = ROUNDS, sequence: int = SEQUENCE) -> Crf | None:
     """Fits a CRF to (language, words) samples on sequences that switch between samples of different languages."""
     samples = [(lang, [w for w in words if w]) for lang, words in samples]
@@ -209,7 +238,7 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 11, rounds: int = RO
     if not n:
         x, y, n = np.resize(x, sequence), np.resize(y, sequence), sequence
     x, y = x[:n], y[:n]
-    k, offsets = len(languages), np.arange(0, n + 1, sequence)
+    k = len(languages)
     gold = np.zeros((n, k))
     gold[np.arange(n), y] = 1
     inside = np.flatnonzero(np.arange(n) % sequence)
@@ -221,14 +250,10 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 11, rounds: int = RO
     target = per_type(gold)
     for t in range(1, rounds + 1):
         by_type = np.stack([np.bincount(owner, weights[flat_at, c], len(types)) for c in range(k)], axis=1)
-        scores = by_type[x]
-        gamma = posteriors(scores, offsets, moves, sequence).astype(np.float64)
-        # Expected moves from neighbouring marginals: p(a, b) is proportional to their product times the move's weight.
-        pair = gamma[inside - 1][:, :, None] * np.exp(moves)[None] * gamma[inside][:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        g = per_type(gamma) - target
+        gamma, pairs = expectations(by_type[x].reshape(-1, sequence, k), moves)
+        g = per_type(gamma.reshape(n, k)) - target
         gw = np.stack([np.bincount(flat_at, g[owner, c], len(index)) for c in range(k)], axis=1) / n + 1e-7 * weights
-        gm = (pair.sum(axis=0) - gold_moves) / n + 1e-6 * moves
+        gm = (pairs - gold_moves) / n + 1e-6 * moves
         for grad, p, a, b in ((gw, weights, m1, m2), (gm, moves, r1, r2)):
             a *= 0.9
             a += 0.1 * grad
@@ -238,23 +263,15 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 11, rounds: int = RO
     return Crf(languages, index, weights, moves)
 
 
-def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, words: int = WORDS) -> Crf | None:
-    """Trains on the rows that ``learn`` marks and whose language is not null."""
-    h = F.xxhash64(F.col(key).cast("string"))
+def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, chars: int = CHARS) -> Crf | None:
+    """Trains on the rows that ``learn`` marks and whose language is not null; equal rows of an id count once."""
+    h = F.xxhash64(F.col(key).cast("string"), F.col(text))
     rows = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    part = bounded_sample(rows, F.col("h"), sample).select("h", "lang", F.split(F.trim("text"), r"\s+").alias("w"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for h, w in zip(batch.column("h").to_pylist(), batch.column("w")):
-                w = in_pieces(w.as_py())
-                start = h % max(len(w) - words, 1)
-                out.append(w[start : start + words])
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(out, pa.list_(pa.string()))], ["h", "lang", "w"])
-
-    got = part.mapInArrow(run, "h long, lang string, w array<string>").collect()
-    return train([(r["lang"], r["w"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"], r["w"]))[:sample]])
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("c")).first()
+    share = min(1.0, sample / max(size["n"], 1), chars / max(size["c"] or 1, 1))
+    part = rows.filter(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) < int(share * (1 << 31))).groupBy("h", "lang").agg(F.min("text").alias("text"))
+    got = sorted(part.collect(), key=lambda r: (r["h"], r["lang"]))[:sample]
+    return train([(r["lang"], in_pieces(r["text"].split())) for r in got])
 
 
 _MEMOS: dict[str, Memo] = {}
@@ -277,29 +294,35 @@ def label_texts(model: Crf, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     return posteriors(got[:, :-1], offsets, model.transitions), offsets, got[:, -1] > 0
 
 
-def predict(df: DataFrame, model: Crf | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score) of every text."""
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def labelled(df: DataFrame, model: Crf | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Every row of ``df`` with all its columns, the predicted language and its score; the rows stay where they are."""
     if model is None:
-        return rows.select(F.col("key").alias(key), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return df.withColumns({lang_pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     shared = df.sparkSession.sparkContext.broadcast(model)
+    own = [c for c in df.columns if c not in (lang_pred, score)]
+    at = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         names = np.array([*crf.languages, UNKNOWN], object)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                gamma, offsets, lettered = label_texts(crf, part.column("text").to_pylist())
+            for part in slices(batch, at, 2 << 20):
+                gamma, offsets, lettered = label_texts(crf, part.column(at).to_pylist())
                 sums = np.vstack([np.zeros((1, len(crf.languages))), np.cumsum(np.where(lettered[:, None], gamma, 0), axis=0, dtype=np.float64)])
                 count = np.concatenate([[0], np.cumsum(lettered)])
                 total, n = sums[offsets[1:]] - sums[offsets[:-1]], count[offsets[1:]] - count[offsets[:-1]]
                 share = total / np.maximum(n, 1)[:, None]
                 best = np.where(n > 0, share.argmax(axis=1), len(crf.languages))
-                score = np.where(n > 0, np.clip(share.max(axis=1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["key", "lang_pred", "score"])
+                value = np.where(n > 0, np.clip(share.max(axis=1), 0, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(value, pa.float64())], [*own, lang_pred, score])
+
+    kept = df.select(*own)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(lang_pred, StringType()), StructField(score, DoubleType())]))
 
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+
+def predict(df: DataFrame, model: Crf | None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, lang_pred, score) of every text."""
+    return labelled(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), model, "_text").select(F.col("_key").alias(key), "lang_pred", "score")
 
 
 def words(df: DataFrame, model: Crf, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -6,7 +6,8 @@ their places by rank among pieces of equal length, where ranks come from counts
 holds a third of all rows is spread over many tasks.
 
 Null and empty texts make one piece that holds the end id alone. A document longer than a sequence is cut into full
-sequences and a rest. Repeated rows are packed as often as they occur. Other columns are not read.
+sequences and a rest. Repeated rows are packed as often as they occur, and rows without an id like others. An empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +65,16 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
-def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, size: int = SIZE, end_id: int = 1, ids: bool = False) -> DataFrame:
-    """(key, piece, start, length, ids_crc32 and, with ``ids``, ids binary) of every document, cut at ``size`` tokens."""
+def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, size: int = SIZE, end_id: int = 1, ids: bool = False, shards: int = 0) -> DataFrame:
+    """(key, piece, start, length, ids_crc32 and, with ``ids``, ids binary) of every document, cut at ``size`` tokens.
+
+    With ``shards`` a last column ``_shard`` deals the pieces out in turn, so that equal rows part."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(path)
+        turn = TaskContext.get().partitionId() * 8191
         for batch in batches:
             for part in slices(batch, "text"):
                 where, piece, start, length, crc, own = [], [], [], [], [], []
@@ -81,10 +86,15 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
                         if ids:
                             own.append(cut)
                 columns = [part.column("key").take(pa.array(where, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(own, pa.binary())] if ids else []), ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids)
+                if ids:
+                    columns.append(pa.array(own, pa.binary()))
+                if shards:
+                    columns.append(pa.array(((turn + np.arange(len(where))) % shards).astype(np.int32)))
+                    turn += len(where)
+                yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids + ["_shard"] * bool(shards))
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
+    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids + ", _shard int" * bool(shards)
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
@@ -169,7 +179,7 @@ def pack(cut: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
         by_length.setdefault(m, []).append((first, n, at, offsets))
     table = spark.createDataFrame([(m, [x[0] for x in v], v) for m, v in by_length.items()], "length long, firsts array<long>, slots array<struct<first:long,n:int,at:long,offsets:array<int>>>")
     # Rank within a length: a count per (length, shard) gives each shard its first rank, then rows count inside the shard.
-    sharded = cut.withColumn("_shard", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.lit(SHARDS)).cast("int"))
+    sharded = cut if "_shard" in cut.columns else cut.withColumn("_shard", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.lit(SHARDS)).cast("int"))
     per = sharded.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("length", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -184,12 +194,13 @@ def pack(cut: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
     )
 
 
-#: Parts that the pieces of one length are counted in.
-SHARDS = 256
+#: Parts that the pieces of one length are counted in at least, and rows of the table for each further part.
+SHARDS, PER_SHARD = 256, 250_000
 #: Last slot row whose first rank is not above the piece's.
 _SLOT = "element_at(slots, size(filter(firsts, f -> f <= _r)))"
 
 
 def best_fit(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, size: int = SIZE, end_id: int = 1, ids: bool = False) -> DataFrame:
     """Packs every text of ``df``; with ``ids`` the pieces carry their ids as little-endian 32-bit binary."""
-    return pack(stored(pieces(df, text, key, path, size, end_id, ids), "pieces"), key, size)
+    shards = max(SHARDS, -(-df.count() // PER_SHARD))
+    return pack(stored(pieces(df, text, key, path, size, end_id, ids, shards), "pieces"), key, size)

@@ -1,17 +1,19 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-Each token counts as two words: its lower-case core and its shape (``Xx.``, ``X+!+``, ``x+$+``). Words are hashed to a fixed
-number of buckets. Every bucket has a sparse random index vector; a bucket's word vector is the sum of the index vectors of
-its neighbours' buckets over the whole corpus, centred and scaled to unit length. A document is the mean of its words' vectors,
-of its shapes' vectors, the share of words that repeat the one before, and the logarithm of its length. The network has one hidden layer; its logits are divided by a
-temperature that fits a held-out part of the training rows, so that the scores are probabilities.
+Each token counts as two words: its lower-case core and its shape (``Xx.``, ``X+!+``, ``x+$+``; a token whose core is that of the
+one before has the shape AGAIN), and each text ends with an END token. Words are hashed to a fixed number of buckets. Every
+bucket has a sparse random index vector; a bucket's word vector is the sum of the index vectors of its neighbours' buckets over
+the whole corpus, centred and scaled to unit length. A document is the mean of its words' vectors and of its shapes' vectors.
+The network has one hidden layer; its logits are divided by a temperature that fits a held-out part of the training rows, so
+that the scores are probabilities.
 
 Word vectors come from all documents by one distributed sum of ``BUCKETS`` rows; the network takes at most ``SAMPLE``
-labelled rows, those in a range of the id's hash. Scores cover whole texts.
+labelled rows, those in a range of the hash of id and text. Scores cover whole texts, of any length.
 
-Null and empty texts are a document without words and get the score of its (zero) vectors. Without labelled rows, or with one
-class alone, every score is the share of label 1 (0.5 without rows). Several labels of one document count as their largest.
-Repeated rows are scored alike. Other columns are not read.
+Null and empty texts are a document of the END token alone. Without labelled rows, or with one class alone, every score is the
+share of label 1 (0.5 without rows). Several labels of one document count as their largest; a null id has no label. Rows
+repeated under one id count once in training and are scored alike. An empty table gives an empty result. Other columns are not
+read, and :func:`scored` passes them through, but for those named like its results, which these replace.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from gradus.llm.common import Memo, bounded_sample, slices, stored
+from gradus.llm.common import Memo, bounded_sample, slices
 
 #: Word buckets, shape buckets, dimensions, non-zero entries of an index vector.
 WORDS, SHAPES, DIMENSIONS, ENTRIES = 4096, 1024, 64, 4
 BUCKETS = WORDS + SHAPES
-#: Length of a document vector.
-WIDTH = 2 * DIMENSIONS + 2
+#: Buckets of the shapes of a repeated word and of the end of a text; length of a document vector.
+AGAIN, END, WIDTH = BUCKETS - 2, BUCKETS - 1, 2 * DIMENSIONS
 #: Most labelled rows, hidden units, epochs; entries of a worker's table of tokens.
 SAMPLE, HIDDEN, EPOCHS, CACHE = 20_000, 24, 60, 300_000
 THRESHOLD = 0.3
@@ -51,7 +54,7 @@ def buckets(tokens: list[str]) -> list[bytes]:
     out = []
     for t in tokens:
         word = t.lower() if t.isalpha() else re.sub(r"^\W+|\W+$", "", t.lower())
-        pair = (zlib.crc32(word.encode("utf-8", "replace")) % WORDS, WORDS + zlib.crc32(shape(t).encode("utf-8", "replace")) % SHAPES)
+        pair = (zlib.crc32(word.encode("utf-8", "replace")) % WORDS, WORDS + zlib.crc32(shape(t).encode("utf-8", "replace")) % (SHAPES - 2))
         out.append(pair[0].to_bytes(2, "little") + pair[1].to_bytes(2, "little"))
     return out
 
@@ -60,11 +63,20 @@ _MEMO = Memo(buckets, CACHE, "quality")
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 2) buckets of all tokens and the offsets of the texts."""
+    """(n, 2) buckets of all tokens, an END token after each text, and the offsets of the texts."""
     rows = [(t or "").split() for t in texts]
     get = _MEMO.table(rows).__getitem__
-    raw = b"".join([b"".join(map(get, r)) for r in rows])
-    return np.frombuffer(raw, "<u2").reshape(-1, 2), np.cumsum([0] + [len(r) for r in rows])
+    end = zlib.crc32(b"") % WORDS
+    mark = end.to_bytes(2, "little") + END.to_bytes(2, "little")
+    raw = b"".join([b"".join(map(get, r)) + mark for r in rows])
+    pairs = np.frombuffer(raw, "<u2").reshape(-1, 2).copy()
+    offsets = np.cumsum([0] + [len(r) + 1 for r in rows])
+    again = np.zeros(len(pairs), bool)
+    again[1:] = pairs[1:, 0] == pairs[:-1, 0]
+    again[offsets[:-1]] = False
+    again[offsets[1:] - 1] = False
+    pairs[again, 1] = AGAIN
+    return pairs, offsets
 
 
 def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -136,28 +148,9 @@ def bucket_means(pairs: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, bl
     return out / np.maximum(n, 1)[:, None]
 
 
-def pooled(df: DataFrame, vectors: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, x array<float>): document vectors."""
-    shared = df.sparkSession.sparkContext.broadcast(vectors)
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                pairs, offsets = tokens(part.column("text").to_pylist())
-                n = np.diff(offsets)
-                x = np.zeros((len(n), WIDTH), np.float32)
-                full = np.flatnonzero(n)
-                x[:, : 2 * DIMENSIONS] = bucket_means(pairs, offsets, v)
-                if len(pairs):
-                    again = np.concatenate([[0], pairs[1:, 0] == pairs[:-1, 0]])
-                    again[offsets[:-1][full]] = 0
-                    x[full, -2] = np.add.reduceat(again, offsets[:-1][full]) / n[full]
-                x[:, -1] = np.log1p(n) / 8
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["key", "x"])
-
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, x array<float>").withColumnRenamed("key", key)
+def document_vectors(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+    """One row of length ``WIDTH`` for each text."""
+    return bucket_means(*tokens(texts), vectors)
 
 
 class Network:
@@ -209,24 +202,45 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def score(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, score, predicted) of every row of ``df``; only labels of rows that ``learn`` (over ``key``) marks are used."""
+def fit(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+    """Word vectors of all texts of ``df``, and the network of a sample of the labelled ones; equal rows of an id count once."""
     vectors = word_vectors(df, text)
-    docs = stored(pooled(df, vectors, text, key), "pooled")
-    own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).filter(learn).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    h = F.xxhash64(F.col(key).cast("string"))
-    ids = bounded_sample(docs.select(key).join(own, key), h, sample)
-    got = docs.join(ids, key).select(h.alias("h"), "x", "y").collect()
-    rows = sorted(got, key=lambda r: (r["h"], r["y"], r["x"]))[:sample]
-    x = np.array([r["x"] for r in rows], np.float64).reshape(-1, WIDTH)
-    model = Network(x, np.array([r["y"] for r in rows]))
+    shared = df.sparkSession.sparkContext.broadcast(vectors)
+    own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).filter(learn).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
+    ids = bounded_sample(rows.select("key", "h").join(own, "key").distinct(), F.col("h"), sample)
+    picked = rows.join(F.broadcast(ids.drop("key")), "h").groupBy("h", "y").agg(F.min("text").alias("text"))  # about ``sample`` ids at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = document_vectors(part.column("text").to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], ["h", "y", "x"])
+
+    got = picked.mapInArrow(run, "h long, y int, x array<float>").collect()
+    got = sorted(got, key=lambda r: (r["h"], r["y"]))[:sample]
+    x = np.array([r["x"] for r in got], np.float64).reshape(-1, WIDTH)
+    return vectors, Network(x, np.array([r["y"] for r in got]))
+
+
+def scored(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text", score: str = "score", predicted: str = "predicted", threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of ``df`` with all its columns, its score and its class; the rows stay where they are."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = df.schema[key].dataType.simpleString()
+    own = [c for c in df.columns if c not in (score, predicted)]
+    at = own.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(np.float64)
-            p = shared.value.scores(x)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["key", "score", "predicted"])
+        vectors, network = shared.value
+        for batch in batches:
+            for part in slices(batch, at):
+                p = network.scores(document_vectors(part.column(at).to_pylist(), vectors).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [*own, score, predicted])
+
+    kept = df.select(*own)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(score, DoubleType()), StructField(predicted, IntegerType())]))
+
 
-    return docs.select(F.col(key).alias("key"), "x").mapInArrow(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+def score(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, score, predicted) of every row of ``df``; only labels of rows that ``learn`` (over ``key``) marks are used."""
+    model = fit(df, labels, learn, text, key, label, sample)
+    return scored(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), model, "_text", threshold=threshold).select(F.col("_key").alias(key), "score", "predicted")

@@ -4,17 +4,22 @@ A window is ``n`` consecutive words of one document; a word goes if a window tha
 smaller id. A window's fingerprint is the smallest hash of its ``gram``-word runs, so that neighbouring windows mostly share
 theirs and equal windows always do. The index holds, for each batch of documents, an immutable run: a table of
 (fingerprint, id), bucketed and sorted by fingerprint. A new batch is written as a run and merge-joined with itself and the
-older runs, bucket by bucket and without a shuffle. Fingerprints found in two documents lead to the windows to verify:
-these are compared by the hash of all their words, and the smallest id that has one wins. When ``fan`` runs have gathered they
-are compacted into one; :func:`dedup` with its default two batches never gathers as many.
-
-Batches must come in the order of their ids, as those of a growing corpus do; documents of earlier batches are not judged
-again. Words are separated by space and the bytes from tab to carriage return. Exact copies of a smaller id's text skip
-the index. A fingerprint or window that a third of all documents hold costs one row for each of them: minima are
-formed before shuffles and rows meet them by joins that can be split.
-
-Null texts and texts shorter than a window keep all they have. Rows repeated under one id do not remove each other's
-words. Texts are whole; other columns are not read.
+older runs, bucket by bucket and without a shuffle. When ``fan`` runs have gathered they are compacted into one. Fingerprints
+found in two documents mark both. At the end the marked documents' windows behind shared fingerprints are verified, once for
+all batches: they are compared by the hash of all their words, and the smallest id that has one wins. Texts are thus read
+once to index and once to verify, however many batches there are.
+
+Fingerprints that hold more than 1 / ``HOT`` of a batch's rows, found by a sketch of frequent items, do not enter the bucketed
+runs, where one bucket would have to hold them: their rows lie in a plain table and are all marked, and the at most ``2 * HOT``
+such fingerprints are broadcast. Copies of a smaller id's whole text skip the index. Windows meet their smallest id in a join
+of two stored tables, whose hot groups Spark splits.
+
+An index given to :func:`dedup` stays open, so that the next call judges new documents against all earlier ones (``history``)
+without indexing those again. Words are separated by space and the bytes from tab to carriage return.
+
+Null texts and texts shorter than a window keep all they have. Rows without an id keep all their words and remove no others'.
+Rows repeated under one id do not remove each other's words. Texts are whole, of any length; ids of any ordered type. An empty
+table gives an empty result. Other columns are read by :func:`trimmed` alone, which passes them through.
 """
 
 from __future__ import annotations
@@ -27,12 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gradus.llm.common import dropped, gram_hashes, picked, released, slices, stored, word_hashes
+from gradus.llm.common import Scratch, dropped, gram_hashes, picked, slices, stored, tidy_shuffles, word_hashes
 
-WINDOW, GRAM, FAN, BATCHES = 13, 6, 4, 2
+WINDOW, GRAM, FAN, BATCHES = 13, 6, 4, 5
 #: Most ids that are broadcast to pick out texts; more are shuffled.
 MOST_IDS = 1_000_000
+#: A fingerprint with more than this part of a batch's rows is hot; items that the sketch tracks.
+HOT, TRACKED = 512, 10_000
+#: Rows that a bucket of a run holds on average at most.
+PER_BUCKET = 4_000_000
 
 
 def fingerprints(words: np.ndarray, offsets: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,65 +101,86 @@ def _windows(docs: DataFrame, n: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of the batches seen so far; call :meth:`close` when done with it."""
+    """Runs of the batches seen so far; :meth:`close` deletes them."""
 
     def __init__(self, spark: SparkSession, n: int = WINDOW, gram: int = GRAM, fan: int = FAN):
-        self.spark, self.n, self.gram, self.fan = spark, n, gram, fan
+        self.spark, self.n, self.gram, self.fan = spark, n, min(gram, n), fan
         self.buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[str] = []
-
-    def _run(self, rows: DataFrame) -> str:
-        name = f"gradus_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "fp").write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
-        return name
-
-    def add(self, batch: DataFrame, history: DataFrame | None = None, since: int | None = None) -> DataFrame:
-        """(id, ws): for each document of the batch, its windows that start in a smaller id, as hashes.
-
-        ``history`` has all earlier rows (id, text); the batch's ids are those above ``since``."""
-        new = self._run(_anchors(batch, self.n, self.gram))
-        own = self.spark.table(new)
-        low = own.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        for k, run in enumerate(self.runs):
-            low = low.join(self.spark.table(run).groupBy("fp").agg(F.lit(True).alias(f"in{k}")), "fp", "left")
-        known = F.lit(False)
-        for k in range(len(self.runs)):
-            known = known | F.coalesce(f"in{k}", F.lit(False))
-        shared = low.filter((F.col("lo") < F.col("hi")) | known).select("fp")
-        marked = own.join(shared, "fp", "left_semi")
-        for run in self.runs:
-            marked = marked.unionByName(self.spark.table(run).join(shared, "fp", "left_semi"))
-        lists = stored(marked.groupBy("id").agg(F.collect_set("fp").alias("fps")), "marked")
-        docs = batch if history is None else history.unionByName(batch)
-        windows = stored(_windows(picked(docs, lists.select("id"), "left_semi", MOST_IDS).join(lists.hint("shuffle_hash"), "id"), self.n, self.gram), "windows")
-        released(self.spark)
-        first = windows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("w", "lo")
-        hits = windows.join(first, "w").filter("id > lo").select("id", "w")
-        if since is not None:
-            hits = hits.filter(F.col("id") > since)
-        hits = stored(hits.groupBy("id").agg(F.collect_set("w").alias("ws")), "hits")
-        for done in (lists, windows):
-            dropped(done)
-        self.runs.append(new)
-        if len(self.runs) >= self.fan:
-            self.compact()
-        released(self.spark)
-        return hits
+        self.hot: list[str] = []
+        self.compactions = 0
+
+    def __enter__(self) -> FingerprintIndex:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def _write(self, rows: DataFrame, known: list[int]) -> tuple[str, str, list[int]]:
+        """Names of the run and of the hot rows' table, and the hot fingerprints: those of ``known`` and the frequent ones."""
+        found = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(fp, {2 * HOT}, {TRACKED})").alias("top")).first()
+        self.buckets = max(self.buckets, found["n"] // PER_BUCKET)
+        hot = sorted({*known, *(x["item"] for x in found["top"] or [] if x["count"] > max(1, found["n"] // HOT))})
+        run, aside = f"gradus_run_{uuid.uuid4().hex}", f"gradus_hot_{uuid.uuid4().hex}"
+        listed = F.broadcast(self._fps(hot))
+        with tidy_shuffles(self.spark):
+            self.runs.append(run)
+            rows.join(listed, "fp", "left_anti").repartition(self.buckets, "fp").write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(run)
+            self.hot.append(aside)
+            rows.join(listed, "fp", "left_semi").write.format("parquet").saveAsTable(aside)
+        return run, aside, hot
+
+    def _fps(self, values: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(v,) for v in values], "fp long")
+
+    def _of(self, names: list[str]) -> DataFrame:
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            out = out.unionByName(self.spark.table(name))
+        return out
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Indexes a batch of (id, text): (fp, id) of its documents and earlier ones that share fingerprints, stored."""
+        with Scratch(self.spark) as scratch:
+            rows = stored(_anchors(batch, self.n, self.gram), "anchors")
+            old, aside = list(self.runs), list(self.hot)
+            known = [r["fp"] for r in self._of(aside).select("fp").distinct().collect()] if aside else []  # 2 * HOT a run at most
+            new, hot_rows, hot = self._write(rows, known)
+            own = self.spark.table(new)
+            low = own.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+            met = F.col("lo") < F.col("hi")
+            for k, run in enumerate(old):
+                low = low.join(self.spark.table(run).groupBy("fp").agg(F.lit(True).alias(f"in{k}")), "fp", "left")
+                met = met | F.coalesce(f"in{k}", F.lit(False))
+            shared = low.filter(met).select("fp")
+            marked = self.spark.table(hot_rows).unionByName(own.join(shared, "fp", "left_semi"))
+            for run in old:
+                marked = marked.unionByName(self.spark.table(run).join(shared, "fp", "left_semi"))
+            if hot:
+                listed = F.broadcast(self.spark.table(hot_rows).select("fp").distinct())
+                for name in old + aside:
+                    marked = marked.unionByName(self.spark.table(name).join(listed, "fp", "left_semi"))
+            out = scratch.result(marked, "marked")
+            if len(self.runs) >= self.fan:
+                self.compact()
+        return out
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        old = self.runs
-        rows = self.spark.table(old[0])
-        for run in old[1:]:
-            rows = rows.unionByName(self.spark.table(run))
-        self.runs = [self._run(rows)]
-        for run in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run} PURGE")
+        """Merges all runs into one; a fingerprint that is hot no more joins the others."""
+        runs, aside, self.runs, self.hot = self.runs, self.hot, [], []
+        try:
+            self._write(self._of(runs + aside), [])
+        finally:
+            self._drop(runs + aside)
+        self.compactions += 1
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
 
     def close(self) -> None:
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run} PURGE")
-        self.runs = []
+        self._drop(self.runs + self.hot)
+        self.runs, self.hot = [], []
 
 
 def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
@@ -163,15 +194,21 @@ def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) ->
     return b"".join(out)
 
 
-def _trimmed(docs: DataFrame, n: int, texts: bool) -> DataFrame:
-    """Applies the hits: (id, n_words, n_removed, kept_sha256 and, with ``texts``, text)."""
+def _trimmed(rows: DataFrame, at: int, n: int, digest: bool) -> DataFrame:
+    """Applies the hits ``_ws`` and ``_copy``, the last two columns of ``rows``, to the text, its column ``at``.
+
+    With ``digest`` the columns before them are followed by n_words, n_removed, kept_sha256, else by n_removed alone."""
+    own = rows.columns[:-2]
+    counts = [StructField("_n_words", LongType()), StructField("_n_removed", LongType()), StructField("_kept_sha256", StringType())]
+    more_fields = counts if digest else counts[1:2]
+    names = [f.name for f in more_fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, at):
                 size, removed, sha, kept = [], [], [], []
-                column, copies = part.column("text"), part.column("copy").to_pylist()
-                hits = part.column("ws")
+                column, copies = part.column(at), part.column(len(own) + 1).to_pylist()
+                hits = part.column(len(own))
                 some = np.flatnonzero(np.asarray(hits.is_valid()))
                 got = {}
                 if len(some):
@@ -182,60 +219,91 @@ def _trimmed(docs: DataFrame, n: int, texts: bool) -> DataFrame:
                         a, b = int(offsets[k]), int(offsets[k + 1])
                         gone = np.zeros(b - a, bool)
                         if b - a >= n:
-                            at = np.flatnonzero(np.isin(whole[a : b - n + 1], hits[int(i)].values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                            first = np.flatnonzero(np.isin(whole[a : b - n + 1], hits[int(i)].values.to_numpy(zero_copy_only=False).view(np.uint64)))
                             cover = np.zeros(b - a + 1, np.int64)
-                            np.add.at(cover, at, 1)
-                            np.add.at(cover, at + n, -1)
+                            np.add.at(cover, first, 1)
+                            np.add.at(cover, first + n, -1)
                             gone = np.cumsum(cover[:-1]) > 0
                         got[int(i)] = (gone, starts[a:b] - base[k], ends[a:b] - base[k])
                 for i, text in enumerate(column.to_pylist()):
                     raw = (text or "").encode()
-                    words = raw.split()
-                    gone, left, new = 0, words, raw
+                    words = raw.split() if digest or copies[i] else []
+                    gone, left, new = 0, words, text
                     if copies[i] and len(words) >= n:
-                        gone, left, new = len(words), [], b""
+                        gone, left, new = len(words), [], ""
                     elif i in got:
                         mask, starts, ends = got[i]
                         gone = int(mask.sum())
+                        new = _cut(raw, starts, ends, mask).decode() if gone else text
                         left = [w for w, g in zip(words, mask.tolist()) if not g]
-                        new = _cut(raw, starts, ends, mask) if texts else b""
-                    size.append(len(words)), removed.append(gone), sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
-                    if texts:
-                        kept.append(None if text is None else new.decode())
-                columns = [part.column("id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if texts else []), ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * texts)
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts)
+                    removed.append(gone), kept.append(new)
+                    if digest:
+                        size.append(len(words)), sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+                columns = [*part.columns[:-2]]
+                columns[at] = pa.array(kept, pa.string())
+                more = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())] if digest else [pa.array(removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + more, own + names)
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-2], *more_fields]))
+
+
+def _found(docs: DataFrame, n: int, batches: int, gram: int, fan: int, index: FingerprintIndex | None, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """For (id, text): stored (id, ws), the hashes of each document's windows that start in a smaller id; and ids of copies."""
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        given = docs.filter("text IS NOT NULL AND id IS NOT NULL")
+        prints = given.select("id", F.md5(F.col("text").cast("binary")).alias("m"), F.length("text").alias("l"))
+        # Stored, so that the join below is one of two plain inputs, whose hot groups Spark can split.
+        first = stored(prints.groupBy("m", "l").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi"), "groups")
+        copies = scratch.result(prints.join(first, ["m", "l"]).filter("id > lo").select("id").distinct(), "copies")
+        dropped(first)
+        fresh = picked(given, copies, "left_anti", MOST_IDS)
+        own = index or FingerprintIndex(spark, n, gram, fan)
+        try:
+            part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(batches))
+            marked = [own.add(fresh.filter(part == k)) for k in range(batches)]
+        finally:
+            if index is None:
+                own.close()
+        rows = marked[0]
+        for more in marked[1:]:
+            rows = rows.unionByName(more)
+        lists = stored(rows.groupBy("id").agg(F.collect_set("fp").alias("fps")), "lists")
+        dropped(*marked)
+        texts = fresh if history is None else fresh.unionByName(history.filter("text IS NOT NULL AND id IS NOT NULL"))
+        windows = stored(_windows(picked(texts, lists.select("id"), "left_semi", MOST_IDS).join(lists.hint("shuffle_hash"), "id"), n, min(gram, n)), "windows")
+        dropped(lists)
+        low = stored(windows.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("w", "lo"), "first")
+        hits = windows.join(low, "w").filter("id > lo").groupBy("id").agg(F.collect_set("w").alias("ws"))
+        return scratch.result(hits, "hits"), copies
+
+
+def _judged(df: DataFrame, key: str, text: str, n: int, batches: int, gram: int, fan: int, index: FingerprintIndex | None, history: DataFrame | None, digest: bool) -> DataFrame:
+    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    if history is not None:
+        history = history.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    hits, copies = _found(docs, n, batches, gram, fan, index, history)
+    lists = hits.select("id", "ws", F.lit(False).alias("copy")).unionByName(copies.select("id", F.lit(None).cast("array<long>").alias("ws"), F.lit(True).alias("copy")))
+    # Rows without hits stay where they are; the rest meets its hits.
+    touched = stored(lists.select("id").distinct(), "touched")
+    names, at = df.columns, df.columns.index(text)
+    rows = df.select(F.col(key).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    own = [f"c{i}" for i in range(len(names))]
+    plain = picked(rows, touched, "left_anti", MOST_IDS).select(*own, F.lit(None).cast("array<long>").alias("_ws"), F.lit(False).alias("_copy"))
+    met = picked(rows, touched, "left_semi", MOST_IDS).join(lists.hint("shuffle_hash"), "id").select(*own, F.col("ws").alias("_ws"), F.col("copy").alias("_copy"))
+    return _trimmed(plain, at, n, digest).unionByName(_trimmed(met, at, n, digest))
 
 
-def dedup(df: DataFrame, n: int = WINDOW, batches: int = BATCHES, text: str = "text", key: str = "doc_id", texts: bool = False, gram: int = GRAM, fan: int = FAN) -> DataFrame:
+def dedup(df: DataFrame, n: int = WINDOW, batches: int = BATCHES, text: str = "text", key: str = "doc_id", texts: bool = False, gram: int = GRAM, fan: int = FAN, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256 and, with ``texts``, the text that is left) of every row.
 
-    The table is taken in ``batches`` ranges of ids, oldest first, through one index."""
-    spark = df.sparkSession
-    docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    prints = docs.filter("text IS NOT NULL").select("id", F.md5(F.col("text").cast("binary")).alias("m"), F.length("text").alias("l"))
-    # Stored, so that the join below is one of two plain inputs, whose hot groups Spark can split.
-    first = stored(prints.groupBy("m", "l").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi"), "groups")
-    copies = stored(prints.join(first, ["m", "l"]).filter("id > lo").select("id").distinct(), "copies")
-    fresh = picked(docs.filter("text IS NOT NULL"), copies, "left_anti", MOST_IDS)
-    edges = docs.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
-    edges = sorted(set(edges or []))
-    index, hits = FingerprintIndex(spark, n, min(gram, n), fan), None
-    for k in range(len(edges) + 1):
-        batch = fresh
-        if k:
-            batch = batch.filter(F.col("id") > edges[k - 1])
-        if k < len(edges):
-            batch = batch.filter(F.col("id") <= edges[k])
-        history = fresh.filter(F.col("id") <= edges[k - 1]) if k else None
-        found = index.add(batch, history, edges[k - 1] if k else None)
-        hits = found if hits is None else hits.unionByName(found)
-    index.close()
-    # Rows without hits stay where they are; the rest meets its hits.
-    hits = hits.select("id", "ws", F.lit(False).alias("copy")).unionByName(copies.select("id", F.lit(None).cast("array<long>").alias("ws"), F.lit(True).alias("copy")))
-    touched = stored(hits.select("id").distinct(), "touched")
-    plain = picked(docs, touched, "left_anti", MOST_IDS).select("id", "text", F.lit(None).cast("array<long>").alias("ws"), F.lit(False).alias("copy"))
-    met = picked(docs, touched, "left_semi", MOST_IDS).join(hits.hint("shuffle_hash"), "id").select("id", "text", "ws", "copy")
-    out = _trimmed(plain, n, texts).unionByName(_trimmed(met, n, texts))
-    return out.withColumnRenamed("id", key).withColumnRenamed("text", text) if texts else out.withColumnRenamed("id", key)
+    The table goes through the index in ``batches`` parts of equal size. A given ``index`` must have been built with the same
+    ``n`` and ``gram``; ``history`` then holds the documents it indexed before."""
+    out = _judged(df.select(key, text), key, text, n, batches, gram, fan, index, history, True)
+    return out.select(F.col("c0").alias(key), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"), *[F.col("c1").alias(text)] * texts)
+
+
+def trimmed(df: DataFrame, n: int = WINDOW, batches: int = BATCHES, text: str = "text", key: str = "doc_id", gram: int = GRAM, fan: int = FAN, removed: str | None = None) -> DataFrame:
+    """``df`` with all its columns and what is left of each text; ``removed`` names a column for the number of words cut."""
+    out = _judged(df, key, text, n, batches, gram, fan, None, None, False)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)], *[F.col("_n_removed").alias(removed)] * bool(removed))

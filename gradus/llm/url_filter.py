@@ -9,7 +9,7 @@ refuses it is an odd one, so that membership over this universe is exact and a u
 Keys hold the length of the host, so that host and path cannot run into each other. A null url, or one without ``://``,
 has an empty host and path and fits no rule. Of the rules that fit, the longest (host and path together) wins, the longer
 host among equals; a listing of the same key twice counts once, and one with both verdicts as a block. Repeated urls are
-judged alike; other columns pass through, but those named like an output are replaced.
+judged alike; other columns pass through, but those named like an output are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from gradus.llm.common import stored
 
 #: Bits per encoded key and hash functions of a level.
 BITS, HASHES = 12, 4
-#: Most bytes of bitmaps that are put into expressions. Longer lists are joined instead.
+#: Most bytes of bitmaps that are put into expressions. A longer list is joined instead, with the same result.
 MOST_BYTES = 8 << 20
 
 
@@ -75,16 +75,18 @@ def _takes(key: Column, level: int, bitmap: list[int]) -> Column:
     return F.forall(_positions(key, level, bits), lambda p: F.call_function("shiftright", test(p), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
 
-def cascade(listed: DataFrame, universe: DataFrame) -> list[list[int]]:
-    """Bitmaps of all levels. Both frames hold distinct ``key`` values; the universe may or may not hold the listed."""
+def cascade(listed: DataFrame, universe: DataFrame) -> list[list[int]] | None:
+    """Bitmaps of all levels, or nothing where they outgrow ``MOST_BYTES``.
+
+    Both frames hold distinct ``key`` values; the universe may or may not hold the listed."""
     levels: list[list[int]] = []
     own, other = listed, universe.join(listed, "key", "left_anti")
     n = own.count()
     while n:
         k = len(levels)
+        if sum(map(len, levels)) * 8 + n * BITS // 8 > MOST_BYTES:
+            return None
         levels.append(_level(own, k, n))
-        if sum(map(len, levels)) * 8 > MOST_BYTES:
-            raise ValueError("the listed keys outgrow the cascade; join them instead")
         own, other = other.filter(_takes(F.col("key"), k, levels[-1])), own
         n = own.count()
     return levels
@@ -111,9 +113,24 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", de
     universe = stored(parsed.select("host", "path").distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c")).select("c.key").distinct(), "urlkeys")
     listed = cascade(keys.select("key").distinct(), universe)
     blocked = cascade(keys.filter("verdict = 'block'").select("key").distinct(), keys.select("key").distinct())  # only listed keys are asked for
-    hit = F.get(F.filter(candidate_keys(F.col("host"), F.col("path"), lengths), lambda c: contains(c.key, listed)), 0)
-    out = parsed.withColumn("_hit", hit)
+    if listed is None or blocked is None:
+        return _joined(parsed, keys, lengths, default)
+    hit = "_hit"
+    while hit in parsed.columns:
+        hit = "_" + hit
+    out = parsed.withColumn(hit, F.get(F.filter(candidate_keys(F.col("host"), F.col("path"), lengths), lambda c: contains(c.key, listed)), 0))
     return out.withColumns({
-        "rule": F.concat("_hit.host", "_hit.path"),
-        "verdict": F.when(F.col("_hit").isNull(), F.lit(default)).when(contains(F.col("_hit.key"), blocked), "block").otherwise("allow"),
-    }).drop("_hit")
+        "rule": F.concat(f"{hit}.host", f"{hit}.path"),
+        "verdict": F.when(F.col(hit).isNull(), F.lit(default)).when(contains(F.col(f"{hit}.key"), blocked), "block").otherwise("allow"),
+    }).drop(hit)
+
+
+def _joined(parsed: DataFrame, keys: DataFrame, lengths: list[int], default: str) -> DataFrame:
+    """The verdicts of distinct (host, path) pairs by a join of their candidate keys with the rules."""
+    pairs = parsed.select("host", "path").distinct()
+    asked = pairs.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c"))
+    rules = keys.groupBy(F.col("key").alias("_k")).agg(F.max("verdict").alias("_v"))  # block beats allow
+    best = asked.join(rules, F.col("c.key") == F.col("_k")).groupBy("_h", "_p").agg(F.max(F.struct("c.size", "c.host_size", F.concat("c.host", "c.path").alias("rule"), "_v")).alias("best"))
+    best = stored(best.select("_h", "_p", F.col("best.rule").alias("rule"), F.col("best._v").alias("_v")), "verdicts")
+    out = parsed.select(F.struct(*parsed.columns).alias("_row")).join(best, F.expr("_row.host = _h AND _row.path = _p"), "left")
+    return out.select("_row.*", "rule", F.coalesce("_v", F.lit(default)).alias("verdict"))

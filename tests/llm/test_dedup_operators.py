@@ -183,3 +183,77 @@ def test_gram_hashes_see_order_and_length():
     two = gram_hashes(words, 2)
     assert two[0] == two[6] != two[3]
     assert len(gram_hashes(words, 9)) == 0
+
+
+def test_rows_without_an_id(spark, vectors, texts):
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors[:30])] + [(None, vectors[0].tolist()), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = embed_dedup.near_duplicates(df).collect()
+    assert sorted((r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None) == [(0, None, True)] * 2
+    assert len(got) == len(rows)
+    assert {r["query_id"] for r in topk.top_k(df, F.lit(True)).collect()} == set(range(30))
+    named = spark.createDataFrame([*texts, (None, texts[0][1], "x"), (None, texts[0][1], "x")], "doc_id long, text string, size string")
+    got = [(r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(named).collect() if r["doc_id"] is None]
+    assert got == [(len(shingles(texts[0][1], 3)), None)] * 2
+    got = [(r["n_removed"], r["n_words"]) for r in substring_dedup.dedup(named).collect() if r["doc_id"] is None]
+    assert got == [(0, len(WORDS.findall(texts[0][1])))] * 2
+
+
+def test_string_keys(spark, texts):
+    rows = [(f"k{i:04d}", t, x) for i, t, x in texts]
+    df = spark.createDataFrame(rows, "doc_id string, text string, copy string")
+    want = trimmed(rows, 13)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(df).collect()} == {i: w[:3] for i, w in want.items()}
+
+
+def test_index_outlives_a_call_and_compacts(spark, texts):
+    rows = sorted({(i, t, x) for i, t, x in texts}, key=lambda r: r[0])
+    half = len(rows) // 2
+    table = lambda part: spark.createDataFrame(part, "doc_id long, text string, copy string")
+    want = trimmed(rows, 13)
+    with substring_dedup.FingerprintIndex(spark, 13) as index:
+        old = substring_dedup.dedup(table(rows[:half]), index=index, batches=3)
+        assert {r["doc_id"]: r["n_removed"] for r in old.collect()} == {i: want[i][1] for i, _, _ in rows[:half]}
+        assert len(index.runs) == 3 and index.compactions == 0
+        new = substring_dedup.dedup(table(rows[half:]), index=index, batches=2, history=table(rows[:half]))
+        assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in new.collect()} == {i: want[i][1:3] for i, _, _ in rows[half:]}
+        assert len(index.runs) == 2 and index.compactions == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gradus_")]
+
+
+def test_the_registered_batches_compact():
+    assert substring_dedup.BATCHES > substring_dedup.FAN
+
+
+def test_hot_fingerprints_stay_out_of_the_buckets(spark):
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(14)]
+    rows = [(i, " ".join([*(f"a{i}x{k}" for k in range(int(rng.integers(3, 9)))), *passage, *(f"b{i}x{k}" for k in range(5))]), "x") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copy string")
+    with substring_dedup.FingerprintIndex(spark, 13) as index:
+        got = substring_dedup.dedup(df, index=index, batches=2)
+        want = trimmed(rows, 13)
+        assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in got.collect()} == {i: w[1:3] for i, w in want.items()}
+        assert sum(spark.table(t).count() for t in index.hot) >= 900
+
+
+def test_suffix_filter_keeps_linked_pairs(spark):
+    """Of random pairs of sets around the threshold, every linked pair passes; most distant ones do not."""
+    rng = np.random.default_rng(3)
+    t = jaccard.Threshold(80, 100)
+    rows, truth = [], {}
+    for i in range(120):
+        common = rng.integers(0, 1 << 63, int(rng.integers(40, 300)), dtype=np.uint64)
+        more = [rng.integers(0, 1 << 63, int(len(common) * rng.uniform(0, 0.3)), dtype=np.uint64) for _ in range(2)]
+        pair = [np.unique(np.concatenate([common, m])) for m in more]
+        for side, u in enumerate(pair):
+            rows.append((2 * i + side, len(u), np.frombuffer(jaccard.signature(u), np.int64).tolist(), u[: t.prefix(len(u))].view(np.int64).tolist()))
+        prefix = [r[3] for r in rows[-2:]]
+        at = [k for k, x in enumerate(prefix[0]) if x in set(prefix[1])]
+        if at:
+            truth[2 * i] = (at[0], len(np.intersect1d(*pair)) * 180 >= 80 * (len(pair[0]) + len(pair[1])))
+    lines = spark.createDataFrame(rows, "id long, size long, sig array<long>, prefix array<long>")
+    pairs = spark.createDataFrame([(a, a + 1, p) for a, (p, _) in truth.items()], "a long, b long, p int")
+    passed = {r["a"] for r in jaccard._suffixed(pairs, lines, t).collect()}
+    linked = {a for a, (_, good) in truth.items() if good}
+    assert linked <= passed and 0 < len(linked) < len(truth)

@@ -28,6 +28,44 @@ def test_blocks_give_forward_backward():
         assert np.allclose(q / q.sum(1, keepdims=True), got[a:b], atol=1e-4)
 
 
+def test_gradient_of_log_likelihood():
+    """Expected words and moves are the numerical gradient of log Z."""
+    rng = np.random.default_rng(7)
+    scores, moves = rng.standard_normal((5, 12, 3)), 2 * rng.standard_normal((3, 3))
+
+    def log_z(s, m):
+        total = 0.0
+        for chain in s:
+            a = chain[0]
+            for row in chain[1:]:
+                a = np.logaddexp.reduce(a[:, None] + m, axis=0) + row
+            total += np.logaddexp.reduce(a)
+        return total
+
+    gamma, pairs = langid.expectations(scores, moves)
+    step = 1e-5
+    for a in range(3):
+        for b in range(3):
+            d = np.zeros((3, 3))
+            d[a, b] = step
+            assert pairs[a, b] == pytest.approx((log_z(scores, moves + d) - log_z(scores, moves - d)) / (2 * step), abs=1e-5)
+    for at in ((0, 0, 0), (2, 5, 1), (4, 11, 2)):
+        d = np.zeros_like(scores)
+        d[at] = step
+        assert gamma[at] == pytest.approx((log_z(scores + d, moves) - log_z(scores - d, moves)) / (2 * step), abs=1e-5)
+
+
+def test_clashing_columns_pass_through(spark, sf):
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text", "lang", *[F.lit(i).alias(c) for i, c in enumerate(("key", "h", "y", "c0", "id", "_key"))])
+    model = langid.fit(docs, F.lit(True))
+    out = langid.labelled(docs.withColumn("lang_pred", F.lit("old")), model)
+    assert out.columns == [*docs.columns, "lang_pred", "score"]
+    assert out.filter("lang_pred <> lang").count() <= 0.03 * docs.count()
+    scored = quality.scored(docs, quality.fit(docs, queries.table(spark, sf, "labels"), F.lit(True)))
+    assert scored.columns == [*docs.columns, "score", "predicted"]
+    assert scored.filter("key <> 0 OR _key <> 5").count() == 0
+
+
 def test_language_query(spark, sf):
     rows = queries.op5_language_id(spark, sf).collect()
     truth = {r["doc_id"]: r["lang"] for r in queries.table(spark, sf, "documents").collect()}
@@ -77,6 +115,9 @@ def test_pieces_hold_every_ngram_once():
 def test_shape_takes_whole_tokens():
     assert quality.shape("Ab1!!") == "Xx0!+"
     assert quality.shape("a" * 40 + "1" + "a" * 5000) == "x+0x+"
+    pairs, offsets = quality.tokens(["Go go gone", None, "go"])
+    assert offsets.tolist() == [0, 4, 5, 7]
+    assert pairs[:, 1].tolist()[1] == quality.AGAIN and [pairs[i - 1, 1] for i in offsets[1:]] == [quality.END] * 3 and pairs[5, 1] != quality.AGAIN
 
 
 def test_quality_query(spark):
@@ -128,6 +169,77 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in packed.collect()} == before
 
 
+def test_pipeline_stages_against_brute_force(spark, sf):
+    """Near-duplicates, passages and packing on a small frame with clashing columns; the first two stages by their operators."""
+    words = [f"w{i}" for i in range(300)]
+    rng = np.random.default_rng(12)
+    base = [list(rng.choice(words, int(n))) for n in rng.integers(15, 60, 20)]
+    passage = list(rng.choice(words, 25))
+    texts = [" ".join(b) for b in base]
+    for b in base[:8]:
+        for _ in range(3):
+            near = list(b)
+            near[int(rng.integers(0, len(near)))] = "new"
+            texts.append("  ".join(near))
+    texts += [" ".join([*b[:9], *passage, *b[9:]]) for b in base[8:14]] + [texts[0], "", "a"]
+    rows = [(i, t, "en", "s", len(t), -i, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, _key string")
+
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    own = {i: sets(t) for i, t, *_ in rows}
+    top = {i: i for i in own}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in own:
+        for b in own:
+            if a < b and own[a] and own[b] and 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b]):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    want = {i: t for i, t, *_ in rows if find(i) == i}
+    assert {r["doc_id"]: (r["text"], r["id"], r["_key"]) for r in kept.collect()} == {i: (t, -i, "x") for i, t in want.items()}
+    first = {}
+    for i, t in sorted(want.items()):
+        w = t.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    cut = {}
+    for i, t in want.items():
+        w = t.split()
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        cut[i] = [x for j, x in enumerate(w) if j not in gone]
+    trimmed = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(kept.collect(), docs.schema), sf)
+    got = trimmed.collect()
+    assert trimmed.columns == docs.columns and {r["doc_id"]: r["text"].split() for r in got} == cut
+    assert any(len(cut[i]) < len(want[i].split()) for i in want)
+    assert all(r["n_chars"] == len(r["text"]) and r["id"] == -r["doc_id"] for r in got)
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame(got, docs.schema), sf).collect()
+    assert {r["doc_id"] for r in packed} == set(cut) and len({r["sequence_id"] for r in packed}) == 1
+    lang = {r["doc_id"] for r in langid.predict(docs, langid.fit(docs, ~(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2))).filter("lang_pred <> 'und' AND score >= 0.5").collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, sf).collect()} == lang == {r[0] for r in rows if r[1]}
+
+
+def test_pipeline_of_empty_tables_and_its_files(spark, sf, tmp_path):
+    docs = queries.table(spark, sf, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    rows = corpus_pipeline.run(spark, sf).count()
+    assert 0 < rows <= docs.count() * 1.2
+    assert {x.split("-")[0] for x in set(os.listdir(shared)) - before} == {"pieces"}
+
+
 def test_pipeline_keeps_documents_without_an_id_of_their_own(spark, sf):
     words = [f"w{i}" for i in range(600)]
     rng = np.random.default_rng(6)

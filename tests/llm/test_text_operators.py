@@ -145,3 +145,75 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 1
     assert wrong.count() == 0
     assert url_filter.cascade(listed.limit(0), universe) == []
+
+
+def test_chat_ties_go_by_the_texts_as_they_come(spark):
+    rows = [(1, 0, "user", t) for t in ("<turn", "<a", "\\b", "\\", "<u")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(df.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    r = out.withColumn("back", chat.read_back(F.col("formatted"), F.col("turns"))).first()
+    assert [b["text"] for b in r["back"]] == sorted(t for _, _, _, t in rows)
+
+
+def test_another_pattern_is_not_cut_into_chunks(spark):
+    path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), r"\s*\S+\s*|\s+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    text = "one  two \n\n three  "
+    assert bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), pattern=pattern).first()["ids"] == own.encode_ordinary(text)
+
+
+def test_memo_is_bounded_by_characters():
+    from gradus.llm.common import Memo
+
+    made = []
+    memo = Memo(lambda ws: [made.append(w) or len(w) for w in ws], 10**6, "test")
+    memo.MOST_CHARS = 1000
+    long = "x" * (Memo.LONG + 1)
+    for i in range(50):
+        rows = [[f"{i:03d}" + "y" * 97, long]]
+        got = memo.table(rows)
+        assert [got[w] for w in rows[0]] == [100, len(long)]
+        assert sum(map(len, memo.new)) + sum(map(len, memo.old)) <= 2500
+    assert made.count(long) == 50
+
+
+def test_rules_beyond_the_bitmaps_are_joined(spark, monkeypatch):
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("allow", "com", "/de/")]
+    urls = ["http://a.example.org/es/1", "http://example.org/", "http://x.com/de/?q", "https://y.com/fr/", None, "nothing", "http://z.net/", "http://z.net/"]
+    df = spark.createDataFrame([(i, u, i) for i, u in enumerate(urls)], "page_id long, url string, _hit long")
+    want = sorted(map(tuple, url_filter.judge(df, rules).collect()), key=str)
+    assert all(r[2] == r[0] for r in want)
+    monkeypatch.setattr(url_filter, "MOST_BYTES", 0)
+    assert sorted(map(tuple, url_filter.judge(df, rules).collect()), key=str) == want
+
+
+def test_equal_rows_spread_over_shards(spark):
+    df = spark.createDataFrame([(None, "same text")] * 3000, "doc_id long, text string").repartition(1)
+    cut = packing.pieces(df, shards=16)
+    assert {r["count"] for r in cut.groupBy("_shard").count().collect()} <= {187, 188}
+    rows = packing.best_fit(df, size=64).collect()
+    assert len(rows) == 3000 == len({(r["sequence_id"], r["offset"]) for r in rows})
+
+
+def test_queries_match_the_libraries_on_whole_tables(spark, sf):
+    """op2 and op9 of the smallest tables, row by row."""
+    from gradus.llm import queries
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, sf, "documents").collect()}
+    got = queries.op2_byte_bpe(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        want = own.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = {i: [*words.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    rows = queries.op9_best_fit(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == {
+        (i, k, k * 4096, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for i, x in ids.items() for k in range(-(-len(x) // 4096)) for p in [x[k * 4096 : (k + 1) * 4096]]
+    }
+    check_packing(rows, 4096)
