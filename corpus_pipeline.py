@@ -1,10 +1,14 @@
 """Corpus pipeline: language ID, quality, near-duplicates, repeated passages, packing.
 
 Every stage takes the documents that its predecessor kept and, but for the last, returns the columns of documents. Extra
-columns of the documents pass through all filters.
+columns of the documents pass through all filters, whatever their names. The first two stages judge each row where it lies,
+by its own text; the third sends the keys of what goes, not texts; the fourth cuts texts where they lie, but for those that
+have something to cut.
 
 A document is a pair of doc_id and text: rows under one id with different texts, or without an id, are documents of their own,
-judged one by one. In the order of documents null ids come last, and texts under one id go by their md5.
+judged one by one. In the order of documents null ids come last, and texts under one id go by their md5. Null and empty
+texts have no language and go in the first stage. Repeated rows are one document, of which the third stage keeps one row. An
+empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -13,64 +17,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm import jaccard, langid, packing, quality, substring_dedup
-from gradus.llm.common import id_hash_mod, stored
+from gradus.llm.common import Scratch, dropped, id_hash_mod, picked, stored
 
 #: A document goes whose best language has a smaller mean posterior than this, or that has no letter.
 LEAST_LANGUAGE = 0.5
+#: Most keys of documents to drop that are broadcast; more are shuffled.
+MOST_IDS = 1_000_000
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` with the key ``_key`` of each row's document, in the order of documents, and whether rows repeat a document.
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be new."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
-    The key is the doc_id where every row has one and none has two texts; else a number given to the sorted pairs."""
-    text = F.md5(F.col("text").cast("binary"))
-    pairs = stored(docs.groupBy("doc_id", text.alias("_m")).agg(F.count("*").alias("_n")), "pairs")
-    n = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("doc_id").alias("ids"), F.max("_n").alias("most")).first()
-    repeated = (n["most"] or 0) > 1
-    if n["pairs"] == n["ids"]:
-        return docs.withColumn("_key", F.col("doc_id")), repeated
-    order = pairs.orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_first("_m"))
-    keys = stored(order.select(F.col("doc_id").alias("_id"), "_m", F.monotonically_increasing_id().alias("_key")), "keys")  # rises along the order
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & text.eqNullSafe(F.col("_m"))).select(*docs.columns, "_key"), repeated
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """``docs`` with a key of each row's document, in the order of documents; the key's name; whether rows repeat a document.
 
-def _kept(docs: DataFrame, judged: DataFrame, keep) -> DataFrame:
-    """Rows of the keyed ``docs`` whose judgement ``keep`` holds for; one judgement for each key."""
-    good = stored(judged.filter(keep).select("_key").distinct(), "good")
-    return docs.join(good, "_key", "left_semi").drop("_key")
+    The key is the doc_id where every row has one of its own; else a number given to the sorted pairs of id and text."""
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        return docs, "doc_id", False
+    key, text = _fresh(docs, "key"), F.md5(F.col("text").cast("binary"))
+    pairs = stored(docs.groupBy("doc_id", text.alias("_m")).agg(F.count("*").alias("_n")), "pairs")
+    order = pairs.orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_first("_m"))
+    keys = stored(order.select(F.col("doc_id").alias("_id"), F.col("_m").alias("_md5"), F.monotonically_increasing_id().alias("_k")), "keys")  # rises along the order
+    met = docs.select(F.struct(*docs.columns).alias("_row")).join(keys, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.md5(F.col("_row.text").cast("binary")).eqNullSafe(F.col("_md5")))
+    return met.select("_row.*", F.col("_k").alias(key)), key, (pairs.agg(F.max("_n")).first()[0] or 0) > 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter, or no language that most of the words speak for."""
-    held = id_hash_mod("doc_id", 4) == 2
-    keyed, _ = _keyed(docs)
-    judged = langid.predict(keyed, langid.fit(docs, ~held), key="_key")
-    return _kept(keyed, judged, (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
+    lang, score = _fresh(docs, "lang_pred"), _fresh(docs, "score")
+    model = langid.fit(docs, ~(id_hash_mod("doc_id", 4) == 2))
+    judged = langid.labelled(docs, model, lang_pred=lang, score=score)
+    return judged.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects; a label counts for all texts of its id."""
-    held = id_hash_mod("doc_id", 5) == 0
-    keyed, _ = _keyed(docs)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(keyed.select("doc_id", "_key").distinct(), "doc_id")
-    return _kept(keyed, quality.score(keyed, labels, ~held, key="_key"), F.col("predicted") == 1)
+    score, predicted = _fresh(docs, "score"), _fresh(docs, "predicted")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, ~(id_hash_mod("doc_id", 5) == 0))
+    return quality.scored(docs, model, score=score, predicted=predicted).filter(F.col(predicted) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group linked by a Jaccard similarity of 0.8 over five-word shingles, and one row of it."""
-    keyed, repeated = _keyed(docs)
-    judged = jaccard.near_duplicates(keyed, n=5, num=80, den=100, key="_key")
-    once = keyed.dropDuplicates(["_key"]) if repeated else keyed
-    return _kept(once, judged, F.col("_key") == F.col("component_id"))
+    keyed, key, repeated = _keyed(docs)
+    with Scratch(spark) as scratch:
+        judged = jaccard.near_duplicates(keyed.select(F.col(key).alias("id"), "text"), n=5, num=80, den=100, key="id")
+        gone = scratch.result(judged.filter("id <> component_id").select("id").distinct(), "gone")
+    once = keyed.dropDuplicates([key]) if repeated else keyed
+    return picked(once, gone, "left_anti", MOST_IDS, key).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 13 words and more that an earlier document holds; the rest of a text stays as it is."""
-    keyed, repeated = _keyed(docs)
-    cut = substring_dedup.dedup(keyed, texts=True, key="_key").select("_key", F.col("text").alias("_cut"))
-    out = keyed.join(cut.dropDuplicates(["_key"]) if repeated else cut, "_key")
-    changed = {"text": F.col("_cut")} | ({"n_chars": F.length("_cut").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+    keyed, key, _ = _keyed(docs)
+    removed = _fresh(keyed, "removed")
+    out = substring_dedup.trimmed(keyed, key=key, removed=removed)
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,10 +103,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies every stage to the documents; each stage's rows are stored and read again as the next one's."""
+    """Applies every stage to the documents; each stage's rows are stored and read again as the next one's, then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, "stage")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with Scratch(spark) as scratch:
+            kept = scratch.result(stage(spark, docs, sf_dir), "stage")
+        if k:
+            dropped(docs)
+        docs = kept
+    out = STAGES[-1][1](spark, docs, sf_dir)  # holds its own stored pieces
+    dropped(docs)
+    return out
