@@ -114,7 +114,7 @@ def bounded_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
     return df if n <= most else df.filter(h.bitwiseAND(F.lit(0x7FFFFFFF)) < int(most / n * (1 << 31)))
 
 
-def slices(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20):
     """Parts of a batch that hold about ``most`` bytes of text at a time, so that memory stays bounded."""
     n = batch.num_rows
     if not n:
@@ -126,6 +126,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, base + most)))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -152,16 +153,22 @@ class Memo:
         self.empty()
         Memo.everyone.add(self)
 
+    @classmethod
+    def enter(cls, owner: str) -> None:
+        """Empties the tables of all other owners, once."""
+        if cls.in_use != owner:
+            cls.in_use = owner
+            for memo in cls.everyone:
+                if memo.owner != owner:
+                    memo.empty()
+            pa.default_memory_pool().release_unused()
+
     def empty(self) -> None:
         self.new, self.old, self.chars, self.once = {}, {}, 0, []
 
     def table(self, rows: list[list[str]]) -> dict:
         """A dict that holds every string of ``rows``."""
-        if Memo.in_use != self.owner:
-            Memo.in_use = self.owner
-            for other in Memo.everyone:
-                if other.owner != self.owner:
-                    other.empty()
+        Memo.enter(self.owner)
         for w in self.once:
             self.new.pop(w, None)
         self.once = []

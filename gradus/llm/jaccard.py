@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Scratch, connected_components, dropped, gram_hashes, mix, picked, slices, stored, word_hashes
+from gradus.llm.common import Memo, Scratch, connected_components, dropped, gram_hashes, mix, picked, slices, stored, word_hashes
 
 #: Counters of the sketch for each row of the table, as many as a power of two from LEAST to MOST; counters of a block.
 PER_ROW, LEAST, MOST, COUNTERS = 16, 16, 22, 1 << 16
@@ -97,6 +97,7 @@ def _sets(df: DataFrame, n: int, counters: int) -> DataFrame:
     order-free 64-bit hashes of the set. Rows of the sketch: (block, counts), a task's counters, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.enter("jaccard")
         total = np.zeros(counters, np.int32)
         kind = None
         for batch in batches:
@@ -149,6 +150,7 @@ def _prefixes(df: DataFrame, n: int, t: Threshold, sketch: np.ndarray) -> DataFr
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.enter("jaccard")
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
         for batch in batches:
@@ -194,6 +196,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, widths: DataFrame, n: int, t: T
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.enter("jaccard")
         at, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):

@@ -35,7 +35,7 @@ from gradus.llm.common import Memo, slices
 #: Most rows that training takes, and about as many characters of all their texts.
 SAMPLE, CHARS = 2000, 2_500_000
 #: Words of a training sequence, rounds of training, words of a block, entries of a worker's table of words.
-SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 300_000
+SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 120_000
 #: Most characters of a word that is scored in one piece.
 PIECE = 80
 UNKNOWN = "und"
@@ -306,7 +306,7 @@ def labelled(df: DataFrame, model: Crf | None, text: str = "text", lang_pred: st
         crf = shared.value
         names = np.array([*crf.languages, UNKNOWN], object)
         for batch in batches:
-            for part in slices(batch, at, 2 << 20):
+            for part in slices(batch, at, 1 << 20):
                 gamma, offsets, lettered = label_texts(crf, part.column(at).to_pylist())
                 sums = np.vstack([np.zeros((1, len(crf.languages))), np.cumsum(np.where(lettered[:, None], gamma, 0), axis=0, dtype=np.float64)])
                 count = np.concatenate([[0], np.cumsum(lettered)])

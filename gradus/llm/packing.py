@@ -28,7 +28,7 @@ from gradus.llm.common import Memo, slices, stored
 
 SIZE = 4096
 #: Entries of a worker's table of words already encoded; it starts anew beyond it.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class WordCache:

@@ -36,7 +36,7 @@ BUCKETS = WORDS + SHAPES
 #: Buckets of the shapes of a repeated word and of the end of a text; length of a document vector.
 AGAIN, END, WIDTH = BUCKETS - 2, BUCKETS - 1, 2 * DIMENSIONS
 #: Most labelled rows, hidden units, epochs; entries of a worker's table of tokens.
-SAMPLE, HIDDEN, EPOCHS, CACHE = 20_000, 24, 60, 300_000
+SAMPLE, HIDDEN, EPOCHS, CACHE = 20_000, 24, 60, 120_000
 THRESHOLD = 0.3
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 

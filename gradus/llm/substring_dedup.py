@@ -4,7 +4,7 @@ A window is ``n`` consecutive words of one document; a word goes if a window tha
 smaller id. A window's fingerprint is the smallest hash of its ``gram``-word runs, so that neighbouring windows mostly share
 theirs and equal windows always do. The index holds, for each batch of documents, an immutable run: a table of
 (fingerprint, id), bucketed and sorted by fingerprint. A new batch is written as a run and merge-joined with itself and the
-older runs, bucket by bucket and without a shuffle. When ``fan`` runs have gathered they are compacted into one. Fingerprints
+older runs, bucket by bucket and without a shuffle. Once ``fan`` runs have gathered, the next batch compacts them into one first. Fingerprints
 found in two documents mark both. At the end the marked documents' windows behind shared fingerprints are verified, once for
 all batches: they are compared by the hash of all their words, and the smallest id that has one wins. Texts are thus read
 once to index and once to verify, however many batches there are.
@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gradus.llm.common import Scratch, dropped, gram_hashes, picked, slices, stored, tidy_shuffles, word_hashes
+from gradus.llm.common import Memo, Scratch, dropped, gram_hashes, picked, slices, stored, tidy_shuffles, word_hashes
 
-WINDOW, GRAM, FAN, BATCHES = 13, 6, 4, 5
+WINDOW, GRAM, FAN, BATCHES = 13, 6, 2, 3
 #: Most ids that are broadcast to pick out texts; more are shuffled.
 MOST_IDS = 1_000_000
 #: A fingerprint with more than this part of a batch's rows is hot; items that the sketch tracks.
@@ -66,6 +66,7 @@ def _anchors(docs: DataFrame, n: int, gram: int) -> DataFrame:
     """(fp, id): the fingerprints of each document, those of neighbouring windows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.enter("substring")
         for batch in batches:
             for part in slices(batch, "text"):
                 words, _, _, offsets = word_hashes(part.column("text"))
@@ -81,6 +82,7 @@ def _windows(docs: DataFrame, n: int, gram: int) -> DataFrame:
     """(w, id): hashes of the windows whose fingerprint is among the document's ``fps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.enter("substring")
         for batch in batches:
             for part in slices(batch, "text"):
                 words, _, _, offsets = word_hashes(part.column("text"))
@@ -116,22 +118,22 @@ class FingerprintIndex:
     def __exit__(self, *error) -> None:
         self.close()
 
-    def _write(self, rows: DataFrame, known: list[int]) -> tuple[str, str, list[int]]:
-        """Names of the run and of the hot rows' table, and the hot fingerprints: those of ``known`` and the frequent ones."""
+    def _write(self, rows: DataFrame) -> tuple[str, str | None, list[int]]:
+        """Names of the run and of the hot rows' table, if there are any, and the hot fingerprints, old and new."""
         found = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(fp, {2 * HOT}, {TRACKED})").alias("top")).first()
         self.buckets = max(self.buckets, found["n"] // PER_BUCKET)
+        known = [r["fp"] for r in self._of(self.hot).select("fp").distinct().collect()] if self.hot else []  # 2 * HOT a run at most
         hot = sorted({*known, *(x["item"] for x in found["top"] or [] if x["count"] > max(1, found["n"] // HOT))})
         run, aside = f"gradus_run_{uuid.uuid4().hex}", f"gradus_hot_{uuid.uuid4().hex}"
-        listed = F.broadcast(self._fps(hot))
+        listed = F.broadcast(self.spark.createDataFrame([(v,) for v in hot], "fp long"))
         with tidy_shuffles(self.spark):
             self.runs.append(run)
-            rows.join(listed, "fp", "left_anti").repartition(self.buckets, "fp").write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(run)
-            self.hot.append(aside)
-            rows.join(listed, "fp", "left_semi").write.format("parquet").saveAsTable(aside)
-        return run, aside, hot
-
-    def _fps(self, values: list[int]) -> DataFrame:
-        return self.spark.createDataFrame([(v,) for v in values], "fp long")
+            plain = rows.join(listed, "fp", "left_anti") if hot else rows
+            plain.repartition(self.buckets, "fp").write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(run)
+            if hot:
+                self.hot.append(aside)
+                rows.join(listed, "fp", "left_semi").write.format("parquet").saveAsTable(aside)
+        return run, aside if hot else None, hot
 
     def _of(self, names: list[str]) -> DataFrame:
         out = self.spark.table(names[0])
@@ -140,36 +142,39 @@ class FingerprintIndex:
         return out
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Indexes a batch of (id, text): (fp, id) of its documents and earlier ones that share fingerprints, stored."""
+        """Indexes a batch of (id, text): (fp, id) of its documents and earlier ones that share fingerprints, stored.
+
+        Runs that have gathered are compacted first."""
+        if len(self.runs) >= self.fan:
+            self.compact()
         with Scratch(self.spark) as scratch:
             rows = stored(_anchors(batch, self.n, self.gram), "anchors")
             old, aside = list(self.runs), list(self.hot)
-            known = [r["fp"] for r in self._of(aside).select("fp").distinct().collect()] if aside else []  # 2 * HOT a run at most
-            new, hot_rows, hot = self._write(rows, known)
+            new, hot_rows, hot = self._write(rows)
+            dropped(rows)
             own = self.spark.table(new)
-            low = own.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-            met = F.col("lo") < F.col("hi")
-            for k, run in enumerate(old):
-                low = low.join(self.spark.table(run).groupBy("fp").agg(F.lit(True).alias(f"in{k}")), "fp", "left")
-                met = met | F.coalesce(f"in{k}", F.lit(False))
-            shared = low.filter(met).select("fp")
-            marked = self.spark.table(hot_rows).unionByName(own.join(shared, "fp", "left_semi"))
-            for run in old:
-                marked = marked.unionByName(self.spark.table(run).join(shared, "fp", "left_semi"))
+            low = own.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("fp")
+            parts = [own.join(low, "fp", "left_semi")]
+            if old:  # merges of sorted buckets: what the runs share with the batch
+                before = self.spark.table(old[0]).join(own, "fp", "left_semi")
+                for run in old[1:]:
+                    before = before.unionByName(self.spark.table(run).join(own, "fp", "left_semi"))
+                before = stored(before, "before")
+                parts += [before, own.join(stored(before.select("fp").distinct(), "met"), "fp", "left_semi")]
             if hot:
-                listed = F.broadcast(self.spark.table(hot_rows).select("fp").distinct())
-                for name in old + aside:
-                    marked = marked.unionByName(self.spark.table(name).join(listed, "fp", "left_semi"))
-            out = scratch.result(marked, "marked")
-            if len(self.runs) >= self.fan:
-                self.compact()
-        return out
+                listed = F.broadcast(self.spark.createDataFrame([(v,) for v in hot], "fp long"))
+                parts += [self.spark.table(name).join(listed, "fp", "left_semi") for name in old + aside]
+                parts.append(self.spark.table(hot_rows))
+            marked = parts[0]
+            for part in parts[1:]:
+                marked = marked.unionByName(part)
+            return scratch.result(marked, "marked")
 
     def compact(self) -> None:
         """Merges all runs into one; a fingerprint that is hot no more joins the others."""
         runs, aside, self.runs, self.hot = self.runs, self.hot, [], []
         try:
-            self._write(self._of(runs + aside), [])
+            self._write(self._of(runs + aside))
         finally:
             self._drop(runs + aside)
         self.compactions += 1
@@ -204,6 +209,7 @@ def _trimmed(rows: DataFrame, at: int, n: int, digest: bool) -> DataFrame:
     names = [f.name for f in more_fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Memo.enter("substring")
         for batch in batches:
             for part in slices(batch, at):
                 size, removed, sha, kept = [], [], [], []
