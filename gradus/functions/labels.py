@@ -60,3 +60,15 @@ def modality(text: Column) -> Column:
     for name, words in reversed(MODALITIES):
         out = F.when(F.lower(text).rlike("|".join(words)), name).otherwise(out)
     return out
+
+
+#: Species by taxonomy id.
+SPECIES = {9606: "human", 10090: "mouse", 10116: "rat", 7227: "fruitfly", 6239: "c_elegans", 4932: "yeast"}
+
+
+def species(taxid: Column) -> Column:
+    """Name of a species; ``other`` for an unlisted id, ``unknown`` for none."""
+    out = F.lit("other")
+    for k, name in SPECIES.items():
+        out = F.when(taxid == k, name).otherwise(out)
+    return F.when(F.coalesce(taxid, F.lit(0)) == 0, "unknown").otherwise(out)

@@ -1,47 +1,42 @@
-"""Text perturbations that apply one replacement after the other; Arrow-batched, since each step sees the last one's result."""
+"""Text perturbations as folds of column expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Made-up symbols and directional word pairs, each swapped both ways.
 FAKE_GENES = ["XYZQ1", "FAKE7", "BOGN3", "NULLP2"]
 PAIRS = [("extends", "shortens"), ("increase", "decrease"), ("increases", "decreases"), ("increased", "decreased"), ("upregulated", "downregulated"), ("upregulates", "downregulates"), ("longer", "shorter"), ("elevated", "reduced"), ("activate", "inhibit"), ("activates", "inhibits"), ("activated", "inhibited"), ("promotes", "suppresses"), ("promote", "suppress"), ("enhanced", "diminished"), ("pro-longevity", "anti-longevity"), ("lifespan extension", "lifespan shortening")]
+#: First of the private characters that stand for words on their way to the other side.
+PRIVATE = 0xE000
 
 
-def _swap(text: str) -> str:
-    """All words at once, so that nothing is swapped back."""
-    other = {a: b for x, y in PAIRS for a, b in ((x, y), (y, x))}
-    return re.sub(r"\b(" + "|".join(sorted(other, key=len, reverse=True)) + r")\b", lambda m: other[m[0].lower()], text, flags=re.IGNORECASE)
+def swaps() -> list[tuple[str, str, str]]:
+    """(word, private character, its opposite), longer words first."""
+    both = sorted({(a, b) for x, y in PAIRS for a, b in ((x, y), (y, x))}, key=lambda p: (-len(p[0]), p[0]))
+    return [(a, chr(PRIVATE + i), b) for i, (a, b) in enumerate(both)]
 
 
-def _fake(text: str, genes: list[str]) -> str:
-    done = 0
-    for g in list(genes)[:4]:
-        new = re.sub(rf"\b{re.escape(g)}\b", FAKE_GENES[done], text, count=1)
-        if new != text:
-            text, done = new, done + 1
-        if done == 2:
-            break
+def flipped(text: Column) -> Column:
+    """Every directional word in its opposite; first all words become private characters, so that nothing is swapped back."""
+    for word, mark, _ in swaps():
+        text = F.regexp_replace(text, rf"(?iU)\b{word}\b", mark)
+    for _, mark, other in swaps():
+        text = F.replace(text, F.lit(mark), F.lit(other))
     return text
 
 
-def _swap_all(t: pd.Series) -> pd.Series:
-    return t.map(_swap, na_action="ignore")
-
-
-def _fake_all(t: pd.Series, genes: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else _fake(x, g if g is not None else []) for x, g in zip(t, genes)])
-
-
-def flipped(text: Column) -> Column:
-    return F.pandas_udf(_swap_all, "string")(text)
+def wrong_genes(text: Column, genes: Column, most: int = 2, among: int = 4) -> Column:
+    """The first mentions of up to ``most`` of the first ``among`` genes become made-up symbols."""
+    fakes = F.array(*map(F.lit, FAKE_GENES))
 
+    def one(state: Column, gene: Column) -> Column:
+        at = F.regexp_instr(state.text, F.concat(F.lit(r"(?U)\b\Q"), gene, F.lit(r"\E\b")))
+        fake = F.get(fakes, state.used)
+        put = F.concat(state.text.substr(F.lit(1), at - 1), fake, state.text.substr(at + F.length(gene), F.length(state.text)))
+        changes = (state.used < most) & (at > 0) & (gene != fake)
+        return F.when(changes, F.struct(put.alias("text"), (state.used + 1).alias("used"))).otherwise(state)
 
-def wrong_genes(text: Column, genes: Column) -> Column:
-    """The first mentions of up to two of the first four genes become made-up symbols."""
-    return F.pandas_udf(_fake_all, "string")(text, genes)
+    found = F.coalesce(genes, F.array().cast("array<string>"))
+    return F.aggregate(F.slice(found, 1, among), F.struct(text.alias("text"), F.lit(0).alias("used")), one).text

@@ -101,3 +101,34 @@ def variants(df: DataFrame) -> DataFrame:
     rows = df.withColumn("variant", F.explode(F.array(*map(F.lit, VARIANTS))))
     parts = sorted({p for v in VARIANTS.values() for p in v})
     return rows.withColumns({p: F.when(F.col("variant").isin([v for v, shown in VARIANTS.items() if p in shown]), F.col(p)) for p in parts})
+
+
+def gene_text(gene: Column, name: Column) -> Column:
+    """A gene with its full name where that is known."""
+    return F.concat(gene, F.coalesce(F.concat(F.lit(" ("), given(name), F.lit(")")), F.lit("")))
+
+
+def assay_text(kind: Column) -> Column:
+    return F.when(kind == "R", "RNA-seq").otherwise("microarray")
+
+
+def experiment_block(cells: Column, model: Column, treatment: Column, control: Column, replicates: Column, analysis: Column, down: Column, up: Column) -> Column:
+    """The experiment between tags, and the genes that its treatment changes between tags of their own; missing parts are left out."""
+    part = lambda words, x: F.concat(F.lit(words), x.cast("string"), F.lit("."))
+    text = F.concat_ws(" ", part("Cells: ", cells), part("Model: ", model), part("Treatment: ", treatment), part("Control: ", control), part("Replicates: ", replicates), part("Analysis: ", given(analysis)))
+    genes = F.concat_ws("; ", F.concat(F.lit("lowered: "), given(down)), F.concat(F.lit("raised: "), given(up)))
+    context = F.when(genes != "", F.concat(F.lit("\n<gene_context>\nGenes changed on purpose: "), genes, F.lit(".\n</gene_context>")))
+    return F.concat(F.lit("<experiment>\n"), text, F.lit("\n</experiment>"), F.coalesce(context, F.lit("")))
+
+
+def follow_up(gene: Column, logfc: Column, p: Column, accession: Column, effect: Column, kind: Column, reference: Column) -> Column:
+    """What is known about an answer: change with four digits, p-value in scientific notation, source and annotation."""
+    sort = F.when(~given(kind).isin("Unclear"), F.concat(F.lit(" ("), kind, F.lit(")")))
+    known = F.concat(gene, F.lit(" "), F.lower(given(effect)), F.lit(" senescence"), F.coalesce(sort, F.lit("")), F.lit("."))
+    return F.concat_ws(" ", F.format_string("%s: log2FC %.4f, p %.2e.", gene, logfc, p), F.concat(F.lit("Source: "), accession, F.lit(".")), known, F.concat(F.lit("Reference: "), given(reference), F.lit(".")))
+
+
+def sex_code(text: Column) -> Column:
+    """1 for male, 2 for female as the first mention of the sex says, 0 without one."""
+    said = F.lower(F.regexp_extract(text, r"(?i)sex\s*:\s*(male|female)", 1))
+    return F.when(said == "male", 1).when(said == "female", 2).otherwise(0)

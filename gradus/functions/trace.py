@@ -16,44 +16,54 @@ INDUCES = ["induces senescence", "promotes senescence", "drives senescence", "tr
 INHIBITS = ["inhibits senescence", "blocks senescence", "prevents senescence", "suppresses senescence", "inhibit", "downregul", "decreas", "reduc", "lower", "suppress", "silenc", "repress"]
 SHORT_NEGATION = ["not ", "no ", "without ", "absence of ", "fails to ", "does not ", "doesn't "]
 UPPER_GENE, HYPHEN_GENE, TITLE_GENE = r"(?U)\b([A-Z][A-Z0-9]{1,9})\b", r"(?U)\b([a-z]{2,4}-\d+[a-z]?)\b", r"(?U)\b([A-Z][a-z0-9]{1,9})\b"
-UPPER_STOP = """A B C D E F G I THE AND OR NOT BUT FOR WITH IN ON AT TO FROM BY AS IS ARE WAS WERE BE BEEN HAVE HAS HAD DO DOES DID WILL WOULD SHALL SHOULD MAY MIGHT MUST CAN COULD NO YES SO
-IF THEN ELSE WHEN WHERE HOW WHAT WHO WHY ALL BOTH EACH FEW MORE OTHER SOME SUCH THAN TOO VERY ALSO AFTER BEFORE WHILE SINCE UNTIL RNA DNA PCR GEO OIS DDIS REP IMR HFF LOG FC SD CI MCQ LB SEN UP DOWN
-LIMMA DEG DEGS RNASEQ MRNA QPCR CHIP PI SEM MAE AUC ROC HR OR RR WT KO OE KD CKO GOF LOF SNP CNV TPM FPKM""".split()
-TITLE_STOP = """The And But For With From Into Onto Upon This That These Those There Their They Them When Where What Which While Whose Whom Cell Cells Gene Genes Type Types Study Studies
-Data Result Results Model Models Test Tests Group Groups Level Levels Value Values Figure Table Section Note Method Methods Step Steps Case Cases Time Times Day Days Week Weeks Year Years
-Hour Hours Minute Minutes Mouse Rat Human Yeast Fly Worm Cell Tissue Both Each All Some Most Many Few Yes No True False None Page Line Row Column Index""".split()
+UPPER_STOP = [
+    "A", "B", "C", "D", "E", "F", "G", "I", "THE", "AND", "OR", "NOT", "BUT", "FOR", "WITH", "IN", "ON", "AT", "TO", "FROM", "BY", "AS",
+    "IS", "ARE", "WAS", "WERE", "BE", "BEEN", "HAVE", "HAS", "HAD", "DO", "DOES", "DID", "WILL", "WOULD", "SHALL", "SHOULD", "MAY",
+    "MIGHT", "MUST", "CAN", "COULD", "NO", "YES", "SO", "IF", "THEN", "ELSE", "WHEN", "WHERE", "HOW", "WHAT", "WHO", "WHY", "ALL", "BOTH",
+    "EACH", "FEW", "MORE", "OTHER", "SOME", "SUCH", "THAN", "TOO", "VERY", "ALSO", "AFTER", "BEFORE", "WHILE", "SINCE", "UNTIL", "RNA",
+    "DNA", "PCR", "GEO", "OIS", "DDIS", "REP", "IMR", "HFF", "LOG", "FC", "SD", "CI", "MCQ", "LB", "SEN", "UP", "DOWN", "LIMMA", "DEG",
+    "DEGS", "RNASEQ", "MRNA", "QPCR", "CHIP", "PI", "SEM", "MAE", "AUC", "ROC", "HR", "OR", "RR", "WT", "KO", "OE", "KD", "CKO", "GOF",
+    "LOF", "SNP", "CNV", "TPM", "FPKM",
+]
+TITLE_STOP = [
+    "The", "And", "But", "For", "With", "From", "Into", "Onto", "Upon", "This", "That", "These", "Those", "There", "Their", "They",
+    "Them", "When", "Where", "What", "Which", "While", "Whose", "Whom", "Cell", "Cells", "Gene", "Genes", "Type", "Types", "Study",
+    "Studies", "Data", "Result", "Results", "Model", "Models", "Test", "Tests", "Group", "Groups", "Level", "Levels", "Value", "Values",
+    "Figure", "Table", "Section", "Note", "Method", "Methods", "Step", "Steps", "Case", "Cases", "Time", "Times", "Day", "Days", "Week",
+    "Weeks", "Year", "Years", "Hour", "Hours", "Minute", "Minutes", "Mouse", "Rat", "Human", "Yeast", "Fly", "Worm", "Cell", "Tissue",
+    "Both", "Each", "All", "Some", "Most", "Many", "Few", "Yes", "No", "True", "False", "None", "Page", "Line", "Row", "Column", "Index",
+]
 WEIGHTS = (0.4, 0.2, 0.4)
 CONTEXT, LOOK_BACK, SHORT_LOOK_BACK = 250, 50, 30
 
 
-def keyword_hits(text: Column, words: list[str]) -> Column:
-    """Occurrences of all words; one with a negation in the 50 characters before it counts as minus one."""
-    low = F.lower(text)
+def _among(low: Column, words: list[str]) -> Column:
+    """Those of the words that occur in a lower-case text; one expression however many words there are."""
+    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
 
-    def hits(word: str) -> Column:
+
+def keyword_hits(low: Column, words: list[str]) -> Column:
+    """Occurrences of all words in a lower-case text; one with a negation in the 50 characters before it counts as minus one.
+
+    ``low`` should be a plain column, so that nothing is lowered again for each word."""
+
+    def hits(total: Column, word: Column) -> Column:
         def step(acc: Column, part: Column) -> Column:
             at = acc.p + F.length(part)
             before = low.substr(F.greatest(at - LOOK_BACK, F.lit(0)) + 1, F.least(F.lit(LOOK_BACK), at))
             one = F.when(before.rlike("(?iU)" + NEGATION), -1).otherwise(1)
-            return F.struct((at + len(word)).alias("p"), (acc.c + one).alias("c"))
+            return F.struct((at + F.length(word)).alias("p"), (acc.c + one).alias("c"))
 
-        parts = F.split(low, r"\Q" + word + r"\E", -1)
+        parts = F.split(low, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), -1)
         found = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-        return F.aggregate(found, F.struct(F.lit(0).alias("p"), F.lit(0).alias("c")), step).c
+        return total + F.aggregate(found, F.struct(F.lit(0).alias("p"), F.lit(0).alias("c")), step).c
 
-    out = F.lit(0)
-    for w in words:
-        out = out + F.when(F.contains(low, F.lit(w)), hits(w)).otherwise(0)
-    return out
+    return F.coalesce(F.aggregate(_among(low, words), F.lit(0), hits), F.lit(0))
 
 
-def named(text: Column, words: list[str]) -> Column:
-    """How many of the words occur."""
-    low = F.lower(text)
-    out = F.lit(0)
-    for w in words:
-        out = out + F.contains(low, F.lit(w)).cast("int")
-    return out
+def named(low: Column, words: list[str]) -> Column:
+    """How many of the words occur in a lower-case text."""
+    return F.coalesce(F.size(_among(low, words)), F.lit(0))
 
 
 def direction_score(pred: Column, up: Column, down: Column, none: Column) -> Column:
@@ -75,6 +85,20 @@ def significance_score(pred: Column, sure: Column, unsure: Column) -> Column:
     )
 
 
+def consistency(kind: Column, text: Column, answer: Column, counts: Column) -> Column:
+    """Agreement of a text with its answer by format: direction for mcq and ternary, significance for binary, else 0.5.
+
+    ``counts`` is a struct of up, down, none, sure and unsure. A missing or empty text or answer is neutral as well."""
+    pred, kind = F.upper(F.btrim(answer, F.lit(" \t\r\n"))), F.lower(F.coalesce(kind, F.lit("")))
+    nothing = (F.coalesce(text, F.lit("")) == "") | (F.coalesce(answer, F.lit("")) == "")
+    return (
+        F.when(nothing, 0.5)
+        .when(kind.isin("mcq", "ternary"), direction_score(pred, counts["up"], counts["down"], counts["none"]))
+        .when(kind == "binary", significance_score(pred, counts["sure"], counts["unsure"]))
+        .otherwise(0.5)
+    )
+
+
 def gene_candidates(text: Column) -> Column:
     """Distinct symbols in the order of the three patterns, without stop words."""
     upper = F.filter(F.regexp_extract_all(text, F.lit(UPPER_GENE), 1), lambda x: ~x.isin(UPPER_STOP))
@@ -86,13 +110,13 @@ def valid_symbol(x: Column) -> Column:
     return (F.length(x) >= 2) & ~F.upper(x).isin(UPPER_STOP) & ~x.rlike("^[0-9]+$")
 
 
-def context(text: Column, gene: str) -> Column:
-    """Lower-case text up to 250 characters around the first whole-word mention; null if there is none."""
-    at = F.regexp_instr(text, F.lit(rf"(?iU)\b\Q{gene}\E\b"))
+def context(text: Column, gene: Column) -> Column:
+    """Lower-case text up to 250 characters around the first whole-word mention of a gene; null if there is none."""
+    at = F.regexp_instr(text, F.concat(F.lit(r"(?iU)\b\Q"), gene, F.lit(r"\E\b")))
 
     def around(at: Column) -> Column:
         lo = F.greatest(at - 1 - CONTEXT, F.lit(0))
-        return F.when(at > 0, F.lower(text.substr(lo + 1, at - 1 + len(gene) + CONTEXT - lo)))
+        return F.when(at > 0, F.lower(text.substr(lo + 1, at - 1 + F.length(gene) + CONTEXT - lo)))
 
     return bound(at, around)
 

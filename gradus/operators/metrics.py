@@ -61,6 +61,25 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+#: Ranges of values that a group's running count is spread over.
+RANGES = 64
+
+
+def counted_below(per: DataFrame, by: list[str], c: str, k: str) -> DataFrame:
+    """Adds ``below``: the sum of ``k`` over the rows of the group with a smaller value of ``c``.
+
+    Values are cut into ranges at approximate quantiles. Ranges are summed first and each counts inside itself, so that no
+    group of many values is sorted in one task."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    cuts = per.groupBy(*by).agg(F.percentile_approx(F.col(c).cast("double"), shares, 1000).alias("_cuts"))
+    spread = per.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x <= F.col(c).cast("double")))).drop("_cuts")
+    up = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.groupBy(*by, "_range").agg(F.sum(k).alias("_sum"))
+    before = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(up(*by).orderBy("_range")), F.lit(0)).alias("_before"))
+    inside = spread.withColumn("_in", F.coalesce(F.sum(k).over(up(*by, "_range").orderBy(c)), F.lit(0)))
+    return inside.join(before, [*by, "_range"]).withColumn("below", F.col("_before") + F.col("_in")).select(*per.columns, "below")
+
+
 def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, n, rho), null where either side is constant.
 
@@ -68,8 +87,7 @@ def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         per = df.groupBy(*by, c).agg(F.count("*").alias("k"))
-        below = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return per.select(*by, c, (F.coalesce(F.sum("k").over(below), F.lit(0)) + (F.col("k") + 1) / 2).alias(f"r_{c}"))
+        return counted_below(per, by, c, "k").select(*by, c, (F.col("below") + (F.col("k") + 1) / 2).alias(f"r_{c}"))
 
     both = df.groupBy(*by, x, y).agg(F.count("*").alias("w")).join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
     w, a, b = F.col("w"), F.col(f"r_{x}"), F.col(f"r_{y}")
@@ -97,24 +115,47 @@ def bootstrap_spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "
     return rho.groupBy(*by).agg(F.round(F.percentile("rho", 0.025), 4).alias("ci_low"), F.round(F.percentile("rho", 0.975), 4).alias("ci_high"))
 
 
-def bootstrap(df: DataFrame, by: list[str], value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean of ``value`` over resamples with replacement.
+#: Most classes of equal value in a group that a resample looks up in an array; more are joined.
+MOST_CLASSES = 256
+
 
-    Rows carry their place in the group. Draw d takes for its i-th pick the place md5(seed|d|i) modulo the group's size, so that
-    any engine picks the same rows. Values are first counted into classes of equal value; a pick only needs its class, found by
-    the running count."""
-    value_rows = df.withColumn("v", value).groupBy(*by, "v").agg(F.count("*").alias("k"))
+def resampled(df: DataFrame, by: list[str], value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(by, d, v): for each of the draws, as many values as the group has, picked with replacement.
+
+    Rows carry their place in the group by the order of the value. Draw d takes for its i-th pick the place md5(seed|d|i) modulo
+    the group's size, so that any engine picks the same rows. Values are first counted into classes of equal value. A few
+    classes are looked up by their running counts; many give their places to a join."""
+    classes = df.withColumn("v", value).groupBy(*by, "v").agg(F.count("*").alias("k"))
     up = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    steps = value_rows.select(*by, "v", F.sum("k").over(up).alias("hi"), "k").withColumn("lo", F.col("hi") - F.col("k"))
-    sizes = value_rows.groupBy(*by).agg(F.sum("k").alias("n"))
-    lookup = steps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lo", "v"))).alias("steps"))
+    sizes = classes.groupBy(*by).agg(F.sum("k").alias("n"), F.count("*").alias("c"))
+    steps = classes.select(*by, "v", "k", F.sum("k").over(up).alias("hi")).withColumn("lo", F.col("hi") - F.col("k"))
     picks = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
     picks = picks.select(*by, "n", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    at = uniform(F.concat_ws("|", F.lit(str(seed)), "d", "i"), F.col("n"))
-    picked = picks.withColumn("at", at).join(F.broadcast(lookup), by)  # groups of distinct values: a few rows
-    v = F.element_at(F.filter("steps", lambda s: s.lo <= F.col("at")), -1).v
-    means = picked.groupBy(*by, "d").agg(F.avg(v).alias("m"))
-    return means.groupBy(*by).agg(F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high"))
+    picks = picks.select(*by, "d", uniform(F.concat_ws("|", F.lit(str(seed)), "d", "i"), F.col("n")).alias("at"))
+    if (sizes.agg(F.max("c")).first()[0] or 0) > MOST_CLASSES:
+        places = steps.select(*by, "v", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("at"))
+        return picks.join(places, [*by, "at"]).select(*by, "d", "v")
+    lookup = steps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lo", "v"))).alias("steps"))
+    met = picks.join(lookup, by)  # MOST_CLASSES steps in a row at most
+    return met.select(*by, "d", F.element_at(F.filter("steps", lambda s: s.lo <= F.col("at")), -1).v.alias("v"))
+
+
+def interval(values: DataFrame, by: list[str], column: str, digits: int = 6) -> DataFrame:
+    """(by, ci_low, ci_high): 2.5 and 97.5 percent points; null and NaN values are left out."""
+    good = values.filter(F.col(column).isNotNull() & ~F.isnan(column))
+    return good.groupBy(*by).agg(F.round(F.percentile(column, 0.025), digits).alias("ci_low"), F.round(F.percentile(column, 0.975), digits).alias("ci_high"))
+
+
+def bootstrap(df: DataFrame, by: list[str], value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean of ``value`` over resamples with replacement."""
+    means = resampled(df, by, value, draws, seed).groupBy(*by, "d").agg(F.avg("v").alias("m"))
+    return interval(means, by, "m")
+
+
+def bootstrap_of(df: DataFrame, by: list[str], metric, column: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Percentile interval of any metric of (gold, pred) pairs: ``metric(frame, by)`` gives ``column``, null or NaN where a draw fails."""
+    pairs = resampled(df, by, F.struct("gold", "pred"), draws, seed).select(*by, "d", "v.gold", "v.pred")
+    return interval(metric(pairs, [*by, "d"]), by, column)
 
 
 def uniform(text: Column, n: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,23 +18,46 @@ def with_cache(prompts: DataFrame, cache: DataFrame, keys: list[str]) -> DataFra
     return prompts.join(hits, keys, "left")
 
 
-def predicted(prompts: DataFrame, client: Client | None = None, prompt: str = "prompt") -> DataFrame:
-    """Fills null ``pred`` by the client, a batch of prompts at a time; a failing batch leaves an error text in ``error``.
+class Refused(Exception):
+    """A client's error that another try would not mend."""
 
-    Without a client nothing is called and missing predictions stay null."""
+
+def predicted(prompts: DataFrame, client: Client | None = None, prompt: str = "prompt", tries: int = 5, wait: Callable[[int], float] = lambda k: min(30.0, 2.0**k)) -> DataFrame:
+    """Fills null ``pred`` by the client, row by row where a batch fails; adds ``error`` and ``latency_s``.
+
+    A call is tried ``tries`` times, with a pause of ``wait(k)`` seconds before try k, but for :class:`Refused`. A row that still
+    fails keeps a null prediction and its error; the others are not touched by it. Without a client nothing is called."""
     if client is None:
-        return prompts.withColumn("error", F.lit(None).cast("string"))
+        return prompts.withColumns({"error": F.lit(None).cast("string"), "latency_s": F.lit(None).cast("double")})
+
+    def asked(texts: list[str]) -> tuple[list[str | None], str | None]:
+        for k in range(tries):
+            if k:
+                time.sleep(wait(k))
+            try:
+                return client(texts), None
+            except Refused as e:
+                return [None] * len(texts), str(e)
+            except Exception as e:  # noqa: BLE001 - whatever a client raises, the row is told and the job goes on
+                error = str(e)
+        return [None] * len(texts), error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["error"] = None
-            todo = b["pred"].isna()
-            if todo.any():
-                try:
-                    b.loc[todo, "pred"] = client(b.loc[todo, prompt].tolist())
-                except Exception as e:  # a lost row must not end the job
-                    b.loc[todo, "error"] = str(e)
+            b["error"], b["latency_s"] = None, None
+            todo = b.index[b["pred"].isna()].tolist()
+            groups = [todo] if todo else []
+            while groups:
+                group = groups.pop()
+                began = time.perf_counter()
+                got, error = asked(b.loc[group, prompt].tolist())
+                if error is not None and len(group) > 1:  # find the rows that fail
+                    groups += [[i] for i in group]
+                    continue
+                b.loc[group, "pred"] = pd.Series(got, index=group, dtype=object)
+                b.loc[group, "error"] = error
+                b.loc[group, "latency_s"] = (time.perf_counter() - began) / len(group)
+            b["latency_s"] = b["latency_s"].astype(float)
             yield b
 
-    schema = prompts.withColumn("error", F.lit(None).cast("string")).schema
-    return prompts.mapInPandas(run, schema)
+    return prompts.mapInPandas(run, prompts.withColumns({"error": F.lit(None).cast("string"), "latency_s": F.lit(None).cast("double")}).schema)

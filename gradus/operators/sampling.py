@@ -33,22 +33,55 @@ def last_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
-def bucket_ranked(df: DataFrame, by: str, stage: str, key: str) -> DataFrame:
+def bucket_ranked(df: DataFrame, by: str | list[str], stage: str, key: str) -> DataFrame:
     """:func:`ranked` in random order for groups of any size: rows are ranked inside buckets of the order key's first digits,
     after the counts of the buckets before. Only the counts, 4096 at most for a group, meet in one task."""
+    by = [by] if isinstance(by, str) else by
     keyed = df.withColumn("_order", order_key(stage, F.col(key))).withColumn("_bucket", F.substring("_order", 1, 3))
-    up = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy(F.col(by).alias("_by"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_by", "_b", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
-    inside = ranked(keyed, [by, "_bucket"], F.col("_order"), F.col(key))
-    met = inside.join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_b")))
+    named = [f"_by{i}" for i in range(len(by))]
+    up = Window.partitionBy(*named).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(*[F.col(c).alias(n) for c, n in zip(by, named)], F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    before = sizes.select(*named, "_b", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_before"))
+    inside = ranked(keyed, [*by, "_bucket"], F.col("_order"), F.col(key))
+    same = F.col("_bucket") == F.col("_b")
+    for c, n in zip(by, named):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    met = inside.join(before, same)
     return met.withColumn("rn", F.col("rn") + F.col("_before")).select(*df.columns, "rn")
 
 
+def numbered(df: DataFrame, stage: str, key: str) -> DataFrame:
+    """Adds rn, the place of every row of the whole table in random order, without sorting it in one task."""
+    return bucket_ranked(df.withColumn("_all", F.lit(0)), ["_all"], stage, key).drop("_all")
+
+
+def unique_names(df: DataFrame, name: str, suffix: Column, pos: str) -> DataFrame:
+    """Adds unique_name: a name seen before, as given or as made, gets its row's suffix; two alike may come out of that.
+
+    A row repeats a name if it is not the first with it, or if an earlier row's suffixed name equals it. The second kind can
+    follow from itself, so that it is found in rounds, each over the first rows of their names alone."""
+    rows = df.withColumns({"_suffix": suffix, "_first": F.min(pos).over(Window.partitionBy(name))})
+    made = rows.filter(F.col(pos) != F.col("_first")).select(F.concat(name, "_suffix").alias("_made"), F.col(pos).alias("_at"))
+    firsts = rows.filter(F.col(pos) == F.col("_first")).select(F.col(name).alias("_name"), F.concat(name, "_suffix").alias("_next"), F.col(pos).alias("_pos"))
+    seen = None
+    while True:
+        hit = firsts.join(made, (F.col("_name") == F.col("_made")) & (F.col("_at") < F.col("_pos")), "left_semi")
+        if hit.isEmpty():
+            break
+        seen = hit.select("_pos") if seen is None else seen.unionByName(hit.select("_pos"))
+        firsts = firsts.join(hit.select("_pos"), "_pos", "left_anti")
+        made = hit.select(F.col("_next").alias("_made"), F.col("_pos").alias("_at"))
+    again = F.col(pos) != F.col("_first")
+    if seen is not None:
+        rows = rows.join(seen.select(F.col("_pos").alias(pos), F.lit(True).alias("_again")).distinct(), pos, "left")
+        again = again | F.coalesce("_again", F.lit(False))
+    return rows.withColumn("unique_name", F.when(again, F.concat(name, "_suffix")).otherwise(F.col(name))).select(*df.columns, "unique_name")
+
+
 def equalize(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
     """Every class cut to the size of the smallest."""
     smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("most"))
-    r = bucket_ranked(df, label, stage, key)
+    r = bucket_ranked(df, [label], stage, key)
     return r.join(F.broadcast(smallest)).filter("rn <= most").drop("rn", "most")  # one row
 
 
@@ -64,7 +97,7 @@ def fill_to_target(chosen: DataFrame, pool: DataFrame, target: int, stage: str,
 def half_partition(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
     """Adds half: 0 for the first floor(n / 2) rows of each class in random order, else 1."""
     n = df.groupBy(label).agg(F.count("*").alias("n"))
-    r = bucket_ranked(df, label, stage, key).join(F.broadcast(n), label)  # one row per class
+    r = bucket_ranked(df, [label], stage, key).join(F.broadcast(n), label)  # one row per class
     return r.withColumn("half", F.when(F.col("rn") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("rn", "n")
 
 
@@ -73,7 +106,7 @@ def proportional_cap(df: DataFrame, strata: str, target: int, stage: str, key: s
     n = df.groupBy(strata).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     quota = n.join(F.broadcast(total)).select(strata, F.least(F.bround(F.lit(float(target)) * F.col("n") / F.col("total")), F.col("n")).alias("quota"))
-    return ranked(df, [strata], order_key(stage, F.col(key)), F.col(key)).join(F.broadcast(quota), strata).filter("rn <= quota").drop("rn", "quota")
+    return bucket_ranked(df, [strata], stage, key).join(quota, strata).filter("rn <= quota").drop("rn", "quota")
 
 
 def tissue_balanced(df: DataFrame, target: int, stage: str, organ: str = "organ", label: str = "direction", key: str = "rid") -> DataFrame:
@@ -86,7 +119,7 @@ def tissue_balanced(df: DataFrame, target: int, stage: str, organ: str = "organ"
     q = q.withColumn("spare", F.col("n") - F.col("base")).withColumn("need", F.col("each") - F.sum("base").over(per))
     before = F.coalesce(F.sum("spare").over(per.orderBy(organ).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     q = q.select(label, organ, (F.col("base") + F.greatest(F.lit(0), F.least("spare", F.col("need") - before))).alias("quota"))
-    return ranked(df, [label, organ], order_key(stage, F.col(key)), F.col(key)).join(F.broadcast(q), [label, organ]).filter("rn <= quota").drop("rn", "quota")
+    return bucket_ranked(df, [label, organ], stage, key).join(q, [label, organ]).filter("rn <= quota").drop("rn", "quota")
 
 
 def pair_extremes(df: DataFrame, by: str, gap: float, most: int, key: str = "rid") -> DataFrame:
@@ -108,5 +141,5 @@ def tissue_balanced_pairs(pairs: DataFrame, target: int, stage: str, organ: str
     q = q.withColumn("spare", F.col("n") - F.col("base")).withColumn("need", F.lit(target) - F.sum("base").over(every))
     before = F.coalesce(F.sum("spare").over(Window.orderBy(F.desc("n"), organ).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     q = q.select(F.col(organ).alias("_organ"), (F.col("base") + F.greatest(F.lit(0), F.least("spare", F.col("need") - before))).alias("quota"))
-    r = bucket_ranked(pairs, organ, stage, key)
+    r = bucket_ranked(pairs, [organ], stage, key)
     return r.join(F.broadcast(q), F.col(organ).eqNullSafe(F.col("_organ"))).filter("rn <= quota").drop("rn", "quota", "_organ")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,20 @@ def greedy_split(df: DataFrame, group: str, kind: str, fraction: float = 0.2, st
         for k, n in r["by"].items():
             total[k] = total.get(k, 0) + n
     lacking = {k: round(n * fraction) for k, n in total.items()}
-    left = sorted(counts, key=lambda r: (sum(r["by"].values()), r["h"]))
-    chosen = set()
+    queues: dict = {}  # the groups of each kind, smallest first
+    for i, r in enumerate(sorted(counts, key=lambda r: (sum(r["by"].values()), r["h"]))):
+        for k in r["by"]:
+            queues.setdefault(k, deque()).append((i, r))
+    chosen, used = set(), set()
     while any(v > 0 for v in lacking.values()):
         want = min((k for k, v in lacking.items() if v > 0), key=lambda k: (-lacking[k], str(k)))
-        best = next((r for r in left if want in r["by"]), None)
-        if best is None:
+        queue = queues.get(want, deque())
+        while queue and queue[0][0] in used:
+            queue.popleft()
+        if not queue:
             break
-        left.remove(best)
+        i, best = queue.popleft()
+        used.add(i)
         chosen.add(best[group])
         for k, n in best["by"].items():
             lacking[k] -= n

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES = ("core", "drawing", "texts", "analytics", "details", "features", "traces", "extras")
+MODULES = ("core", "drawing", "texts", "analytics", "details", "features", "traces", "extras", "records", "questions")
 
 
 def query(sql: str | None = None) -> Callable:
@@ -25,7 +25,9 @@ def query(sql: str | None = None) -> Callable:
     def register(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
-            used = [v for v in SQL if re.search(rf"\b(FROM|JOIN)\s+{v}\b", sql)]
+            named = lambda v, text: re.search(rf"\b(FROM|JOIN)\s+{v}\b", text)
+            direct = [v for v in SQL if named(v, sql)]
+            used = [v for v in SQL if v in direct or any(named(v, SQL[d]) for d in direct)]
             head = "WITH " + ("RECURSIVE " if "RECURSIVE" in sql else "")
             body = sql.strip().replace("WITH RECURSIVE", "WITH")
             own = [f"{v} AS ({SQL[v]})" for v in used]

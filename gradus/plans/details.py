@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradus.functions import prompts
 from gradus.operators import metrics, sampling
 from gradus.plans.catalogue import query
-from gradus.plans.views import Views
+from gradus.plans.views import EFFECTS, Views
 
 #: Display order of the models; others follow by name.
 ORDER = ["view", "click"]
@@ -57,10 +57,11 @@ def status_map(v: Views) -> DataFrame:
     return v.table("orders").select("o_orderkey", F.when(s.isNull() | (s == "F"), "complete").when(s == "O", "open").otherwise(s).alias("status"))
 
 
-@query("SELECT doc_id, replace(t, 'FOXO3', '[GENE]FOXO3[/GENE]') AS marked FROM trace WHERE contains(t, 'FOXO3')")
+@query("SELECT doc_id, replace(replace(replace(replace(t, 'FOXO3', '[GENE]FOXO3[/GENE]'), 'GENE7', '[GENE]GENE7[/GENE]'), 'daf-2', '[GENE]daf-2[/GENE]'), 'Trp53', '[GENE]Trp53[/GENE]') AS marked FROM trace")
 def entity_markup(v: Views) -> DataFrame:
-    t = F.col("t")
-    return v.trace.filter(t.contains("FOXO3")).select("doc_id", F.replace(t, F.lit("FOXO3"), F.lit("[GENE]FOXO3[/GENE]")).alias("marked"))
+    """Every listed gene of every text in markup, the genes as a column."""
+    genes = F.array(*[F.lit(g) for g, _ in EFFECTS])
+    return v.trace.select("doc_id", F.aggregate(genes, F.col("t"), lambda t, g: F.replace(t, g, F.concat(F.lit("[GENE]"), g, F.lit("[/GENE]")))).alias("marked"))
 
 
 @query("""SELECT doc_id, round((0.4::DOUBLE * g + 0.3::DOUBLE * c) / 0.7::DOUBLE, 4) AS v1, round(0.3::DOUBLE * g + 0.2::DOUBLE * c + 0.2::DOUBLE * n + 0.3::DOUBLE * p, 4) AS v2
@@ -91,17 +92,15 @@ def longest_prompts(v: Views) -> DataFrame:
     return v.msgs.select("conv_id", chars.alias("chars")).orderBy(F.desc("chars"), "conv_id").limit(10).select("conv_id", "chars", (F.col("chars") > 3000).alias("over"))
 
 
-@query("WITH c AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY model, sample ORDER BY pos DESC) = 1) SELECT sample, coalesce(max(score) FILTER (model = 'view'), 0) AS score FROM c GROUP BY sample ORDER BY score DESC, sample LIMIT 25")
+@query("WITH c AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY model, sample ORDER BY pos DESC) = 1) SELECT sample, coalesce(max(score) FILTER (model = 'view'), 0) AS score FROM c GROUP BY sample ORDER BY score DESC, sample")
 def matrix_sort(v: Views) -> DataFrame:
     c = sampling.last_per_key(v.cells, ["model", "sample"], "pos")
-    return c.groupBy("sample").agg(F.coalesce(F.max(F.when(F.col("model") == "view", F.col("score"))), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "sample").limit(25)
+    return c.groupBy("sample").agg(F.coalesce(F.max(F.when(F.col("model") == "view", F.col("score"))), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "sample")
 
 
-# The SQL of matrix_sort fixes the first 25; this is the whole order.
 @query("WITH c AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY model, sample ORDER BY pos DESC) = 1) SELECT sample, coalesce(max(score) FILTER (model = 'view'), 0) AS score FROM c GROUP BY sample ORDER BY score DESC, sample")
 def matrix_sort_all(v: Views) -> DataFrame:
-    c = sampling.last_per_key(v.cells, ["model", "sample"], "pos")
-    return c.groupBy("sample").agg(F.coalesce(F.max(F.when(F.col("model") == "view", F.col("score"))), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "sample")
+    return matrix_sort(v)
 
 
 @query("""WITH m AS (SELECT model, fmt, avg(score) AS s FROM cells WHERE model <> 'error' GROUP BY ALL) SELECT f.fmt, round(coalesce(avg(s), 0.5), 6) AS reference FROM (SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS fmt) f LEFT JOIN m ON m.fmt = f.fmt GROUP BY f.fmt""")
@@ -111,12 +110,6 @@ def reference_line(v: Views) -> DataFrame:
     return formats.join(m, "fmt", "left").groupBy("fmt").agg(F.round(F.coalesce(F.avg("s"), F.lit(0.5)), 6).alias("reference"))
 
 
-@query("""SELECT CASE WHEN mean >= 0.15 THEN 'PASS' ELSE 'FAIL' END AS verdict, round(mean, 6) AS mean_drop, n FROM (SELECT avg(l_discount * 3) AS mean, count(*) AS n FROM lineitem)""")
-def perturbation_report(v: Views) -> DataFrame:
-    x = v.table("lineitem").agg(F.avg(F.col("l_discount") * 3).alias("mean"), F.count("*").alias("n"))
-    return x.select(F.when(F.col("mean") >= 0.15, "PASS").otherwise("FAIL").alias("verdict"), F.round("mean", 6).alias("mean_drop"), "n")
-
-
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING') THEN 'treatment with ' || c_mktsegment ELSE 'siRNA knockdown of ' || c_mktsegment END || ' at dose ' || c_nationkey AS treatment,
 'IMR-90 ' || lower(c_mktsegment) || ' fibroblasts' AS tissue FROM customer""")
 def treatment_texts(v: Views) -> DataFrame:

@@ -154,5 +154,4 @@ def majority_mean(v: Views) -> DataFrame:
 
 @query("SELECT printf('LB-SEN-%04d', row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'ids', item_id)), item_id)) AS lb_id, item_id FROM benchmark")
 def sequential_ids(v: Views) -> DataFrame:
-    order = Window.orderBy(sampling.order_key("ids", F.col("item_id")), "item_id")  # a benchmark's items: hundreds
-    return v.table("benchmark").select(F.format_string("LB-SEN-%04d", F.row_number().over(order)).alias("lb_id"), "item_id")
+    return sampling.numbered(v.table("benchmark"), "ids", "item_id").select(F.format_string("LB-SEN-%04d", F.col("rn").cast("int")).alias("lb_id"), "item_id")

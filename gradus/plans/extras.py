@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions import perturb, trace
 from gradus.operators import metrics, splits, stats
 from gradus.plans.catalogue import query
 from gradus.plans.core import labelled
@@ -24,40 +23,31 @@ def signature_split(v: Views) -> DataFrame:
     return splits.signature_split(v.cells, "sample", "fmt")
 
 
-@query()
+@query("""WITH r AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY gold) + (count(*) OVER (PARTITION BY model, gold) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY model ORDER BY pred) + (count(*) OVER (PARTITION BY model, pred) - 1) / 2.0::DOUBLE AS b FROM evr),
+s AS (SELECT model, count(*) AS n, round(CASE WHEN count(DISTINCT a) > 1 AND count(DISTINCT b) > 1 THEN corr(a, b) ELSE 0 END, 6) AS rho FROM r GROUP BY model), t AS (SELECT *, (n - 2)::DOUBLE AS v, abs(rho) * sqrt((n - 2) / nullif(1 - rho * rho, 0)) AS t FROM s),
+i AS (SELECT model, n, rho, t, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * (t / 4000) / 3 * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - (v + 1) / 2 * ln(1 + power(i * t / 4000, 2) / v)) / sqrt(v * pi())) AS half FROM t, generate_series(0, 4000) AS u(i) GROUP BY ALL)
+SELECT model, n, rho, round(greatest(0, 1 - 2 * half), 6) AS p FROM i""")
 def spearman_pvalue(v: Views) -> DataFrame:
     return metrics.spearman(v.evr, ["model"]).withColumn("p", F.round(stats.correlation_p_value(F.col("rho"), F.col("n")), 6))
 
 
-@query()
-def perturb_wrong_gene(v: Views) -> DataFrame:
-    t = F.col("t")
-    return v.trace.select("doc_id", F.sha2(perturb.wrong_genes(t, trace.gene_candidates(t)).cast("binary"), 256).alias("sha"))
-
-
-@query()
-def perturb_flip(v: Views) -> DataFrame:
-    return v.trace.select("doc_id", F.sha2(perturb.flipped(F.col("t")).cast("binary"), 256).alias("sha"))
-
-
-@query()
+@query("""SELECT 'sample_id' AS name, 'id' AS role UNION ALL SELECT 'age', 'label' UNION ALL SELECT 'f' || i, 'feature' FROM generate_series(0, 599) AS t(i)
+UNION ALL SELECT 'part.' || c, CASE c WHEN 'p_partkey' THEN 'id' ELSE 'feature' END FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS c)""")
 def role_classify(v: Views) -> DataFrame:
     part = v.table("part")
     roles = tables.column_roles(["sample_id", "age", *[f"f{i}" for i in range(600)]]) | {f"part.{c}": r for c, r in tables.column_roles(part.columns).items()}
     return v.spark.createDataFrame(list(roles.items()), "name string, role string")
 
 
-@query("SELECT vec_id, label, array_to_string(list_transform(embedding[1:3], lambda x: CAST(CAST(round(x::DOUBLE * 100) AS BIGINT) AS VARCHAR)), ',') AS line FROM embeddings ORDER BY vec_id LIMIT 10")
+@query("SELECT vec_id, label, array_to_string(list_transform(embedding[1:200], lambda x: CAST(CAST(round(x::DOUBLE * 100) AS BIGINT) AS VARCHAR)), ',') AS line FROM embeddings ORDER BY vec_id LIMIT 10")
 def csv_preview(v: Views) -> DataFrame:
     few = v.table("embeddings").orderBy("vec_id").limit(10)
-    return few.select("vec_id", "label", F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double") * 100).cast("long").cast("string")), ",").alias("line"))
+    return few.select("vec_id", "label", F.array_join(F.transform(F.slice("embedding", 1, 200), lambda x: F.round(x.cast("double") * 100).cast("long").cast("string")), ",").alias("line"))
 
 
-# The SQL of csv_preview fixes three features; this prints up to 200.
 @query("SELECT vec_id, label, array_to_string(list_transform(embedding[1:200], lambda x: CAST(CAST(round(x::DOUBLE * 100) AS BIGINT) AS VARCHAR)), ',') AS line FROM embeddings ORDER BY vec_id LIMIT 10")
 def csv_preview_200(v: Views) -> DataFrame:
-    few = v.table("embeddings").orderBy("vec_id").limit(10)
-    return few.select("vec_id", "label", F.array_join(F.transform(F.slice("embedding", 1, 200), lambda x: F.round(x.cast("double") * 100).cast("long").cast("string")), ",").alias("line"))
+    return csv_preview(v)
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -94,9 +94,12 @@ def gold_and_last_user(v: Views) -> DataFrame:
     return v.msgs.select("conv_id", T.of_role(m, "user").alias("first_user"), T.of_role(m, "user", True).alias("last_user"), T.of_role(m, "assistant").alias("first_assistant"), T.of_role(m, "system").alias("system"))
 
 
-@query("SELECT conv_id, CASE WHEN m[1].role = 'system' THEN m[1].content || chr(10) || chr(10) || 'Answer with only A or B. No explanation.' ELSE m[1].content END AS first, len(m) AS n FROM msgs")
+@query(f"""WITH p AS (SELECT conv_id, CASE WHEN m[-1].role = 'assistant' THEN m[1:len(m) - 1] ELSE m END AS m FROM msgs)
+SELECT conv_id, m[1].content || CASE WHEN m[1].role = 'system' THEN '{T.INSTRUCTIONS["binary"]}' ELSE '' END || CASE WHEN len(m) = 1 AND m[1].role = 'user' THEN '{T.REMINDERS["binary"]}' ELSE '' END AS first,
+m[-1].content || CASE WHEN len(m) = 1 AND m[1].role = 'system' THEN '{T.INSTRUCTIONS["binary"]}' ELSE '' END || CASE WHEN m[-1].role = 'user' THEN '{T.REMINDERS["binary"]}' ELSE '' END AS last, len(m) AS n FROM p""")
 def append_instruction(v: Views) -> DataFrame:
-    return v.msgs.select("conv_id", T.instructed(F.col("m"), "binary")[0].content.alias("first"), F.size("m").cast("long").alias("n"))
+    m = v.msgs.select("conv_id", T.instructed(T.without_answer(F.col("m")), "binary", thinking=True).alias("m"))
+    return m.select("conv_id", F.get("m", 0).content.alias("first"), F.try_element_at("m", F.lit(-1)).content.alias("last"), F.size("m").cast("long").alias("n"))
 
 
 @query("""WITH p AS (SELECT conv_id, CASE WHEN m[-1].role = 'assistant' THEN m[1:len(m) - 1] ELSE m END AS m FROM msgs)
@@ -105,10 +108,10 @@ def prompt_serialize(v: Views) -> DataFrame:
     return v.msgs.select("conv_id", T.serialized(T.without_answer(F.col("m"))).alias("prompt"))
 
 
-@query("SELECT conv_id, turn, substr(text, 1, 1000) AS question, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS short FROM conversations")
+@query("SELECT conv_id, turn, substr(text, 1, 1000) AS question, substr(text, 1, 400) AS follow_up, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS short FROM conversations")
 def truncate_question(v: Views) -> DataFrame:
     t = F.col("text")
-    return v.table("conversations").select("conv_id", "turn", F.substring(t, 1, 1000).alias("question"), F.when(F.length(t) > 120, F.concat(F.left(t, F.lit(120)), F.lit("…"))).otherwise(t).alias("short"))
+    return v.table("conversations").select("conv_id", "turn", F.substring(t, 1, 1000).alias("question"), F.substring(t, 1, 400).alias("follow_up"), F.when(F.length(t) > 120, F.concat(F.left(t, F.lit(120)), F.lit("…"))).otherwise(t).alias("short"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -116,23 +119,23 @@ def json_field(v: Views) -> DataFrame:
     return v.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"split":"' || CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END || '"}' AS metadata FROM events""")
+@query("""SELECT event_id, '{"k":"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '","type":"' || event_type || '","split":"' || CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END || '"}' AS metadata FROM events""")
 def json_patch(v: Views) -> DataFrame:
-    fields = F.from_json("props", "k bigint")
+    """Any object takes the new field; one of that name is replaced, all others stay, values as text."""
+    given = F.concat(F.regexp_replace("props", r"\}$", ', "type": "'), "event_type", F.lit('"}'))
     split = F.when(F.col("event_id") % 5 == 0, "test").otherwise("train")
-    return v.table("events").select("event_id", F.to_json(F.struct(fields.k.alias("k"), split.alias("split"))).alias("metadata"))
+    return v.table("events").select("event_id", T.patched(given, "split", split).alias("metadata"))
 
 
-@query("""SELECT sample, string_agg(feature || ': ' || CAST(CAST(round(value * 100) AS INTEGER) AS VARCHAR), ', ' ORDER BY feature) AS profile FROM feat WHERE feature < 8 GROUP BY sample""")
+@query("""SELECT sample, string_agg(feature || ': ' || printf('%.4g', value * 100), ', ' ORDER BY feature) AS profile FROM feat GROUP BY sample""")
 def feature_profile(v: Views) -> DataFrame:
-    one = F.struct("feature", F.concat_ws(": ", F.col("feature").cast("string"), T.significant_digits(F.round(F.col("value") * 100))).alias("s"))
-    return v.feat.filter("feature < 8").groupBy("sample").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.s), ", ").alias("profile"))
+    one = F.struct("feature", F.concat_ws(": ", F.col("feature").cast("string"), T.significant_digits(F.col("value") * 100)).alias("s"))
+    return v.feat.groupBy("sample").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.s), ", ").alias("profile"))
 
 
-@query("SELECT p_partkey, regexp_extract('k__B;g__' || p_name, '([^_]*)$', 1) AS genus, regexp_replace('C' || p_size || ': ' || p_name, '^.*?: ', '') AS readable FROM part WHERE p_name NOT LIKE '%\\_%' ESCAPE '\\'")
+@query("SELECT p_partkey, string_split('k__B;g__' || p_name, 'g__')[-1] AS genus, regexp_replace('C' || p_size || ': ' || p_name, '^.*?: ', '') AS readable FROM part")
 def taxonomy_tail(v: Views) -> DataFrame:
-    p = v.table("part").filter(~F.col("p_name").contains("_"))
-    return p.select("p_partkey", T.taxonomy_tail(F.concat(F.lit("k__B;g__"), "p_name")).alias("genus"), F.regexp_replace(F.concat(F.lit("C"), F.col("p_size").cast("string"), F.lit(": "), "p_name"), "^.*?: ", "").alias("readable"))
+    return v.table("part").select("p_partkey", T.taxonomy_tail(F.concat(F.lit("k__B;g__"), "p_name")).alias("genus"), F.regexp_replace(F.concat(F.lit("C"), F.col("p_size").cast("string"), F.lit(": "), "p_name"), "^.*?: ", "").alias("readable"))
 
 
 @query(r"""WITH u AS (SELECT doc_id, upper(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS u FROM trace)

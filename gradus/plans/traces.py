@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from gradus.functions import trace as R
 from gradus.operators import metrics
-from gradus.operators.sampling import first_per_key
 from gradus.plans.catalogue import query
-from gradus.plans.views import Views
+from gradus.plans.views import EFFECTS, Views
 
 #: The oracle's engine takes word boundaries by ASCII alone; other letters become a word sign, other signs a blank, first.
 PLAIN = r"regexp_replace(regexp_replace({x}, '[^\x00-\x7F\p{{L}}\p{{N}}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
@@ -20,9 +19,9 @@ def sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-def hits_sql(name: str, words: list[str]) -> str:
+def hits_sql(name: str, words: list[str], src: str) -> str:
     """CTE (doc_id, c) with the signed hits of all words."""
-    return f"""{name}_p AS (SELECT doc_id, lower(t) AS t, w, string_split(lower(t), w) AS parts FROM trace, (SELECT unnest({sql_list(words)}) AS w) WHERE contains(lower(t), w)),
+    return f"""{name}_p AS (SELECT doc_id, lower(t) AS t, w, string_split(lower(t), w) AS parts FROM {src}, (SELECT unnest({sql_list(words)}) AS w) WHERE contains(lower(t), w)),
 {name}_o AS (SELECT doc_id, t, w, i, sum(length(parts[i])) OVER (PARTITION BY doc_id, w ORDER BY i) + (i - 1) * length(w) AS off FROM {name}_p, unnest(generate_series(1, len(parts) - 1)) AS u(i)),
 {name} AS (SELECT doc_id, sum(CASE WHEN regexp_matches({PLAIN.format(x="substr(t, CAST(greatest(off - 50, 0) AS BIGINT) + 1, CAST(least(50, off) AS BIGINT))")}, '(?i){KW_NEG}') THEN -1 ELSE 1 END) AS c FROM {name}_o GROUP BY doc_id)"""
 
@@ -31,42 +30,55 @@ def named_sql(words: list[str]) -> str:
     return f"len(list_filter({sql_list(words)}, lambda w: contains(lower(t), w)))"
 
 
-COUNTS = f"""{hits_sql('up', R.UP)}, {hits_sql('down', R.DOWN)}, {hits_sql('sig', R.SIGNIFICANT)},
+def counts_sql(src: str) -> str:
+    return f"""{hits_sql('up', R.UP, src)}, {hits_sql('down', R.DOWN, src)}, {hits_sql('sig', R.SIGNIFICANT, src)},
 k AS (SELECT doc_id, t, pred, fmt, CAST(coalesce(up.c, 0) AS INTEGER) AS up, CAST(coalesce(down.c, 0) AS INTEGER) AS down, CAST(coalesce(sig.c, 0) AS INTEGER) AS sig, CAST({named_sql(R.NO_CHANGE)} AS INTEGER) AS none, CAST({named_sql(R.NOT_SIGNIFICANT)} AS INTEGER) AS unsure
-FROM trace LEFT JOIN up USING (doc_id) LEFT JOIN down USING (doc_id) LEFT JOIN sig USING (doc_id))"""
-CONSISTENT = """CASE WHEN fmt = 'mcq' THEN CASE WHEN up = 0 AND down = 0 AND none = 0 THEN 0.5
- WHEN pred = 'A' THEN CASE WHEN up > 0 AND up >= down THEN 1.0 WHEN down > 0 AND down > up THEN 0.0 ELSE 0.5 END
- WHEN pred = 'B' THEN CASE WHEN down > 0 AND down >= up THEN 1.0 WHEN up > 0 AND up > down THEN 0.0 ELSE 0.5 END
- WHEN pred = 'C' THEN CASE WHEN none > 0 AND abs(up) <= 1 AND abs(down) <= 1 THEN 1.0 WHEN up > 1 OR down > 1 THEN 0.0 ELSE 0.5 END ELSE 0.5 END
- ELSE CASE WHEN pred = 'A' THEN CASE WHEN sig > 0 AND unsure = 0 THEN 1.0 WHEN unsure > 0 THEN 0.0 ELSE 0.5 END WHEN pred = 'B' THEN CASE WHEN unsure > 0 THEN 1.0 WHEN sig > 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 END END::DOUBLE"""
+FROM {src} LEFT JOIN up USING (doc_id) LEFT JOIN down USING (doc_id) LEFT JOIN sig USING (doc_id))"""
 
 
-def counted(v: Views) -> DataFrame:
-    t = F.col("t")
-    return v.trace.withColumns({"up": R.keyword_hits(t, R.UP), "down": R.keyword_hits(t, R.DOWN), "sig": R.keyword_hits(t, R.SIGNIFICANT), "none": R.named(t, R.NO_CHANGE), "unsure": R.named(t, R.NOT_SIGNIFICANT)})
+COUNTS = counts_sql("trace")
+LETTER = "upper(trim(pred))"
+CONSISTENT = f"""CASE WHEN coalesce(t, '') = '' OR coalesce(pred, '') = '' THEN 0.5
+ WHEN lower(fmt) IN ('mcq', 'ternary') THEN CASE WHEN up = 0 AND down = 0 AND none = 0 THEN 0.5
+ WHEN {LETTER} = 'A' THEN CASE WHEN up > 0 AND up >= down THEN 1.0 WHEN down > 0 AND down > up THEN 0.0 ELSE 0.5 END
+ WHEN {LETTER} = 'B' THEN CASE WHEN down > 0 AND down >= up THEN 1.0 WHEN up > 0 AND up > down THEN 0.0 ELSE 0.5 END
+ WHEN {LETTER} = 'C' THEN CASE WHEN none > 0 AND abs(up) <= 1 AND abs(down) <= 1 THEN 1.0 WHEN up > 1 OR down > 1 THEN 0.0 ELSE 0.5 END ELSE 0.5 END
+ WHEN lower(fmt) = 'binary' THEN CASE WHEN {LETTER} = 'A' THEN CASE WHEN sig > 0 AND unsure = 0 THEN 1.0 WHEN unsure > 0 THEN 0.0 ELSE 0.5 END WHEN {LETTER} = 'B' THEN CASE WHEN unsure > 0 THEN 1.0 WHEN sig > 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 END
+ ELSE 0.5 END::DOUBLE"""
+
+
+def counted(x: DataFrame) -> DataFrame:
+    """Hit counts of a frame of texts ``t``; the text is lowered once."""
+    low = F.col("low")
+    x = x.withColumn("low", F.lower("t"))
+    return x.withColumns({"up": R.keyword_hits(low, R.UP), "down": R.keyword_hits(low, R.DOWN), "sig": R.keyword_hits(low, R.SIGNIFICANT), "none": R.named(low, R.NO_CHANGE), "unsure": R.named(low, R.NOT_SIGNIFICANT)}).drop("low")
 
 
 def consistent(df: DataFrame) -> DataFrame:
-    c = F.col
-    score = F.when(c("fmt") == "mcq", R.direction_score(c("pred"), c("up"), c("down"), c("none"))).otherwise(R.significance_score(c("pred"), c("sig"), c("unsure")))
-    return df.withColumn("consistency", score)
+    counts = {"up": F.col("up"), "down": F.col("down"), "none": F.col("none"), "sure": F.col("sig"), "unsure": F.col("unsure")}
+    return df.withColumn("consistency", R.consistency(F.col("fmt"), F.col("t"), F.col("pred"), counts))
 
 
 @query(f"WITH {COUNTS} SELECT doc_id, up, down, sig, none, unsure FROM k")
 def keyword_hits(v: Views) -> DataFrame:
-    return counted(v).select("doc_id", "up", "down", "sig", "none", "unsure")
+    return counted(v.trace).select("doc_id", "up", "down", "sig", "none", "unsure")
 
 
 @query(f"WITH {COUNTS} SELECT doc_id, {CONSISTENT} AS consistency FROM k")
 def keyword_consistency(v: Views) -> DataFrame:
-    return consistent(counted(v)).select("doc_id", "consistency")
+    return consistent(counted(v.trace)).select("doc_id", "consistency")
+
+
+@query(f"WITH {counts_sql('answers')} SELECT doc_id, {CONSISTENT} AS consistency FROM k")
+def keyword_dispatch(v: Views) -> DataFrame:
+    return consistent(counted(v.answers)).select("doc_id", "consistency")
 
 
 @query(f"""SELECT doc_id, CASE WHEN fmt <> 'mcq' THEN true WHEN pred = 'A' THEN NOT (d AND NOT u) WHEN pred = 'B' THEN NOT (u AND NOT d) ELSE NOT ((u OR d) AND NOT n) END AS consistent
 FROM (SELECT *, {named_sql(R.UP)} > 0 AS u, {named_sql(R.DOWN)} > 0 AS d, {named_sql(R.NO_CHANGE)} > 0 AS n FROM trace)""")
 def v1_consistency(v: Views) -> DataFrame:
-    t = F.col("t")
-    x = v.trace.withColumns({"u": R.named(t, R.UP) > 0, "d": R.named(t, R.DOWN) > 0, "n": R.named(t, R.NO_CHANGE) > 0})
+    low = F.col("low")
+    x = v.trace.withColumn("low", F.lower("t")).withColumns({"u": R.named(low, R.UP) > 0, "d": R.named(low, R.DOWN) > 0, "n": R.named(low, R.NO_CHANGE) > 0})
     u, d, n = F.col("u"), F.col("d"), F.col("n")
     return x.select("doc_id", F.when(F.col("fmt") != "mcq", True).when(F.col("pred") == "A", ~(d & ~u)).when(F.col("pred") == "B", ~(u & ~d)).otherwise(~((u | d) & ~n)).alias("consistent"))
 
@@ -106,10 +118,8 @@ def gene_score(v: Views) -> DataFrame:
     return gene_scores(v).select("doc_id", F.round("gene_score", 6).alias("gene_score"))
 
 
-#: The annotated genes of the stand-in texts.
-EFFECTS = [("FOXO3", "induces"), ("GENE7", "induces"), ("daf-2", "induces"), ("Trp53", "inhibits")]
 PROPERTY = "p AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{g}' AS gene, '{e}' AS effect, lower(substr(t, CAST(greatest(ofs - 251, 0) AS INTEGER) + 1, CAST(ofs - 1 + {len(g) + 250} - greatest(ofs - 251, 0) AS INTEGER))) AS ctx FROM (SELECT doc_id, t, instr(lower(t), '{g.lower()}') AS ofs FROM trace) WHERE ofs > 0" for g, e in EFFECTS) + ")"
+    f"SELECT doc_id, '{g}' AS gene, '{e.lower()}' AS effect, lower(substr(t, CAST(greatest(ofs - 251, 0) AS INTEGER) + 1, CAST(ofs - 1 + {len(g) + 250} - greatest(ofs - 251, 0) AS INTEGER))) AS ctx FROM (SELECT doc_id, t, instr(lower(t), '{g.lower()}') AS ofs FROM trace) WHERE ofs > 0" for g, e in EFFECTS) + ")"
 FIRST = lambda words: "coalesce(" + ", ".join(f"nullif(instr(ctx, '{w}'), 0)" for w in words) + ") - 1"
 CLAIMED = f"""{PROPERTY}, f AS (SELECT *, {FIRST(R.INDUCES)} AS a, {FIRST(R.INHIBITS)} AS b, length(ctx) // 2 AS mid FROM p),
 i AS (SELECT *, a IS NOT NULL AND (b IS NULL OR abs(a - mid) <= abs(b - mid)) AS ind, CASE WHEN a IS NOT NULL AND (b IS NULL OR abs(a - mid) <= abs(b - mid)) THEN a ELSE b END AS ofs FROM f),
@@ -117,10 +127,14 @@ c AS (SELECT doc_id, gene, effect, CASE WHEN ofs IS NULL THEN NULL WHEN ind <> (
 
 
 def claims(v: Views) -> DataFrame:
-    """(doc_id, gene, effect, ctx, claimed) for every annotated gene that a text mentions."""
-    each = F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), F.lit(e).alias("effect"), R.context(F.col("t"), g).alias("ctx")) for g, e in EFFECTS]))
-    x = v.trace.select("doc_id", "fmt", each.alias("x")).select("doc_id", "fmt", "x.*").filter("ctx IS NOT NULL")
-    return x.withColumn("claimed", R.claimed_direction(F.col("ctx")))
+    """(doc_id, fmt, gene, effect, ctx, claimed) for every annotated gene among a text's candidates.
+
+    Candidates meet the dimension of genes without their texts; only what it knows goes back to the texts."""
+    found = v.trace.select("doc_id", F.explode(R.gene_candidates(F.col("t"))).alias("symbol"))
+    known = v.effects.select("gene", F.upper("gene").alias("upper"), F.lower("effect").alias("effect")).filter(F.col("effect").isin("induces", "inhibits"))
+    met = found.join(known, F.upper("symbol") == F.col("upper")).select("doc_id", "symbol", "gene", "effect")
+    x = met.join(v.trace, "doc_id").withColumn("ctx", R.context(F.col("t"), F.col("symbol"))).filter("ctx IS NOT NULL")
+    return x.select("doc_id", "fmt", "gene", "effect", "ctx", R.claimed_direction(F.col("ctx")).alias("claimed"))
 
 
 @query(f"WITH {PROPERTY} SELECT doc_id, gene, ctx FROM p")
@@ -133,6 +147,16 @@ def claimed_direction(v: Views) -> DataFrame:
     return claims(v).select("doc_id", "gene", "claimed")
 
 
+@query(f"WITH {CLAIMED} SELECT gene, effect, count(*) AS n, count(claimed) AS checked, count(*) FILTER (claimed = effect) AS correct, count(*) FILTER (claimed <> effect) AS violated, string_agg(doc_id || ':' || claimed, ',' ORDER BY doc_id) FILTER (claimed <> effect) AS violations FROM c GROUP BY ALL")
+def property_join(v: Views) -> DataFrame:
+    """Claims by gene of the dimension, with the list of those that contradict it."""
+    wrong = F.col("claimed") != F.col("effect")
+    listed = F.sort_array(F.collect_list(F.when(wrong, F.struct("doc_id", "claimed"))))
+    text = F.array_join(F.transform(listed, lambda x: F.concat(x.doc_id.cast("string"), F.lit(":"), x.claimed)), ",")
+    out = claims(v).groupBy("gene", "effect").agg(F.count("*").alias("n"), F.count("claimed").alias("checked"), F.count_if(F.col("claimed") == F.col("effect")).alias("correct"), F.count_if(wrong).alias("violated"), text.alias("violations"))
+    return out.withColumn("violations", F.nullif("violations", F.lit("")))
+
+
 CHECKED = "q AS (SELECT doc_id, count(claimed) AS checked, count(*) FILTER (claimed = effect) AS correct FROM c GROUP BY doc_id)"
 
 
@@ -147,18 +171,20 @@ def property_score(v: Views) -> DataFrame:
 
 
 FAITH = f"""{COUNTS}, {GENES}, {KNOWN}, {CLAIMED}, {CHECKED},
-faith AS (SELECT k.doc_id, k.fmt, round(0.4::DOUBLE * coalesce(m.k / nullif(m.n, 0)::DOUBLE, 0.5) + 0.2::DOUBLE * ({CONSISTENT}) + 0.4::DOUBLE * coalesce(correct / nullif(checked, 0)::DOUBLE, 0.5), 4) AS faithfulness FROM k JOIN m USING (doc_id) LEFT JOIN q USING (doc_id))"""
+parts AS (SELECT k.doc_id, k.fmt, m.n AS genes, m.k AS known, coalesce(m.k / nullif(m.n, 0)::DOUBLE, 0.5) AS gene_score, ({CONSISTENT}) AS consistency, coalesce(checked, 0) AS checked, coalesce(correct, 0) AS correct, coalesce(correct / nullif(checked, 0)::DOUBLE, 0.5) AS property_score
+FROM k JOIN m USING (doc_id) LEFT JOIN q USING (doc_id)),
+faith AS (SELECT *, round(0.4::DOUBLE * gene_score + 0.2::DOUBLE * consistency + 0.4::DOUBLE * property_score, 4) AS faithfulness FROM parts)"""
 
 
 def faithful(v: Views) -> DataFrame:
-    """All scores of a text in one pass; property counts stay inside the row."""
-    ctx = F.array(*[F.struct(F.lit(e).alias("effect"), R.context(F.col("t"), g).alias("ctx")) for g, e in EFFECTS])
-    right = F.transform(F.filter(ctx, lambda c: c.ctx.isNotNull()), lambda c: R.claimed_direction(c.ctx) == c.effect)
-    share = lambda xs: F.coalesce(F.try_divide(F.size(F.filter(xs, lambda r: r)).cast("double"), F.size(xs)), F.lit(0.5))
-    prop = R.bound(F.filter(right, lambda r: r.isNotNull()), share)
-    gene = R.bound(F.transform(R.gene_candidates(F.col("t")), lambda s: metrics.uniform(F.upper(s), F.lit(10)) < 7), share)
-    x = consistent(counted(v))
-    return x.select("doc_id", "fmt", R.faithfulness(gene, F.col("consistency"), prop).alias("faithfulness"))
+    """All scores and counts of every text."""
+    symbols = R.gene_candidates(F.col("t"))
+    known = F.size(F.filter(symbols, lambda s: metrics.uniform(F.upper(s), F.lit(10)) < 7))
+    x = consistent(counted(v.trace)).withColumns({"genes": F.size(symbols), "known": known}).drop("t", "up", "down", "sig", "none", "unsure")
+    x = x.join(properties(v), "doc_id", "left").withColumns({"checked": F.coalesce("checked", F.lit(0)), "correct": F.coalesce("correct", F.lit(0))})
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.5))
+    x = x.withColumns({"gene_score": share("known", "genes"), "property_score": share("correct", "checked")})
+    return x.withColumn("faithfulness", R.faithfulness(F.col("gene_score"), F.col("consistency"), F.col("property_score")))
 
 
 @query(f"WITH {FAITH} SELECT doc_id, faithfulness FROM faith")
@@ -182,6 +208,56 @@ def lowest_traces(v: Views) -> DataFrame:
     return faithful(v).orderBy(F.coalesce("faithfulness", F.lit(1.0)), "doc_id").limit(8).select("doc_id", "faithfulness")
 
 
+@query(f"WITH {FAITH} SELECT doc_id, faithfulness FROM faith ORDER BY faithfulness DESC, doc_id LIMIT 10")
+def highest_traces(v: Views) -> DataFrame:
+    return faithful(v).orderBy(F.desc("faithfulness"), "doc_id").limit(10).select("doc_id", "faithfulness")
+
+
+SUMMARY = """count(*) AS n, round(avg(faithfulness), 4) AS avg_faithfulness, round(avg(gene_score), 4) AS avg_gene_score, round(avg(consistency), 4) AS avg_consistency, round(avg(property_score), 4) AS avg_property_score,
+CAST(sum(checked) AS BIGINT) AS genes_checked, CAST(sum(checked - correct) AS BIGINT) AS violations, count(*) FILTER (consistency > 0.5) AS n_consistent, round(100 * avg((consistency > 0.5)::INT), 1) AS pct_consistent,
+CAST(sum(genes) AS BIGINT) AS total_genes, CAST(sum(known) AS BIGINT) AS verified_genes, round(100 * sum(known)::DOUBLE / nullif(sum(genes), 0), 1) AS pct_verified"""
+
+
+def summarised(x: DataFrame, *by: str) -> DataFrame:
+    """Averages, totals and percentages of scored traces."""
+    mean = lambda c: F.round(F.avg(c), 4).alias(f"avg_{c}")
+    sure = F.col("consistency") > 0.5
+    return x.groupBy(*by).agg(
+        F.count("*").alias("n"), mean("faithfulness"), mean("gene_score"), mean("consistency"), mean("property_score"), F.sum("checked").alias("genes_checked"), F.sum(F.col("checked") - F.col("correct")).alias("violations"),
+        F.count_if(sure).alias("n_consistent"), F.round(100 * F.avg(sure.cast("int")), 1).alias("pct_consistent"), F.sum("genes").cast("long").alias("total_genes"), F.sum("known").cast("long").alias("verified_genes"),
+        F.round(F.try_divide(100.0 * F.sum("known"), F.sum("genes")), 1).alias("pct_verified"))
+
+
+@query(f"WITH {FAITH} SELECT {SUMMARY} FROM faith")
+def trace_summary(v: Views) -> DataFrame:
+    return summarised(faithful(v))
+
+
+@query(f"WITH {FAITH} SELECT source, {SUMMARY} FROM faith JOIN documents USING (doc_id) WHERE starts_with(source, 'src1') GROUP BY source")
+def task_trace_summary(v: Views) -> DataFrame:
+    """Traces of some tasks, by the prefix of their names, summed up again."""
+    names = v.table("documents").select("doc_id", "source").filter(F.col("source").startswith("src1"))
+    return summarised(faithful(v).join(names, "doc_id"), "source")
+
+
+RANKED = "rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
+
+
+@query(f"""WITH {FAITH}, s AS (SELECT faithfulness, doc_id, fmt, round((gene_score + consistency + property_score) / 3, 6) AS oracle, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS passed, gene_score, consistency, property_score FROM faith JOIN labels USING (doc_id)),
+r AS (SELECT *, {RANKED.format(x='faithfulness')} AS rf, {RANKED.format(x='oracle')} AS ro, {RANKED.format(x='passed')} AS rp FROM s)
+SELECT count(*) AS n, round(avg(gene_score), 4) AS avg_pathway, round(avg(consistency), 4) AS avg_evidence, round(avg(property_score), 4) AS avg_claim, round(avg(oracle), 4) AS avg_oracle,
+round(coalesce(corr(rf, ro), 0), 4) AS cheap_vs_oracle, round(coalesce(corr(ro, rp), 0), 4) AS oracle_vs_correct FROM r""")
+def oracle_summary(v: Views) -> DataFrame:
+    """Mean scores of judged traces, and two rank correlations: cheap with judged score, judged score with correctness."""
+    labels = v.table("labels").select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(0).alias("passed"))
+    x = faithful(v).join(labels, "doc_id").withColumns({"all": F.lit("all"), "oracle": F.round((F.col("gene_score") + F.col("consistency") + F.col("property_score")) / 3, 6)})
+    means = x.groupBy("all").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(a) for c, a in (("gene_score", "avg_pathway"), ("consistency", "avg_evidence"), ("property_score", "avg_claim"), ("oracle", "avg_oracle"))])
+    for a, b, name in (("faithfulness", "oracle", "cheap_vs_oracle"), ("oracle", "passed", "oracle_vs_correct")):
+        rho = metrics.rank_correlation(x, ["all"], a, b).select("all", F.round(F.coalesce("rho", F.lit(0.0)), 4).alias(name))
+        means = means.join(rho, "all")
+    return means.drop("all")
+
+
 @query(f"""WITH {FAITH}, s AS (SELECT doc_id, faithfulness AS x, (doc_id % 7) AS y FROM faith),
 r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS b FROM s) SELECT 'all' AS model, count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
 def trace_spearman(v: Views) -> DataFrame:

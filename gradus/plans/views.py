@@ -19,6 +19,13 @@ CLAIMS = [
 ]
 
 
+#: The annotated genes of the stand-in texts.
+EFFECTS = [("FOXO3", "Induces"), ("GENE7", "Induces"), ("daf-2", "Induces"), ("Trp53", "Inhibits")]
+#: Formats and answers that the dispatch has to tell apart.
+KINDS = ["mcq", "binary", "TERNARY", "pairwise", "regression", "other", None]
+ANSWERS = ["A", " b ", "C", "", None]
+
+
 class Views:
     """Views over one directory of driver tables."""
 
@@ -85,6 +92,18 @@ class Views:
         claims = F.element_at(F.array(*map(F.lit, CLAIMS)), (F.col("doc_id") % len(CLAIMS)).cast("int") + 1)
         return self.table("documents").select("doc_id", F.concat_ws(" ", "text", claims).alias("t"), F.element_at(F.array(*map(F.lit, "ABC")), (F.col("doc_id") % 3).cast("int") + 1).alias("pred"), F.when(F.col("doc_id") % 2 == 0, "mcq").otherwise("binary").alias("fmt"))
 
+    @property
+    def effects(self) -> DataFrame:
+        """Annotated genes with the effect of each: a dimension of hundreds of rows."""
+        return self.spark.createDataFrame(EFFECTS, "gene string, effect string")
+
+    @property
+    def answers(self) -> DataFrame:
+        """The traces with every format, missing and padded answers, missing and empty texts."""
+        pick = lambda xs: F.element_at(F.array(*[F.lit(x).cast("string") for x in xs]), (F.col("doc_id") % len(xs)).cast("int") + 1)
+        text = F.when(F.col("doc_id") % 13 == 7, F.lit(None)).when(F.col("doc_id") % 13 == 8, "").otherwise(F.col("t"))
+        return self.trace.select("doc_id", text.alias("t"), pick(ANSWERS).alias("pred"), pick(KINDS).alias("fmt"))
+
     @property
     def feat(self) -> DataFrame:
         """Long features: (sample, label, feature, value)."""
@@ -106,5 +125,6 @@ SQL = {
     "cells": """SELECT event_id AS pos, event_type AS model, user_id AS sample, value AS latency, CAST(json_extract(props, '$.k') AS BIGINT) AS tokens, event_id % 4 AS fmt, CAST(json_extract(props, '$.k') AS BIGINT) / 100 AS score FROM events""",
     "msgs": """SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id""",
     "trace": "SELECT doc_id, concat_ws(' ', text, ([" + ", ".join("'" + c.replace("'", "''") + "'" for c in CLAIMS) + "])[CAST(doc_id % 6 AS INTEGER) + 1]) AS t, (['A', 'B', 'C'])[CAST(doc_id % 3 AS INTEGER) + 1] AS pred, CASE WHEN doc_id % 2 = 0 THEN 'mcq' ELSE 'binary' END AS fmt FROM documents",
+    "answers": "SELECT doc_id, CASE WHEN doc_id % 13 = 7 THEN NULL WHEN doc_id % 13 = 8 THEN '' ELSE t END AS t, (['A', ' b ', 'C', '', NULL])[CAST(doc_id % 5 AS INTEGER) + 1] AS pred, (['mcq', 'binary', 'TERNARY', 'pairwise', 'regression', 'other', NULL])[CAST(doc_id % 7 AS INTEGER) + 1] AS fmt FROM trace",
     "feat": """SELECT vec_id AS sample, label, CAST(i - 1 AS INTEGER) AS feature, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, unnest(generate_series(1, len(embedding))) AS u(i)""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 PROMPT = "lb_id string, pool string, display_name string, display_group string, domain string, format string, metric string, units string, messages array<struct<role:string,content:string>>, task string, has_reasoning boolean, metadata string"
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -16,14 +17,30 @@ LABEL_HINTS = ["age", "label", "group", "diagnosis", "outcome", "target"]
 META_HINTS = ["sex", "gender", "batch", "tissue", "organ", "study", "date"]
 
 
+#: Characters at the start of a file that tell its delimiter.
+HEAD = 4096
+
+
+def delimiter_of(head: str) -> str:
+    """Of comma, tab and semicolon the one that cuts all lines alike, most cuts first; else a tab if there is one, else a comma.
+
+    A last line that the head cuts short does not count. Signs inside double quotes are no delimiters."""
+    bare = re.sub(r'"[^"]*"', "", head)
+    lines = bare.split("\n")
+    lines = [x for x in (lines[:-1] if len(head) >= HEAD and len(lines) > 1 else lines) if x.strip()]
+    alike = {d: counts.pop() for d in "\t,;" if len(counts := {x.count(d) for x in lines}) == 1}
+    best = max(alike, key=alike.get, default="")
+    return best if best and alike[best] else "\t" if "\t" in head else ","
+
+
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """By the file's ending, else the most frequent of comma, tab and semicolon in its first line."""
-    if path.endswith(".tsv"):
+    """By the file's ending in any case, else by its first characters."""
+    if path.lower().endswith(".tsv"):
         return "\t"
-    if path.endswith(".csv"):
+    if path.lower().endswith(".csv"):
         return ","
-    line = (spark.read.text(path).limit(1).collect() or [[""]])[0][0]
-    return max("\t,;", key=line.count)
+    lines = spark.read.text(path).select(F.left("value", F.lit(HEAD)).alias("value")).limit(200).collect()
+    return delimiter_of("\n".join(r["value"] for r in lines)[:HEAD])
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, delimiter: str | None = None) -> DataFrame:
@@ -59,10 +76,32 @@ def write_prompts(df: DataFrame, parquet: str, lines: str | None = None) -> None
         df.write.mode("overwrite").json(lines)
 
 
+def write_ordered_lines(df: DataFrame, path: str, order: str = "row_index") -> None:
+    """JSON lines in the order of ``order``, in files whose names sort as their rows do."""
+    df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").json(path)
+
+
+def write_mirrored(df: DataFrame, path: str, mirror: str) -> None:
+    """Parquet, and a public copy made from what was written, so that the frame is computed once."""
+    df.write.mode("overwrite").parquet(path)
+    df.sparkSession.read.schema(df.schema).parquet(path).write.mode("overwrite").parquet(mirror)
+
+
+def _finite(x: Column, kind: DataType) -> Column:
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~(F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), x)
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda y: _finite(y, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, y: _finite(y, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(x.isNotNull(), F.struct(*[_finite(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return x
+
+
 def scrubbed(df: DataFrame) -> DataFrame:
-    """NaN and infinities of every double column as null."""
-    bad = lambda c: F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return df.withColumns({c: F.when(~bad(F.col(c)), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
+    """NaN and infinities as null, inside arrays, maps and structs too."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def write_table(df: DataFrame, path: str, delimiter: str = ",") -> None:
@@ -98,12 +137,71 @@ def summary(rows: list[dict], path: str | None = None) -> str:
     return text
 
 
-def layout(columns: list[str]) -> str:
-    """``maf`` by its identification column, ``wide`` beyond 500 columns, else ``generic``."""
+def layout(columns: list[str], rows: list[list[str]] | None = None) -> str:
+    """``maf`` by its identification columns; ``wide`` beyond 500 columns or where more than five columns after the first hold more
+    than ten numbers among the first twenty ``rows``; else ``generic``."""
     low = {c.lower() for c in columns}
     if {"metabolite_identification", "mass_to_charge"} <= low:
         return "maf"
-    return "wide" if len(columns) > 500 else "generic"
+    numeric = [sum(_number(r[i]) for r in (rows or [])[:20]) > 10 for i in range(1, len(columns))]
+    return "wide" if len(columns) > 500 or sum(numeric) > 5 else "generic"
+
+
+def _number(x: str | None) -> bool:
+    try:
+        return x is not None and float(x) == float(x)
+    except ValueError:
+        return False
+
+
+def layout_of(df: DataFrame) -> str:
+    """Layout of a table of strings, by its header and its first twenty rows."""
+    return layout(df.columns, [list(r) for r in df.limit(20).collect()])
+
+
+def read_models(path: str) -> dict[str, dict]:
+    """The model registry of a YAML file: settings by name. Needs the yaml package."""
+    import yaml
+
+    with open(path) as f:
+        return dict((yaml.safe_load(f) or {}).get("models") or {})
+
+
+def siblings(name: str) -> tuple[str | None, str]:
+    """(train, test) file names of a split by either of them; a name that is neither is a test file without a sibling."""
+    test, train = "_test.parquet", "_train.parquet"
+    if name.endswith(train):
+        return name, name[: -len(train)] + test
+    return (name[: -len(test)] + train if name.endswith(test) else None), name
+
+
+def discovered(spark: SparkSession, root: str) -> DataFrame:
+    """(label, test, train, formats, n_test, n_train) of every task folder below ``root``.
+
+    A task's files lie in its folder ``processed``, else in its own; of several the first by name counts, and test files whose
+    name ends in ``_30`` or ``_100`` are parts of others."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def found(pattern: str) -> list[str]:
+        return sorted(str(x.getPath()) for x in fs.globStatus(fs_path(pattern)) or [])
+
+    rows = []
+    for task in found(f"{root}/[!.]*"):
+        for folder in (f"{task}/processed", task):
+            test, train = found(f"{folder}/*_test.parquet"), found(f"{folder}/*_train.parquet")
+            if test or train:
+                read = spark.read.parquet(test[0]) if test else None
+                kinds = sorted(r[0] for r in read.select("format").dropna().distinct().collect()) if test and "format" in read.columns else []
+                rows.append((task.rsplit("/", 1)[-1], test[0] if test else None, train[0] if train else None, kinds, read.count() if test else 0, spark.read.parquet(train[0]).count() if train else 0))
+                break
+    return spark.createDataFrame(rows, "label string, test string, train string, formats array<string>, n_test long, n_train long")
+
+
+def latest_file(spark: SparkSession, pattern: str) -> str | None:
+    """Path of the file that was changed last; of several the last by name."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
 
 
 def column_roles(columns: list[str]) -> dict[str, str]:

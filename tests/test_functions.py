@@ -77,9 +77,9 @@ def test_genes(spark):
 
 def test_direction(spark):
     far = "induces senescence " + "y" * 300 + " GENE1 is reduced"
-    assert one(spark, lambda t: trace.claimed_direction(trace.context(t, "GENE1")), far) == "inhibits"
-    assert one(spark, lambda t: trace.claimed_direction(trace.context(t, "GENE1")), "GENE1 does not inhibit it") == "induces"
-    assert one(spark, lambda t: trace.claimed_direction(trace.context(t, "GENE1")), "GENE1 alone") is None
+    assert one(spark, lambda t: trace.claimed_direction(trace.context(t, F.lit("GENE1"))), far) == "inhibits"
+    assert one(spark, lambda t: trace.claimed_direction(trace.context(t, F.lit("GENE1"))), "GENE1 does not inhibit it") == "induces"
+    assert one(spark, lambda t: trace.claimed_direction(trace.context(t, F.lit("GENE1"))), "GENE1 alone") is None
 
 
 def test_faithfulness(spark):
@@ -118,3 +118,49 @@ def test_off_by_one(spark):
 def test_constant_spearman_is_zero(spark):
     df = spark.createDataFrame([("m", 1.0, 2.0), ("m", 1.0, 3.0)], "model string, gold double, pred double")
     assert metrics.spearman(df, ["model"]).first()["rho"] == 0.0
+
+
+def test_consistency_dispatch(spark):
+    rows = [("mcq", "it increases", "A", 1.0), ("Ternary", "it increases", " a ", 1.0), ("ternary", "it increases", "b", 0.0), ("binary", "significant", "a", 1.0), ("pairwise", "it increases", "A", 0.5), ("regression", "increases", "A", 0.5), (None, "increases", "A", 0.5), ("mcq", None, "A", 0.5), ("mcq", "", "A", 0.5), ("mcq", "increases", None, 0.5), ("mcq", "increases", "", 0.5)]
+    df = spark.createDataFrame(rows, "fmt string, t string, pred string, want double").withColumn("low", F.lower("t"))
+    low = F.col("low")
+    counts = {"up": trace.keyword_hits(low, trace.UP), "down": trace.keyword_hits(low, trace.DOWN), "none": trace.named(low, trace.NO_CHANGE), "sure": trace.keyword_hits(low, trace.SIGNIFICANT), "unsure": trace.named(low, trace.NOT_SIGNIFICANT)}
+    got = df.select("*", trace.consistency(F.col("fmt"), F.col("t"), F.col("pred"), counts).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_wrong_genes_takes_the_first_mentions(spark):
+    from gradus.functions import perturb
+
+    df = spark.createDataFrame([("TP53 and RB1, TP53x TP53; MYC", ["NOPE", "TP53", "MYC", "RB1", "TP53x"]), ("none here", ["A"]), ("x", None), (None, ["TP53"])], "t string, g array<string>")
+    got = [r[0] for r in df.select(perturb.wrong_genes(F.col("t"), F.col("g"))).collect()]
+    assert got == ["XYZQ1 and RB1, TP53x TP53; FAKE7", "none here", "x", None]
+
+
+def test_flipped_never_swaps_back(spark):
+    from gradus.functions import perturb
+
+    assert one(spark, perturb.flipped, "It Increases and decreases; promotes lifespan extension, preincrease") == "It decreases and increases; suppresses lifespan shortening, preincrease"
+
+
+def test_instructions(spark):
+    rows = [("s", "q", "a")]
+    df = spark.createDataFrame(rows, "s string, u string, a string")
+    m = F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("content")) for r, c in (("system", "s"), ("user", "u"))])
+    got = df.select(text.instructed(m, "mcq", thinking=True).alias("m")).first()["m"]
+    assert [x["content"] for x in got] == ["s" + text.INSTRUCTIONS["mcq"], "q" + text.REMINDERS["mcq"]]
+    got = df.select(text.instructed(m, "other", thinking=True).alias("m")).first()["m"]
+    assert [x["content"] for x in got] == ["s", "q"]
+
+
+def test_patched_keeps_other_fields(spark):
+    import json
+
+    assert json.loads(one(spark, lambda x: text.patched(x, "split", F.lit("test")), '{"a": 1, "split": "x", "b": {"c": [2]}}')) == {"a": "1", "b": '{"c":[2]}', "split": "test"}
+    assert one(spark, lambda x: text.patched(x, "k", F.lit("v")), "no json") == '{"k":"v"}'
+
+
+@pytest.mark.parametrize(("given", "ok"), [('```json\n{"pathway_correctness": 5, "evidence_use": 0}\n```', True), ('{"pathway_correctness": 6, "evidence_use": 0}', False), ('{"evidence_use": 0}', False), ("text", False)])
+def test_judgment_bounds(spark, given, ok):
+    got = one(spark, text.judgment, given)
+    assert (got is not None) is ok
