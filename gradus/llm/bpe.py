@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, slices
+from gradus.llm.common import Memo, slices, small_batches
 
 #: Entries a worker keeps of chunks already encoded; the table starts anew beyond it.
 CACHE = 400_000
@@ -133,6 +133,7 @@ def encoder(path: str, pattern: str) -> ByteBpe:
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, ids array<int>) of every text."""
+    small_batches(df.sparkSession)
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,6 +108,13 @@ def id_hash_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of the session hold 4 MB, where its user has not set a size: by default thousands of texts go together."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "4m")
+
+
 def bounded_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
     """About ``most`` rows of ``df`` at most: those whose hash ``h`` is in a range that depends on the number of rows alone."""
     n = df.count()

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, Scratch, connected_components, dropped, gram_hashes, mix, picked, slices, stored, word_hashes
+from gradus.llm.common import Memo, Scratch, connected_components, dropped, gram_hashes, mix, picked, slices, small_batches, stored, word_hashes
 
 #: Counters of the sketch for each row of the table, as many as a power of two from LEAST to MOST; counters of a block.
 PER_ROW, LEAST, MOST, COUNTERS = 16, 16, 22, 1 << 16
@@ -222,6 +222,7 @@ def similarity_join(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     """(documents, links), both stored: (key, n_shingles, class_id) of every row, and verified links (a, b), a < b, between classes.
 
     Without ``every_pair`` the links are enough to give all components, not all links inside one."""
+    small_batches(df.sparkSession)
     t, docs = Threshold(num, den), _rows(df, key, text)
     counters = 1 << min(MOST, max(LEAST, (PER_ROW * docs.count()).bit_length()))
     with Scratch(df.sparkSession) as scratch:

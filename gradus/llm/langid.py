@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gradus.llm.common import Memo, slices
+from gradus.llm.common import Memo, slices, small_batches
 
 #: Most rows that training takes, and about as many characters of all their texts.
 SAMPLE, CHARS = 2000, 2_500_000
@@ -301,6 +301,7 @@ def labelled(df: DataFrame, model: Crf | None, text: str = "text", lang_pred: st
     shared = df.sparkSession.sparkContext.broadcast(model)
     own = [c for c in df.columns if c not in (lang_pred, score)]
     at = own.index(text)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
@@ -327,6 +328,7 @@ def predict(df: DataFrame, model: Crf | None, text: str = "text", key: str = "do
 
 def words(df: DataFrame, model: Crf, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, words array<struct<word, lang, p>>): the most likely language of every word of each text."""
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
 

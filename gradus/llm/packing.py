@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, slices, stored
+from gradus.llm.common import Memo, slices, small_batches, stored
 
 SIZE = 4096
 #: Entries of a worker's table of words already encoded; it starts anew beyond it.
@@ -69,6 +69,7 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     """(key, piece, start, length, ids_crc32 and, with ``ids``, ids binary) of every document, cut at ``size`` tokens.
 
     With ``shards`` a last column ``_shard`` deals the pieces out in turn, so that equal rows part."""
+    small_batches(df.sparkSession)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     end = int(end_id).to_bytes(4, "little")
 

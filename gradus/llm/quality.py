@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from gradus.llm.common import Memo, bounded_sample, slices
+from gradus.llm.common import Memo, bounded_sample, slices, small_batches
 
 #: Word buckets, shape buckets, dimensions, non-zero entries of an index vector.
 WORDS, SHAPES, DIMENSIONS, ENTRIES = 4096, 1024, 64, 4
@@ -107,6 +107,7 @@ def context_sums(pairs: np.ndarray, offsets: np.ndarray, places: np.ndarray, sig
 
 def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     """Unit word vectors of all buckets, summed over every text of ``df``."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
@@ -228,6 +229,7 @@ def scored(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text",
     shared = df.sparkSession.sparkContext.broadcast(model)
     own = [c for c in df.columns if c not in (score, predicted)]
     at = own.index(text)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gradus.llm.common import Memo, Scratch, dropped, gram_hashes, picked, slices, stored, tidy_shuffles, word_hashes
+from gradus.llm.common import Memo, Scratch, dropped, gram_hashes, picked, slices, small_batches, stored, tidy_shuffles, word_hashes
 
 WINDOW, GRAM, FAN, BATCHES = 13, 6, 2, 3
 #: Most ids that are broadcast to pick out texts; more are shuffled.
@@ -145,6 +145,7 @@ class FingerprintIndex:
         """Indexes a batch of (id, text): (fp, id) of its documents and earlier ones that share fingerprints, stored.
 
         Runs that have gathered are compacted first."""
+        small_batches(self.spark)
         if len(self.runs) >= self.fan:
             self.compact()
         with Scratch(self.spark) as scratch:
@@ -285,6 +286,7 @@ def _found(docs: DataFrame, n: int, batches: int, gram: int, fan: int, index: Fi
 
 
 def _judged(df: DataFrame, key: str, text: str, n: int, batches: int, gram: int, fan: int, index: FingerprintIndex | None, history: DataFrame | None, digest: bool) -> DataFrame:
+    small_batches(df.sparkSession)
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     if history is not None:
         history = history.select(F.col(key).alias("id"), F.col(text).alias("text"))
