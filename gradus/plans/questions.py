@@ -57,11 +57,11 @@ def pair_questions(v: Views) -> DataFrame:
     return asked(_context(e), "pair", "comparison", F.lit("A"))
 
 
-PERSON = "SELECT c_custkey, (['female', 'male'])[CAST(c_custkey % 2 AS INTEGER) + 1] AS sex, CASE WHEN c_nationkey > 0 THEN 20 + c_nationkey * 3 END AS age, 'balance: ' || printf('%.4g', c_acctbal / 7) AS profile, c_mktsegment FROM customer"
+PERSON = "SELECT c_custkey, (['female', 'male'])[CAST(c_custkey % 2 AS INTEGER) + 1] AS sex, CASE WHEN c_nationkey > 0 THEN 20 + c_nationkey * 3 END AS age, 'balance: ' || printf('%.4g', c_acctbal / pi()) AS profile, c_mktsegment FROM customer"
 
 
 def _persons(v: Views) -> DataFrame:
-    profile = prompts.profile_text(F.array(F.struct(F.lit("balance").alias("name"), (F.col("c_acctbal") / 7).alias("value"))))
+    profile = prompts.profile_text(F.array(F.struct(F.lit("balance").alias("name"), (F.col("c_acctbal") / F.pi()).alias("value"))))
     return v.table("customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "female").otherwise("male").alias("sex"), F.when(F.col("c_nationkey") > 0, 20 + F.col("c_nationkey") * 3).alias("age"), profile.alias("profile"), "c_mktsegment")
 
 
