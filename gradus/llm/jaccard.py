@@ -17,7 +17,7 @@ the first of them, and no link between different components is lost. With ``ever
 pairs are the whole join between classes.
 
 Verification streams sorted texts: one of a pair comes first, its partners follow, one set is held at a time. A text with many
-partners is sent to several groups, each of about ``GROUP`` bytes or 16 times that text.
+partners is sent to several groups, each of about ``TEXTS`` texts at most and ``GROUP`` bytes or 16 times that text.
 
 Null texts and texts without words have the empty set and link with nothing; rows without an id link with nothing and have a
 null component. Repeated rows fall into one class; of several texts under one id each takes part, and the id has the smallest
@@ -42,8 +42,8 @@ from gradus.llm.common import Memo, Scratch, connected_components, dropped, gram
 PER_ROW, LEAST, MOST, COUNTERS = 16, 16, 22, 1 << 16
 #: Bits of a parity signature.
 BITS = 1024
-#: Bytes of a group of texts to verify.
-GROUP = 1 << 20
+#: Bytes and texts of a group to verify, about.
+GROUP, TEXTS = 1 << 18, 64
 #: Most ids that are broadcast to pick out texts; more are shuffled.
 MOST_IDS = 500_000
 
@@ -188,8 +188,8 @@ def _suffixed(pairs: DataFrame, lines: DataFrame, t: Threshold) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, widths: DataFrame, n: int, t: Threshold) -> DataFrame:
     """The distinct, stored pairs (a, b) that are linked, by their whole sets; ``widths`` has the bytes of each id's text."""
     w = widths.select("id", "bytes")
-    per = pairs.join(w.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("bytes").alias("all"))
-    per = per.join(w.withColumnRenamed("id", "a"), "a").groupBy("a").agg(F.max(F.floor(F.col("all") / F.greatest(F.lit(GROUP), 16 * F.col("bytes"))) + 1).alias("groups"))
+    per = pairs.join(w.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("bytes").alias("all"), F.count("*").alias("n"))
+    per = per.join(w.withColumnRenamed("id", "a"), "a").groupBy("a").agg(F.max(F.greatest(F.floor(F.col("all") / F.greatest(F.lit(GROUP), 16 * F.col("bytes"))), F.floor(F.col("n") / TEXTS)) + 1).alias("groups"))
     dealt = stored(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").cast("int").alias("g")), "dealt")
     sent = stored(dealt.select("a", "g", F.lit(1).alias("o"), F.col("b").alias("id")).union(dealt.select("a", "g", F.lit(0), "a").distinct()), "sent")
     rows = docs.join(F.broadcast(sent) if sent.count() <= MOST_IDS else sent.hint("shuffle_hash"), "id").select("a", "g", "o", "id", "text")
