@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from gradus.llm.common import Memo, slices, small_batches
 
 #: Most rows that training takes, and about as many characters of all their texts.
-SAMPLE, CHARS = 2000, 2_500_000
+SAMPLE, CHARS = 2000, 1_200_000
 #: Words of a training sequence, rounds of training, words of a block, entries of a worker's table of words.
 SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 120_000
 #: Most characters of a word that is scored in one piece.

@@ -123,10 +123,9 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
 
     parts = df.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, " + ", ".join(f"v{c} float" for c in range(DIMENSIONS)))
     summed = parts.groupBy("bucket").agg(*[F.sum(f"v{c}").alias(f"v{c}") for c in range(DIMENSIONS)])
-    got = summed.collect()  # at most BUCKETS rows
+    got = summed.toArrow()  # at most BUCKETS rows
     out = np.zeros((BUCKETS, DIMENSIONS))
-    for r in got:
-        out[r[0]] = r[1:]
+    out[got.column("bucket").to_numpy()] = np.stack([got.column(f"v{c}").to_numpy() for c in range(DIMENSIONS)], axis=1)
     out = np.sign(out) * np.log1p(np.abs(out))
     used = out.any(axis=1)
     if used.any():
@@ -218,10 +217,11 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key
                 x = document_vectors(part.column("text").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], ["h", "y", "x"])
 
-    got = picked.mapInArrow(run, "h long, y int, x array<float>").collect()
-    got = sorted(got, key=lambda r: (r["h"], r["y"]))[:sample]
-    x = np.array([r["x"] for r in got], np.float64).reshape(-1, WIDTH)
-    return vectors, Network(x, np.array([r["y"] for r in got]))
+    got = picked.mapInArrow(run, "h long, y int, x array<float>").toArrow().combine_chunks()
+    h, y = got.column("h").to_numpy(), got.column("y").to_numpy()
+    order = np.lexsort((y, h))[:sample]
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+    return vectors, Network(x[order].astype(np.float64), y[order])
 
 
 def scored(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text", score: str = "score", predicted: str = "predicted", threshold: float = THRESHOLD) -> DataFrame:
