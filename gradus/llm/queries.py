@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, embed_dedup, jaccard, langid, packing, quality, substring_dedup, topk, url_filter
+from gradus.llm import bpe, chat, embed_dedup, importance, jaccard, langid, negatives, packing, quality, substring_dedup, topk, url_filter, word_bpe
 from gradus.llm.common import id_hash_mod
 
 #: The rules of the url query.
@@ -157,6 +157,52 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, strlen(w)), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS INT), 2) AS BIGINT))), lambda a, b: xor(a >> 8, crc[CAST(xor(a & 255, b) AS INT) + 1]))"
+
+OP11_SQL = rf"""
+WITH RECURSIVE step(i, k, v) AS (SELECT i, 0, i FROM range(0, 256) t(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS crc FROM step WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT unnest(w) AS w, 1 AS s, 0 AS t FROM d UNION ALL SELECT unnest(w), 0, 1 FROM b),
+c AS MATERIALIZED (SELECT w, sum(s) AS s, sum(t) AS t FROM f GROUP BY w),
+h AS MATERIALIZED (SELECT w, s, t, xor({_CRC}, 4294967295) % 10000 AS bucket FROM c, crc),
+g AS (SELECT bucket, CAST(floor(1000 * ln((sum(t)::DOUBLE + 1) * ((SELECT coalesce(sum(s), 0) FROM h)::DOUBLE + 10000)
+  / ((sum(s)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM h)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM h GROUP BY bucket),
+x AS (SELECT doc_id, sum(gain) AS weight FROM (SELECT doc_id, unnest(w) AS w FROM d) JOIN h USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+y AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM d LEFT JOIN x USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= (SELECT count(*) FROM y WHERE n_features >= 20) * 10 // 100 THEN k END AS rank FROM r
+"""
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND {_USABLE}),
+s AS MATERIALIZED (SELECT a.id AS a, c.id AS c, a.l = c.l AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.id % 50 = 0 AND a.id <> c.id AND len(a.e) = len(c.e)),
+p AS (SELECT a, c AS p, score AS ps FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, c) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, p, ps, c, score, CAST(row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, c) AS INTEGER) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT same AND 50 * ps <= 100 * score AND 100 * score <= 95 * ps)
+SELECT a AS anchor_id, p AS positive_id, rank, c AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -169,8 +215,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_best_fit": op9_best_fit,
         "op10_url_rules": op10_url_rules,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_word_bpe": op12_word_bpe,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_topk": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_url_rules": OP10_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_topk": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_url_rules": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_hard_negatives": OP13_SQL}
