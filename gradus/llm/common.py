@@ -7,6 +7,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import filterfalse
 from typing import ClassVar
 
@@ -40,41 +41,49 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Writes inside delete their shuffle files once they are done: nothing reads them again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings, dots as double underscores, that hold inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tidy_shuffles(spark: SparkSession):
+    """Writes inside delete their shuffle files once they are done: nothing reads them again."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 class Scratch:
     """Owner of the frames that :func:`stored` writes inside a ``with``; their files go at its end, also after an error.
 
-    What :meth:`result` stores belongs to the surrounding owner, if there is one, else to whoever asked."""
+    What :meth:`result` stores belongs to the surrounding owner, if there is one, else to whoever asked. Owners are those of
+    the running context, so that queries in several threads keep apart."""
 
-    owners: ClassVar[list[Scratch]] = []
+    owners: ClassVar[ContextVar[tuple[Scratch, ...]]] = ContextVar("owners", default=())
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
-        Scratch.owners.append(self)
+        self.outer = Scratch.owners.get()
+        Scratch.owners.set((*self.outer, self))
         return self
 
     def __exit__(self, *error) -> None:
-        Scratch.owners.remove(self)
+        Scratch.owners.set(self.outer)
         for path in self.paths:
             removed(self.spark, path)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
         out = stored(df, name, owned=False)
-        outer = Scratch.owners[: Scratch.owners.index(self)]
-        if outer:
-            outer[-1].paths.append(out._gradus_path)
+        if self.outer:
+            self.outer[-1].paths.append(out._gradus_path)
         return out
 
 
@@ -82,8 +91,8 @@ def stored(df: DataFrame, name: str, owned: bool = True) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if owned and Scratch.owners:
-        Scratch.owners[-1].paths.append(path)
+    if owned and (owners := Scratch.owners.get()):
+        owners[-1].paths.append(path)
     with tidy_shuffles(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -97,10 +106,12 @@ def dropped(*frames: DataFrame) -> None:
         removed(df.sparkSession, df._gradus_path)
 
 
-def picked(df: DataFrame, ids: DataFrame, how: str, most: int, key: str = "id") -> DataFrame:
-    """``df`` joined by its ``key`` with the stored, distinct ``ids`` (id): broadcast up to ``most`` ids, else a shuffle without a sort."""
+def picked(df: DataFrame, ids: DataFrame, how: str, most: int, key: str = "id", more: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` joined by its ``key`` with the stored, distinct ``ids`` (id): broadcast up to ``most`` ids, else a shuffle without a sort.
+
+    ``more`` names further columns that must agree."""
     ids = ids.withColumnRenamed("id", key)
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), key, how)
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids.hint("shuffle_hash"), [key, *more], how)
 
 
 def id_hash_mod(column: str, n: int) -> Column:

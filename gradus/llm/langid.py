@@ -9,9 +9,10 @@ A word of more than ``PIECE`` characters, such as a text written without spaces,
 that hold each of its n-grams once, so that all of it is scored in bounded memory.
 
 Chains of any length run in blocks: the product of each block's step matrices first, then the states between blocks, then the
-steps inside all blocks at once. Training takes whole texts of at most ``SAMPLE`` rows, about ``CHARS`` characters together:
-those in a range of the hash of id and text. Its gradient holds the exact marginals of words and of neighbouring pairs.
-Prediction takes whole texts.
+steps inside all blocks at once. Training takes at most ``SAMPLE`` distinct texts, about ``CHARS`` characters together: the languages in
+turn, each in the order of its texts' hashes, so that all of them are learned whatever their shares and however often a text
+repeats. A text of more than ``TEXT`` characters gives runs of words from all over it. The gradient holds the exact marginals of
+words and of neighbouring pairs. Prediction takes whole texts.
 
 Null and empty texts and those without a letter get ``und`` with score 0. Without usable labels, or on an empty table, every
 text is ``und``. Ties go to the language first in order. A null id is an id like others. Repeated rows are predicted alike; other
@@ -30,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gradus.llm.common import Memo, slices, small_batches
+from gradus.llm.common import Memo, Scratch, mix, slices, small_batches, stored
 
 #: Most rows that training takes, and about as many characters of all their texts.
 SAMPLE, CHARS = 2000, 1_200_000
+#: Characters that one text contributes at most.
+TEXT = 20_000
 #: Words of a training sequence, rounds of training, words of a block, entries of a worker's table of words.
 SEQUENCE, ROUNDS, BLOCK, CACHE = 32, 40, 64, 120_000
 #: Most characters of a word that is scored in one piece.
@@ -263,14 +266,60 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 11, rounds: int = RO
     return Crf(languages, index, weights, moves)
 
 
-def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, chars: int = CHARS) -> Crf | None:
-    """Trains on the rows that ``learn`` marks and whose language is not null; equal rows of an id count once."""
-    h = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    rows = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("c")).first()
-    share = min(1.0, sample / max(size["n"], 1), chars / max(size["c"] or 1, 1))
-    part = rows.filter(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) < int(share * (1 << 31))).groupBy("h", "lang").agg(F.min("text").alias("text"))
-    got = sorted(part.collect(), key=lambda r: (r["h"], r["lang"]))[:sample]
+def _chosen(rows: DataFrame, sample: int, chars: int, most: int) -> list[tuple[int, str, int]]:
+    """(h, lang, length) of the distinct (h, lang) rows to train on: languages in turn, each in the order of its hashes, until
+    ``sample`` rows or ``chars`` characters are full, of which a text counts ``most`` at most. Each language has one row at least."""
+    keys = stored(rows.groupBy("h", "lang").agg(F.max(F.length("text")).alias("size")), "training")
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}
+    want = max(32, 3 * sample // max(len(counts), 1))  # rows of each language that may be looked at, about
+    bar = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 31, int(want / n * (1 << 31))))]) if counts else F.create_map()
+    near = keys.filter(F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) < F.element_at(bar, F.col("lang"))) if counts else keys
+    queues: dict[str, list] = {}
+    for r in sorted(near.collect(), key=lambda r: (r["h"] & 0x7FFFFFFF, r["h"]), reverse=True):
+        queues.setdefault(r["lang"], []).append((r["h"], r["lang"], r["size"]))
+    out, total = [queues[lang].pop() for lang in sorted(queues)], 0
+    total = sum(min(x[2], most) for x in out)
+    while len(out) < sample and total < chars and any(queues.values()):
+        for lang in sorted(queues):
+            if queues[lang] and len(out) < sample and total < chars:
+                out.append(queues[lang].pop())
+                total += min(out[-1][2], most)
+    return out
+
+
+def _part(text: str, h: int, most: int, run: int = 16) -> str:
+    """The text, or, of one that is longer than ``most``, about as many characters: runs of words from all over it, by hash."""
+    if len(text) <= most:
+        return text
+    words = in_pieces(text.split())
+    starts = np.arange(0, len(words), run)
+    with np.errstate(over="ignore"):
+        order = mix(starts.astype(np.uint64) + np.uint64(h & (1 << 64) - 1))
+    held = order < np.uint64(min((1 << 64) - 1, int(most / len(text) * 2.0**64)))
+    held[int(np.argmin(order))] = True
+    return "\n".join(" ".join(words[a : a + run]) for a in starts[held])
+
+
+def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, chars: int = CHARS, most: int = TEXT) -> Crf | None:
+    """Trains on the rows that ``learn`` marks and whose language and text are not null; a text that repeats counts once.
+
+    Every language among them is learned: see :func:`_chosen`. A text longer than ``most`` gives runs of its words."""
+    rows = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.filter(F.regexp_like("text", F.lit(r"\S")))
+    with Scratch(df.sparkSession):
+        keys = _chosen(rows, sample, chars, most)
+        if not keys:
+            return None
+        listed = F.broadcast(df.sparkSession.createDataFrame([x[:2] for x in keys], "h long, lang string"))  # ``sample`` rows, or one a language
+        small_batches(df.sparkSession)
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [_part(t, h, most) for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(got, pa.string())], ["h", "lang", "text"])
+
+        picked = rows.join(listed, ["h", "lang"], "left_semi").mapInArrow(parts, "h long, lang string, text string")
+        got = sorted(picked.groupBy("h", "lang").agg(F.min("text").alias("text")).toArrow().to_pylist(), key=lambda r: (r["h"], r["lang"]))
     return train([(r["lang"], in_pieces(r["text"].split())) for r in got])
 
 
@@ -299,7 +348,7 @@ def labelled(df: DataFrame, model: Crf | None, text: str = "text", lang_pred: st
     if model is None:
         return df.withColumns({lang_pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     shared = df.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in df.columns if c not in (lang_pred, score)]
+    own = [c for c in df.columns if c.lower() not in (lang_pred.lower(), score.lower())]
     at = own.index(text)
     small_batches(df.sparkSession)
 

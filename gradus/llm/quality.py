@@ -227,7 +227,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, text: str = "text", key
 def scored(df: DataFrame, model: tuple[np.ndarray, Network], text: str = "text", score: str = "score", predicted: str = "predicted", threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``df`` with all its columns, its score and its class; the rows stay where they are."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in df.columns if c not in (score, predicted)]
+    own = [c for c in df.columns if c.lower() not in (score.lower(), predicted.lower())]
     at = own.index(text)
     small_batches(df.sparkSession)
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import stored
+from gradus.llm.common import dropped, stored
 
 #: Bits per encoded key and hash functions of a level.
 BITS, HASHES = 12, 4
@@ -104,7 +104,7 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", de
     """Adds (host, path, rule, verdict). Rules are (verdict, host, path); urls that no rule fits get ``default``."""
     spark = df.sparkSession
     names = ("host", "path", "rule", "verdict")
-    base = df.drop(*[c for c in df.columns if c in names and c != url])
+    base = df.drop(*[c for c in df.columns if c.lower() in names and c != url])
     parsed = base.withColumns({"host": url_host(url), "path": url_path(url)})
     if not rules:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -112,6 +112,7 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", de
     keys = spark.createDataFrame([(v, h.lower(), p) for v, h, p in rules], "verdict string, host string, path string").select("verdict", _key(F.col("host"), F.col("path")).alias("key"))
     universe = stored(parsed.select("host", "path").distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("c")).select("c.key").distinct(), "urlkeys")
     listed = cascade(keys.select("key").distinct(), universe)
+    dropped(universe)
     blocked = cascade(keys.filter("verdict = 'block'").select("key").distinct(), keys.select("key").distinct())  # only listed keys are asked for
     if listed is None or blocked is None:
         return _joined(parsed, keys, lengths, default)

@@ -148,7 +148,7 @@ def test_hard_negatives(spark, shard, group, cells):
 
 def test_pairs_of_nodes_are_pruned(spark):
     rng = np.random.default_rng(1)
-    points = np.floor(256 * np.concatenate([c + 0.05 * rng.standard_normal((240, 8)) for c in 3 * np.eye(8)]))
+    points = np.floor(256 * np.concatenate([c + 0.02 * rng.standard_normal((240, 3)) for c in rng.standard_normal((8, 3))]))
     labels, ids = np.repeat(np.arange(8), 240), np.arange(1920)
     own = np.arange(0, 1920, 10)
     floor, top = np.full((len(own), 1), -(2.0**62)), np.full((len(own), 1), 2.0**62)
