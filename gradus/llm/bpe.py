@@ -74,11 +74,12 @@ class ByteBpe:
         with open(path, "rb") as f:
             ranks = sorted((int(r), base64.b64decode(t)) for t, r in (line.split() for line in f if line.strip()))
         self.ids = [r for r, _ in ranks]
-        self.token = dict(ranks)
         self.rank = {t: r for r, t in ranks}
         self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_bytes([t for _, t in ranks]))
+        of = {c: b for b, c in enumerate(byte_letters())}
+        self.token = {r: bytes([of[c] for c in self.model.id_to_piece(k)]) for k, r in enumerate(self.ids)}  # the inverse mapping
         self.matches = regex.compile(pattern).findall
         self.safe = pattern == public_tokenizers.PATTERN  # the rule for chunks holds for this one
         self.known = Memo(self.encode_pretokens, CACHE // 2, "bpe")
@@ -127,14 +128,15 @@ _ODD_SPACE = regex.compile(r"[^\S \n]|[\x1c-\x1f]").search
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+def encoder(path: str | None, pattern: str) -> ByteBpe:
+    """Of the public rank file, found where this runs, unless a path is given."""
+    return ByteBpe(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern)
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, ids array<int>) of every text."""
     small_batches(df.sparkSession)
-    path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
@@ -161,7 +163,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
 
 def decode(df: DataFrame, ids: str = "ids", key: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(key, decoded binary) of id lists; null lists decode to no bytes, an unknown id fails the row's task."""
-    path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)

@@ -14,7 +14,7 @@ one-dimensional projections; pairs verified are few.
 
 Null vectors, zero vectors and those with null or non-finite components link with nothing. A vector without an id links with
 nothing either: its component is null and it is kept. Vectors of different lengths never link. Rows alike in id and vector count
-once. An empty table gives an empty result. Other columns of the input are not read.
+once; different vectors under one id are rows of their own, each with its own links, and tie nothing together by their id. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -117,7 +117,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vector: str = "embedd
         window, least = width * away, calibrated_count(projections, width, recall)
         rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct()
         good = F.coalesce(F.col("id").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.lit(False))
-        classes = stored(rows.filter(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+        # An id may have several vectors, so that classes of equal vectors go by numbers of their own.
+        classes = stored(rows.filter(good).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("k", F.monotonically_increasing_id()), "classes")
 
         def project(batches):
             for t in batches:
@@ -129,8 +130,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vector: str = "embedd
                 yield pa.RecordBatch.from_arrays([*t.columns, pa.array(p)], [*t.schema.names, "p"])
 
         kind = df.schema[vector].dataType.simpleString()
-        id_kind = df.schema[key].dataType.simpleString()
-        lined = stored(classes.select("rep", "n", "v", F.size("v").alias("d")).mapInArrow(project, f"rep {id_kind}, n long, v {kind}, d int, p double"), "lined")
+        lined = stored(classes.select("k", "n", "v", F.size("v").alias("d")).mapInArrow(project, f"k long, n long, v {kind}, d int, p double"), "lined")
         blocks = max(1, -(-lined.count() // block))
         cuts = lined.agg(F.percentile_approx("p", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else []
         cuts = sorted(set(cuts or []))
@@ -142,13 +142,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vector: str = "embedd
         bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
         mine = lined.withColumn("m", F.size(F.filter(bounds, lambda c: c <= F.col("p"))))
         partners = F.sequence(F.get(F.lit(first).cast("array<int>"), F.col("m")), F.get(F.lit(last).cast("array<int>"), F.col("m")))
-        dealt = mine.withColumn("o", F.explode(partners)).select("d", F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"), "m", "rep", "n", "v")
+        dealt = mine.withColumn("o", F.explode(partners)).select("d", F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b"), "m", "k", "n", "v")
 
         def group(t: pa.Table) -> pa.Table:
             m = t.column("m").to_numpy()
             same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
-            order = np.argsort(t.column("rep").to_numpy(), kind="stable")  # places by id: the smallest place is the smallest id
-            ids, weight = t.column("rep").to_numpy()[order], t.column("n").to_numpy()[order]
+            order = np.argsort(t.column("k").to_numpy(), kind="stable")
+            ids, weight = t.column("k").to_numpy()[order], t.column("n").to_numpy()[order]
             x, side = units(t.column("v"))[order], m[order] == t.column("a")[0].as_py()
             here, there = np.flatnonzero(side), np.flatnonzero(side if same else ~side)
             label, total = np.arange(len(ids)), np.zeros(len(ids), np.int64)
@@ -157,14 +157,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vector: str = "embedd
                 np.add.at(total, here, one)
                 np.add.at(total, there, two)
             linked = np.flatnonzero(total)
-            return pa.table([pa.array(ids[linked]), pa.array(total[linked]), pa.array(ids[label[linked]])], ["id", "n", "root"])
+            return pa.table([pa.array(ids[linked]), pa.array(total[linked]), pa.array(ids[label[linked]])], ["k", "n", "root"])
 
-        found = stored(dealt.groupBy("d", "a", "b").applyInArrow(group, f"id {id_kind}, n long, root {id_kind}"), "links")
-        components = stored(connected_components(found, "id", "root"), "tops")
-        links = found.groupBy("id").agg(F.sum("n").alias("links"))
-        own = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
+        found = stored(dealt.groupBy("d", "a", "b").applyInArrow(group, "k long, n long, root long"), "links")
+        components = stored(connected_components(found, "k", "root").select(F.col("id").alias("k"), F.col("component_id").alias("top")), "tops")
+        links = found.groupBy("k").agg(F.sum("n").alias("links"))
+        own = stored(classes.join(links, "k", "left").join(components, "k", "left").withColumn("top", F.coalesce("top", "k")), "tied")
+        least = stored(own.groupBy("top").agg(F.min("rep").alias("c")), "least")
         # Stored, so that a hot vector's rows meet it in a join that Spark can split.
-        own = stored(own.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("c")), "own")
+        own = stored(own.join(least, "top").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "c"), "own")
         linked = rows.filter(good).join(own, "v").select("id", "links", "c")
         alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("c"))
         every = linked.unionByName(alone)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, slices, small_batches, stored
+from gradus.llm.common import Memo, Scratch, slices, small_batches, stored
 
 SIZE = 4096
 #: Entries of a worker's table of words already encoded; it starts anew beyond it.
@@ -61,8 +61,9 @@ class WordCache:
 
 
 @lru_cache(2)
-def word_cache(path: str) -> WordCache:
-    return WordCache(path)
+def word_cache(path: str | None) -> WordCache:
+    """Of the public file, found where this runs, unless a path is given."""
+    return WordCache(path or public_tokenizers.path("word_bpe_49k.json"))
 
 
 def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, size: int = SIZE, end_id: int = 1, ids: bool = False, shards: int = 0) -> DataFrame:
@@ -70,7 +71,6 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
 
     With ``shards`` a last column ``_shard`` deals the pieces out in turn, so that equal rows part."""
     small_batches(df.sparkSession)
-    path = path or public_tokenizers.path("word_bpe_49k.json")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +202,7 @@ _SLOT = "element_at(slots, size(filter(firsts, f -> f <= _r)))"
 
 
 def best_fit(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, size: int = SIZE, end_id: int = 1, ids: bool = False) -> DataFrame:
-    """Packs every text of ``df``; with ``ids`` the pieces carry their ids as little-endian 32-bit binary."""
-    shards = max(SHARDS, -(-df.count() // PER_SHARD))
-    return pack(stored(pieces(df, text, key, path, size, end_id, ids, shards), "pieces"), key, size)
+    """Packs every text of ``df``, stored; with ``ids`` the pieces carry their ids as little-endian 32-bit binary."""
+    with Scratch(df.sparkSession) as scratch:
+        shards = max(SHARDS, -(-df.count() // PER_SHARD))
+        return scratch.result(pack(stored(pieces(df, text, key, path, size, end_id, ids, shards), "pieces"), key, size), "packed")
