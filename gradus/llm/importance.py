@@ -93,8 +93,12 @@ def _sums(docs: DataFrame, table: DataFrame, split: Splitter, most: int) -> Data
     small_batches(docs.sparkSession)
     kind = docs.schema["r"].dataType.simpleString()
     rows = stored(docs.select("r", md5("text").alias("m"), "text").mapInArrow(near, f"r {kind}, m binary, n_features long, w long"), "sums")
-    far = rare_pairs(docs, split, shared).join(table.select("word", "gain"), "word").groupBy("m").agg(F.sum(F.col("k") * F.col("gain")).alias("more"))
-    met = rows.filter("m IS NOT NULL").join(stored(far, "far"), "m").select("r", "n_features", (F.col("w") + F.col("more")).alias("weight"))
+    # Copies of a text send the same rows, so that a sum over all of them is that of one text times their number.
+    pairs = rare_pairs(docs.filter("text IS NOT NULL").select(md5("text").alias("m"), "text"), split, shared)
+    far = stored(pairs.join(table.select("word", "gain"), "word").groupBy("m").agg(F.sum(F.col("k") * F.col("gain")).alias("more")), "far")
+    copies = stored(rows.filter("m IS NOT NULL").groupBy("m").agg(F.count("*").alias("copies")), "copies")
+    per = far.join(copies, "m").select("m", F.expr("more div copies").alias("more"))
+    met = rows.filter("m IS NOT NULL").join(stored(per, "per"), "m").select("r", "n_features", (F.col("w") + F.col("more")).alias("weight"))
     return stored(rows.filter("m IS NULL").select("r", "n_features", F.col("w").alias("weight")).unionByName(met), "weights")
 
 
@@ -107,7 +111,7 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = BUCKE
         return _sums(docs, table, letters_and_digits, most).withColumn("words", F.col("n_features"))
     # Longer runs: texts as rows of ids, then the same steps over tuples of ids in place of words.
     coded = words.withColumn("code", F.expr("unhex(lpad(hex(id), 16, '0'))"))
-    ids = lambda df, key: stored(rewritten(df, coded, "code", letters_and_digits, key=key, most=most).select(key, F.col("code").alias("text")), "coded")
+    ids = lambda df, key: rewritten(df, coded, "code", letters_and_digits, key=key, most=most, finish=lambda x: x.withColumnRenamed("code", "text"))
     own, other = ids(docs, "r"), ids(target.select(F.lit(0).alias("r"), "text"), "r")
     tables = [plain.select("word", "n", "s", "t", "bucket", F.lit(1).alias("size"))]
     for size in range(2, n + 1):

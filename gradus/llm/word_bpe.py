@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gradus.llm.bpe import byte_letters
-from gradus.llm.common import Scratch, small_batches, stored
+from gradus.llm.common import Scratch, dropped, small_batches, stored
 from gradus.llm.words import HEAD, counted, rewritten, spaced
 
 FILE = "byte_bpe_50k.json"
@@ -85,11 +85,13 @@ def word_table(df: DataFrame, text: str = "text", path: str | None = None) -> Da
     return stored(words.mapInArrow(run, "word binary, n long, ids binary"), "words")
 
 
-def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, most: int = HEAD) -> DataFrame:
-    """(key, ids binary): ids of every text as little-endian unsigned 32-bit integers.
-
-    The table and what the rare words found are stored until the surrounding :class:`Scratch` ends."""
-    return rewritten(df, word_table(df, text, path), "ids", spaced(added_tokens(path)), text, key, most).withColumnRenamed("code", "ids")
+def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, most: int = HEAD, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, ids binary), stored: ids of every text as little-endian unsigned 32-bit integers, or what ``finish`` makes of them."""
+    named = lambda x: (finish or (lambda y: y))(x.withColumnRenamed("code", "ids"))
+    table = word_table(df, text, path)
+    out = rewritten(df, table, "ids", spaced(added_tokens(path)), text, key, most, named)
+    dropped(table)
+    return out
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
@@ -121,6 +123,8 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
 
 def digests(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, most: int = HEAD) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every text, stored: encoded, then decoded from the ids."""
+    def hashed(part: DataFrame) -> DataFrame:
+        return decode(part, path=path).select(F.col(key), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
     with Scratch(df.sparkSession) as scratch:
-        back = decode(encode(df, text, key, path, most), path=path)
-        return scratch.result(back.select(F.col(key), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")), "digests")
+        return scratch.result(encode(df, text, key, path, most, hashed), "digests")

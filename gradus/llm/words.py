@@ -19,12 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, small_batches, stored, text_buffer
+from gradus.llm.common import Memo, dropped, small_batches, stored, text_buffer
 
 #: Most words of a broadcast head, and most bytes of its words and payloads; longer words and payloads stay outside.
-HEAD, HEAD_BYTES, LONG = 500_000, 48 << 20, 64
+HEAD, HEAD_BYTES, LONG = 400_000, 48 << 20, 64
 #: Bytes of text that are looked up together.
-TOGETHER = 12 << 20
+TOGETHER = 6 << 20
+#: Parts in which texts travel.
+ROUNDS = 4
 
 #: Splits a column of texts: all words one after the other, and the n + 1 offsets into them by text.
 Splitter = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
@@ -106,6 +108,7 @@ def together(batches: Iterable[pa.RecordBatch], column: str, most: int = TOGETHE
                     held, start = [batch.slice(start, 1)], start + 1
                 yield _one(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield _one(held)
 
@@ -169,8 +172,9 @@ def md5(column: str) -> Column:
     return F.unhex(F.md5(F.col(column).cast("binary")))
 
 
-def rare_pairs(df: DataFrame, split: Splitter, shared, text: str = "text") -> DataFrame:
-    """(m, word, k): for each distinct text, by its md5, the words outside the broadcast head and how often each occurs in it."""
+def rare_pairs(df: DataFrame, split: Splitter, shared) -> DataFrame:
+    """(m, word, i, k) of rows (m, text): the words outside the broadcast head, each one's place among the text's own such
+    words, and how often it occurs there. Copies of a text send the same rows."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,44 +182,52 @@ def rare_pairs(df: DataFrame, split: Splitter, shared, text: str = "text") -> Da
             words, offsets = split(part.column("text"))
             rare, owner = _rare(words, shared.value.of(words), offsets)
             if len(rare):
-                coded = rare.dictionary_encode()
-                pair, counts = np.unique(owner * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([part.column("m").take(pa.array(pair // len(coded.dictionary))), coded.dictionary.take(pa.array(pair % len(coded.dictionary))), pa.array(counts)], ["m", "word", "k"])
+                own, place, _, counts = _own_words(rare, owner)
+                yield pa.RecordBatch.from_arrays([part.column("m").take(pa.array(owner[own])), rare.take(pa.array(own)), pa.array(place), pa.array(counts)], ["m", "word", "i", "k"])
 
-    pairs = df.select(F.col(text).alias("text")).filter("text IS NOT NULL").select(md5("text").alias("m"), "text").mapInArrow(run, "m binary, word binary, k long")
-    return pairs.groupBy("m", "word").agg(F.max("k").alias("k"))  # copies of a text send the same rows
+    return df.mapInArrow(run, "m binary, word binary, i int, k long")
 
 
-def rewritten(df: DataFrame, table: DataFrame, payload: str, split: Splitter, text: str = "text", key: str = "doc_id", most: int = HEAD) -> DataFrame:
-    """(key, code binary): the payloads of each text's words, one after the other, through a stored table of all words.
+def _own_words(rare: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rare words in the order of their texts, each text's distinct ones in the order of their first places: where they are first, their
+    place among the text's own, for every word the number of its distinct one, and counts."""
+    coded = rare.dictionary_encode()
+    _, first, inverse, counts = np.unique(owner * len(coded.dictionary) + coded.indices.to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    own = first[order]
+    start = np.searchsorted(owner[own], owner[own])
+    return own, (np.arange(len(own)) - start).astype(np.int32), rank[inverse], counts[order]
+
+
+def rewritten(df: DataFrame, table: DataFrame, payload: str, split: Splitter, text: str = "text", key: str = "doc_id", most: int = HEAD, finish: Callable[[DataFrame], DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(key, code binary), stored: the payloads of each text's words, one after the other, through a stored table of all words.
 
     A null text has an empty code. Texts whose words are all in the head stay where they are; others travel once, compressed,
-    to meet what the join by word found for them."""
+    to meet what the join by word found for them, in ``rounds`` parts by md5, so that little is on the way at a time. What
+    ``finish`` makes of the (key, code) frame is stored in its place."""
     spark = df.sparkSession
+    finish = finish or (lambda x: x)
     shared = spark.sparkContext.broadcast(head(table, payload, most))
-    pairs = rare_pairs(df, split, shared, text).select("m", "word")
-    met = pairs.join(table.select("word", F.col(payload).alias("code")), "word")
-    extras = stored(met.groupBy("m").agg(F.collect_list(F.struct("word", "code")).alias("x")).select("m", "x.word", "x.code"), "extras")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(spark)
+    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("").cast(df.schema[text].dataType)).alias("text")).withColumn("m", md5("text"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in together(batches, "text"):
             words, offsets = split(part.column("text"))
             places = shared.value.of(words)
-            lacking = np.zeros(len(offsets), np.int64)
-            np.cumsum(np.bincount(_rare(words, places, offsets)[1], minlength=part.num_rows), out=lacking[1:])
-            whole = np.flatnonzero(np.diff(lacking) == 0)
+            whole = _lacking(places, offsets) == 0
             taken = pc.coalesce(shared.value.payload.take(places), pa.scalar(b""))
-            code = _by_text(taken, offsets)
-            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(whole)), code.take(pa.array(whole))], ["key", "code"])
+            at = pa.array(np.flatnonzero(whole))
+            yield pa.RecordBatch.from_arrays([part.column("key").take(at), _by_text(taken, offsets).take(at)], ["key", "code"])
 
     def parcel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
         for part in together(batches, "text"):
             words, offsets = split(part.column("text"))
-            far = np.unique(_rare(words, shared.value.of(words), offsets)[1])
-            own = part.take(pa.array(far))
+            own = part.take(pa.array(np.flatnonzero(_lacking(shared.value.of(words), offsets))))
             raw = own.column("text").cast(pa.binary())
             packed = [codec.compress(x.as_buffer(), asbytes=True) for x in raw]
             yield pa.RecordBatch.from_arrays([own.column("key"), own.column("m"), pa.array(packed, pa.binary()), pc.binary_length(raw).cast(pa.int64())], ["key", "m", "z", "size"])
@@ -223,20 +235,36 @@ def rewritten(df: DataFrame, table: DataFrame, payload: str, split: Splitter, te
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            text = [codec.decompress(z.as_buffer(), n) for z, n in zip(batch.column("z"), batch.column("size").to_pylist())]
-            plain = pa.array([str(t, "utf-8") for t in text], pa.string())
-            for part in together([pa.RecordBatch.from_arrays([batch.column("key"), plain, batch.column("word"), batch.column("code")], ["key", "text", "word", "code"])], "text"):
+            plain = pa.array([codec.decompress(z.as_buffer(), n).to_pybytes() for z, n in zip(batch.column("z"), batch.column("size").to_pylist())], pa.binary())
+            for part in together([pa.RecordBatch.from_arrays([batch.column("key"), plain, batch.column("x")], ["key", "text", "x"])], "text"):
                 words, offsets = split(part.column("text"))
                 places = shared.value.of(words)
-                more = pc.index_in(words, value_set=part.column("word").flatten())
-                taken = pc.coalesce(shared.value.payload.take(places), part.column("code").flatten().take(more))
+                rare, owner = _rare(words, places, offsets)
+                _, _, which, _ = _own_words(rare, owner)
+                flat = part.column("x").flatten()  # of each text, its own words' payloads in their order
+                missing = np.asarray(places.is_null())
+                of = np.zeros(len(words), np.int64)
+                of[missing] = which
+                taken = pc.coalesce(shared.value.payload.take(places), flat.take(pa.array(of, mask=~missing)))
                 yield pa.RecordBatch.from_arrays([part.column("key"), _by_text(taken, offsets)], ["key", "code"])
 
-    small_batches(spark)
-    at_home = rows.mapInArrow(near, f"key {kind}, code binary")
-    away = rows.select("key", md5("text").alias("m"), "text").mapInArrow(parcel, f"key {kind}, m binary, z binary, size long")
-    far = away.join(extras, "m").select("key", "z", "size", "word", "code").mapInArrow(opened, f"key {kind}, code binary")
-    return at_home.unionByName(far).withColumnRenamed("key", key)
+    named = lambda x: finish(x.withColumnRenamed("key", key))
+    out = stored(named(rows.select("key", "text").mapInArrow(near, f"key {kind}, code binary")), "near")
+    for k in range(rounds):
+        own = rows.filter(F.pmod(F.xxhash64("m"), F.lit(rounds)) == k)
+        pairs = rare_pairs(own.select("m", "text"), split, shared).select("m", "word", "i")
+        met = pairs.join(table.select("word", F.col(payload).alias("code")), "word").groupBy("m").agg(F.collect_set(F.struct("i", "code")).alias("x"))
+        extras = stored(met.select("m", F.expr("transform(array_sort(x), y -> y.code)").alias("x")), "extras")
+        away = own.mapInArrow(parcel, f"key {kind}, m binary, z binary, size long")
+        far = away.join(extras, "m").select("key", "z", "size", "x").mapInArrow(opened, f"key {kind}, code binary")
+        out = out.unionByName(stored(named(far), "far"))
+        dropped(extras)
+    return out
+
+
+def _lacking(places: pa.Array, offsets: np.ndarray) -> np.ndarray:
+    """Number of words outside the head in each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(np.asarray(places.is_null()))])[offsets])
 
 
 def _by_text(codes: pa.Array, offsets: np.ndarray) -> pa.Array:
