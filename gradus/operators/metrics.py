@@ -6,29 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.labels import ordinal
+from gradus.operators.quantiles import quantiles, together
+from gradus.operators.resampling import BLOCK, DRAWS, SEED, interval, resampled
 
 
 def hit(gold: Column, pred: Column) -> Column:
     return (gold == pred).cast("int")
 
 
-def accuracy(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(hit(F.col("gold"), F.col("pred"))), 6).alias("accuracy"))
+def weighted_mean(x: Column, weight: str | None = None) -> Column:
+    """Mean of what is not null; with ``weight`` a row counts as often as it says."""
+    return F.avg(x) if weight is None else F.sum(x * F.col(weight)) / F.sum(F.when(x.isNotNull(), F.col(weight)))
 
 
-def balanced_accuracy(df: DataFrame, by: list[str]) -> DataFrame:
+def number(weight: str | None = None) -> Column:
+    return F.count("*") if weight is None else F.sum(weight)
+
+
+def accuracy(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    return df.groupBy(*by).agg(number(weight).alias("n"), F.round(weighted_mean(hit(F.col("gold"), F.col("pred")), weight), 6).alias("accuracy"))
+
+
+def balanced_accuracy(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Mean recall over the gold classes; predictions outside of them are errors."""
-    recall = df.groupBy(*by, "gold").agg(F.avg(hit(F.col("gold"), F.col("pred"))).alias("r"))
+    recall = df.groupBy(*by, "gold").agg(weighted_mean(hit(F.col("gold"), F.col("pred")), weight).alias("r"))
     return recall.groupBy(*by).agg(F.round(F.avg("r"), 6).alias("balanced_accuracy"))
 
 
-def confusion_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, "gold", "pred").agg(F.count("*").alias("n"))
+def confusion_counts(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    return df.groupBy(*by, "gold", "pred").agg(number(weight).alias("n"))
 
 
-def macro_f1(df: DataFrame, by: list[str]) -> DataFrame:
+def macro_f1(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """Mean F1 over the union of gold and predicted labels; 0 where a label has no hit."""
-    c = confusion_counts(df, by)
+    c = confusion_counts(df, by, weight)
     tp = F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)
     sides = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.lit(1).alias("g"), F.lit(0).alias("q")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("g"), F.lit(1).alias("q"))))
     per = c.select(*by, "n", tp.alias("tp"), sides.alias("s")).groupBy(*by, F.col("s.label").alias("label")).agg(
@@ -51,9 +62,14 @@ def off_by_one_score(gold: Column, pred: Column) -> Column:
     return F.when(far == 0, 1.0).when(far == 1, 0.5).otherwise(0.0)
 
 
-def regression(df: DataFrame, by: list[str]) -> DataFrame:
-    e = F.abs(F.col("pred") - F.col("gold"))
-    return df.groupBy(*by).agg(F.round(F.avg(e), 6).alias("mae"), F.round(F.percentile(e, 0.5), 6).alias("median_ae"), F.round(F.avg((F.signum("gold") == F.signum("pred")).cast("int")), 6).alias("sign_agreement"))
+def regression(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """Mean and median absolute error and the share of right signs; exact at any group size (:mod:`gradus.operators.quantiles`)."""
+    e, sign = F.abs(F.col("pred") - F.col("gold")), (F.signum("gold") == F.signum("pred")).cast("int")
+    if weight is not None:  # rows are classes already
+        median = F.percentile(e, 0.5, F.col(weight))
+        return df.groupBy(*by).agg(F.round(weighted_mean(e, weight), 6).alias("mae"), F.round(median, 6).alias("median_ae"), F.round(weighted_mean(sign, weight), 6).alias("sign_agreement"))
+    means = df.groupBy(*by).agg(F.round(F.avg(e), 6).alias("mae"), F.round(F.avg(sign), 6).alias("sign_agreement"))
+    return together(means, quantiles(df, by, {"median_ae": (e, 0.5)}, 6), by)
 
 
 def average_rank(x: str, by: list[str]) -> Column:
@@ -61,35 +77,37 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
-#: Ranges of values that a group's running count is spread over.
-RANGES = 64
+#: Distinct values of a group that are counted up in one task; a group of more is cut into ranges of about as many.
+RANGE = 100_000
 
 
-def counted_below(per: DataFrame, by: list[str], c: str, k: str) -> DataFrame:
+def counted_below(per: DataFrame, by: list[str], c: str, k: str, most: int = RANGE) -> DataFrame:
     """Adds ``below``: the sum of ``k`` over the rows of the group with a smaller value of ``c``.
 
-    Values are cut into ranges at approximate quantiles. Ranges are summed first and each counts inside itself, so that no
-    group of many values is sorted in one task."""
-    shares = [i / RANGES for i in range(1, RANGES)]
-    cuts = per.groupBy(*by).agg(F.percentile_approx(F.col(c).cast("double"), shares, 1000).alias("_cuts"))
-    spread = per.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x <= F.col(c).cast("double")))).drop("_cuts")
+    Where a group has more than ``most`` values, they are cut into ranges at approximate quantiles. Ranges are summed first and
+    each counts inside itself, so that no group of many values is sorted in one task."""
     up = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = -(-(per.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) // most)
+    if ranges <= 1:
+        return per.withColumn("below", F.coalesce(F.sum(k).over(up(*by).orderBy(c)), F.lit(0)))
+    cuts = per.groupBy(*by).agg(F.percentile_approx(F.col(c).cast("double"), [i / ranges for i in range(1, ranges)], max(1000, 20 * ranges)).alias("_cuts"))
+    spread = per.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x <= F.col(c).cast("double")))).drop("_cuts")
     sums = spread.groupBy(*by, "_range").agg(F.sum(k).alias("_sum"))
     before = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(up(*by).orderBy("_range")), F.lit(0)).alias("_before"))
     inside = spread.withColumn("_in", F.coalesce(F.sum(k).over(up(*by, "_range").orderBy(c)), F.lit(0)))
     return inside.join(before, [*by, "_range"]).withColumn("below", F.col("_before") + F.col("_in")).select(*per.columns, "below")
 
 
-def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, n, rho), null where either side is constant.
+def rank_correlation(df: DataFrame, by: list[str], x: str, y: str, weight: str | None = None) -> DataFrame:
+    """(by, n, rho), null where either side is constant; with ``weight`` a row counts as often as it says.
 
     Ranks come from counts per distinct value, which are joined back, so that no group is sorted row by row."""
 
     def ranks(c: str) -> DataFrame:
-        per = df.groupBy(*by, c).agg(F.count("*").alias("k"))
+        per = df.groupBy(*by, c).agg(number(weight).alias("k"))
         return counted_below(per, by, c, "k").select(*by, c, (F.col("below") + (F.col("k") + 1) / 2).alias(f"r_{c}"))
 
-    both = df.groupBy(*by, x, y).agg(F.count("*").alias("w")).join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
+    both = df.groupBy(*by, x, y).agg(number(weight).alias("w")).join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
     w, a, b = F.col("w"), F.col(f"r_{x}"), F.col(f"r_{y}")
     s = both.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * b).alias("sab"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"))
     n = F.col("n")
@@ -103,59 +121,12 @@ def spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred") ->
     return rank_correlation(df, by, x, y).select(*by, "n", F.round(F.coalesce("rho", F.lit(0.0)), 6).alias("rho"))
 
 
-def bootstrap_spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred", draws: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_spearman(df: DataFrame, by: list[str], x: str = "gold", y: str = "pred", draws: int = DRAWS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Percentile interval of the rank correlation over resamples with replacement; draws with a constant side are left out.
 
-    Rows take the places of their order by (x, y), and picks are those of :func:`bootstrap`."""
-    rows = df.select(*by, x, y).withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(x, y)).cast("long") - 1)
-    picks = df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = picks.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = uniform(F.concat_ws("|", F.lit(str(seed)), "d", "i"), F.col("n"))
-    rho = rank_correlation(picks.select(*by, "d", at.alias("at")).join(rows, [*by, "at"]), [*by, "d"], x, y)
-    return rho.groupBy(*by).agg(F.round(F.percentile("rho", 0.025), 4).alias("ci_low"), F.round(F.percentile("rho", 0.975), 4).alias("ci_high"))
-
-
-#: Most classes of equal value in a group that a resample looks up in an array; more are joined.
-MOST_CLASSES = 256
-
-
-def resampled(df: DataFrame, by: list[str], value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(by, d, v): for each of the draws, as many values as the group has, picked with replacement.
-
-    Rows carry their place in the group by the order of the value. Draw d takes for its i-th pick the place md5(seed|d|i) modulo
-    the group's size, so that any engine picks the same rows. Values are first counted into classes of equal value. A few
-    classes are looked up by their running counts; many give their places to a join."""
-    classes = df.withColumn("v", value).groupBy(*by, "v").agg(F.count("*").alias("k"))
-    up = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = classes.groupBy(*by).agg(F.sum("k").alias("n"), F.count("*").alias("c"))
-    steps = classes.select(*by, "v", "k", F.sum("k").over(up).alias("hi")).withColumn("lo", F.col("hi") - F.col("k"))
-    picks = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
-    picks = picks.select(*by, "n", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    picks = picks.select(*by, "d", uniform(F.concat_ws("|", F.lit(str(seed)), "d", "i"), F.col("n")).alias("at"))
-    if (sizes.agg(F.max("c")).first()[0] or 0) > MOST_CLASSES:
-        places = steps.select(*by, "v", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("at"))
-        return picks.join(places, [*by, "at"]).select(*by, "d", "v")
-    lookup = steps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("lo", "v"))).alias("steps"))
-    met = picks.join(lookup, by)  # MOST_CLASSES steps in a row at most
-    return met.select(*by, "d", F.element_at(F.filter("steps", lambda s: s.lo <= F.col("at")), -1).v.alias("v"))
-
-
-def interval(values: DataFrame, by: list[str], column: str, digits: int = 6) -> DataFrame:
-    """(by, ci_low, ci_high): 2.5 and 97.5 percent points; null and NaN values are left out."""
-    good = values.filter(F.col(column).isNotNull() & ~F.isnan(column))
-    return good.groupBy(*by).agg(F.round(F.percentile(column, 0.025), digits).alias("ci_low"), F.round(F.percentile(column, 0.975), digits).alias("ci_high"))
-
-
-def bootstrap(df: DataFrame, by: list[str], value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean of ``value`` over resamples with replacement."""
-    means = resampled(df, by, value, draws, seed).groupBy(*by, "d").agg(F.avg("v").alias("m"))
-    return interval(means, by, "m")
-
-
-def bootstrap_of(df: DataFrame, by: list[str], metric, column: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of any metric of (gold, pred) pairs: ``metric(frame, by)`` gives ``column``, null or NaN where a draw fails."""
-    pairs = resampled(df, by, F.struct("gold", "pred"), draws, seed).select(*by, "d", "v.gold", "v.pred")
-    return interval(metric(pairs, [*by, "d"]), by, column)
+    Each draw is how often every (x, y) class occurs in it; ranks are prefix sums of these numbers."""
+    pairs = resampled(df, by, F.struct(F.col(x).alias("x"), F.col(y).alias("y")), draws, seed, block).select(*by, "d", "v.x", "v.y", "m")
+    return interval(rank_correlation(pairs, [*by, "d"], "x", "y", "m"), by, "rho", 4)
 
 
 def uniform(text: Column, n: Column) -> Column:

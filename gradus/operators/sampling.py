@@ -55,6 +55,17 @@ def numbered(df: DataFrame, stage: str, key: str) -> DataFrame:
     return bucket_ranked(df.withColumn("_all", F.lit(0)), ["_all"], stage, key).drop("_all")
 
 
+def placed(df: DataFrame, key: str, per: int = 100_000) -> DataFrame:
+    """Adds rn, the place of every row of the whole table in the order of ``key``: ranges of it are counted, then numbered one by one."""
+    ranges = max(1, -(-df.count() // per))
+    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
+    place = F.size(F.filter(F.lit(sorted(set(cuts or []))).cast("array<double>"), lambda c: c <= F.col(key).cast("double"))) if cuts else F.lit(0)
+    dealt = df.withColumn("_range", place)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    return ranked(dealt, ["_range"], F.col(key)).join(F.broadcast(before), "_range").withColumn("rn", F.col("rn") + F.col("_before")).select(*df.columns, "rn")
+
+
 def unique_names(df: DataFrame, name: str, suffix: Column, pos: str) -> DataFrame:
     """Adds unique_name: a name seen before, as given or as made, gets its row's suffix; two alike may come out of that.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.operators import metrics, sampling
+from gradus.operators import metrics, resampling, sampling
+from gradus.operators.quantiles import quantiles, together
 from gradus.plans.catalogue import query
 from gradus.plans.core import DIRECTION, KEPT, labelled
 from gradus.plans.views import Views
@@ -29,13 +30,16 @@ def conditional_topn(v: Views) -> DataFrame:
 @query(f"WITH {L}, g AS (SELECT comparison, count(*) AS n FROM l GROUP BY 1) SELECT quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, min(n) AS lo, max(n) AS hi FROM g")
 def group_size_quantiles(v: Views) -> DataFrame:
     g = labelled(v).groupBy("comparison").agg(F.count("*").alias("n"))
-    return g.agg(*[F.percentile("n", q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.min("n").alias("lo"), F.max("n").alias("hi"))
+    ends = g.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return together(quantiles(g, [], {f"q{int(q * 100)}": (F.col("n"), q) for q in (0.25, 0.5, 0.75)}), ends, [])
 
 
 @query(f"WITH {L} SELECT direction, round(avg(logfc), 6) AS mean, round(quantile_cont(logfc, 0.5), 6) AS median, round(min(logfc), 6) AS lo, round(max(logfc), 6) AS hi, round(avg(abs(logfc)), 6) AS mean_size, round(quantile_cont(abs(logfc), 0.5), 6) AS median_size, round(min(abs(logfc)), 6) AS lo_size, round(max(abs(logfc)), 6) AS hi_size FROM l GROUP BY direction")
 def describe_by_label(v: Views) -> DataFrame:
-    r = lambda c: F.round(c, 6)
-    return labelled(v).groupBy("direction").agg(r(F.avg("logfc")).alias("mean"), r(F.percentile("logfc", 0.5)).alias("median"), r(F.min("logfc")).alias("lo"), r(F.max("logfc")).alias("hi"), r(F.avg(F.abs("logfc"))).alias("mean_size"), r(F.percentile(F.abs("logfc"), 0.5)).alias("median_size"), r(F.min(F.abs("logfc"))).alias("lo_size"), r(F.max(F.abs("logfc"))).alias("hi_size"))
+    r, x, size = lambda c: F.round(c, 6), F.col("logfc"), F.abs("logfc")
+    rows = labelled(v).select("direction", "logfc")
+    sums = rows.groupBy("direction").agg(*[r(f(c)).alias(f"{name}{end}") for c, end in ((x, ""), (size, "_size")) for f, name in ((F.avg, "mean"), (F.min, "lo"), (F.max, "hi"))])
+    return together(sums, quantiles(rows, ["direction"], {"median": (x, 0.5), "median_size": (size, 0.5)}, 6), ["direction"])
 
 
 @query(f"""WITH {L} SELECT gene, organ, coalesce(treatment, '__NA__') AS treatment, count(*) AS n, array_to_string(list_sort(list(DISTINCT direction)), ',') AS labels FROM l
@@ -87,39 +91,49 @@ def spearman_by_model(v: Views) -> DataFrame:
     return metrics.spearman(v.evr, ["model"])
 
 
-def _bootstrap_sql(src: str, value: str, draws: int = 1000) -> str:
-    return f"""WITH v AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY {value}) - 1 AS place, CAST({value} AS DOUBLE) AS x FROM {src}), n AS (SELECT model, count(*) AS n FROM v GROUP BY 1),
-p AS (SELECT model, d, ('0x' || substr(md5(concat_ws('|', '42', d, i)), 1, 8))::BIGINT % n AS place FROM n, generate_series(0, {draws - 1}) AS t(d), generate_series(0, n - 1) AS u(i)),
-m AS (SELECT p.model, d, avg(x) AS m FROM p JOIN v ON v.model = p.model AND v.place = p.place GROUP BY ALL)
-SELECT model, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY model"""
+def drawn_sql(src: str, value: str, by: str = "model", draws: int = 1000) -> str:
+    """CTEs up to ``w``: for each group and draw, how often every class of equal values occurs, m, by inverse binomials in the order of the classes."""
+    return f"""WITH RECURSIVE k AS (SELECT {by}, {value} AS v, count(*) AS k FROM {src} GROUP BY ALL),
+c AS MATERIALIZED (SELECT {by}, v, k, CAST(row_number() OVER (PARTITION BY {by} ORDER BY v) - 1 AS BIGINT) AS j, CAST(sum(k) OVER (PARTITION BY {by} ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest FROM k),
+w AS (SELECT {by}, CAST(d AS BIGINT) AS d, CAST(-1 AS BIGINT) AS j, CAST(0 AS BIGINT) AS m, rest AS n FROM c, generate_series(0, {draws - 1}) AS t(d) WHERE j = 0
+UNION ALL SELECT {by}, d, j, m, n - m FROM (SELECT {by}, d, j, n, CASE WHEN k = rest THEN n ELSE CAST(len(list_filter(range(1, n + 1), lambda i: list_sum(pm[1:i]) < u)) AS BIGINT) END AS m FROM
+(SELECT {by}, d, c.j, w.n, k, rest, (('0x' || substr(md5('42|' || d || '|' || c.j), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u,
+list_transform(range(0, w.n + 1), lambda i: exp(lgamma(w.n + 1) - lgamma(i + 1) - lgamma(w.n - i + 1) + i * ln(k / rest::DOUBLE) + (w.n - i) * ln(greatest(1 - k / rest::DOUBLE, 1e-300)))) AS pm
+FROM w JOIN c USING ({by}) WHERE c.j = w.j + 1)))"""
+
+
+def _bootstrap_sql(src: str, value: str, by: str = "model") -> str:
+    return drawn_sql(src, value, by) + f""", m AS (SELECT {by}, d, sum(v * m) / sum(m)::DOUBLE AS mean FROM w JOIN c USING ({by}, j) GROUP BY ALL)
+SELECT {by}, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM m GROUP BY ALL"""
 
 
 @query(_bootstrap_sql("evb", "(gold = pred)::INT"))
 def bootstrap_ci_accuracy(v: Views) -> DataFrame:
-    return metrics.bootstrap(v.evb, ["model"], metrics.hit(F.col("gold"), F.col("pred")))
+    return resampling.bootstrap(v.evb, ["model"], metrics.hit(F.col("gold"), F.col("pred")))
 
 
 @query(_bootstrap_sql("evb", "abs(ascii(gold) - ascii(pred))"))
 def bootstrap_ci_mae(v: Views) -> DataFrame:
-    return metrics.bootstrap(v.evb, ["model"], F.abs(F.ascii("gold") - F.ascii("pred")))
+    return resampling.bootstrap(v.evb, ["model"], F.abs(F.ascii("gold") - F.ascii("pred")))
 
 
-@query(_bootstrap_sql("evb", "(gold = pred)::INT", 1000))
+@query(_bootstrap_sql("evb", "(gold = pred)::INT", "model, format"))
 def bootstrap_ci_accuracy_1000(v: Views) -> DataFrame:
-    return bootstrap_ci_accuracy(v)
+    """Intervals of every model and format."""
+    return resampling.bootstrap(v.evb, ["model", "format"], metrics.hit(F.col("gold"), F.col("pred")))
 
 
-@query(_bootstrap_sql("evb", "abs(ascii(gold) - ascii(pred))", 1000))
+@query(_bootstrap_sql("(SELECT l_linenumber AS line, least(l_quantity, 12) - l_linenumber AS gap FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 97 = s_nationkey)", "abs(CAST(gap AS INT))", "line"))
 def bootstrap_ci_mae_1000(v: Views) -> DataFrame:
-    return bootstrap_ci_mae(v)
+    """Intervals of a mean error that has a dozen values."""
+    rows = v.table("lineitem").join(v.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).filter("l_orderkey % 97 = s_nationkey")
+    return resampling.bootstrap(rows.withColumnRenamed("l_linenumber", "line"), ["line"], F.abs((F.least("l_quantity", F.lit(12)) - F.col("line")).cast("int")))
 
 
-@query("""WITH v AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY gold, pred) - 1 AS place, gold, pred FROM evb), n AS (SELECT model, count(*) AS n FROM v GROUP BY 1),
-p AS (SELECT model, d, ('0x' || substr(md5(concat_ws('|', '42', d, i)), 1, 8))::BIGINT % n AS place FROM n, generate_series(0, 999) AS t(d), generate_series(0, n - 1) AS u(i)),
-r AS (SELECT p.model, d, gold, avg((gold = pred)::INT) AS r FROM p JOIN v ON v.model = p.model AND v.place = p.place GROUP BY ALL), m AS (SELECT model, d, round(avg(r), 6) AS m FROM r GROUP BY ALL)
-SELECT model, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY model""")
+@query(drawn_sql("evb", "{'gold': gold, 'pred': pred}") + """, r AS (SELECT model, d, v.gold AS gold, sum(m * (v.gold = v.pred)::INT) / sum(m)::DOUBLE AS r FROM w JOIN c USING (model, j) WHERE m > 0 GROUP BY ALL), b AS (SELECT model, d, round(avg(r), 6) AS m FROM r GROUP BY ALL)
+SELECT model, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM b GROUP BY model""")
 def bootstrap_ci_balanced(v: Views) -> DataFrame:
-    return metrics.bootstrap_of(v.evb, ["model"], metrics.balanced_accuracy, "balanced_accuracy")
+    return resampling.bootstrap_of(v.evb, ["model"], metrics.balanced_accuracy, "balanced_accuracy")
 
 
 @query("""WITH c AS (SELECT model, gold, pred, count(*) AS n FROM ev WHERE gold <> pred GROUP BY ALL) SELECT model, gold, pred, n FROM c QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, gold DESC, pred DESC) <= 3""")

@@ -98,9 +98,15 @@ def matrix_sort(v: Views) -> DataFrame:
     return c.groupBy("sample").agg(F.coalesce(F.max(F.when(F.col("model") == "view", F.col("score"))), F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "sample")
 
 
-@query("WITH c AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY model, sample ORDER BY pos DESC) = 1) SELECT sample, coalesce(max(score) FILTER (model = 'view'), 0) AS score FROM c GROUP BY sample ORDER BY score DESC, sample")
+@query("""WITH c AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY model, sample ORDER BY pos DESC) = 1), m AS (SELECT sample, count(*) AS models, sum(score) AS total FROM c GROUP BY sample)
+SELECT sample, models, round(total, 6) AS total, rank() OVER (ORDER BY round(total, 6) DESC) AS place FROM m""")
 def matrix_sort_all(v: Views) -> DataFrame:
-    return matrix_sort(v)
+    """Samples by the sum over all models, equal sums at equal places."""
+    c = sampling.last_per_key(v.cells.select("model", "sample", "score", "pos"), ["model", "sample"], "pos")
+    m = c.groupBy("sample").agg(F.count("*").alias("models"), F.round(F.sum("score"), 6).alias("total"))
+    sums = m.groupBy("total").agg(F.count("*").alias("k")).withColumn("minus", -F.col("total"))
+    places = metrics.counted_below(sums, [], "minus", "k").select("total", (F.col("below") + 1).cast("long").alias("place"))
+    return m.join(places, "total").select("sample", "models", "total", "place")
 
 
 @query("""WITH m AS (SELECT model, fmt, avg(score) AS s FROM cells WHERE model <> 'error' GROUP BY ALL) SELECT f.fmt, round(coalesce(avg(s), 0.5), 6) AS reference FROM (SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS fmt) f LEFT JOIN m ON m.fmt = f.fmt GROUP BY f.fmt""")

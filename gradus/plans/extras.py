@@ -45,9 +45,14 @@ def csv_preview(v: Views) -> DataFrame:
     return few.select("vec_id", "label", F.array_join(F.transform(F.slice("embedding", 1, 200), lambda x: F.round(x.cast("double") * 100).cast("long").cast("string")), ",").alias("line"))
 
 
-@query("SELECT vec_id, label, array_to_string(list_transform(embedding[1:200], lambda x: CAST(CAST(round(x::DOUBLE * 100) AS BIGINT) AS VARCHAR)), ',') AS line FROM embeddings ORDER BY vec_id LIMIT 10")
+@query("""WITH few AS (SELECT sample, feature, value FROM feat WHERE sample IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 10) AND feature < 200)
+SELECT feature, string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY sample) AS line FROM few GROUP BY feature""")
 def csv_preview_200(v: Views) -> DataFrame:
-    return csv_preview(v)
+    """The preview of a matrix with a line for each of its first 200 features, its first ten samples as columns."""
+    few = v.table("embeddings").select(F.col("vec_id").alias("sample")).orderBy("sample").limit(10)
+    rows = v.feat.filter("feature < 200").join(F.broadcast(few), "sample")  # ten rows
+    cells = F.sort_array(F.collect_list(F.struct("sample", F.round(F.col("value") * 100).cast("long").cast("string").alias("x"))))
+    return rows.groupBy("feature").agg(F.array_join(cells.x, ",").alias("line"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

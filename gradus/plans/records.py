@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradus.functions import labels
 from gradus.functions import text as T
 from gradus.operators import metrics, sampling
+from gradus.plans.analytics import drawn_sql
 from gradus.plans.catalogue import query
 from gradus.plans.core import DIRECTION, KEPT, labelled
 from gradus.plans.views import Views
@@ -33,14 +34,16 @@ def range_without_sentinel(v: Views) -> DataFrame:
     return v.table("customer").select("c_custkey", age.alias("age")).filter(F.col("age").between(20, 90) & (F.col("age") != 999))
 
 
-@query("""SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS place, p_partkey, coalesce(nullif(CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END, ''), '—') AS organism,
-coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size % 5 <> 0 THEN p_brand END, '—') AS gene FROM part WHERE p_partkey < 100""")
+@query("""SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS place, p_partkey, coalesce(nullif(CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END, ''), '—') AS organism,
+coalesce(CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size % 5 <> 0 THEN p_brand END, '—') AS gene, coalesce(CASE WHEN p_size % 7 <> 0 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_name END, '—') AS other_gene FROM part""")
 def screen_records(v: Views) -> DataFrame:
-    """Rows of one page of a record view: a place, fallbacks for missing fields, a dash where nothing is known."""
-    p = v.table("part").filter("p_partkey < 100")  # one page
-    gene = labels.truthy(F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")), F.lit("—"))
+    """Rows of a record view: a place, fallbacks for missing fields, both genes of a pair, a dash where nothing is known."""
+    p, known = v.table("part"), lambda n, c: F.when(F.col("p_size") % n != 0, F.col(c))
+    name = F.when(F.col("p_size") % 2 == 0, F.col("p_name"))
+    gene, other = (labels.truthy(*x, F.lit("—")) for x in ((name, known(5, "p_brand")), (known(7, "p_brand"), name)))
     organism = labels.truthy(F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_type")), F.lit("—"))
-    return p.select(F.row_number().over(Window.orderBy("p_partkey")).alias("place"), "p_partkey", organism.alias("organism"), gene.alias("gene"))
+    rows = p.select("p_partkey", organism.alias("organism"), gene.alias("gene"), other.alias("other_gene"))
+    return sampling.placed(rows, "p_partkey").withColumnRenamed("rn", "place")
 
 
 @query("""WITH l AS (SELECT sample, arg_max(latency, pos) AS latency, max(pos) AS pos FROM cells GROUP BY sample) SELECT o_orderkey, pos, latency FROM orders JOIN l ON l.sample = o_custkey""")
@@ -126,10 +129,11 @@ def pairs_by_tissue(v: Views) -> DataFrame:
     return sampling.tissue_balanced_pairs(pairs, 100, "tissue", key="large").select("organ", "large", "small")
 
 
-@query("""WITH r AS (SELECT s_nationkey AS gold, s_acctbal AS pred, s_suppkey % 3 AS model FROM supplier), v AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gold, pred) - 1 AS place FROM r), n AS (SELECT model, count(*) AS n FROM v GROUP BY 1),
-p AS (SELECT model, d, ('0x' || substr(md5(concat_ws('|', '42', d, i)), 1, 8))::BIGINT % n AS place FROM n, generate_series(0, 999) AS t(d), generate_series(0, n - 1) AS u(i)), x AS (SELECT p.model, d, gold, pred FROM p JOIN v ON v.model = p.model AND v.place = p.place),
-k AS (SELECT model, d, rank() OVER (PARTITION BY model, d ORDER BY gold) + (count(*) OVER (PARTITION BY model, d, gold) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY model, d ORDER BY pred) + (count(*) OVER (PARTITION BY model, d, pred) - 1) / 2.0::DOUBLE AS b FROM x),
-m AS (SELECT model, d, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS rho FROM k GROUP BY ALL) SELECT model, round(quantile_cont(rho, 0.025), 4) AS ci_low, round(quantile_cont(rho, 0.975), 4) AS ci_high FROM m WHERE rho IS NOT NULL GROUP BY model""")
+@query(drawn_sql("(SELECT s_nationkey AS gold, s_acctbal AS pred, s_suppkey % 3 AS model FROM supplier)", "{'x': gold, 'y': pred}") + """, x AS (SELECT model, d, v.x AS x, v.y AS y, m FROM w JOIN c USING (model, j) WHERE m > 0),
+z AS (SELECT model, d, m, sum(m) OVER (PARTITION BY model, d ORDER BY x) - (sum(m) OVER (PARTITION BY model, d, x) - 1) / 2.0::DOUBLE AS a, sum(m) OVER (PARTITION BY model, d ORDER BY y) - (sum(m) OVER (PARTITION BY model, d, y) - 1) / 2.0::DOUBLE AS b FROM x),
+s AS (SELECT model, d, sum(m) AS n, sum(m * a) AS sa, sum(m * b) AS sb, sum(m * a * b) AS sab, sum(m * a * a) AS saa, sum(m * b * b) AS sbb FROM z GROUP BY ALL),
+r AS (SELECT model, (sab * n - sa * sb) / nullif(sqrt(saa * n - sa * sa) * sqrt(sbb * n - sb * sb), 0) AS rho FROM s)
+SELECT model, round(quantile_cont(rho, 0.025), 4) AS ci_low, round(quantile_cont(rho, 0.975), 4) AS ci_high FROM r WHERE rho IS NOT NULL GROUP BY model""")
 def bootstrap_ci_spearman(v: Views) -> DataFrame:
     """Interval of the rank correlation; draws without one stay out."""
     rows = v.table("supplier").select((F.col("s_suppkey") % 3).alias("model"), F.col("s_nationkey").alias("gold"), F.col("s_acctbal").alias("pred"))
@@ -139,12 +143,12 @@ def bootstrap_ci_spearman(v: Views) -> DataFrame:
 METRICS, FORMATS = ["mae", "accuracy", "exact"], ["regression", "mcq", "free", "multiple choice"]
 
 
-@query(r"""WITH a AS (SELECT conv_id, turn, regexp_replace('"' || left(text, 300) || ' = 42.5 ' || chr(10) || '"' , '^\s+|\s+$', '', 'g') AS x, (['mae', 'accuracy', 'exact'])[CAST(turn % 3 AS INTEGER) + 1] AS metric, (['regression', 'mcq', 'free', 'multiple choice'])[CAST(conv_id % 4 AS INTEGER) + 1] AS f FROM conversations)
+@query(r"""WITH a AS (SELECT conv_id, turn, regexp_replace('"' || text || ' = 42.5 ' || chr(10) || '"' , '^\s+|\s+$', '', 'g') AS x, (['mae', 'accuracy', 'exact'])[CAST(turn % 3 AS INTEGER) + 1] AS metric, (['regression', 'mcq', 'free', 'multiple choice'])[CAST(conv_id % 4 AS INTEGER) + 1] AS f FROM conversations)
 SELECT conv_id, turn, CASE WHEN metric = 'mae' OR f = 'regression' THEN CAST(CAST(nullif(regexp_extract(x, '(-?\d+(?:\.\d+)?)', 1), '') AS DOUBLE) AS VARCHAR)
 WHEN f IN ('mcq', 'multiple choice') THEN coalesce(nullif(regexp_extract(x, '^(?s:(?:.*[^A-Za-z])?([A-F])(?:[^A-Za-z].*)?)$', 1), ''), x) ELSE regexp_replace(regexp_replace(x, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') END AS answer FROM a""")
 def extract_by_metric(v: Views) -> DataFrame:
     """The answer by what it is scored with; the test text ends in a number and stands in quotes."""
-    x = F.concat(F.lit('"'), F.left("text", F.lit(300)), F.lit(' = 42.5 \n"'))
+    x = F.concat(F.lit('"'), F.col("text"), F.lit(' = 42.5 \n"'))
     pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs)).cast("int") + 1)
     return v.table("conversations").select("conv_id", "turn", T.extracted(x, pick(METRICS, "turn"), pick(FORMATS, "conv_id")).alias("answer"))
 

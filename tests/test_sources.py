@@ -97,21 +97,11 @@ def test_client_failures_stay_with_their_rows(spark):
     assert got == {"a": ("GOOD", None), "b": (None, "refused"), "c": ("Z", None), "d": ("LATE", None), "e": (None, "down")}
 
 
-def test_bootstrap_of_many_values_and_any_metric(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    df = spark.createDataFrame([("m", float(x), float(y)) for x, y in rng.standard_normal((40, 2))], "model string, gold double, pred double")
-    few = metrics.bootstrap(df, ["model"], F.col("gold"), draws=50).first()
-    mae = metrics.bootstrap_of(df, ["model"], metrics.regression, "mae", draws=50).first()
-    monkeypatch.setattr(metrics, "MOST_CLASSES", 3)
-    assert metrics.bootstrap(df, ["model"], F.col("gold"), draws=50).first() == few
-    assert metrics.bootstrap_of(df, ["model"], metrics.regression, "mae", draws=50).first() == mae
-
-
 def test_running_counts_over_ranges(spark):
     rng = np.random.default_rng(6)
     rows = sorted({(int(g), float(x)) for g, x in zip(rng.integers(0, 2, 3000), np.round(rng.standard_normal(3000) ** 3, 3))})
     per = spark.createDataFrame([(g, x, int(i % 4) + 1) for i, (g, x) in enumerate(rows)], "g int, x double, k long")
-    got = {(r["g"], r["x"]): r["below"] for r in metrics.counted_below(per, ["g"], "x", "k").collect()}
+    got = {(r["g"], r["x"]): r["below"] for r in metrics.counted_below(per, ["g"], "x", "k", most=50).collect()}
     want, total = {}, {}
     for i, (g, x) in enumerate(rows):
         want[g, x] = total.get(g, 0)

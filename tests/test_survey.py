@@ -8,24 +8,6 @@ from gradus.operators import metrics, sampling
 from gradus.sources import tables
 
 
-def ranks(v):
-    return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
-
-
-def test_bootstrap_of_spearman(spark):
-    rows = sorted([(1, 2), (2, 2), (2, 5), (4, 1)])
-    df = spark.createDataFrame([("m", float(a), float(b)) for a, b in reversed(rows)], "model string, gold double, pred double")
-    rhos = []
-    for d in range(200):
-        own = np.array([rows[int(hashlib.md5(f"42|{d}|{i}".encode()).hexdigest()[:8], 16) % 4] for i in range(4)], float)
-        a, b = ranks(own[:, 0]), ranks(own[:, 1])
-        if a.std() and b.std():
-            rhos.append(np.corrcoef(a, b)[0, 1])
-    assert len(rhos) < 200
-    got = metrics.bootstrap_spearman(df, ["model"], draws=200).first()
-    assert np.allclose([got["ci_low"], got["ci_high"]], np.percentile(rhos, [2.5, 97.5]), atol=1e-4)
-
-
 def test_pairs_by_tissue(spark):
     rows = [(i, "abcd"[k], ) for i, k in enumerate([0] * 2 + [1] * 30 + [2] * 12 + [3] * 5)]
     df = spark.createDataFrame(rows, "pair long, organ string")
