@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, MapType, NullType, StringType, StructType
 
 #: Letters that a format allows.
 LETTERS = {"mcq": "ABCD", "binary": "AB", "pairwise": "AB", "ternary": "ABC"}
@@ -139,10 +142,57 @@ def instructed(m: Column, kind: str, thinking: bool = False, instructions: dict[
     return F.transform(m, lambda x, i: F.struct(x.role.alias("role"), add(x, i).alias("content")))
 
 
+#: The characters that JSON text escapes by a letter; other controls become four hex digits.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def json_string(x: Column) -> Column:
+    """A string as JSON text; characters beyond ASCII stay as they are."""
+    common = rare = x
+    for c in ESCAPES:
+        common = F.replace(common, F.lit(c), F.lit(ESCAPES[c]))
+    rare = common
+    for c in [chr(i) for i in range(0x20) if chr(i) not in ESCAPES]:
+        rare = F.replace(rare, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return F.concat(F.lit('"'), F.when(x.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(common), F.lit('"'))
+
+
+def canonical_json(x: Column, kind: DataType) -> Column:
+    """A value as JSON text with the keys of objects in order, ``": "`` and ``", "`` between, so that equal values have equal texts.
+
+    Structs have their fields as keys, maps their string keys; null is ``null``. Floating-point numbers have no one text and
+    are an error."""
+    if isinstance(kind, StructType):
+        parts = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), canonical_json(x.getField(f.name), f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        out = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, MapType):
+        entries = F.array_sort(F.map_entries(x), lambda a, b: F.when(a.key < b.key, -1).when(a.key > b.key, 1).otherwise(0))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e.key), F.lit(": "), canonical_json(e.value, kind.valueType))), ", "), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: canonical_json(e, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, StringType):
+        out = json_string(x)
+    elif isinstance(kind, IntegralType | BooleanType | NullType):
+        out = x.cast("string")
+    else:
+        raise TypeError(f"no canonical text of {kind.simpleString()}")
+    return F.when(x.isNull(), F.lit("null")).otherwise(out)
+
+
+def canonical_hash(x: Column, kind: DataType) -> Column:
+    """sha256 of :func:`canonical_json`, in hex."""
+    return F.sha2(canonical_json(x, kind).cast("binary"), 256)
+
+
 def patched(x: Column, name: str, value: Column) -> Column:
-    """A JSON object with one field set, the others as they were, values as text."""
-    rest = F.map_filter(F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, _: k != name)
-    return F.to_json(F.map_concat(rest, F.create_map(F.lit(name), value)))
+    """A JSON object with one field set, in its place or else at the end; all other fields keep their order, types and nesting.
+
+    Null and blank texts count as empty objects; a text that is no JSON object gives null."""
+    given = F.when(F.trim(F.coalesce(x, F.lit(""))) == "", F.lit("{}")).otherwise(x)
+    fields = F.from_json(F.when(F.ltrim(given).startswith("{"), given), "map<string,variant>")
+    new = value.cast("variant")
+    inside = F.transform_values(fields, lambda k, v: F.when(k == name, new).otherwise(v))
+    return F.to_json(F.when(F.map_contains_key(fields, name), inside).otherwise(F.map_concat(fields, F.create_map(F.lit(name), new))))
 
 
 def extracted(x: Column, metric: Column, kind: Column) -> Column:

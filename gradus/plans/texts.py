@@ -75,10 +75,13 @@ def parse_set_jaccard(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", F.round(T.jaccard(a, b), 6).alias("jaccard"))
 
 
-@query("""SELECT conv_id, sha256(array_to_string(list_transform(m, lambda x: '<' || x.role || '>' || chr(10) || x.content), chr(10))) AS sha, substr(sha256(array_to_string(list_transform(m, lambda x: '<' || x.role || '>' || chr(10) || x.content), chr(10))), 1, 20) AS cache_key FROM msgs""")
+@query("""WITH j AS (SELECT conv_id, '[' || array_to_string(list_transform(m, lambda x: '{"content": ' || coalesce(to_json(x.content)::VARCHAR, 'null') || ', "role": ' || coalesce(to_json(x.role)::VARCHAR, 'null') || '}'), ', ') || ']' AS j FROM msgs)
+SELECT conv_id, sha256(j) AS sha, substr(sha256(j), 1, 20) AS cache_key FROM j""")
 def prompt_hash(v: Views) -> DataFrame:
-    sha = F.sha2(T.serialized(F.col("m")).cast("binary"), 256)
-    return v.msgs.select("conv_id", sha.alias("sha"), F.substring(sha, 1, 20).alias("cache_key"))
+    """sha256 of the messages as JSON with sorted keys."""
+    msgs = v.msgs
+    sha = T.canonical_hash(F.col("m"), msgs.schema["m"].dataType)
+    return msgs.select("conv_id", sha.alias("sha"), F.substring(sha, 1, 20).alias("cache_key"))
 
 
 @query("SELECT conv_id, CAST(len(m) AS INTEGER) AS n, CAST(greatest(len(m) - 1, 0) AS INTEGER) AS n_prompt, m[-1].role AS last_role, m[-1].content AS gold FROM msgs")
@@ -119,11 +122,13 @@ def json_field(v: Views) -> DataFrame:
     return v.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT event_id, '{"k":"' || CAST(json_extract(props, '$.k') AS VARCHAR) || '","type":"' || event_type || '","split":"' || CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END || '"}' AS metadata FROM events""")
+@query("""SELECT event_id, json_merge_patch(json_merge_patch(props::JSON, json_object('type', event_type, 'ok', event_id % 3 = 0, 'at', json_object('day', event_id % 7, 'tags', json_array(event_type, NULL)))), json_object('split', CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END))::VARCHAR AS metadata FROM events""")
 def json_patch(v: Views) -> DataFrame:
-    """Any object takes the new field; one of that name is replaced, all others stay, values as text."""
-    given = F.concat(F.regexp_replace("props", r"\}$", ', "type": "'), "event_type", F.lit('"}'))
-    split = F.when(F.col("event_id") % 5 == 0, "test").otherwise("train")
+    """Any object takes the new field; numbers, booleans, lists and nested objects stay what they are."""
+    e = F.col("event_id")
+    more = F.to_json(F.struct(F.col("event_type").alias("type"), (e % 3 == 0).alias("ok"), F.struct((e % 7).alias("day"), F.array("event_type", F.lit(None).cast("string")).alias("tags")).alias("at")))
+    given = F.concat(F.regexp_replace("props", r"\}\s*$", ", "), F.substring(more, 2, 1 << 30))
+    split = F.when(e % 5 == 0, "test").otherwise("train")
     return v.table("events").select("event_id", T.patched(given, "split", split).alias("metadata"))
 
 

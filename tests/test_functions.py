@@ -1,7 +1,11 @@
 """Small cases with expected values worked out by hand."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gradus.functions import labels, text, trace
 from gradus.operators import metrics
@@ -153,14 +157,29 @@ def test_instructions(spark):
     assert [x["content"] for x in got] == ["s", "q"]
 
 
-def test_patched_keeps_other_fields(spark):
-    import json
-
-    assert json.loads(one(spark, lambda x: text.patched(x, "split", F.lit("test")), '{"a": 1, "split": "x", "b": {"c": [2]}}')) == {"a": "1", "b": '{"c":[2]}', "split": "test"}
-    assert one(spark, lambda x: text.patched(x, "k", F.lit("v")), "no json") == '{"k":"v"}'
-
-
-@pytest.mark.parametrize(("given", "ok"), [('```json\n{"pathway_correctness": 5, "evidence_use": 0}\n```', True), ('{"pathway_correctness": 6, "evidence_use": 0}', False), ('{"evidence_use": 0}', False), ("text", False)])
-def test_judgment_bounds(spark, given, ok):
-    got = one(spark, text.judgment, given)
-    assert (got is not None) is ok
+def test_patched_keeps_types_order_and_nesting(spark):
+    def out(x, name="split", value="test"):
+        return one(spark, lambda c: text.patched(c, name, F.lit(value)), x)
+
+    given = '{"z": 5, "b": true, "split": "x", "o": {"y": [1, null, 2.5], "x": {"e": ""}}, "n": null, "s": "q\\"\\n", "a": 0.125, "big": 9007199254740993}'
+    got = json.loads(out(given))
+    assert got == json.loads(given) | {"split": "test"} and list(got) == list(json.loads(given))
+    assert type(got["z"]) is int and got["b"] is True and got["big"] == 9007199254740993
+    assert list(json.loads(out('{"a": 1}'))) == ["a", "split"]
+    assert [out(x) for x in (None, "", "  ", "{}")] == ['{"split":"test"}'] * 4
+    assert [out(x) for x in ("no json", "[1]", "5", '"x"', '{"a": ')] == [None] * 5
+    assert json.loads(out('{"a": [], "t": {}}', "a", 7)) == {"a": 7, "t": {}}
+
+
+def test_canonical_json_is_that_of_sorted_keys(spark):
+    odd = ["plain", 'quo"te', "back\\slash", "tab\tnew\nret\rbf\b\f", "".join(map(chr, range(1, 32))) + "\x7f", "é 数 🙂 \u2028 /", "", None]
+    rows = [([{"role": r, "content": c}], {"z": 1, "a": None, "é": 3}, True) for r in ("user", None) for c in odd] + [([], {}, False), (None, None, None)]
+    df = spark.createDataFrame(rows, "m array<struct<role:string,content:string>>, n map<string,int>, b boolean")
+    for c in ("m", "n", "b"):
+        got = df.select(text.canonical_json(F.col(c), df.schema[c].dataType).alias("j"), text.canonical_hash(F.col(c), df.schema[c].dataType).alias("h")).collect()
+        values = [dict(zip("mnb", r))[c] for r in rows]
+        want = [json.dumps(v, sort_keys=True, ensure_ascii=False) for v in values]
+        assert [r["j"] for r in got] == want
+        assert [r["h"] for r in got] == [hashlib.sha256(w.encode()).hexdigest() for w in want]
+    with pytest.raises(TypeError):
+        text.canonical_json(F.col("x"), DoubleType())
