@@ -7,18 +7,35 @@ from pyspark.sql import functions as F
 
 from gradus.operators import metrics, splits, stats
 from gradus.plans.catalogue import query
-from gradus.plans.core import labelled
+from gradus.plans.core import DIRECTION, KEPT, labelled
 from gradus.plans.views import Views
 from gradus.sources import tables
 from gradus.streaming import live
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT acc, {DIRECTION} AS k FROM dx WHERE {KEPT}), c AS (SELECT acc, k, count(*) AS n FROM l GROUP BY ALL), kinds AS (SELECT list(k ORDER BY k) AS ks FROM (SELECT DISTINCT k FROM c)),
+p AS (SELECT acc, list(struct_pack(k := k, n := n) ORDER BY k) AS profile, sum(n) AS total FROM c GROUP BY acc),
+g AS MATERIALIZED (SELECT acc, list_transform(ks, lambda x: coalesce(list_filter(profile, lambda y: y.k = x)[1].n, 0)) AS n, total, profile, md5(concat_ws('|', '42', 'split', acc)) AS h FROM p, kinds),
+t AS (SELECT list(n ORDER BY k) AS n FROM (SELECT k, sum(n) AS n FROM c GROUP BY k)),
+s(step, lacking, used) AS (SELECT 0, list_transform(n, lambda x: CAST(round_even(x * 0.2::DOUBLE, 0) AS BIGINT)), CAST([] AS BIGINT[]) FROM t
+UNION ALL SELECT step + 1, list_transform(range(1, len(lacking) + 1), lambda i: CAST(lacking[i] - best.n[i] AS BIGINT)), list_append(used, best.acc) FROM (
+SELECT step, lacking, used, arg_min(struct_pack(acc := CAST(g.acc AS BIGINT), n := g.n), struct_pack(a := total, w := -g.n[list_position(lacking, list_max(lacking))], b := profile, c := h, d := g.acc)) AS best FROM s, g
+WHERE list_max(lacking) > 0 AND NOT list_contains(used, g.acc) AND g.n[list_position(lacking, list_max(lacking))] > 0 GROUP BY ALL)),
+u AS (SELECT arg_max(used, step) AS used FROM s) SELECT acc, CASE WHEN list_contains(used, acc) THEN 'test' ELSE 'train' END AS split FROM g, u""")
 def greedy_accession_split(v: Views) -> DataFrame:
     return splits.greedy_split(labelled(v), "acc", "direction")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT sample, fmt AS k, count(*) AS n FROM cells GROUP BY ALL), kinds AS (SELECT list(k ORDER BY k) AS ks FROM (SELECT DISTINCT k FROM c)),
+p AS (SELECT sample, list(struct_pack(k := k, n := n) ORDER BY k) AS profile FROM c GROUP BY sample),
+g AS (SELECT sample, list_transform(ks, lambda x: coalesce(list_filter(profile, lambda y: y.k = x)[1].n, 0)) AS n, list_transform(profile, lambda y: y.k) AS sig, md5(concat_ws('|', '42', 'signature', sample)) AS h FROM p, kinds),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY len(sig) DESC, sig, h) AS place, round_even(count(*) OVER (PARTITION BY sig) * 0.2::DOUBLE, 0) AS quota FROM g),
+t AS (SELECT list(n ORDER BY k) AS n FROM (SELECT k, sum(n) AS n FROM c GROUP BY k)),
+s(place, room, sig, given, stopped, test) AS (SELECT CAST(0 AS BIGINT), list_transform(n, lambda x: CAST(least(round_even(x * 0.2::DOUBLE, 0), greatest(0, x - 50)) AS BIGINT)), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), false, false FROM t
+UNION ALL SELECT place, CASE WHEN fits THEN list_transform(range(1, len(room) + 1), lambda i: CAST(room[i] - n[i] AS BIGINT)) ELSE room END, sig, given + fits::INT, NOT fits, fits FROM (
+SELECT o.place, room, o.sig, o.n, CASE WHEN s.sig = o.sig THEN given ELSE 0 END AS given,
+NOT (s.sig = o.sig AND stopped) AND CASE WHEN s.sig = o.sig THEN given ELSE 0 END < quota AND list_min(list_transform(range(1, len(room) + 1), lambda i: CASE WHEN o.n[i] = 0 THEN 0 ELSE room[i] - o.n[i] END)) >= 0 AS fits FROM s JOIN o ON o.place = s.place + 1))
+SELECT sample, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM o JOIN s ON s.place = o.place""")
 def signature_split(v: Views) -> DataFrame:
     return splits.signature_split(v.cells, "sample", "fmt")
 

@@ -1,7 +1,9 @@
 """Prompts, sources, splits, statistics, perturbations and streaming."""
 
+import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,65 @@ def test_splits(spark):
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in splits.greedy_split(df, "g", "kind").collect()}
 
 
+def test_groups_of_a_profile_are_taken_together():
+    """Plans over profiles choose as one would group by group."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        kinds = "abc"[: rng.integers(1, 4)]
+        histogram = {tuple(sorted((k, int(n)) for k, n in zip(kinds, rng.integers(0, 4, len(kinds))) if n)): int(rng.integers(1, 30)) for _ in range(6)}
+        histogram = sorted(((dict(p), m) for p, m in histogram.items() if p), key=lambda x: splits.order_of(x[0]))
+        lacking = {k: round(n * 0.2) for k, n in splits.totals(histogram).items()}
+        one = [0] * len(histogram)
+        while any(v > 0 for v in lacking.values()):
+            want = min((k for k, v in lacking.items() if v > 0), key=lambda k: (-lacking[k], k))
+            at = min((i for i, (p, m) in enumerate(histogram) if want in p and one[i] < m), key=lambda i: (sum(histogram[i][0].values()), -histogram[i][0][want], i), default=None)  # noqa: B023
+            if at is None:
+                break
+            one[at] += 1
+            for k, n in histogram[at][0].items():
+                lacking[k] -= n
+        assert splits.greedy_plan(histogram, 0.2) == one
+
+
+def by_signature(rows, fraction, least, stage="signature"):
+    """The split group by group."""
+    groups: dict = {}
+    for g, k in rows:
+        groups.setdefault(g, {}).setdefault(k, 0)
+        groups[g][k] += 1
+    total = {k: sum(p.get(k, 0) for p in groups.values()) for _, k in rows}
+    room = {k: min(round(n * fraction), max(0, n - least)) for k, n in total.items()}
+    test = set()
+    for sig in sorted({tuple(sorted(p)) for p in groups.values()}, key=lambda s: (-len(s), s)):
+        own = sorted((hashlib.md5(f"42|{stage}|{g}".encode()).hexdigest(), g) for g, p in groups.items() if tuple(sorted(p)) == sig)
+        for _, g in own[: round(len(own) * fraction)]:
+            if any(n > room[k] for k, n in groups[g].items()):
+                break
+            test.add(g)
+            for k, n in groups[g].items():
+                room[k] -= n
+    return test
+
+
+@pytest.mark.parametrize(("fraction", "least", "few"), [(0.2, 5, 4096), (0.5, 50, 4096), (0.3, 5, 1), (0.9, 0, 2)])
+def test_signatures_count_rows(spark, fraction, least, few):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), str(k)) for g in range(300) for k in rng.choice(["x", "y", "z"], rng.integers(1, 4), replace=False) for _ in range(rng.integers(1, 6))]
+    df = spark.createDataFrame(rows, "g int, k string")
+    got = {r["g"] for r in splits.signature_split(df, "g", "k", fraction, least, few=few).collect() if r["split"] == "test"}
+    assert got == by_signature(rows, fraction, least)
+    left = df.filter(~F.col("g").isin(list(got))).groupBy("k").count().collect()
+    assert all(r["count"] >= min(least, sum(k == r["k"] for _, k in rows)) for r in left)
+
+
+def test_splits_of_nothing_and_of_nulls(spark):
+    none = spark.createDataFrame([], "g int, k string")
+    assert splits.greedy_split(none, "g", "k").count() == 0 and splits.signature_split(none, "g", "k").count() == 0
+    odd = spark.createDataFrame([(None, "a"), (None, None), (1, None), (2, "a"), (3, "a")] * 4, "g int, k string")
+    for got in (splits.greedy_split(odd, "g", "k", 0.3), splits.signature_split(odd, "g", "k", 0.5, 0)):
+        assert sorted(str(r["g"]) for r in got.collect()) == ["1", "2", "3", "None"]
+
+
 @pytest.mark.parametrize(("rho", "n", "p"), [(-0.41, 29, 0.0272), (0.5, 10, 0.1411), (0.0, 20, 1.0), (1.0, 5, 0.0), (0.3, 2, 1.0)])
 def test_correlation_p(rho, n, p):
     assert stats.correlation_p(rho, n) == pytest.approx(p, abs=5e-4)
