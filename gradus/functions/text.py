@@ -195,6 +195,19 @@ def patched(x: Column, name: str, value: Column) -> Column:
     return F.to_json(F.when(F.map_contains_key(fields, name), inside).otherwise(F.map_concat(fields, F.create_map(F.lit(name), new))))
 
 
+def overlaid(base: Column, *layers: Column) -> Column:
+    """A map of strings with others laid over it: for each key the last value that is not blank, trimmed; keys stay in the order in
+    which they first appear. A null map has no keys; a blank value of the base stays where nothing covers it."""
+    out = F.coalesce(base, F.create_map().cast("map<string,string>"))
+    for layer in layers:
+        clean = F.filter(F.map_entries(F.coalesce(layer, F.create_map().cast("map<string,string>"))), lambda e: F.coalesce(stripped(e.value), F.lit("")) != "")
+        own = F.transform(clean, lambda e: F.struct(e.key.alias("key"), stripped(e.value).alias("value")))
+        over = F.map_from_entries(own)
+        kept = F.transform(F.map_entries(out), lambda e: F.struct(e.key.alias("key"), F.coalesce(F.try_element_at(over, e.key), e.value).alias("value")))  # noqa: B023
+        out = F.map_from_entries(F.concat(kept, F.filter(own, lambda e: ~F.map_contains_key(out, e.key))))  # noqa: B023
+    return out
+
+
 def extracted(x: Column, metric: Column, kind: Column) -> Column:
     """Answer as text by what it is scored with: the first number, the last lone letter, else the text without quotes."""
     clean = stripped(x)

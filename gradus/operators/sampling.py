@@ -89,11 +89,45 @@ def unique_names(df: DataFrame, name: str, suffix: Column, pos: str) -> DataFram
     return rows.withColumn("unique_name", F.when(again, F.concat(name, "_suffix")).otherwise(F.col(name))).select(*df.columns, "unique_name")
 
 
+def prefix_cuts(df: DataFrame, by: list[str], quota, stage: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their order key and its prefix, and for each group the prefix that holds the rank ``quota`` and how many rows of
+    that prefix are within it: what lies before needs no rank, what lies behind none either.
+
+    ``quota(sizes)`` adds the column quota to the (by, n) sizes of the groups. Counts per prefix, 4096 at most for a group, come
+    from one aggregate."""
+    keyed = df.withColumn("_order", order_key(stage, F.col(key))).withColumn("_bucket", F.substring("_order", 1, 3))
+    counts = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    wanted = quota(counts.groupBy(*by).agg(F.sum("_n").alias("n")))
+    named = [f"_by{i}" for i in range(len(by))]
+    other = wanted.select(*[F.col(c).alias(n) for c, n in zip(by, named)], "quota")
+    met = counts.join(other, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, named)]) if by else counts.join(F.broadcast(other))  # one row
+    up = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    steps = met.withColumn("_to", F.sum("_n").over(up)).filter(F.col("_to") >= F.col("quota"))
+    cut = F.min(F.struct("_bucket", (F.col("quota") - F.col("_to") + F.col("_n")).alias("rest")))
+    ends = steps.groupBy(*by).agg(cut.alias("_cut"))
+    return keyed, ends.select(*[F.col(c).alias(n) for c, n in zip(by, named)], F.col("_cut._bucket").alias("_end"), F.col("_cut.rest").alias("_rest"))
+
+
+def _meeting(keyed: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    named = [f"_by{i}" for i in range(len(by))]
+    met = keyed.join(ends, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, named)], "left") if by else keyed.join(F.broadcast(ends), how="left")
+    return met.drop(*named)
+
+
+def within_quota(df: DataFrame, by: list[str], quota, stage: str, key: str = "rid") -> DataFrame:
+    """The first ``quota`` rows of each group in random order; a group with fewer gives all. See :func:`prefix_cuts`.
+
+    Only rows whose prefix may hold them are ranked, and these inside their prefix."""
+    keyed, ends = prefix_cuts(df, by, quota, stage, key)
+    near = _meeting(keyed, ends, by).filter(F.col("_end").isNull() | (F.col("_bucket") <= F.col("_end")))
+    inside = ranked(near, [*by, "_bucket"], F.col("_order"), F.col(key))
+    return inside.filter(F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")) | (F.col("rn") <= F.col("_rest"))).select(*df.columns)
+
+
 def equalize(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
     """Every class cut to the size of the smallest."""
-    smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("most"))
-    r = bucket_ranked(df, [label], stage, key)
-    return r.join(F.broadcast(smallest)).filter("rn <= most").drop("rn", "most")  # one row
+    smallest = lambda sizes: sizes.join(F.broadcast(sizes.agg(F.min("n").alias("quota"))))  # noqa: E731  one row
+    return within_quota(df, [label], smallest, stage, key)
 
 
 def fill_to_target(chosen: DataFrame, pool: DataFrame, target: int, stage: str, key: str = "rid") -> DataFrame:
@@ -106,31 +140,38 @@ def fill_to_target(chosen: DataFrame, pool: DataFrame, target: int, stage: str,
 
 
 def half_partition(df: DataFrame, label: str, stage: str, key: str = "rid") -> DataFrame:
-    """Adds half: 0 for the first floor(n / 2) rows of each class in random order, else 1."""
-    n = df.groupBy(label).agg(F.count("*").alias("n"))
-    r = bucket_ranked(df, [label], stage, key).join(F.broadcast(n), label)  # one row per class
-    return r.withColumn("half", F.when(F.col("rn") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("rn", "n")
+    """Adds half: 0 for the first floor(n / 2) rows of each class in random order, else 1. Only the rows of the prefix that holds the
+    middle are ranked."""
+    keyed, ends = prefix_cuts(df, [label], lambda sizes: sizes.withColumn("quota", F.floor(F.col("n") / 2)), stage, key)
+    met = _meeting(keyed, ends, [label])
+    sure = met.filter(F.col("_bucket") != F.col("_end")).withColumn("half", (F.col("_bucket") > F.col("_end")).cast("int"))
+    edge = ranked(met.filter(F.col("_bucket") == F.col("_end")), [label], F.col("_order"), F.col(key)).withColumn("half", (F.col("rn") > F.col("_rest")).cast("int"))
+    return sure.select(*df.columns, "half").unionByName(edge.select(*df.columns, "half"))
 
 
 def proportional_cap(df: DataFrame, strata: str, target: int, stage: str, key: str) -> DataFrame:
     """About ``target`` rows with each stratum in its share; a stratum never gives more than it has."""
-    n = df.groupBy(strata).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    quota = n.join(F.broadcast(total)).select(strata, F.least(F.bround(F.lit(float(target)) * F.col("n") / F.col("total")), F.col("n")).alias("quota"))
-    return bucket_ranked(df, [strata], stage, key).join(quota, strata).filter("rn <= quota").drop("rn", "quota")
+
+    def shares(sizes: DataFrame) -> DataFrame:
+        total = sizes.agg(F.sum("n").alias("total"))
+        return sizes.join(F.broadcast(total)).withColumn("quota", F.least(F.bround(F.lit(float(target)) * F.col("n") / F.col("total")), F.col("n")))  # one row
+
+    return within_quota(df, [strata], shares, stage, key)
 
 
 def tissue_balanced(df: DataFrame, target: int, stage: str, organ: str = "organ", label: str = "direction", key: str = "rid") -> DataFrame:
     """Equal share per label; within a label equal shares per organ, shortfalls passed on to organs with rows to spare, in order."""
-    counts = df.groupBy(label, organ).agg(F.count("*").alias("n"))
-    dims = counts.agg(F.countDistinct(label).alias("nl"), F.countDistinct(organ).alias("no"))
-    share = F.floor(F.floor(F.lit(target) / F.col("nl")) / F.col("no"))
-    q = counts.join(F.broadcast(dims)).select(label, organ, "n", "no", F.floor(F.lit(target) / F.col("nl")).alias("each"), F.least("n", share).alias("base"))
-    per = Window.partitionBy(label)
-    q = q.withColumn("spare", F.col("n") - F.col("base")).withColumn("need", F.col("each") - F.sum("base").over(per))
-    before = F.coalesce(F.sum("spare").over(per.orderBy(organ).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    q = q.select(label, organ, (F.col("base") + F.greatest(F.lit(0), F.least("spare", F.col("need") - before))).alias("quota"))
-    return bucket_ranked(df, [label, organ], stage, key).join(q, [label, organ]).filter("rn <= quota").drop("rn", "quota")
+
+    def shares(counts: DataFrame) -> DataFrame:
+        dims = counts.agg(F.countDistinct(label).alias("nl"), F.countDistinct(organ).alias("no"))
+        share = F.floor(F.floor(F.lit(target) / F.col("nl")) / F.col("no"))
+        q = counts.join(F.broadcast(dims)).select(label, organ, "n", F.floor(F.lit(target) / F.col("nl")).alias("each"), F.least("n", share).alias("base"))
+        per = Window.partitionBy(label)
+        q = q.withColumn("spare", F.col("n") - F.col("base")).withColumn("need", F.col("each") - F.sum("base").over(per))
+        before = F.coalesce(F.sum("spare").over(per.orderBy(organ).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return q.withColumn("quota", F.col("base") + F.greatest(F.lit(0), F.least("spare", F.col("need") - before)))
+
+    return within_quota(df, [label, organ], shares, stage, key)
 
 
 def pair_extremes(df: DataFrame, by: str, gap: float, most: int, key: str = "rid") -> DataFrame:
@@ -146,11 +187,12 @@ def pair_extremes(df: DataFrame, by: str, gap: float, most: int, key: str = "rid
 
 def tissue_balanced_pairs(pairs: DataFrame, target: int, stage: str, organ: str = "organ", key: str = "pair") -> DataFrame:
     """About ``target`` random pairs in equal shares per organ; what is missing comes from organs with pairs to spare, the largest first."""
-    counts = pairs.groupBy(organ).agg(F.count("*").alias("n"))  # a row per organ
-    every = Window.partitionBy()
-    q = counts.withColumn("base", F.least("n", F.floor(F.lit(target) / F.count("*").over(every))))
-    q = q.withColumn("spare", F.col("n") - F.col("base")).withColumn("need", F.lit(target) - F.sum("base").over(every))
-    before = F.coalesce(F.sum("spare").over(Window.orderBy(F.desc("n"), organ).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    q = q.select(F.col(organ).alias("_organ"), (F.col("base") + F.greatest(F.lit(0), F.least("spare", F.col("need") - before))).alias("quota"))
-    r = bucket_ranked(pairs, [organ], stage, key)
-    return r.join(F.broadcast(q), F.col(organ).eqNullSafe(F.col("_organ"))).filter("rn <= quota").drop("rn", "quota", "_organ")
+
+    def shares(counts: DataFrame) -> DataFrame:
+        every = Window.partitionBy()  # a row per organ
+        q = counts.withColumn("base", F.least("n", F.floor(F.lit(target) / F.count("*").over(every))))
+        q = q.withColumn("spare", F.col("n") - F.col("base")).withColumn("need", F.lit(target) - F.sum("base").over(every))
+        before = F.coalesce(F.sum("spare").over(Window.orderBy(F.desc("n"), organ).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return q.withColumn("quota", F.col("base") + F.greatest(F.lit(0), F.least("spare", F.col("need") - before)))
+
+    return within_quota(pairs, [organ], shares, stage, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.functions import text as T
 from gradus.functions.labels import modality, task_group, truthy
 from gradus.operators import sampling
 from gradus.plans.catalogue import query
@@ -76,13 +77,20 @@ def modality_infer(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", modality(F.concat_ws(" ", "p_name", kind)).alias("modality"))
 
 
-@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END, n_name) AS label, c_mktsegment || '|' || coalesce(n_name, '') AS metadata FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20""")
+@query("""WITH j AS (SELECT *, n_nationkey IS NOT NULL AS met FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20)
+SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END, n_name) AS label,
+'{"segment":"' || CASE WHEN met AND c_custkey % 4 <> 0 THEN c_mktsegment || ' II' ELSE c_mktsegment END || '","nation":"' || CASE WHEN met AND c_custkey % 5 <> 0 THEN n_name ELSE '' END || '","key":"' || CASE WHEN met AND c_custkey % 7 = 0 THEN 'seven' ELSE CAST(c_custkey AS VARCHAR) END || '"'
+|| CASE WHEN met THEN ',"region":"' || n_regionkey || '"' ELSE '' END || CASE WHEN met AND c_custkey % 7 = 0 THEN ',"seven":"yes"' ELSE '' END || '}' AS metadata FROM j""")
 def metadata_merge(v: Views) -> DataFrame:
-    """A label is filled in only where it is null; metadata are laid over each other."""
+    """A label is filled in only where it is null; metadata are laid over each other, blanks cover nothing."""
     c = v.table("customer").withColumn("label", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")))
-    n = v.table("nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    joined = c.join(F.broadcast(n), "c_nationkey", "left")  # 25 rows by definition
-    return joined.select("c_custkey", F.coalesce("label", "n_name").alias("label"), F.concat(F.col("c_mktsegment"), F.lit("|"), F.coalesce("n_name", F.lit(""))).alias("metadata"))
+    n = v.table("nation").filter("n_nationkey < 20").withColumnRenamed("n_nationkey", "c_nationkey")
+    x, k = c.join(F.broadcast(n), "c_nationkey", "left"), F.col("c_custkey")  # 25 rows by definition
+    own = F.create_map(F.lit("segment"), "c_mktsegment", F.lit("nation"), F.lit(""), F.lit("key"), k.cast("string"))
+    met = F.col("n_name").isNotNull()
+    found = F.when(met, F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("nation"), F.when(k % 5 != 0, F.col("n_name")).otherwise("  "), F.lit("segment"), F.when(k % 4 != 0, F.concat(F.lit(" "), "c_mktsegment", F.lit(" II ")))))
+    seven = F.when(met & (k % 7 == 0), F.create_map(F.lit("key"), F.lit("seven"), F.lit("seven"), F.lit("yes"), F.lit("region"), F.lit("")))
+    return x.select("c_custkey", F.coalesce("label", "n_name").alias("label"), F.to_json(T.overlaid(own, found, seven)).alias("metadata"))
 
 
 @query("""WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 50 = 1 THEN 'x' ELSE CAST(c_nationkey * 6 AS VARCHAR) END AS age FROM customer), n AS (SELECT *, TRY_CAST(age AS DOUBLE) AS x FROM a)

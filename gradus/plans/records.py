@@ -12,6 +12,7 @@ from gradus.plans.analytics import drawn_sql
 from gradus.plans.catalogue import query
 from gradus.plans.core import DIRECTION, KEPT, labelled
 from gradus.plans.views import Views
+from gradus.sources import evals
 
 
 @query("SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer) WHERE c_mktsegment IS NOT NULL")
@@ -196,7 +197,7 @@ def judgments(v: Views) -> DataFrame:
     return v.table("documents").withColumn("j", j).select("doc_id", F.col("j.pathway_correctness").alias("pathway_correctness"), F.col("j.evidence_use").alias("evidence_use"), F.round(F.col("j.pathway_correctness") / 5, 4).alias("pathway_score"))
 
 
-@query("""SELECT pos, nullif(trim(CASE WHEN pos % 4 = 0 THEN '  ' ELSE ' ' || model || ' ' END), '') AS pred, coalesce(CASE WHEN pos % 5 <> 0 THEN tokens END, CAST(trunc(latency) AS BIGINT)) AS tokens,
+@query("""SELECT pos, nullif(trim(CASE WHEN pos % 4 = 0 THEN '  ' ELSE ' ' || model || ' ' END), '') AS pred, coalesce(nullif(CASE WHEN pos % 5 <> 0 THEN tokens END, 0), CAST(trunc(latency) AS BIGINT)) AS tokens,
 CASE WHEN pos % 3 = 0 THEN CASE WHEN score >= 0.3 THEN 1.0 ELSE 0.0 END ELSE score END::DOUBLE AS score, CASE WHEN pos % 3 = 0 THEN score >= 0.3 ELSE score >= 0.5 END AS pass, round(abs(latency - 10), 2) AS mae,
 coalesce(nullif(CASE WHEN pos % 2 = 0 THEN model ELSE '' END, ''), CASE WHEN pos % 3 <> 0 THEN 'meta' END) AS trace FROM cells""")
 def cell_extraction(v: Views) -> DataFrame:
@@ -206,7 +207,7 @@ def cell_extraction(v: Views) -> DataFrame:
         "pos", F.when(pos % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "model", F.lit(" "))).alias("completion"), F.when(pos % 5 != 0, F.col("tokens")).alias("total_tokens"), F.col("latency").cast("long").alias("output_tokens"),
         F.when(pos % 3 == 0, F.col("score") >= 0.3).alias("truth"), F.when(pos % 3 != 0, F.col("score")).alias("number"), F.abs(F.col("latency") - 10).alias("mae"),
         F.when(pos % 2 == 0, F.col("model")).otherwise("").alias("native"), F.when(pos % 3 != 0, "meta").alias("meta"))
-    return raw.select("pos", F.nullif(T.stripped(F.col("completion")), F.lit("")).alias("pred"), F.coalesce("total_tokens", "output_tokens").alias("tokens"), F.coalesce(F.col("truth").cast("double"), "number").alias("score"), F.coalesce("truth", F.col("number") >= 0.5).alias("pass"), F.round("mae", 2).alias("mae"), labels.truthy(F.col("native"), F.col("meta")).alias("trace"))
+    return raw.select("pos", *evals.cell(*[F.col(c) for c in ("completion", "total_tokens", "output_tokens", "truth", "number", "mae", "native", "meta")]))
 
 
 @query("""WITH d AS (SELECT l_returnflag AS fmt, l_discount * 3 AS before, greatest(0, l_discount * 3 - l_tax * 2) AS after FROM lineitem) SELECT fmt, count(*) AS n, round(avg(before), 6) AS mean_before, round(avg(after), 6) AS mean_after, round(avg(before - after), 6) AS mean_drop, CASE WHEN avg(before - after) >= 0.15 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM d GROUP BY fmt""")

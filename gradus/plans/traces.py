@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions import trace as R
-from gradus.operators import metrics
+from gradus.operators import genes, metrics
 from gradus.plans.catalogue import query
 from gradus.plans.views import EFFECTS, Views
 
@@ -103,19 +103,33 @@ def candidate_validity(v: Views) -> DataFrame:
     return v.trace.select("doc_id", F.size(g).alias("n"), F.size(F.filter(g, R.valid_symbol)).alias("n_valid"))
 
 
-KNOWN = "m AS (SELECT doc_id, len(genes) AS n, len(list_filter(genes, lambda x: ('0x' || substr(md5(upper(x)), 1, 8))::BIGINT % 10 < 7)) AS k FROM d)"
+USABLE = f"length(g) >= 2 AND NOT list_contains({sql_list(R.UPPER_STOP)}, upper(g)) AND NOT regexp_full_match(g, '[0-9]+')"
+NAMES = """names AS (SELECT DISTINCT upper(name) AS key, name AS spelt, alias, list_position([9606, 10090, 10116, 7227, 6239, 4932], taxid) - 1 AS rank, symbol, taxid, entrez_id
+FROM (SELECT symbol AS name, 0 AS alias, * EXCLUDE (aliases) FROM symbols UNION ALL SELECT unnest(aliases), 1, * EXCLUDE (aliases) FROM symbols) WHERE list_contains([9606, 10090, 10116, 7227, 6239, 4932], taxid))"""
+KNOWN = f"""{NAMES}, e AS (SELECT DISTINCT doc_id, unnest(genes) AS g FROM d), hits AS (SELECT doc_id, count(*) AS k FROM e WHERE {USABLE} AND upper(g) IN (SELECT key FROM names) GROUP BY doc_id),
+m AS (SELECT doc_id, len(genes) AS n, coalesce(k, 0) AS k FROM d LEFT JOIN hits USING (doc_id))"""
 
 
-def gene_scores(v: Views) -> DataFrame:
-    """Share of candidates that a reference of symbols holds; here those whose hash ends below 7."""
-    g = R.gene_candidates(F.col("t"))
-    known = F.size(F.filter(g, lambda x: metrics.uniform(F.upper(x), F.lit(10)) < 7))
-    return v.trace.select("doc_id", "fmt", F.coalesce(F.try_divide(known.cast("double"), F.size(g)), F.lit(0.5)).alias("gene_score"))
+def known_genes(v: Views) -> DataFrame:
+    """(doc_id, genes, known): candidates of each text, and those that the dimension of genes knows."""
+    return genes.known_counts(v.trace, "doc_id", R.gene_candidates(F.col("t")), v.symbols, R.valid_symbol(F.col("name")))
 
 
 @query(f"WITH {GENES}, {KNOWN} SELECT doc_id, round(coalesce(k / nullif(n, 0)::DOUBLE, 0.5), 6) AS gene_score FROM m")
 def gene_score(v: Views) -> DataFrame:
-    return gene_scores(v).select("doc_id", F.round("gene_score", 6).alias("gene_score"))
+    """Share of a text's candidates that the dimension knows; one half where there are none."""
+    return known_genes(v).select("doc_id", F.round(F.coalesce(F.try_divide(F.col("known").cast("double"), F.col("genes")), F.lit(0.5)), 6).alias("gene_score"))
+
+
+@query(f"""WITH {GENES}, {NAMES}, a AS (SELECT DISTINCT unnest(genes) AS g FROM d),
+b AS (SELECT g, struct_pack(a := alias, o := (g <> spelt)::INT, r := rank) AS close, entrez_id, symbol, taxid FROM a JOIN names ON upper(g) = key WHERE {USABLE}),
+f AS (SELECT g, min(struct_pack(c := close, e := entrez_id, s := symbol, t := taxid)) AS f FROM b GROUP BY g),
+n AS (SELECT f.g, f, count(DISTINCT b.symbol) AS alike FROM f JOIN b ON b.g = f.g AND b.close = f.f.c GROUP BY ALL)
+SELECT a.g AS name, f IS NOT NULL AS verified, f.s AS symbol, CASE f.t WHEN 9606 THEN 'human' WHEN 10090 THEN 'mouse' WHEN 10116 THEN 'rat' WHEN 7227 THEN 'fruitfly' WHEN 6239 THEN 'c_elegans' WHEN 4932 THEN 'yeast' END AS species, f.e AS entrez_id, coalesce(alike > 1, false) AS ambiguous FROM a LEFT JOIN n USING (g)""")
+def gene_lookup(v: Views) -> DataFrame:
+    """What every candidate of the texts is in the dimension of genes."""
+    each = v.trace.select(F.explode(R.gene_candidates(F.col("t"))).alias("name"))
+    return genes.looked_up(each, v.symbols, R.valid_symbol(F.col("name")))
 
 
 PROPERTY = "p AS (" + " UNION ALL ".join(
@@ -178,9 +192,7 @@ faith AS (SELECT *, round(0.4::DOUBLE * gene_score + 0.2::DOUBLE * consistency +
 
 def faithful(v: Views) -> DataFrame:
     """All scores and counts of every text."""
-    symbols = R.gene_candidates(F.col("t"))
-    known = F.size(F.filter(symbols, lambda s: metrics.uniform(F.upper(s), F.lit(10)) < 7))
-    x = consistent(counted(v.trace)).withColumns({"genes": F.size(symbols), "known": known}).drop("t", "up", "down", "sig", "none", "unsure")
+    x = consistent(counted(v.trace)).drop("t", "up", "down", "sig", "none", "unsure").join(known_genes(v), "doc_id")
     x = x.join(properties(v), "doc_id", "left").withColumns({"checked": F.coalesce("checked", F.lit(0)), "correct": F.coalesce("correct", F.lit(0))})
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.5))
     x = x.withColumns({"gene_score": share("known", "genes"), "property_score": share("correct", "checked")})

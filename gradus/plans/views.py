@@ -21,6 +21,8 @@ CLAIMS = [
 
 #: The annotated genes of the stand-in texts.
 EFFECTS = [("FOXO3", "Induces"), ("GENE7", "Induces"), ("daf-2", "Induces"), ("Trp53", "Inhibits")]
+#: The species of the stand-in dimension of genes, one of them unknown.
+TAXA = [9606, 10090, 10116, 7227, 6239, 4932, 5]
 #: Formats and answers that the dispatch has to tell apart.
 KINDS = ["mcq", "binary", "TERNARY", "pairwise", "regression", "other", None]
 ANSWERS = ["A", " b ", "C", "", None]
@@ -94,9 +96,19 @@ class Views:
 
     @property
     def effects(self) -> DataFrame:
-        """Annotated genes with the effect of each: a dimension of hundreds of rows."""
+        """Annotated genes with the effect of each: the four that the claims name."""
         return self.spark.createDataFrame(EFFECTS, "gene string, effect string")
 
+    @property
+    def symbols(self) -> DataFrame:
+        """A dimension of genes: the capitalised words of the benchmark, each with the next one as its alias, and the annotated genes."""
+        words = self.table("benchmark").select("item_id", F.regexp_extract_all("text", F.lit("([A-Z][A-Za-z0-9]{2,})"), 1).alias("c"))
+        each = words.select("item_id", "c", F.posexplode("c").alias("i", "symbol"))
+        taxid = F.element_at(F.array(*map(F.lit, TAXA)), (F.col("item_id") % len(TAXA)).cast("int") + 1)
+        alias = F.array_compact(F.array(F.get("c", F.col("i") + 1)))
+        own = self.spark.createDataFrame([(g, [g.upper()], TAXA[k % 2], -k) for k, (g, _) in enumerate(EFFECTS, 1)], "symbol string, aliases array<string>, taxid int, entrez_id long")
+        return each.select("symbol", alias.alias("aliases"), taxid.alias("taxid"), (F.col("item_id") * 1000 + F.col("i")).alias("entrez_id")).unionByName(own)
+
     @property
     def answers(self) -> DataFrame:
         """The traces with every format, missing and padded answers, missing and empty texts."""
@@ -126,5 +138,7 @@ SQL = {
     "msgs": """SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id""",
     "trace": "SELECT doc_id, concat_ws(' ', text, ([" + ", ".join("'" + c.replace("'", "''") + "'" for c in CLAIMS) + "])[CAST(doc_id % 6 AS INTEGER) + 1]) AS t, (['A', 'B', 'C'])[CAST(doc_id % 3 AS INTEGER) + 1] AS pred, CASE WHEN doc_id % 2 = 0 THEN 'mcq' ELSE 'binary' END AS fmt FROM documents",
     "answers": "SELECT doc_id, CASE WHEN doc_id % 13 = 7 THEN NULL WHEN doc_id % 13 = 8 THEN '' ELSE t END AS t, (['A', ' b ', 'C', '', NULL])[CAST(doc_id % 5 AS INTEGER) + 1] AS pred, (['mcq', 'binary', 'TERNARY', 'pairwise', 'regression', 'other', NULL])[CAST(doc_id % 7 AS INTEGER) + 1] AS fmt FROM trace",
+    "symbols": f"""SELECT c[i] AS symbol, CASE WHEN i < len(c) THEN [c[i + 1]] ELSE [] END AS aliases, ({TAXA})[CAST(item_id % {len(TAXA)} AS INTEGER) + 1] AS taxid, item_id * 1000 + i - 1 AS entrez_id
+  FROM (SELECT item_id, regexp_extract_all(text, '([A-Z][A-Za-z0-9]{{2,}})', 1) AS c FROM benchmark), unnest(generate_series(1, len(c))) AS u(i) UNION ALL """ + " UNION ALL ".join(f"SELECT '{g}', ['{g.upper()}'], {TAXA[k % 2]}, {-k}" for k, (g, _) in enumerate(EFFECTS, 1)),
     "feat": """SELECT vec_id AS sample, label, CAST(i - 1 AS INTEGER) AS feature, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, unnest(generate_series(1, len(embedding))) AS u(i)""",
 }

@@ -183,3 +183,10 @@ def test_canonical_json_is_that_of_sorted_keys(spark):
         assert [r["h"] for r in got] == [hashlib.sha256(w.encode()).hexdigest() for w in want]
     with pytest.raises(TypeError):
         text.canonical_json(F.col("x"), DoubleType())
+
+
+def test_overlay_keeps_order_and_skips_blanks(spark):
+    maps = [({"a": "1", "b": "", "c": "3"}, {"c": " x ", "d": "4", "a": "  "}, {"e": None, "b": "2", "d": "5"}), (None, None, {"k": "v"}), ({"a": None}, {"a": ""}, None)]
+    df = spark.createDataFrame(maps, "x map<string,string>, y map<string,string>, z map<string,string>")
+    got = [list(r["m"].items()) for r in df.select(text.overlaid(F.col("x"), F.col("y"), F.col("z")).alias("m")).collect()]
+    assert got == [[("a", "1"), ("b", "2"), ("c", "x"), ("d", "5")], [("k", "v")], [("a", None)]]

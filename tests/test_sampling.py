@@ -3,6 +3,9 @@
 import hashlib
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from gradus.operators import sampling
 
 
@@ -24,3 +27,27 @@ def test_no_class_is_sorted_in_one_task(spark):
     for got in (sampling.half_partition(df, "label", "s"), sampling.equalize(df, "label", "s")):
         windows = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", got._jdf.queryExecution().optimizedPlan().toString())
         assert windows and all("_bucket" in w for w in windows)
+
+
+@pytest.mark.parametrize("quota", [0, 1, 7, 500, 10_000])
+def test_quotas_take_the_first_rows_of_the_order(spark, quota):
+    rows = [(None if i % 5 == 0 else "ab"[i % 2], i) for i in range(3000)] + [("few", 9001), ("few", 9002)]
+    df = spark.createDataFrame(rows, "g string, rid long").repartition(3)
+    got = {(r["g"], r["rid"]) for r in sampling.within_quota(df, ["g"], lambda sizes: sizes.withColumn("quota", F.lit(quota)), "s").collect()}
+    want = set()
+    for g in (None, "a", "b", "few"):
+        own = sorted((hashlib.md5(f"42|s|{i}".encode()).hexdigest(), i) for x, i in rows if x == g)
+        want |= {(g, i) for _, i in own[:quota]}
+    assert got == want
+
+
+def test_only_rows_near_the_quota_are_ranked(spark):
+    df = spark.range(200_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("rid"))
+    keyed, ends = sampling.prefix_cuts(df, ["g"], lambda sizes: sizes.withColumn("quota", F.lit(100)), "s", "rid")
+    near = sampling._meeting(keyed, ends, ["g"]).filter("_bucket <= _end")
+    assert 200 <= near.count() < 1000
+    plan = sampling.within_quota(df, ["g"], lambda sizes: sizes.withColumn("quota", F.lit(100)), "s")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[plan.index("Window [row_number"):]
+    assert "Join" in above.split("Window [row_number", 2)[1]  # the window stands on the filtered join
+    assert sampling.within_quota(df, ["g"], lambda sizes: sizes.withColumn("quota", F.lit(100)), "s").count() == 200
+    assert {r["half"]: r["count"] for r in sampling.half_partition(df, "g", "s").groupBy("half").count().collect()} == {0: 100_000, 1: 100_000}
