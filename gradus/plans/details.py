@@ -64,14 +64,6 @@ def entity_markup(v: Views) -> DataFrame:
     return v.trace.select("doc_id", F.aggregate(genes, F.col("t"), lambda t, g: F.replace(t, g, F.concat(F.lit("[GENE]"), g, F.lit("[/GENE]")))).alias("marked"))
 
 
-@query("""SELECT doc_id, round((0.4::DOUBLE * g + 0.3::DOUBLE * c) / 0.7::DOUBLE, 4) AS v1, round(0.3::DOUBLE * g + 0.2::DOUBLE * c + 0.2::DOUBLE * n + 0.3::DOUBLE * p, 4) AS v2
-FROM (SELECT doc_id, (doc_id % 5) / 4.0::DOUBLE AS g, (doc_id % 3) / 2.0::DOUBLE AS c, (doc_id % 2) / 1.0::DOUBLE AS n, (doc_id % 6) / 5.0::DOUBLE AS p FROM documents)""")
-def older_faithfulness(v: Views) -> DataFrame:
-    part = lambda m: (F.col("doc_id") % m) / float(m - 1)
-    g, c, n, p = part(5), part(3), part(2), part(6)
-    return v.table("documents").select("doc_id", F.round((0.4 * g + 0.3 * c) / 0.7, 4).alias("v1"), F.round(0.3 * g + 0.2 * c + 0.2 * n + 0.3 * p, 4).alias("v2"))
-
-
 @query("""WITH c AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS supported, count(*) FILTER (l_returnflag = 'A') AS refuted FROM lineitem GROUP BY 1)
 SELECT l_orderkey, round(coalesce(supported / nullif(n, 0)::DOUBLE, 0.5), 6) AS valid_share, round(coalesce(supported / nullif(supported + refuted, 0)::DOUBLE, 0.5), 6) AS support FROM c""")
 def claim_scores(v: Views) -> DataFrame:

@@ -9,7 +9,7 @@ from gradus.operators import metrics, splits, stats
 from gradus.plans.catalogue import query
 from gradus.plans.core import DIRECTION, KEPT, labelled
 from gradus.plans.views import Views
-from gradus.sources import tables
+from gradus.sources import wide
 from gradus.streaming import live
 
 
@@ -48,12 +48,21 @@ def spearman_pvalue(v: Views) -> DataFrame:
     return metrics.spearman(v.evr, ["model"]).withColumn("p", F.round(stats.correlation_p_value(F.col("rho"), F.col("n")), 6))
 
 
-@query("""SELECT 'sample_id' AS name, 'id' AS role UNION ALL SELECT 'age', 'label' UNION ALL SELECT 'f' || i, 'feature' FROM generate_series(0, 599) AS t(i)
-UNION ALL SELECT 'part.' || c, CASE c WHEN 'p_partkey' THEN 'id' ELSE 'feature' END FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS c)""")
+#: Tables whose columns get roles.
+CLASSIFIED = {"part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "pages": ["page_id", "url", "html"], "documents": ["doc_id", "text", "lang", "source", "n_chars"]}
+
+
+def _classified_sql() -> str:
+    each = [f"SELECT '{t}' AS tab, {i} AS place, '{c}' AS name, count({c}) AS n, count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) AS numbers FROM {t}" for t, cs in CLASSIFIED.items() for i, c in enumerate(cs)]
+    return "WITH c AS (" + " UNION ALL ".join(each) + ") SELECT tab, name, n, numbers, CASE WHEN place = 0 THEN 'sample_id' WHEN numbers > n / 2 THEN 'feature' ELSE 'metadata' END AS role FROM c"
+
+
+@query(_classified_sql())
 def role_classify(v: Views) -> DataFrame:
-    part = v.table("part")
-    roles = tables.column_roles(["sample_id", "age", *[f"f{i}" for i in range(600)]]) | {f"part.{c}": r for c, r in tables.column_roles(part.columns).items()}
-    return v.spark.createDataFrame(list(roles.items()), "name string, role string")
+    """Roles of columns by what their rows hold: the first names the row, of the others those that are mostly numbers are features."""
+    role = F.when(F.col("place") == 0, "sample_id").when(F.col("numbers") > F.col("n") / 2, "feature").otherwise("metadata")
+    each = [wide.contents(v.table(t).select(*cs)).select(F.lit(t).alias("tab"), "name", "n", "numbers", role.alias("role")) for t, cs in CLASSIFIED.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("SELECT vec_id, label, array_to_string(list_transform(embedding[1:200], lambda x: CAST(CAST(round(x::DOUBLE * 100) AS BIGINT) AS VARCHAR)), ',') AS line FROM embeddings ORDER BY vec_id LIMIT 10")

@@ -10,7 +10,7 @@ from gradus.operators.metrics import uniform
 from gradus.plans.catalogue import query
 from gradus.plans.core import labelled
 from gradus.plans.drawing import L
-from gradus.plans.traces import GENES, PLAIN
+from gradus.plans.traces import FAITH, GENES, PLAIN, faithful
 from gradus.plans.views import Views
 
 
@@ -179,3 +179,37 @@ def _wrong_sql(most: int = 2, among: int = 4) -> str:
 def perturb_wrong_gene(v: Views) -> DataFrame:
     t = F.col("t")
     return v.trace.select("doc_id", F.sha2(perturb.wrong_genes(t, trace.gene_candidates(t)).cast("binary"), 256).alias("sha"))
+
+
+def _wrong_text_sql() -> str:
+    """CTEs that end in ``wrong`` (doc_id, t, pred, fmt): the traces with made-up genes."""
+    steps = _wrong_sql().removeprefix("WITH ").rsplit(" SELECT doc_id, sha256(t) AS sha FROM s4", 1)[0]
+    return f"wrong AS (WITH {steps} SELECT s4.doc_id, s4.t, pred, fmt FROM s4 JOIN trace USING (doc_id))"
+
+
+def _scored_sql(src: str) -> str:
+    """Faithfulness of the texts of a view, by the SQL of the traces' own."""
+    return f"SELECT * FROM (WITH trace AS (SELECT * FROM {src}), {FAITH} SELECT doc_id, fmt, faithfulness FROM faith)"
+
+
+@query(f"""WITH given AS MATERIALIZED (SELECT * FROM trace), {_wrong_text_sql()}, flipped AS (SELECT doc_id, {_flipped_sql()} AS t, pred, fmt FROM trace),
+a AS ({_scored_sql('given')}), b AS ({_scored_sql('wrong')}), c AS ({_scored_sql('flipped')}),
+x AS (SELECT a.fmt, a.faithfulness AS before, 'wrong_gene' AS change, b.faithfulness AS after FROM a JOIN b USING (doc_id) UNION ALL SELECT a.fmt, a.faithfulness, 'flipped_direction', c.faithfulness FROM a JOIN c USING (doc_id))
+SELECT change, fmt, count(*) AS n, round(avg(before), 6) AS mean_before, round(avg(after), 6) AS mean_after, round(avg(before - after), 6) AS mean_drop, CASE WHEN avg(before - after) >= 0.15 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM x GROUP BY ALL""")
+def perturbation_report(v: Views) -> DataFrame:
+    """Faithfulness of every text before and after a change of its genes or of its directions: a mean drop of 0.15 passes."""
+    t, texts = F.col("t"), v.trace
+    changed = {"wrong_gene": texts.withColumn("t", perturb.wrong_genes(t, trace.gene_candidates(t))), "flipped_direction": texts.withColumn("t", perturb.flipped(t))}
+    before = faithful(v).select("doc_id", "fmt", F.col("faithfulness").alias("before"))
+    each = [before.join(faithful(v, x).select("doc_id", F.col("faithfulness").alias("after")), "doc_id").withColumn("change", F.lit(name)) for name, x in changed.items()]
+    drop = F.avg(F.col("before") - F.col("after"))
+    return each[0].unionByName(each[1]).groupBy("change", "fmt").agg(F.count("*").alias("n"), F.round(F.avg("before"), 6).alias("mean_before"), F.round(F.avg("after"), 6).alias("mean_after"), F.round(drop, 6).alias("mean_drop"), F.when(drop >= 0.15, "PASS").otherwise("FAIL").alias("verdict"))
+
+
+@query(f"""WITH {FAITH}, j AS (SELECT *, coalesce(correct / nullif(checked, 0)::DOUBLE, 0.5) AS claim, least(1, genes / 10.0::DOUBLE) AS pathway FROM faith)
+SELECT doc_id, round((0.4::DOUBLE * gene_score + 0.3::DOUBLE * consistency) / 0.7::DOUBLE, 4) AS v1, round(0.3::DOUBLE * gene_score + 0.2::DOUBLE * claim + 0.2::DOUBLE * consistency + 0.3::DOUBLE * pathway, 4) AS v2 FROM j""")
+def older_faithfulness(v: Views) -> DataFrame:
+    """Both older scores of every text: the first from genes and consistency, the second with claims, and with the genes named, ten at
+    most, for what a judge says of the pathway."""
+    x = faithful(v).withColumn("pathway", F.least(F.lit(1.0), F.col("genes") / 10))
+    return x.select("doc_id", F.round((0.4 * F.col("gene_score") + 0.3 * F.col("consistency")) / 0.7, 4).alias("v1"), F.round(0.3 * F.col("gene_score") + 0.2 * F.col("property_score") + 0.2 * F.col("consistency") + 0.3 * F.col("pathway"), 4).alias("v2"))

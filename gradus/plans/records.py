@@ -208,12 +208,3 @@ def cell_extraction(v: Views) -> DataFrame:
         F.when(pos % 3 == 0, F.col("score") >= 0.3).alias("truth"), F.when(pos % 3 != 0, F.col("score")).alias("number"), F.abs(F.col("latency") - 10).alias("mae"),
         F.when(pos % 2 == 0, F.col("model")).otherwise("").alias("native"), F.when(pos % 3 != 0, "meta").alias("meta"))
     return raw.select("pos", *evals.cell(*[F.col(c) for c in ("completion", "total_tokens", "output_tokens", "truth", "number", "mae", "native", "meta")]))
-
-
-@query("""WITH d AS (SELECT l_returnflag AS fmt, l_discount * 3 AS before, greatest(0, l_discount * 3 - l_tax * 2) AS after FROM lineitem) SELECT fmt, count(*) AS n, round(avg(before), 6) AS mean_before, round(avg(after), 6) AS mean_after, round(avg(before - after), 6) AS mean_drop, CASE WHEN avg(before - after) >= 0.15 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM d GROUP BY fmt""")
-def perturbation_report(v: Views) -> DataFrame:
-    """Scores before and after a perturbation: a mean drop of 0.15 passes."""
-    before = F.col("l_discount") * 3
-    d = v.table("lineitem").select(F.col("l_returnflag").alias("fmt"), before.alias("before"), F.greatest(F.lit(0.0), before - F.col("l_tax") * 2).alias("after"))
-    drop = F.avg(F.col("before") - F.col("after"))
-    return d.groupBy("fmt").agg(F.count("*").alias("n"), F.round(F.avg("before"), 6).alias("mean_before"), F.round(F.avg("after"), 6).alias("mean_after"), F.round(drop, 6).alias("mean_drop"), F.when(drop >= 0.15, "PASS").otherwise("FAIL").alias("verdict"))

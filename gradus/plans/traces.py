@@ -110,9 +110,9 @@ KNOWN = f"""{NAMES}, e AS (SELECT DISTINCT doc_id, unnest(genes) AS g FROM d), h
 m AS (SELECT doc_id, len(genes) AS n, coalesce(k, 0) AS k FROM d LEFT JOIN hits USING (doc_id))"""
 
 
-def known_genes(v: Views) -> DataFrame:
+def known_genes(v: Views, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, genes, known): candidates of each text, and those that the dimension of genes knows."""
-    return genes.known_counts(v.trace, "doc_id", R.gene_candidates(F.col("t")), v.symbols, R.valid_symbol(F.col("name")))
+    return genes.known_counts(v.trace if texts is None else texts, "doc_id", R.gene_candidates(F.col("t")), v.symbols, R.valid_symbol(F.col("name")))
 
 
 @query(f"WITH {GENES}, {KNOWN} SELECT doc_id, round(coalesce(k / nullif(n, 0)::DOUBLE, 0.5), 6) AS gene_score FROM m")
@@ -140,14 +140,15 @@ i AS (SELECT *, a IS NOT NULL AND (b IS NULL OR abs(a - mid) <= abs(b - mid)) AS
 c AS (SELECT doc_id, gene, effect, CASE WHEN ofs IS NULL THEN NULL WHEN ind <> (len(list_filter({sql_list(R.SHORT_NEGATION)}, lambda w: contains(substr(ctx, CAST(greatest(ofs - 30, 0) AS INTEGER) + 1, CAST(least(30, ofs) AS INTEGER)), w))) > 0) THEN 'induces' ELSE 'inhibits' END AS claimed FROM i)"""
 
 
-def claims(v: Views) -> DataFrame:
+def claims(v: Views, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, fmt, gene, effect, ctx, claimed) for every annotated gene among a text's candidates.
 
     Candidates meet the dimension of genes without their texts; only what it knows goes back to the texts."""
-    found = v.trace.select("doc_id", F.explode(R.gene_candidates(F.col("t"))).alias("symbol"))
+    texts = v.trace if texts is None else texts
+    found = texts.select("doc_id", F.explode(R.gene_candidates(F.col("t"))).alias("symbol"))
     known = v.effects.select("gene", F.upper("gene").alias("upper"), F.lower("effect").alias("effect")).filter(F.col("effect").isin("induces", "inhibits"))
     met = found.join(known, F.upper("symbol") == F.col("upper")).select("doc_id", "symbol", "gene", "effect")
-    x = met.join(v.trace, "doc_id").withColumn("ctx", R.context(F.col("t"), F.col("symbol"))).filter("ctx IS NOT NULL")
+    x = met.join(texts, "doc_id").withColumn("ctx", R.context(F.col("t"), F.col("symbol"))).filter("ctx IS NOT NULL")
     return x.select("doc_id", "fmt", "gene", "effect", "ctx", R.claimed_direction(F.col("ctx")).alias("claimed"))
 
 
@@ -174,8 +175,8 @@ def property_join(v: Views) -> DataFrame:
 CHECKED = "q AS (SELECT doc_id, count(claimed) AS checked, count(*) FILTER (claimed = effect) AS correct FROM c GROUP BY doc_id)"
 
 
-def properties(v: Views) -> DataFrame:
-    return claims(v).groupBy("doc_id").agg(F.count("claimed").alias("checked"), F.count_if(F.col("claimed") == F.col("effect")).alias("correct"))
+def properties(v: Views, texts: DataFrame | None = None) -> DataFrame:
+    return claims(v, texts).groupBy("doc_id").agg(F.count("claimed").alias("checked"), F.count_if(F.col("claimed") == F.col("effect")).alias("correct"))
 
 
 @query(f"WITH {CLAIMED}, {CHECKED} SELECT doc_id, coalesce(checked, 0) AS checked, round(coalesce(correct / nullif(checked, 0)::DOUBLE, 0.5), 6) AS property_score FROM documents LEFT JOIN q USING (doc_id)")
@@ -190,10 +191,11 @@ FROM k JOIN m USING (doc_id) LEFT JOIN q USING (doc_id)),
 faith AS (SELECT *, round(0.4::DOUBLE * gene_score + 0.2::DOUBLE * consistency + 0.4::DOUBLE * property_score, 4) AS faithfulness FROM parts)"""
 
 
-def faithful(v: Views) -> DataFrame:
-    """All scores and counts of every text."""
-    x = consistent(counted(v.trace)).drop("t", "up", "down", "sig", "none", "unsure").join(known_genes(v), "doc_id")
-    x = x.join(properties(v), "doc_id", "left").withColumns({"checked": F.coalesce("checked", F.lit(0)), "correct": F.coalesce("correct", F.lit(0))})
+def faithful(v: Views, texts: DataFrame | None = None) -> DataFrame:
+    """All scores and counts of every text, of the traces or of others like them."""
+    texts = v.trace if texts is None else texts
+    x = consistent(counted(texts)).drop("t", "up", "down", "sig", "none", "unsure").join(known_genes(v, texts), "doc_id")
+    x = x.join(properties(v, texts), "doc_id", "left").withColumns({"checked": F.coalesce("checked", F.lit(0)), "correct": F.coalesce("correct", F.lit(0))})
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.5))
     x = x.withColumns({"gene_score": share("known", "genes"), "property_score": share("correct", "checked")})
     return x.withColumn("faithfulness", R.faithfulness(F.col("gene_score"), F.col("consistency"), F.col("property_score")))
