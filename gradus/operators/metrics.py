@@ -72,6 +72,17 @@ def regression(df: DataFrame, by: list[str], weight: str | None = None) -> DataF
     return together(means, quantiles(df, by, {"median_ae": (e, 0.5)}, 6), by)
 
 
+def by_name(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, accuracy, balanced_accuracy, off_by_one_accuracy, mae) of rows (gold, pred, metric, error): each over the rows whose ``metric``
+    names it, in any case; null where none do. ``error`` is a row's absolute error, null where it has none."""
+    named = lambda name: F.lower("metric") == name
+    gold, pred = F.col("gold"), F.col("pred")
+    own = df.groupBy(*by).agg(
+        F.round(F.avg(F.when(named("accuracy"), hit(gold, pred))), 6).alias("accuracy"), F.round(F.avg(F.when(named("off-by-one accuracy"), off_by_one_score(gold, pred))), 6).alias("off_by_one_accuracy"),
+        F.round(F.avg(F.when(named("mae") & ~F.isnan("error"), F.col("error"))), 6).alias("mae"))
+    return together(own, balanced_accuracy(df.filter(named("balanced accuracy") & gold.isNotNull()), by), by, "left")
+
+
 def average_rank(x: str, by: list[str]) -> Column:
     """Rank with ties at their mean."""
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Client = Callable[[list[str]], list[str]]
+
+
+class Answer(NamedTuple):
+    """What a client may give instead of a text: with the reasoning apart, and tokens used."""
+
+    text: str | None
+    reasoning: str | None = None
+    input_tokens: int | None = None
+    output_tokens: int | None = None
+
+
+Client = Callable[[list[str]], list[str | Answer]]
 
 
 def with_cache(prompts: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,17 +31,28 @@ def with_cache(prompts: DataFrame, cache: DataFrame, keys: list[str]) -> DataFra
     return prompts.join(hits, keys, "left")
 
 
+#: The mark that reasoning begins with.
+THINK = re.compile(r"^\s*<think>")
+
+
 class Refused(Exception):
     """A client's error that another try would not mend."""
 
 
-def predicted(prompts: DataFrame, client: Client | None = None, prompt: str = "prompt", tries: int = 5, wait: Callable[[int], float] = lambda k: min(30.0, 2.0**k)) -> DataFrame:
+def predicted(prompts: DataFrame, client: Client | None = None, prompt: str = "prompt", tries: int = 5, wait: Callable[[int], float] = lambda k: min(30.0, 2.0**k), at_once: int | None = None, usage: bool = False) -> DataFrame:
     """Fills null ``pred`` by the client, row by row where a batch fails; adds ``error`` and ``latency_s``.
 
     A call is tried ``tries`` times, with a pause of ``wait(k)`` seconds before try k, but for :class:`Refused`. A row that still
-    fails keeps a null prediction and its error; the others are not touched by it. Without a client nothing is called."""
+    fails keeps a null prediction and its error; the others are not touched by it. Without a client nothing is called.
+
+    ``at_once`` bounds the calls that run at a time, over all executors. With ``usage`` the columns ``reasoning``, ``input_tokens`` and
+    ``output_tokens`` follow, and reasoning that a new answer holds between think marks is taken out of ``pred``."""
+    kinds = {"error": "string", "latency_s": "double"} | ({"reasoning": "string", "input_tokens": "long", "output_tokens": "long"} if usage else {})
+    empty = prompts.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
     if client is None:
-        return prompts.withColumns({"error": F.lit(None).cast("string"), "latency_s": F.lit(None).cast("double")})
+        return empty
+    if at_once is not None:
+        prompts = prompts.repartition(at_once)  # a partition calls for one batch after the other
 
     def asked(texts: list[str]) -> tuple[list[str | None], str | None]:
         for k in range(tries):
@@ -44,7 +68,8 @@ def predicted(prompts: DataFrame, client: Client | None = None, prompt: str = "p
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["error"], b["latency_s"] = None, None
+            for c in kinds:
+                b[c] = None
             todo = b.index[b["pred"].isna()].tolist()
             groups = [todo] if todo else []
             while groups:
@@ -54,10 +79,15 @@ def predicted(prompts: DataFrame, client: Client | None = None, prompt: str = "p
                 if error is not None and len(group) > 1:  # find the rows that fail
                     groups += [[i] for i in group]
                     continue
-                b.loc[group, "pred"] = pd.Series(got, index=group, dtype=object)
+                answers = [x if isinstance(x, Answer) else Answer(x) for x in got]
+                if usage:
+                    answers = [x if x.reasoning or not x.text or "</think>" not in x.text else x._replace(reasoning=THINK.sub("", x.text.split("</think>", 1)[0]).strip(), text=x.text.split("</think>", 1)[1].strip()) for x in answers]
+                    for c in ("reasoning", "input_tokens", "output_tokens"):
+                        b.loc[group, c] = pd.Series([getattr(x, c) for x in answers], index=group, dtype=object)
+                b.loc[group, "pred"] = pd.Series([x.text for x in answers], index=group, dtype=object)
                 b.loc[group, "error"] = error
                 b.loc[group, "latency_s"] = (time.perf_counter() - began) / len(group)
             b["latency_s"] = b["latency_s"].astype(float)
             yield b
 
-    return prompts.mapInPandas(run, prompts.withColumns({"error": F.lit(None).cast("string"), "latency_s": F.lit(None).cast("double")}).schema)
+    return prompts.mapInPandas(run, empty.schema)

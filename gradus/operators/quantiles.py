@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 SMALL, BINS = 500_000, 1024
 
 
-def together(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+def together(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Two frames with one row per group, side by side; null keys meet."""
     if not by:
         return a.join(F.broadcast(b))  # one row each
     other = b.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in b.columns if c not in by])
-    return a.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*[f"_{c}" for c in by])
+    return a.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], how).drop(*[f"_{c}" for c in by])
 
 
 def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], digits: int | None = None, small: int = SMALL, bins: int = BINS) -> DataFrame:

@@ -13,6 +13,7 @@ from gradus.plans.catalogue import query
 from gradus.plans.core import DIRECTION, KEPT, labelled
 from gradus.plans.views import Views
 from gradus.sources import evals
+from gradus.streaming import live
 
 
 @query("SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer) WHERE c_mktsegment IS NOT NULL")
@@ -71,6 +72,16 @@ def metric_balanced_accuracy(v: Views) -> DataFrame:
     return v.ev.select("model").distinct().join(metrics.balanced_accuracy(rows, ["model"]), "model", "left")
 
 
+@query("""WITH m AS (SELECT model, task, gold, pred, CASE WHEN task = 'BUILDING' THEN 'MAE' WHEN task = 'MACHINERY' THEN 'Off-by-One Accuracy' WHEN model <> 'P' THEN 'Balanced Accuracy' ELSE 'accuracy' END AS metric, abs(ascii(gold) - ascii(pred)) AS far FROM ev),
+r AS (SELECT model, gold, avg((gold = pred)::INT) AS r FROM m WHERE lower(metric) = 'balanced accuracy' AND gold IS NOT NULL GROUP BY ALL), b AS (SELECT model, round(avg(r), 6) AS balanced_accuracy FROM r GROUP BY model)
+SELECT model, any_value(balanced_accuracy) AS balanced_accuracy, round(avg(CASE far WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE) FILTER (lower(metric) = 'off-by-one accuracy'), 6) AS off_by_one_accuracy, round(avg(far) FILTER (lower(metric) = 'mae'), 6) AS mae, round(avg((gold = pred)::INT) FILTER (lower(metric) = 'accuracy'), 6) AS accuracy FROM m LEFT JOIN b USING (model) GROUP BY model""")
+def metrics_by_name(v: Views) -> DataFrame:
+    """Each model's metrics, every one over the rows that name it; null where none do."""
+    metric = F.when(F.col("task") == "BUILDING", "MAE").when(F.col("task") == "MACHINERY", "Off-by-One Accuracy").when(F.col("model") != "P", "Balanced Accuracy").otherwise("accuracy")
+    far = F.abs(F.ascii("gold") - F.ascii("pred")).cast("double")
+    return metrics.by_name(v.ev.withColumns({"metric": metric, "error": far}), ["model"])
+
+
 @query(r"""WITH a AS (SELECT conv_id, role, regexp_extract(text, '(-?\d+(?:\.\d+)?)', 1) AS x FROM conversations) SELECT role, count(*) AS n, count(*) FILTER (TRY_CAST(nullif(x, '') AS DOUBLE) IS NULL) AS parse_failures FROM a GROUP BY role""")
 def parse_failures(v: Views) -> DataFrame:
     return v.table("conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(T.first_number(F.col("text")).isNull()).alias("parse_failures"))
@@ -93,8 +104,8 @@ def mean_set_jaccard(v: Views) -> DataFrame:
 @query("SELECT model, count(*) AS done, round(avg(latency), 4) AS mean_seconds, 100000 - count(*) AS left_over, round(avg(latency) * (100000 - count(*)) / 60, 4) AS minutes_left FROM cells WHERE latency IS NOT NULL GROUP BY model")
 def run_progress(v: Views) -> DataFrame:
     """Mean seconds of a run's finished samples and the minutes that the rest of a planned 100,000 takes at that pace."""
-    left = F.lit(100_000) - F.count("*")
-    return v.cells.filter("latency IS NOT NULL").groupBy("model").agg(F.count("*").alias("done"), F.round(F.avg("latency"), 4).alias("mean_seconds"), left.alias("left_over"), F.round(F.avg("latency") * left / 60, 4).alias("minutes_left"))
+    sums = v.cells.filter("latency IS NOT NULL").groupBy("model").agg(F.count("*").alias("done"), F.sum("latency").alias("seconds"))
+    return sums.select("model", "done", *live.progress(F.col("done"), F.col("seconds")))
 
 
 @query("""WITH RECURSIVE n AS (SELECT p_partkey AS pos, CASE p_partkey % 40 WHEN 3 THEN p_name || '_7' ELSE p_name END AS name, '_' || p_size || CASE WHEN p_size % 2 = 0 THEN '_' || p_brand ELSE '' END AS suffix FROM part),

@@ -191,11 +191,19 @@ def discovered(spark: SparkSession, root: str) -> DataFrame:
         for folder in (f"{task}/processed", task):
             test, train = found(f"{folder}/*_test.parquet"), found(f"{folder}/*_train.parquet")
             if test or train:
-                read = spark.read.parquet(test[0]) if test else None
-                kinds = sorted(r[0] for r in read.select("format").dropna().distinct().collect()) if test and "format" in read.columns else []
-                rows.append((task.rsplit("/", 1)[-1], test[0] if test else None, train[0] if train else None, kinds, read.count() if test else 0, spark.read.parquet(train[0]).count() if train else 0))
+                rows.append((task.rsplit("/", 1)[-1], test[0] if test else None, train[0] if train else None))
                 break
-    return spark.createDataFrame(rows, "label string, test string, train string, formats array<string>, n_test long, n_train long")
+    listed = spark.createDataFrame(rows, "label string, test string, train string")
+    files = [f for r in rows for f in r[1:] if f]
+    if not files:
+        return listed.select("*", F.array().cast("array<string>").alias("formats"), F.lit(0).cast("long").alias("n_test"), F.lit(0).cast("long").alias("n_train"))
+    # One scan counts all files; a file's rows are those whose path begins with it, as it may be a folder of parts.
+    at = F.element_at(F.filter(F.lit([f.split(":", 1)[-1].lstrip("/") for f in files]), lambda f: F.contains(F.col("_metadata.file_path"), f)), 1)
+    every = spark.read.schema("format string").parquet(*files)
+    counts = every.groupBy(at.alias("_file")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("format")).alias("kinds"))
+    of = lambda c, n: F.col(f"{n}._file") == F.ltrim(F.regexp_replace(F.regexp_replace(c, "^[a-z0-9]+:", ""), "^/+", ""))
+    met = listed.join(counts.alias("t"), of("test", "t"), "left").join(counts.alias("u"), of("train", "u"), "left")
+    return met.select("label", "test", "train", F.coalesce("t.kinds", F.array().cast("array<string>")).alias("formats"), F.coalesce("t.n", F.lit(0)).alias("n_test"), F.coalesce("u.n", F.lit(0)).alias("n_train"))
 
 
 def latest_file(spark: SparkSession, pattern: str) -> str | None:
