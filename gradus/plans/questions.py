@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.functions import perturb, prompts, trace
+from gradus.operators import registry
 from gradus.operators.metrics import uniform
 from gradus.plans.catalogue import query
 from gradus.plans.core import labelled
@@ -213,3 +214,18 @@ def older_faithfulness(v: Views) -> DataFrame:
     most, for what a judge says of the pathway."""
     x = faithful(v).withColumn("pathway", F.least(F.lit(1.0), F.col("genes") / 10))
     return x.select("doc_id", F.round((0.4 * F.col("gene_score") + 0.3 * F.col("consistency")) / 0.7, 4).alias("v1"), F.round(0.3 * F.col("gene_score") + 0.2 * F.col("property_score") + 0.2 * F.col("consistency") + 0.3 * F.col("pathway"), 4).alias("v2"))
+
+
+@registry.task("priorities", metric="off-by-one accuracy")
+def priorities(spark: SparkSession, path: str) -> DataFrame:
+    """Orders as questions of five letters."""
+    return Views(spark, path).ev.select("id", F.col("task").alias("segment"), F.concat(F.lit("priority of "), F.col("id").cast("string")).alias("prompt"), "gold")
+
+
+@query("""WITH m AS (SELECT gold AS pred FROM ev GROUP BY gold ORDER BY count(*) DESC, gold LIMIT 1), a AS (SELECT task AS segment, 'majority' AS solver, gold, m.pred FROM ev, m
+UNION ALL SELECT task, 'random letter', gold, (['A', 'B', 'C'])[CAST(('0x' || substr(md5(concat_ws('|', '42', 'random', id)), 1, 8))::BIGINT % 3 AS INTEGER) + 1] FROM ev)
+SELECT solver, segment, round(avg(CASE abs(ascii(gold) - ascii(pred)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS off_by_one_accuracy FROM a GROUP BY ALL""")
+def registered_evaluation(v: Views) -> DataFrame:
+    """A registered task, answered by two registered solvers, counted by its own metric."""
+    each = [registry.evaluate(v.spark, "priorities", s, v.dir, by=["segment"]).select(F.lit(s).alias("solver"), "segment", "off_by_one_accuracy") for s in ("majority", "random letter")]
+    return each[0].unionByName(each[1])

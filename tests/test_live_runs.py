@@ -3,9 +3,10 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import metrics, predict
+from gradus.operators import metrics, predict, registry
 from gradus.sources import tables
 from gradus.streaming import live
 
@@ -64,3 +65,23 @@ def test_metrics_by_name(spark):
     df = spark.createDataFrame(rows, "model string, gold string, pred string, metric string, error double")
     got = {r["model"]: (r["accuracy"], r["balanced_accuracy"], r["off_by_one_accuracy"], r["mae"]) for r in metrics.by_name(df, ["model"]).collect()}
     assert got == {"m": (0.5, None, 0.25, 2.0), "n": (None, None, None, None)}
+
+
+def test_registered_tasks_solvers_and_metrics(spark):
+    @registry.task("colours")
+    def colours(spark, path):
+        return spark.createDataFrame([(1, "sky", "blue", "x"), (2, "sea", "blue", "x"), (3, "fire", "red", "y"), (4, "?", None, "y")], "id int, prompt string, gold string, kind string")
+
+    @registry.metric("hits")
+    def hits(df, by):
+        return df.groupBy(*by).agg(F.count_if(F.col("gold") == F.col("pred")).alias("hits"))
+
+    got = {r["kind"]: r["accuracy"] for r in registry.evaluate(spark, "colours", "majority", "", by=["kind"]).collect()}
+    assert got == {"x": 1.0, "y": 0.0}
+    asked = registry.asking(lambda prompts: ["red" if p == "fire" else "blue" for p in prompts])
+    assert registry.evaluate(spark, "colours", asked, "", counts="hits").first()["hits"] == 3
+    assert registry.evaluate(spark, "colours", "random letter", "", counts="hits").first()["hits"] == 0
+    with pytest.raises(KeyError, match="no solver 'nobody'; there are majority"):
+        registry.evaluate(spark, "colours", "nobody", "")
+    with pytest.raises(KeyError, match="no task"):
+        registry.evaluate(spark, "none", "majority", "")
