@@ -66,21 +66,32 @@ def placed(df: DataFrame, key: str, per: int = 100_000) -> DataFrame:
     return ranked(dealt, ["_range"], F.col(key)).join(F.broadcast(before), "_range").withColumn("rn", F.col("rn") + F.col("_before")).select(*df.columns, "rn")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` without its history, in the session's ``spark.checkpoint.dir``; as it is where none is set."""
+    sc = df.sparkSession.sparkContext
+    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        return df
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return df.checkpoint()
+
+
 def unique_names(df: DataFrame, name: str, suffix: Column, pos: str) -> DataFrame:
     """Adds unique_name: a name seen before, as given or as made, gets its row's suffix; two alike may come out of that.
 
     A row repeats a name if it is not the first with it, or if an earlier row's suffixed name equals it. The second kind can
-    follow from itself, so that it is found in rounds, each over the first rows of their names alone."""
+    follow from itself, so that it is found in rounds, each over the first rows of their names alone and from what the last one left."""
     rows = df.withColumns({"_suffix": suffix, "_first": F.min(pos).over(Window.partitionBy(name))})
     made = rows.filter(F.col(pos) != F.col("_first")).select(F.concat(name, "_suffix").alias("_made"), F.col(pos).alias("_at"))
     firsts = rows.filter(F.col(pos) == F.col("_first")).select(F.col(name).alias("_name"), F.concat(name, "_suffix").alias("_next"), F.col(pos).alias("_pos"))
     seen = None
     while True:
-        hit = firsts.join(made, (F.col("_name") == F.col("_made")) & (F.col("_at") < F.col("_pos")), "left_semi")
+        hit = settled(firsts.join(made, (F.col("_name") == F.col("_made")) & (F.col("_at") < F.col("_pos")), "left_semi"))
         if hit.isEmpty():
             break
         seen = hit.select("_pos") if seen is None else seen.unionByName(hit.select("_pos"))
-        firsts = firsts.join(hit.select("_pos"), "_pos", "left_anti")
+        firsts = settled(firsts.join(hit.select("_pos"), "_pos", "left_anti"))
         made = hit.select(F.col("_next").alias("_made"), F.col("_pos").alias("_at"))
     again = F.col(pos) != F.col("_first")
     if seen is not None:
@@ -145,7 +156,7 @@ def half_partition(df: DataFrame, label: str, stage: str, key: str = "rid") -> D
     keyed, ends = prefix_cuts(df, [label], lambda sizes: sizes.withColumn("quota", F.floor(F.col("n") / 2)), stage, key)
     met = _meeting(keyed, ends, [label])
     sure = met.filter(F.col("_bucket") != F.col("_end")).withColumn("half", (F.col("_bucket") > F.col("_end")).cast("int"))
-    edge = ranked(met.filter(F.col("_bucket") == F.col("_end")), [label], F.col("_order"), F.col(key)).withColumn("half", (F.col("rn") > F.col("_rest")).cast("int"))
+    edge = ranked(met.filter(F.col("_bucket") == F.col("_end")), [label, "_bucket"], F.col("_order"), F.col(key)).withColumn("half", (F.col("rn") > F.col("_rest")).cast("int"))
     return sure.select(*df.columns, "half").unionByName(edge.select(*df.columns, "half"))
 
 

@@ -198,14 +198,24 @@ def endpoint_normalize(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", T.endpoint(u).alias("endpoint"))
 
 
-@query("""WITH r AS (SELECT doc_id, doc_id % 8 AS pathway, doc_id % 5 AS evidence, len(string_split(lang, 'e')) AS claims FROM documents) SELECT doc_id, CASE WHEN pathway <= 5 AND doc_id % 11 <> 0 THEN CAST(pathway AS INTEGER) END AS pathway_correctness, CASE WHEN pathway <= 5 AND doc_id % 11 <> 0 THEN CAST(evidence AS INTEGER) END AS evidence_use,
-CASE WHEN pathway <= 5 AND doc_id % 11 <> 0 THEN round(pathway / 5.0::DOUBLE, 4) END AS pathway_score FROM r""")
-def judgments(v: Views) -> DataFrame:
-    """Judgments read from a judge's JSON text, in code fences or not; one out of bounds or not JSON counts as none."""
-    body = F.concat(F.lit('{"claims": [], "pathway_correctness": '), (F.col("doc_id") % 8).cast("string"), F.lit(', "evidence_use": '), (F.col("doc_id") % 5).cast("string"), F.lit(', "reasoning": "r"}'))
+#: The judgments as SQL: of the answers that are JSON and within bounds.
+JUDGED = """raw AS (SELECT doc_id, length(coalesce(text, '')) % 8 AS pathway, len(string_split(coalesce(text, ''), '.')) % 5 AS evidence FROM documents),
+judged AS (SELECT doc_id, CASE WHEN pathway <= 5 AND doc_id % 11 <> 0 THEN CAST(pathway AS INTEGER) END AS pathway_correctness, CASE WHEN pathway <= 5 AND doc_id % 11 <> 0 THEN CAST(evidence AS INTEGER) END AS evidence_use FROM raw)"""
+
+
+def judged(v: Views) -> DataFrame:
+    """(doc_id, pathway_correctness, evidence_use) from a judge's JSON text about each document, in code fences or not; the stand-in judge
+    counts characters and sentences. An answer out of bounds or not JSON counts as none."""
+    text = F.coalesce("text", F.lit(""))
+    body = F.concat(F.lit('{"claims": [], "pathway_correctness": '), (F.length(text) % 8).cast("string"), F.lit(', "evidence_use": '), (F.size(F.split(text, r"\.")) % 5).cast("string"), F.lit(', "reasoning": "r"}'))
     raw = F.when(F.col("doc_id") % 11 == 0, "no json").when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    j = T.judgment(raw)
-    return v.table("documents").withColumn("j", j).select("doc_id", F.col("j.pathway_correctness").alias("pathway_correctness"), F.col("j.evidence_use").alias("evidence_use"), F.round(F.col("j.pathway_correctness") / 5, 4).alias("pathway_score"))
+    return v.table("documents").select("doc_id", T.judgment(raw).alias("j")).select("doc_id", "j.pathway_correctness", "j.evidence_use")
+
+
+@query(f"WITH {JUDGED} SELECT *, round(pathway_correctness / 5.0::DOUBLE, 4) AS pathway_score FROM judged")
+def judgments(v: Views) -> DataFrame:
+    """Judgments read from a judge's answers, with the share of the highest mark for the pathway."""
+    return judged(v).withColumn("pathway_score", F.round(F.col("pathway_correctness") / 5, 4))
 
 
 @query("""SELECT pos, nullif(trim(CASE WHEN pos % 4 = 0 THEN '  ' ELSE ' ' || model || ' ' END), '') AS pred, coalesce(nullif(CASE WHEN pos % 5 <> 0 THEN tokens END, 0), CAST(trunc(latency) AS BIGINT)) AS tokens,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradus.functions import trace as R
 from gradus.operators import genes, metrics
 from gradus.plans.catalogue import query
+from gradus.plans.records import JUDGED, judged
 from gradus.plans.views import EFFECTS, Views
 
 #: The oracle's engine takes word boundaries by ASCII alone; other letters become a word sign, other signs a blank, first.
@@ -257,15 +258,17 @@ def task_trace_summary(v: Views) -> DataFrame:
 RANKED = "rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
 
 
-@query(f"""WITH {FAITH}, s AS (SELECT faithfulness, doc_id, fmt, round((gene_score + consistency + property_score) / 3, 6) AS oracle, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS passed, gene_score, consistency, property_score FROM faith JOIN labels USING (doc_id)),
+@query(f"""WITH {FAITH}, {JUDGED}, s AS (SELECT faithfulness, doc_id, fmt, round((pathway_correctness / 5.0::DOUBLE + evidence_use / 5.0::DOUBLE + property_score) / 3, 6) AS oracle, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS passed,
+pathway_correctness / 5.0::DOUBLE AS pathway, evidence_use / 5.0::DOUBLE AS evidence, property_score FROM faith JOIN labels USING (doc_id) JOIN judged USING (doc_id) WHERE pathway_correctness IS NOT NULL),
 r AS (SELECT *, {RANKED.format(x='faithfulness')} AS rf, {RANKED.format(x='oracle')} AS ro, {RANKED.format(x='passed')} AS rp FROM s)
-SELECT count(*) AS n, round(avg(gene_score), 4) AS avg_pathway, round(avg(consistency), 4) AS avg_evidence, round(avg(property_score), 4) AS avg_claim, round(avg(oracle), 4) AS avg_oracle,
+SELECT count(*) AS n, round(avg(pathway), 4) AS avg_pathway, round(avg(evidence), 4) AS avg_evidence, round(avg(property_score), 4) AS avg_claim, round(avg(oracle), 4) AS avg_oracle,
 round(coalesce(corr(rf, ro), 0), 4) AS cheap_vs_oracle, round(coalesce(corr(ro, rp), 0), 4) AS oracle_vs_correct FROM r""")
 def oracle_summary(v: Views) -> DataFrame:
-    """Mean scores of judged traces, and two rank correlations: cheap with judged score, judged score with correctness."""
+    """Mean marks of judged traces, and two rank correlations: cheap with judged score, judged score with correctness."""
     labels = v.table("labels").select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(0).alias("passed"))
-    x = faithful(v).join(labels, "doc_id").withColumns({"all": F.lit("all"), "oracle": F.round((F.col("gene_score") + F.col("consistency") + F.col("property_score")) / 3, 6)})
-    means = x.groupBy("all").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(a) for c, a in (("gene_score", "avg_pathway"), ("consistency", "avg_evidence"), ("property_score", "avg_claim"), ("oracle", "avg_oracle"))])
+    marks = judged(v).filter("pathway_correctness IS NOT NULL").select("doc_id", (F.col("pathway_correctness") / 5).alias("pathway"), (F.col("evidence_use") / 5).alias("evidence"))
+    x = faithful(v).join(labels, "doc_id").join(marks, "doc_id").withColumns({"all": F.lit("all"), "oracle": F.round((F.col("pathway") + F.col("evidence") + F.col("property_score")) / 3, 6)})
+    means = x.groupBy("all").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(a) for c, a in (("pathway", "avg_pathway"), ("evidence", "avg_evidence"), ("property_score", "avg_claim"), ("oracle", "avg_oracle"))])
     for a, b, name in (("faithfulness", "oracle", "cheap_vs_oracle"), ("oracle", "passed", "oracle_vs_correct")):
         rho = metrics.rank_correlation(x, ["all"], a, b).select("all", F.round(F.coalesce("rho", F.lit(0.0)), 4).alias(name))
         means = means.join(rho, "all")
