@@ -190,3 +190,19 @@ def test_overlay_keeps_order_and_skips_blanks(spark):
     df = spark.createDataFrame(maps, "x map<string,string>, y map<string,string>, z map<string,string>")
     got = [list(r["m"].items()) for r in df.select(text.overlaid(F.col("x"), F.col("y"), F.col("z")).alias("m")).collect()]
     assert got == [[("a", "1"), ("b", "2"), ("c", "x"), ("d", "5")], [("k", "v")], [("a", None)]]
+
+
+def test_tokens_by_a_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gradus.functions import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [([{"role": "user", "content": c}],) for c in ("Some words, and 12 more.", "", "数字 🙂", "long " * 2000)] + [([],)]
+    df = spark.createDataFrame(rows, "m array<struct<role:string,content:string>>")
+    got = [r["n"] for r in df.select(text.token_count(F.col("m"), tokens.by_tokenizer(path, most=2)).alias("n")).collect()]
+    own = Tokenizer.from_file(path)
+    assert got == [len(own.encode("\n".join(f"<{x['role']}>\n{x['content']}" for x in r[0])).ids) for r in rows]
+    none = spark.createDataFrame([(None,)], "t string").select(tokens.by_tokenizer(path)(F.col("t")).alias("n")).first()["n"]
+    assert none == 0
