@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -132,6 +134,16 @@ def bounded_sample(df: DataFrame, h: Column, most: int) -> DataFrame:
     return df if n <= most else df.filter(h.bitwiseAND(F.lit(0x7FFFFFFF)) < int(most / n * (1 << 31)))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system, where the C library can: a Python worker lives on beside the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20):
     """Parts of a batch that hold about ``most`` bytes of text at a time, so that memory stays bounded."""
     n = batch.num_rows
@@ -144,7 +156,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = 2 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, base + most)))
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,7 +191,8 @@ class Memo:
             for memo in cls.everyone:
                 if memo.owner != owner:
                     memo.empty()
-            pa.default_memory_pool().release_unused()
+            gc.collect()
+            give_back()
 
     def empty(self) -> None:
         self.new, self.old, self.chars, self.once = {}, {}, 0, []
