@@ -237,7 +237,7 @@ def test_pipeline_of_empty_tables_and_its_files(spark, sf, tmp_path):
     before = set(os.listdir(shared))
     rows = corpus_pipeline.run(spark, sf).count()
     assert 0 < rows <= docs.count() * 1.2
-    assert {x.split("-")[0] for x in set(os.listdir(shared)) - before} == {"pieces"}
+    assert {x.split("-")[0] for x in set(os.listdir(shared)) - before} == {"packed"}
 
 
 def test_pipeline_keeps_documents_without_an_id_of_their_own(spark, sf):
