@@ -75,6 +75,11 @@ def _both(corpus: DataFrame, target: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("t").alias("t"))
 
 
+def masked(column: pa.Array, hidden: np.ndarray) -> pa.Array:
+    """``column`` with nulls where ``hidden``. Arrow's if_else of a slice of a binary array and a null scalar gives offsets out of bounds."""
+    return column.take(pa.array(np.arange(len(column)), mask=hidden))
+
+
 def _sums(docs: DataFrame, table: DataFrame, split: Splitter, most: int) -> DataFrame:
     """(r, n_features, weight): numbers of features and sums of gains of the rows (r, text), stored."""
     shared = docs.sparkSession.sparkContext.broadcast(head(table, "gain", most))
@@ -87,7 +92,7 @@ def _sums(docs: DataFrame, table: DataFrame, split: Splitter, most: int) -> Data
             total = np.concatenate([[0], np.cumsum(gains, dtype=np.int64)])
             lacking = np.concatenate([[0], np.cumsum(np.asarray(places.is_null()), dtype=np.int64)])
             per = lambda x: pa.array(x[offsets[1:]] - x[offsets[:-1]])
-            m = pc.if_else(pc.greater(per(lacking), 0), part.column("m"), pa.scalar(None, pa.binary()))
+            m = masked(part.column("m"), lacking[offsets[1:]] == lacking[offsets[:-1]])
             yield pa.RecordBatch.from_arrays([part.column("r"), m, pa.array(np.diff(offsets).astype(np.int64)), per(total)], ["r", "m", "n_features", "w"])
 
     small_batches(docs.sparkSession)

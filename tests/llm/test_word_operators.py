@@ -175,3 +175,14 @@ def test_registered_queries_match_brute_force(spark, sf):
     assert Counter(map(tuple, queries.op11_importance_resampling(spark, sf).collect())) == resampled(docs, target)
     vectors = [(r["vec_id"], r["embedding"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert Counter(map(tuple, queries.op13_hard_negatives(spark, sf).collect())) == mined(vectors, lambda i: i % 50 == 0)
+
+
+def test_nulls_in_slices_of_binary_columns():
+    """Batches that share a buffer: offsets stay inside it, and values stay with their rows."""
+    whole = pa.array([None, *(bytes([i]) * 16 for i in range(1, 99)), None], pa.binary())
+    for start, size in ((0, 100), (1, 3), (37, 0), (37, 20), (90, 10)):
+        part = whole.slice(start, size)
+        for hidden in (np.zeros(size, bool), np.ones(size, bool), np.arange(size) % 3 == 0):
+            got = importance.masked(part, hidden)
+            pa.RecordBatch.from_arrays([got], ["m"]).validate(full=True)
+            assert got.to_pylist() == [None if h else x for x, h in zip(part.to_pylist(), hidden)]
