@@ -19,12 +19,18 @@ def swaps() -> list[tuple[str, str, str]]:
 
 
 def flipped(text: Column) -> Column:
-    """Every directional word in its opposite; first all words become private characters, so that nothing is swapped back."""
-    for word, mark, _ in swaps():
-        text = F.regexp_replace(text, rf"(?iU)\b{word}\b", mark)
-    for _, mark, other in swaps():
-        text = F.replace(text, F.lit(mark), F.lit(other))
-    return text
+    """Every directional word in its opposite. No two of the words can overlap, so that one pattern cuts the text around all of them
+    and each is looked up; private characters that stand for words become these."""
+    pairs = swaps()
+    pattern = rf"(?iU)\b(?:{'|'.join(word for word, _, _ in pairs)})\b"
+    opposite = F.create_map(*[F.lit(x) for word, _, other in pairs for x in (word, other)])
+    plain = lambda x: F.lower(F.translate(x, "\u0130\u0131\u017f", "iis"))  # noqa: E731  all that the pattern takes for a letter
+    others = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.try_element_at(opposite, plain(x)))
+    joined = F.array_join(F.zip_with(F.split(text, pattern, -1), others, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    spelt = joined
+    for _, mark, other in pairs:
+        spelt = F.replace(spelt, F.lit(mark), F.lit(other))
+    return F.when(text.rlike(f"[{pairs[0][1]}-{pairs[-1][1]}]"), spelt).otherwise(joined)
 
 
 def wrong_genes(text: Column, genes: Column, most: int = 2, among: int = 4) -> Column:
