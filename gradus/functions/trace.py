@@ -100,10 +100,19 @@ def consistency(kind: Column, text: Column, answer: Column, counts: Column) -> C
 
 
 def gene_candidates(text: Column) -> Column:
-    """Distinct symbols in the order of the three patterns, without stop words."""
-    upper = F.filter(F.regexp_extract_all(text, F.lit(UPPER_GENE), 1), lambda x: ~x.isin(UPPER_STOP))
-    title = F.filter(F.regexp_extract_all(text, F.lit(TITLE_GENE), 1), lambda x: ~x.isin(TITLE_STOP) & (F.length(x) >= 3))
-    return F.array_distinct(F.concat(upper, F.regexp_extract_all(text, F.lit(HYPHEN_GENE), 1), title))
+    """Distinct symbols in the order of the three patterns, without stop words.
+
+    Words of different patterns cannot overlap, so that one scan finds those of all; what each is, the short word tells."""
+    inside = [p.removeprefix(r"(?U)\b(").removesuffix(r")\b") for p in (UPPER_GENE, HYPHEN_GENE, TITLE_GENE)]
+    found = F.regexp_extract_all(text, F.lit(rf"(?U)\b(?:{'|'.join(inside)})\b"), 0)
+    upper, hyphen, title = (rf"(?U)^(?:{p})$" for p in inside)
+
+    def in_order(words: Column) -> Column:
+        named = F.filter(words, lambda x: x.rlike(upper) & ~x.isin(UPPER_STOP))
+        titled = F.filter(words, lambda x: x.rlike(title) & ~x.isin(TITLE_STOP) & (F.length(x) >= 3))
+        return F.array_distinct(F.concat(named, F.filter(words, lambda x: x.rlike(hyphen)), titled))
+
+    return bound(F.array_distinct(found), in_order)
 
 
 def valid_symbol(x: Column) -> Column:

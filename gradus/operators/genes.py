@@ -43,12 +43,13 @@ def looked_up(candidates: DataFrame, dimension: DataFrame, usable: Column | None
     return out.select("name", F.col("_name").isNotNull().alias("verified"), "symbol", "species", "entrez_id", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
-def known_counts(texts: DataFrame, key: str, names: Column, dimension: DataFrame, usable: Column | None = None) -> DataFrame:
-    """(key, genes, known): how many distinct candidates each text has, and how many of them the dimension knows.
-
-    Texts of one key count once; one without candidates has zeros."""
-    listed = texts.select(key, F.array_distinct(names).alias("_names"))
-    each = listed.select(key, F.explode("_names").alias("name"))
-    known = looked_up(each, dimension, usable).filter("verified").select("name")
-    hits = each.join(known, "name").groupBy(key).agg(F.count("*").alias("known"))
-    return listed.select(key, F.size("_names").alias("genes")).join(hits, key, "left").select(key, "genes", F.coalesce("known", F.lit(0)).alias("known"))
+def known_counts(texts: DataFrame, key: str, names: Column, dimension: DataFrame, usable: Column | None = None, more: tuple[str, ...] = (), most: int = MOST_NAMES) -> DataFrame:
+    """(key, more, genes, known): how many distinct candidates each text has, and how many of them the dimension knows; one without
+    candidates has zeros. ``more`` names further columns of the texts to keep.
+
+    Each text is read once: its candidates meet the names of the dimension, and only counts are summed by key."""
+    index = name_index(dimension).select(F.col("key").alias("_known")).distinct()
+    each = texts.select(key, *more, F.array_distinct(names).alias("_names")).select(key, *more, F.explode_outer("_names").alias("name"))
+    asked = F.upper("name") if usable is None else F.when(usable, F.upper("name"))
+    met = each.withColumn("_asked", asked).join(F.broadcast(index) if index.count() <= most else index, F.col("_asked") == F.col("_known"), "left")
+    return met.groupBy(*[F.col(c) for c in (key, *more)]).agg(F.count("name").cast("int").alias("genes"), F.count("_known").alias("known"))

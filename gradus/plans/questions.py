@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradus.functions import perturb, prompts, trace
 from gradus.operators import registry
 from gradus.operators.metrics import uniform
+from gradus.operators.sampling import settled
 from gradus.plans.catalogue import query
 from gradus.plans.core import labelled
 from gradus.plans.drawing import L
@@ -201,7 +202,7 @@ def perturbation_report(v: Views) -> DataFrame:
     """Faithfulness of every text before and after a change of its genes or of its directions: a mean drop of 0.15 passes."""
     t, texts = F.col("t"), v.trace
     changed = {"wrong_gene": texts.withColumn("t", perturb.wrong_genes(t, trace.gene_candidates(t))), "flipped_direction": texts.withColumn("t", perturb.flipped(t))}
-    before = faithful(v).select("doc_id", "fmt", F.col("faithfulness").alias("before"))
+    before = settled(faithful(v).select("doc_id", "fmt", F.col("faithfulness").alias("before")))
     each = [before.join(faithful(v, x).select("doc_id", F.col("faithfulness").alias("after")), "doc_id").withColumn("change", F.lit(name)) for name, x in changed.items()]
     drop = F.avg(F.col("before") - F.col("after"))
     return each[0].unionByName(each[1]).groupBy("change", "fmt").agg(F.count("*").alias("n"), F.round(F.avg("before"), 6).alias("mean_before"), F.round(F.avg("after"), 6).alias("mean_after"), F.round(drop, 6).alias("mean_drop"), F.when(drop >= 0.15, "PASS").otherwise("FAIL").alias("verdict"))
