@@ -119,8 +119,16 @@ def prefix_cuts(df: DataFrame, by: list[str], quota, stage: str, key: str) -> tu
     return keyed, ends.select(*[F.col(c).alias(n) for c, n in zip(by, named)], F.col("_cut._bucket").alias("_end"), F.col("_cut.rest").alias("_rest"))
 
 
+#: Most groups whose ends are broadcast.
+MOST_ENDS = 100_000
+
+
 def _meeting(keyed: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the end of their group: a group of any size stays where it lies, unless there are very many groups."""
     named = [f"_by{i}" for i in range(len(by))]
+    ends = settled(ends)
+    if by and ends.count() <= MOST_ENDS:
+        ends = F.broadcast(ends)
     met = keyed.join(ends, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, named)], "left") if by else keyed.join(F.broadcast(ends), how="left")
     return met.drop(*named)
 
