@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +81,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as Parquet in the session's ``spark.checkpoint.dir``, computed once, until the ``with`` ends; as it is where none is set."""
+    spark = df.sparkSession
+    at = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        yield df
+        return
+    path = f"{at}/kept-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def unique_names(df: DataFrame, name: str, suffix: Column, pos: str) -> DataFrame:
     """Adds unique_name: a name seen before, as given or as made, gets its row's suffix; two alike may come out of that.
 

@@ -1,5 +1,6 @@
 """How often texts and rows are read: plans that grow with the input must not repeat its costly steps."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gradus.functions import perturb, trace
@@ -33,3 +34,24 @@ def test_ranks_come_from_counts_of_pairs(spark):
 def test_large_groups_stay_where_they_lie(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("rid"))
     assert "strategy=broadcast" in plan(sampling.half_partition(df, "g", "s"))
+
+
+def test_ranks_of_many_values_come_from_ranges(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 5, 900).tolist(), np.round(rng.standard_normal(900) ** 3, 2).tolist()
+    rows = [("a" if i % 3 else None, None if i % 50 == 7 else x[i], None if i % 40 == 9 else float("nan") if i % 40 == 11 else y[i] + x[i] / 4) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x long, y double")
+
+    def places(values):
+        keys = [(v is None, v is not None and v != v, 0 if v is None or v != v else v) for v in values]
+        return [sum(o < k for o in keys) + (sum(o == k for o in keys) + 1) / 2 for k in keys]
+
+    for most in (40, 10_000):
+        for a, b in (("x", "y"), ("y", "x")):
+            got = {r["g"]: (r["n"], r["rho"]) for r in metrics.rank_correlation(df, ["g"], a, b, most=most).collect()}
+            for g in ("a", None):
+                mine = [r for r in rows if r[0] == g]
+                want = np.corrcoef(places([r[1] for r in mine]), places([r[2] for r in mine]))[0, 1]
+                assert got[g][0] == len(mine) and abs(got[g][1] - want) < 1e-12
+    with sampling.kept(df) as rows:
+        assert "Scan parquet" in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 900
