@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +43,22 @@ def _among(low: Column, words: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
 
 
-def keyword_hits(low: Column, words: list[str]) -> Column:
+def occurring(low: Column, words: list[str]) -> Column:
+    """Those of the words that occur in a lower-case text, by a search over its bytes; none for a null text."""
+    pairs = [(w, w.encode()) for w in words]
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if x is None else [w for w, b in pairs if b in x] for x in texts])
+
+    return found(low.cast("binary"))
+
+
+def keyword_hits(low: Column, words: list[str], among: Column | None = None) -> Column:
     """Occurrences of all words in a lower-case text; one with a negation in the 50 characters before it counts as minus one.
 
-    ``low`` should be a plain column, so that nothing is lowered again for each word."""
+    ``low`` should be a plain column, so that nothing is lowered again for each word; ``among`` holds those of the words that occur,
+    where that is known, and may hold others."""
 
     def hits(total: Column, word: Column) -> Column:
         def step(acc: Column, part: Column) -> Column:
@@ -58,7 +71,7 @@ def keyword_hits(low: Column, words: list[str]) -> Column:
         found = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
         return total + F.aggregate(found, F.struct(F.lit(0).alias("p"), F.lit(0).alias("c")), step).c
 
-    return F.coalesce(F.aggregate(_among(low, words), F.lit(0), hits), F.lit(0))
+    return F.coalesce(F.aggregate(_among(low, words) if among is None else F.filter(among, lambda w: w.isin(words)), F.lit(0), hits), F.lit(0))
 
 
 def named(low: Column, words: list[str]) -> Column:

@@ -50,10 +50,13 @@ CONSISTENT = f"""CASE WHEN coalesce(t, '') = '' OR coalesce(pred, '') = '' THEN
 
 
 def counted(x: DataFrame) -> DataFrame:
-    """Hit counts of a frame of texts ``t``; the text is lowered once."""
-    low = F.col("low")
+    """Hit counts of a frame of texts ``t``; the text is lowered once, and searched once for the words of all lists."""
+    low, seen = F.col("low"), F.col("seen")
     x = x.withColumn("low", F.lower("t"))
-    return x.withColumns({"up": R.keyword_hits(low, R.UP), "down": R.keyword_hits(low, R.DOWN), "sig": R.keyword_hits(low, R.SIGNIFICANT), "none": R.named(low, R.NO_CHANGE), "unsure": R.named(low, R.NOT_SIGNIFICANT)}).drop("low")
+    x = x.withColumn("seen", R.occurring(low, sorted({*R.UP, *R.DOWN, *R.SIGNIFICANT, *R.NO_CHANGE, *R.NOT_SIGNIFICANT})))
+    hits = {name: R.keyword_hits(low, words, seen) for name, words in (("up", R.UP), ("down", R.DOWN), ("sig", R.SIGNIFICANT))}
+    named = {name: F.size(F.array_intersect(seen, F.array(*map(F.lit, words)))) for name, words in (("none", R.NO_CHANGE), ("unsure", R.NOT_SIGNIFICANT))}
+    return x.withColumns(hits | named).drop("low", "seen")
 
 
 def consistent(df: DataFrame) -> DataFrame:
@@ -145,12 +148,17 @@ c AS (SELECT doc_id, gene, effect, CASE WHEN ofs IS NULL THEN NULL WHEN ind <> (
 def claims(v: Views, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, fmt, gene, effect, ctx, claimed) for every annotated gene among a text's candidates.
 
-    Candidates meet the dimension of genes without their texts; only what it knows goes back to the texts."""
+    Candidates meet the dimension of genes where their texts lie, up to :data:`genes.MOST_NAMES` of its genes; of a larger one what it
+    knows goes back to the texts."""
     texts = v.trace if texts is None else texts
-    found = texts.select("doc_id", F.explode(R.gene_candidates(F.col("t"))).alias("symbol"))
     known = v.effects.select("gene", F.upper("gene").alias("upper"), F.lower("effect").alias("effect")).filter(F.col("effect").isin("induces", "inhibits"))
-    met = found.join(known, F.upper("symbol") == F.col("upper")).select("doc_id", "symbol", "gene", "effect")
-    x = met.join(texts, "doc_id").withColumn("ctx", R.context(F.col("t"), F.col("symbol"))).filter("ctx IS NOT NULL")
+    named, same = F.explode(R.gene_candidates(F.col("t"))).alias("symbol"), F.upper("symbol") == F.col("upper")
+    if known.count() <= genes.MOST_NAMES:
+        met = texts.select("doc_id", "fmt", "t", named).join(F.broadcast(known), same)
+    else:
+        met = texts.select("doc_id", named).join(known, same).select("doc_id", "symbol", "gene", "effect").join(texts, "doc_id")
+    ctx = F.when(F.col("gene").isNotNull(), R.context(F.col("t"), F.col("symbol")))  # not before the join: only for what is known
+    x = met.withColumn("ctx", ctx).filter("ctx IS NOT NULL")
     return x.select("doc_id", "fmt", "gene", "effect", "ctx", R.claimed_direction(F.col("ctx")).alias("claimed"))
 
 

@@ -55,3 +55,13 @@ def test_ranks_of_many_values_come_from_ranges(spark):
                 assert got[g][0] == len(mine) and abs(got[g][1] - want) < 1e-12
     with sampling.kept(df) as rows:
         assert "Scan parquet" in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 900
+
+
+def test_claims_are_judged_where_texts_lie(spark, sf):
+    v = Views(spark, sf)
+    p = plan(traces.claims(v))
+    assert p.count("Join") == 1 and "strategy=broadcast" in p
+    assert plan(traces.counted(v.trace)).count("found(") == 1
+    df = spark.createDataFrame([("it does not increase, no effect",), (None,), ("",), ("É increas ÎNCREAS",)], "t string")
+    got = [(r["up"], r["none"]) for r in traces.counted(df).collect()]
+    assert got == [(-1, 1), (0, 0), (0, 0), (1, 0)]
