@@ -29,6 +29,8 @@ from gradus.llm.common import Memo, Scratch, slices, small_batches, stored
 SIZE = 4096
 #: Entries of a worker's table of words already encoded; it starts anew beyond it.
 CACHE = 200_000
+#: Marks that may follow a word's letters.
+MARKS = ".,;:!?"
 
 
 class WordCache:
@@ -40,8 +42,22 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = Memo(self.encode_words, CACHE, "packing")
+        self.stems = Memo(self.encode_runs, CACHE // 2, "packing")
+        self.marks = dict(zip(["", *MARKS], [b"", *self.encode_runs([*MARKS])]))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
+        """Encodes words; those of ASCII letters, with or without one mark behind, by their lower-case letters: case does not count,
+        and a mark behind a letter is a part of its own."""
+        stems, marks = [], []
+        for w in words:
+            mark = w[-1:] if w[-1:] in self.marks else ""
+            stem = w[:-1] if mark else w
+            plain = stem.isascii() and stem.isalpha()
+            stems.append(stem.lower() if plain else w), marks.append(mark if plain else "")
+        get, behind = self.stems.table([stems]).__getitem__, self.marks.__getitem__
+        return [get(s) + behind(m) for s, m in zip(stems, marks)]
+
+    def encode_runs(self, words: list[str]) -> list[bytes]:
         """Encodes words in joined runs; each token goes to the word that its first character lies in."""
         out = []
         for at in range(0, len(words), 500):
