@@ -1,7 +1,7 @@
 """Byte-level BPE through a table of distinct words.
 
-Words are cut, without loss, before each run of white space that follows another character, and around the tokenizer's added
-tokens: places that no match of the tokenizer's own pattern crosses. Each distinct word of the corpus is encoded once, by the
+Words are cut, without loss, before each run of white space that follows another character, between a letter and a mark behind it,
+and around the tokenizer's added tokens: places that no match of the tokenizer's own pattern crosses. Each distinct word of the corpus is encoded once, by the
 tokenizers library, into a stored table; texts take their words' ids back by position (:mod:`gradus.llm.words`). Decoding joins
 ids with the table of pieces, one row for each id of the vocabulary, which is broadcast.
 
@@ -70,18 +70,32 @@ def pieces(path: str | None = None) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def encode_words(words: list[str], path: str | None, between: str) -> list[bytes]:
+    """Ids of each word. Words are encoded as one text with the added token ``between`` them, which the library takes out before
+    anything else, so that each is encoded as if it stood alone; those that hold the token, by themselves."""
+    own = [w for w in words if not between or between in w]
+    alone = dict(zip(own, [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch_fast(own, add_special_tokens=False)]))
+    rest = [w for w in words if w not in alone]
+    if rest:
+        ids = np.array(_tokenizer(path).encode_batch_fast([between.join(rest)], add_special_tokens=False)[0].ids, "<u4")
+        raw, at = ids.tobytes(), 4 * np.flatnonzero(ids == _tokenizer(path).token_to_id(between))
+        alone |= zip(rest, [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)])], strict=True)
+    return [alone[w] for w in words]
+
+
 def word_table(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """(word, n, ids binary), stored: every distinct word of the texts, its count, its ids as little-endian unsigned 32-bit."""
 
+    between = next(iter(added_tokens(path)), "")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path).encode_batch
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                got = [np.array(e.ids, "<u4").tobytes() for e in encode(part.column("word").cast(pa.string()).to_pylist(), add_special_tokens=False)]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                got = encode_words(part.column("word").cast(pa.string()).to_pylist(), path, between)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], ["word", "n", "ids"])
 
-    words = counted(df, spaced(added_tokens(path)), text).groupBy("word").agg(F.sum("n").alias("n"))
+    words = counted(df, spaced(added_tokens(path), marks=True), text).groupBy("word").agg(F.sum("n").alias("n"))
     return stored(words.mapInArrow(run, "word binary, n long, ids binary"), "words")
 
 
@@ -89,7 +103,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     """(key, ids binary), stored: ids of every text as little-endian unsigned 32-bit integers, or what ``finish`` makes of them."""
     named = lambda x: (finish or (lambda y: y))(x.withColumnRenamed("code", "ids"))
     table = word_table(df, text, path)
-    out = rewritten(df, table, "ids", spaced(added_tokens(path)), text, key, most, named)
+    out = rewritten(df, table, "ids", spaced(added_tokens(path), marks=True), text, key, most, named)
     dropped(table)
     return out
 
@@ -100,7 +114,8 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
     Bytes that are no UTF-8 become U+FFFD, ids without a piece nothing; null ids have the empty text."""
     spark = df.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(pieces(path))
+    known = pa.concat_arrays([pieces(path), pa.array([None], pa.binary())])  # the last one stands for all ids beyond the vocabulary
+    shared = spark.sparkContext.broadcast(known.fill_null(b"").cast(pa.large_binary()))
     own = [c for c in df.columns if c.lower() != decoded.lower()]
     at = own.index(ids)
 
@@ -111,10 +126,14 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
                 part = batch.slice(start, 256)
                 rows = part.column(at).fill_null(b"")
                 size = np.concatenate([[0], np.cumsum(pc.binary_length(rows).to_numpy(zero_copy_only=False) // 4)])
-                flat = np.frombuffer(b"".join(rows.to_pylist()), "<u4").astype(np.int64)
-                known = pa.array(flat, mask=flat >= len(table))
-                joined = pc.binary_join(pa.LargeListArray.from_arrays(size, pc.coalesce(table.take(known), pa.scalar(b"")).cast(pa.large_binary())), pa.scalar(b"", pa.large_binary()))
-                texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+                flat = np.frombuffer(b"".join(rows.to_pylist()), "<u4")
+                joined = table.take(pa.array(np.minimum(flat, len(table) - 1)))
+                ends = np.frombuffer(joined.buffers()[1], np.int64, count=len(joined) + 1, offset=joined.offset * 8)[size] if len(joined) else np.zeros(len(size), np.int64)
+                texts = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), joined.buffers()[2]]) if len(joined) else pa.array([b""] * len(rows), pa.large_binary())
+                try:
+                    texts = texts.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:  # bytes that are no UTF-8
+                    texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*own, decoded])
 
     kept = df.select(*own)
