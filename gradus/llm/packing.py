@@ -13,6 +13,7 @@ an empty result. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,13 +25,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, Scratch, slices, small_batches, stored
+from gradus.llm.common import Memo, Scratch, slices, small_batches, stored, text_buffer
+from gradus.llm.words import binaries
 
 SIZE = 4096
+#: Bytes of text whose words are looked up together.
+TOGETHER = 4 << 20
 #: Entries of a worker's table of words already encoded; it starts anew beyond it.
-CACHE = 200_000
-#: Marks that may follow a word's letters.
-MARKS = ".,;:!?"
+CACHE = 300_000
+#: Words that are one part for the tokenizer: letters alone, or ASCII marks alone.
+ONE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-/:-@\[-`{-~]+").fullmatch
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def word_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between spaces and line ends, all one after the other, and the n + 1 offsets into them by text.
+
+    A word of ASCII or Latin-1 letters with any run of ASCII marks behind it is given as its letters in lower case and its marks: case
+    does not count, and marks behind a letter are a part of their own. Other words stay as they are."""
+    raw, offsets = text_buffer(column)
+    if not len(raw):
+        return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
+    inside = (raw != 0x20) & (raw != 0x0A)
+    cuts = np.zeros(len(raw) + 1, bool)
+    cuts[offsets] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | cuts[1:-1]
+    pair = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # U+00C0 to U+00FF but the signs for times and divided
+    letter, mark = _LETTER[raw], _MARK[raw]
+    letter[1:] |= pair
+    letter[:-1] |= pair
+    odd = inside & ~letter & ~mark
+    odd[1:] |= letter[1:] & mark[:-1] & ~begins[1:]
+    starts = np.flatnonzero(begins)
+    plain = np.ones(len(starts), bool)
+    plain[np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1] = False
+    split = np.zeros(len(raw), bool)
+    if len(starts):
+        split[starts[0] :] = np.repeat(plain, np.diff(np.append(starts, len(raw))))  # now whether a byte is of a plain word, or behind one
+    upper = (raw >= 0x41) & (raw <= 0x5A)
+    upper[1:] |= pair & (raw[1:] <= 0x9E)
+    low = raw + (upper & split).astype(np.uint8) * np.uint8(32)
+    begins[1:] |= split[1:] & mark[1:] & letter[:-1]
+    place = np.concatenate([[0], np.cumsum(inside)])
+    starts = np.flatnonzero(begins)
+    return binaries(low[inside], np.append(place[starts], place[-1])), np.searchsorted(starts, offsets)
 
 
 class WordCache:
@@ -41,39 +82,47 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Memo(self.encode_words, CACHE, "packing")
-        self.stems = Memo(self.encode_runs, CACHE // 2, "packing")
-        self.marks = dict(zip(["", *MARKS], [b"", *self.encode_runs([*MARKS])]))
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Encodes words; those of ASCII letters, with or without one mark behind, by their lower-case letters: case does not count,
-        and a mark behind a letter is a part of its own."""
-        stems, marks = [], []
-        for w in words:
-            mark = w[-1:] if w[-1:] in self.marks else ""
-            stem = w[:-1] if mark else w
-            plain = stem.isascii() and stem.isalpha()
-            stems.append(stem.lower() if plain else w), marks.append(mark if plain else "")
-        get, behind = self.stems.table([stems]).__getitem__, self.marks.__getitem__
-        return [get(s) + behind(m) for s, m in zip(stems, marks)]
+        self.stems = Memo(self.encode_runs, CACHE, "packing")
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode_runs(self, words: list[str]) -> list[bytes]:
-        """Encodes words in joined runs; each token goes to the word that its first character lies in."""
-        out = []
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
+        """Encodes words in joined runs. Those of one part end at their first token that ends a part; in other runs each token
+        goes to the word that its first character lies in."""
+        known: dict[str, bytes] = {}
+        plain = [w for w in words if ONE(w)]
+        for at in range(0, len(plain), 500):
+            part = plain[at : at + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+            if len(cut) == len(part) + 1 and cut[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                known |= zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])])
+        rest = [w for w in words if w not in known]
+        for at in range(0, len(rest), 500):
+            part = rest[at : at + 500]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            ids = np.array(got.ids, "<u4").tobytes()
-            cut = 4 * np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts)
-            out += [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return out
+            raw = np.array(got.ids, "<u4").tobytes()
+            cut = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts)).tolist()
+            known |= zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])])
+        return [known[w] for w in words]
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text: distinct words are looked up, and their ids taken by all words."""
+        words, offsets = word_parts(column)
+        if not len(words):
+            return [b""] * len(column)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.string()).to_pylist()
+        ids = pa.array(list(map(self.stems.table([distinct]).__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, count=len(ids) + 1, offset=ids.offset * 8)[offsets].tolist()
+        raw = ids.buffers()[2].to_pybytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.cache.table(rows).__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        return self.encode_column(pa.array(texts, pa.string()))
 
 
 @lru_cache(2)
@@ -93,9 +142,9 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
         cache = word_cache(path)
         turn = TaskContext.get().partitionId() * 8191
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOGETHER):
                 where, piece, start, length, crc, own = [], [], [], [], [], []
-                for i, raw in enumerate(cache.encode([t or "" for t in part.column("text").to_pylist()])):
+                for i, raw in enumerate(cache.encode_column(part.column("text"))):
                     raw += end
                     for p, a in enumerate(range(0, len(raw), 4 * size)):
                         cut = raw[a : a + 4 * size]
